@@ -42,7 +42,7 @@ def weighted_sums(df: DataFrame, key_col: str, dims: int, weight: Column | None
     v = vec if vec is not None else F.col("features")
     wt = weight if weight is not None else F.lit(1.0)
     aggs = [F.count(F.lit(1)).alias("_n"), F.sum(wt).alias("_s")]
-    aggs += [F.sum(wt * v[d]).alias(f"_v{d}") for d in range(dims)]
+    aggs += [F.sum(wt * F.get(v, d)).alias(f"_v{d}") for d in range(dims)]
     rows = df.groupBy(key_col).agg(*aggs).take(max_keys + 1)
     if len(rows) > max_keys:
         raise ValueError("more groups than codes")

@@ -27,9 +27,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.functions.vectors import vec_dot, vec_sqdist, vec_sub
 from riskvq.operators.aggregates import weighted_sums
-from riskvq.operators.codebook import Codebook, as_codebook, codebook_row
+from riskvq.operators.codebook import Codebook, as_codebook
+from riskvq.operators.nearest import two_nearest
 from riskvq.operators.sampling import draw_bags
 from riskvq.session import ensure_checkpoint_dir
 
@@ -52,27 +52,30 @@ def cost_from_matrix(classes: list[int], matrix) -> dict[tuple[int, int], float]
     return {(int(a), int(p)): float(matrix[i][j]) for i, a in enumerate(classes) for j, p in enumerate(classes)}
 
 
-def bvq_candidates(df: DataFrame, codebook, features: str = "features") -> DataFrame:
-    """Per row: two nearest codes with their vectors, ``n`` and the distance
-    of the row from the bisector (``gap``)."""
+def _fold_sum(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda acc, e: acc + e)
+
+
+def bvq_candidates(df: DataFrame, codebook, features: str = "features", method: str = "auto") -> DataFrame:
+    """Rows whose two nearest codes carry different labels, with both code
+    vectors, ``n = |w_i - w_j|`` and the distance from the bisector ``gap``.
+
+    The two nearest codes come from the map-only nearest-code operator; the
+    label test runs before anything else, and the two code vectors are
+    fetched by broadcast hash joins against the K-row codebook.  Each vector
+    expression is its own projection so nothing is evaluated twice.
+    """
     cb = as_codebook(codebook)
-    joined = df.crossJoin(F.broadcast(codebook_row(df.sparkSession, cb)))
-    x = F.col(features)
-    dists = F.transform(F.col("_cb"), lambda c, k: F.struct(
-        vec_sqdist(x, c.w).alias("d2"), c.code_id.alias("code_id"), c.code_label.alias("code_label"),
-        k.alias("k")))
-    two = F.slice(F.array_sort(F.filter(dists, lambda s: s.d2.isNotNull())), 1, 2)
-    sel = joined.select(*df.columns, two.alias("_two"), "_cb")
-    t = F.col("_two")
-    wi = F.element_at(F.col("_cb"), t[0].k + 1).w
-    wj = F.element_at(F.col("_cb"), t[1].k + 1).w
-    diff = vec_sub(wi, wj)
-    n = F.sqrt(vec_dot(diff, diff))
-    out = sel.select(*df.columns,
-                     t[0].code_id.alias("code_i"), t[0].code_label.alias("label_i"), t[0].d2.alias("d2_i"),
-                     t[1].code_id.alias("code_j"), t[1].code_label.alias("label_j"), t[1].d2.alias("d2_j"),
-                     wi.alias("w_i"), wj.alias("w_j"), n.alias("n"))
-    return out.withColumn("gap", (F.col("d2_j") - F.col("d2_i")) / (F.lit(2.0) * F.col("n")))
+    spark = df.sparkSession
+    two = two_nearest(df, cb, method=method, features=features)
+    cand = two.where(F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j")))
+    cbw = cb.to_df(spark).select("code_id", "w")
+    wi = F.broadcast(cbw.select(F.col("code_id").alias("code_i"), F.col("w").alias("w_i")))
+    wj = F.broadcast(cbw.select(F.col("code_id").alias("code_j"), F.col("w").alias("w_j")))
+    joined = cand.join(wi, "code_i").join(wj, "code_j")
+    dw = joined.withColumn("dw", F.zip_with("w_i", "w_j", lambda a, b: a - b))
+    nrm = dw.withColumn("n", F.sqrt(_fold_sum(F.zip_with("dw", "dw", lambda a, b: a * b))))
+    return nrm.withColumn("gap", (F.col("d2_j") - F.col("d2_i")) / (F.lit(2.0) * F.col("n")))
 
 
 def _half_width(delta: float | None, window_half_width: float | None) -> float | None:
@@ -82,12 +85,12 @@ def _half_width(delta: float | None, window_half_width: float | None) -> float |
 
 
 def bvq_window(df: DataFrame, codebook, delta: float | None = 0.2, window_half_width: float | None = None,
-               features: str = "features") -> DataFrame:
+               features: str = "features", method: str = "auto") -> DataFrame:
     """Rows whose two nearest codes disagree on the class and which lie
     inside the window around their bisector (M4)."""
     hw = _half_width(delta, window_half_width)
-    c = bvq_candidates(df, codebook, features)
-    cond = (F.col("label_i") != F.col("label_j")) & (F.col("n") > 0)
+    c = bvq_candidates(df, codebook, features, method)
+    cond = F.col("n") > 0
     if hw is not None:
         cond = cond & (F.col("gap") <= F.lit(hw))
     return c.where(cond)
@@ -95,19 +98,20 @@ def bvq_window(df: DataFrame, codebook, delta: float | None = 0.2, window_half_w
 
 def bvq_contributions(df: DataFrame, codebook, rate: float, delta: float | None = 0.2,
                       window_half_width: float | None = None, cost: dict | None = None,
-                      target: str = "sample", features: str = "features") -> DataFrame:
+                      target: str = "sample", features: str = "features", method: str = "auto") -> DataFrame:
     """Two rows per active sample: ``(code_id, coef, t)`` (M5 before the sum)."""
-    active = bvq_window(df, codebook, delta, window_half_width, features)
+    active = bvq_window(df, codebook, delta, window_half_width, features, method)
     u = F.col("label")
     g = F.lit(rate) * (_cost_lookup(cost, u, F.col("label_j")) - _cost_lookup(cost, u, F.col("label_i"))) / F.col("n")
     x = F.col(features)
     if target == "sample":
         t = x
     elif target == "projection":
-        mid = F.zip_with(F.col("w_i"), F.col("w_j"), lambda a, b: (a + b) / F.lit(2.0))
-        dw = vec_sub(F.col("w_i"), F.col("w_j"))
-        coef = vec_dot(vec_sub(x, mid), dw) / (F.col("n") * F.col("n"))
-        t = F.zip_with(x, dw, lambda a, b: a - coef * b)
+        active = active.withColumn("_xm", F.zip_with(x, F.zip_with("w_i", "w_j", lambda a, b: (a + b) / F.lit(2.0)),
+                                                     lambda a, b: a - b))
+        active = active.withColumn("_pc", _fold_sum(F.zip_with("_xm", "dw", lambda a, b: a * b))
+                                   / (F.col("n") * F.col("n")))
+        t = F.zip_with(x, F.col("dw"), lambda a, b: a - F.col("_pc") * b)
     else:
         raise ValueError(f"unknown target {target!r}")
     act = active.select(F.col("code_i"), F.col("code_j"), g.alias("g"), t.alias("t")).where(F.col("g") != 0)
@@ -118,12 +122,12 @@ def bvq_contributions(df: DataFrame, codebook, rate: float, delta: float | None
 
 def bvq_step(bag: DataFrame, codebook, rate: float, delta: float | None = 0.2,
              window_half_width: float | None = None, cost: dict | None = None,
-             target: str = "sample", features: str = "features") -> Codebook:
+             target: str = "sample", features: str = "features", method: str = "auto") -> Codebook:
     """One batch BVQ step on a bag (M5); returns the new codebook."""
     cb = as_codebook(codebook)
     if cb.k < 2:
         return cb
-    contrib = bvq_contributions(bag, cb, rate, delta, window_half_width, cost, target, features)
+    contrib = bvq_contributions(bag, cb, rate, delta, window_half_width, cost, target, features, method)
     sums = weighted_sums(contrib, "code_id", cb.dims, weight=F.col("coef"), vec=F.col("t"), max_keys=cb.k)
     w = cb.w.copy()
     for i, cid in enumerate(cb.code_id):
@@ -143,7 +147,7 @@ def bvq_train(train: DataFrame, codebook, epochs: int, rate: float, delta: float
               window_half_width: float | None = None, cost: dict | None = None, target: str = "sample",
               n_bags: int | None = None, bag_size: int | None = None, seed: int = 0,
               use_bags: bool = True, id_col: str = "id", keep_history: bool = False,
-              features: str = "features") -> tuple[Codebook, BvqHistory]:
+              features: str = "features", method: str = "auto") -> tuple[Codebook, BvqHistory]:
     """``epochs`` x ``n_bags`` BVQ steps, codebook chained bag to bag (M6).
 
     With bags, all ``epochs * n_bags`` bags are drawn in ONE pass over the
@@ -160,12 +164,12 @@ def bvq_train(train: DataFrame, codebook, epochs: int, rate: float, delta: float
         for e in range(epochs):
             for b in range(n_bags):
                 one = bags.where(F.col("bag") == F.lit(e * n_bags + b + 1))
-                cb = bvq_step(one, cb, rate, delta, window_half_width, cost, target, features)
+                cb = bvq_step(one, cb, rate, delta, window_half_width, cost, target, features, method)
                 if keep_history:
                     hist.steps.append((e, b, cb))
     else:
         for e in range(epochs):
-            cb = bvq_step(train, cb, rate, delta, window_half_width, cost, target, features)
+            cb = bvq_step(train, cb, rate, delta, window_half_width, cost, target, features, method)
             if keep_history:
                 hist.steps.append((e, 0, cb))
     return cb, hist

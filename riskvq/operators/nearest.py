@@ -1,14 +1,22 @@
 """Nearest code vectors (M1, T3).
 
-The codebook travels as ONE broadcast row holding
-``array<struct<code_id, code_label, w>>``; every data row is joined to that
-row (a broadcast nested-loop join against a single row: no exchange on the
-data side) and distances are computed with higher-order functions inside the
-JVM.  Ties go to the lower ``code_id`` because the distance structs compare
-``(d2, code_id)`` in that order.
-
-``method="arrow"`` computes the same thing with numpy on Arrow batches
-(``mapInPandas``) for wide vectors and large codebooks.
+Three interchangeable physical paths, all map-only (no shuffle of the data):
+
+``unrolled``  The codebook is folded into the plan as literals and each
+              distance is plain arithmetic on ``features[d]``; Spark compiles
+              it into the whole-stage-codegen span of the scan.  Best for
+              small codebooks (K x D up to ``UNROLL_MAX_TERMS``); larger ones
+              would exceed the generated-method size limit.
+``expr``      The codebook travels as one broadcast row
+              ``array<struct<code_id, code_label, w>>`` and distances are
+              higher-order functions (interpreted).  Any size; also the path
+              whose arithmetic mirrors SQL list lambdas term for term.
+``arrow``     ``mapInPandas``: numpy distances on Arrow batches; fastest for
+              wide vectors and large codebooks.
+
+``auto`` picks ``unrolled`` for small codebooks and ``arrow`` otherwise.
+Every path returns the same columns; ties go to the lower ``code_id``
+(codes are sorted by id and compared as ``(d2, code_id)``).
 """
 
 from __future__ import annotations
@@ -22,105 +30,180 @@ from pyspark.sql import types as T
 from riskvq.functions.vectors import vec_sqdist
 from riskvq.operators.codebook import Codebook, as_codebook, codebook_row
 
+UNROLL_MAX_TERMS = 512
 
-def _dist_structs(features: Column, cb: Column, same_label: Column | None = None) -> Column:
-    """``array<struct<d2, code_id, code_label>>`` of one row to every code."""
-    codes = cb if same_label is None else F.filter(cb, lambda c: c.code_label == same_label)
-    dists = F.transform(codes, lambda c: F.struct(vec_sqdist(features, c.w).alias("d2"),
-                                                  c.code_id.alias("code_id"),
-                                                  c.code_label.alias("code_label")))
-    return F.filter(dists, lambda s: s.d2.isNotNull())
+_OUT1 = ["code_id", "code_label", "d2"]
+_OUT2 = ["code_i", "label_i", "d2_i", "code_j", "label_j", "d2_j"]
 
 
-def _with_codebook(df: DataFrame, cb: Codebook) -> DataFrame:
-    spark = df.sparkSession
-    return df.crossJoin(F.broadcast(codebook_row(spark, cb)))
+def choose_method(cb: Codebook, method: str = "auto") -> str:
+    if method != "auto":
+        return method
+    return "unrolled" if cb.k * max(cb.dims, 1) <= UNROLL_MAX_TERMS else "arrow"
 
 
-def assign_nearest(df: DataFrame, codebook, within_class: bool = False, method: str = "expr",
-                   features: str = "features") -> DataFrame:
-    """Add ``code_id, code_label, d2`` of the nearest code vector (M1).
+# ---------------------------------------------------------------------------
+# per-code distance structs (unrolled / expr)
+# ---------------------------------------------------------------------------
 
-    ``within_class`` restricts the search to codes of the row's own label
-    (used by class-wise SOM passes).  Map-only: no shuffle of the data.
+def _unrolled_structs(x: Column, cb: Codebook, same_label: Column | None) -> Column:
+    """``array<struct<d2, code_id, code_label>>`` with literal code vectors.
+
+    The sum runs over dimensions in order, exactly like the fold in the
+    ``expr`` path, so both give bit-identical distances.  Codes that do not
+    apply (row of another width, other class) get ``d2 = +inf`` instead of a
+    filter, so the whole expression stays inside generated code.
     """
-    cb = as_codebook(codebook)
-    if method == "arrow" and not within_class:
-        return _assign_nearest_arrow(df, cb, features)
-    joined = _with_codebook(df, cb)
+    dims = cb.dims
+    ok = F.size(x) == F.lit(dims)
+    inf = F.lit(float("inf"))
+    elems = []
+    for k in range(cb.k):
+        acc = None
+        for d in range(dims):
+            diff = F.get(x, d) - F.lit(float(cb.w[k, d]))
+            acc = diff * diff if acc is None else acc + diff * diff
+        valid = ok if same_label is None else ok & (same_label == F.lit(int(cb.code_label[k])))
+        elems.append(F.struct(F.when(valid, acc).otherwise(inf).alias("d2"),
+                              F.lit(int(cb.code_id[k])).alias("code_id"),
+                              F.lit(int(cb.code_label[k])).cast("int").alias("code_label")))
+    return F.array(*elems)
+
+
+def _expr_structs(x: Column, cb_col: Column, same_label: Column | None) -> Column:
+    codes = cb_col if same_label is None else F.filter(cb_col, lambda c: c.code_label == same_label)
+    return F.transform(codes, lambda c: F.struct(vec_sqdist(x, c.w).alias("d2"), c.code_id.alias("code_id"),
+                                                 c.code_label.alias("code_label")))
+
+
+def _structs_frame(df: DataFrame, cb: Codebook, method: str, within_class: bool, features: str) -> DataFrame:
+    """``df`` plus ``_d``: one distance struct per code (``d2`` may be +inf)."""
+    x = F.col(features)
     same = F.col("label") if within_class else None
-    best = F.array_min(_dist_structs(F.col(features), F.col("_cb"), same)).alias("_best")
-    return (joined.select(*df.columns, best)
-            .select(*df.columns, F.col("_best.code_id").alias("code_id"),
-                    F.col("_best.code_label").alias("code_label"), F.col("_best.d2").alias("d2")))
-
-
-def k_nearest_codes(df: DataFrame, codebook, k: int = 2, features: str = "features") -> DataFrame:
-    """Add ``nearest``: the ``k`` closest codes, ascending ``(d2, code_id)`` (T3)."""
-    cb = as_codebook(codebook)
-    joined = _with_codebook(df, cb)
-    ranked = F.slice(F.array_sort(_dist_structs(F.col(features), F.col("_cb"))), 1, k)
-    return joined.select(*df.columns, ranked.alias("nearest"))
+    if method == "unrolled":
+        return df.select(*df.columns, _unrolled_structs(x, cb, same).alias("_d"))
+    base = df.crossJoin(F.broadcast(codebook_row(df.sparkSession, cb)))
+    inf = F.lit(float("inf"))
+    structs = F.transform(_expr_structs(x, F.col("_cb"), same),
+                          lambda s: F.struct(F.coalesce(s.d2, inf).alias("d2"), s.code_id.alias("code_id"),
+                                             s.code_label.alias("code_label")))
+    return base.select(*df.columns, structs.alias("_d"))
 
 
-def two_nearest(df: DataFrame, codebook, features: str = "features") -> DataFrame:
-    """Flattened T3 with k=2: ``code_i, label_i, d2_i, code_j, label_j, d2_j``."""
-    kn = k_nearest_codes(df, codebook, 2, features)
-    n = F.col("nearest")
-    return kn.select(*df.columns,
-                     n[0].code_id.alias("code_i"), n[0].code_label.alias("label_i"), n[0].d2.alias("d2_i"),
-                     n[1].code_id.alias("code_j"), n[1].code_label.alias("label_j"), n[1].d2.alias("d2_j"))
+def _field(s: Column, name: str) -> Column:
+    """Field of a picked distance struct; NULL when no code applied."""
+    return F.when(s.d2 < F.lit(float("inf")), s[name])
 
 
 # ---------------------------------------------------------------------------
 # Arrow path
 # ---------------------------------------------------------------------------
 
-def _nearest_batch(x: np.ndarray, w: np.ndarray, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest row of ``w`` for each row of ``x`` and its squared
-    distance; exact differences (no ``|x|^2 - 2xw + |w|^2`` cancellation),
-    first index wins ties."""
-    n = x.shape[0]
-    idx = np.empty(n, dtype=np.int64)
-    d2 = np.empty(n, dtype=np.float64)
-    for s in range(0, n, chunk):
-        xs = x[s:s + chunk]
-        diff = xs[:, None, :] - w[None, :, :]
-        dd = np.einsum("nkd,nkd->nk", diff, diff)
-        j = np.argmin(dd, axis=1)
-        idx[s:s + chunk] = j
-        d2[s:s + chunk] = dd[np.arange(len(j)), j]
-    return idx, d2
-
-
-def _assign_nearest_arrow(df: DataFrame, cb: Codebook, features: str) -> DataFrame:
-    ids, labels, w = cb.code_id, cb.code_label, cb.w
-    dims = cb.dims
-    out_schema = T.StructType(df.schema.fields + [
-        T.StructField("code_id", T.LongType()), T.StructField("code_label", T.IntegerType()),
-        T.StructField("d2", T.DoubleType())])
+def _distances(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    diff = x[:, None, :] - w[None, :, :]
+    return np.einsum("nkd,nkd->nk", diff, diff)
+
+
+def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, features: str) -> DataFrame:
+    ids, labels, w, dims = cb.code_id, cb.code_label, cb.w, cb.dims
+    names = _OUT1 if k == 1 else _OUT2
+    types = [T.LongType(), T.IntegerType(), T.DoubleType()] * (1 if k == 1 else 2)
+    out_schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in zip(names, types)])
+    chunk = max(1, 2_000_000 // max(1, cb.k * max(dims, 1)))
 
     def run(batches):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
+            n = len(pdf)
             vecs = pdf[features]
             ok = vecs.map(lambda v: v is not None and len(v) == dims).to_numpy(dtype=bool)
-            x = np.zeros((len(pdf), dims))
+            x = np.zeros((n, dims))
             if ok.any():
                 x[ok] = np.stack(vecs[ok].to_numpy())
-            j, d2 = _nearest_batch(x, w)
-            pdf = pdf.copy()
-            pdf["code_id"] = pd.array(np.where(ok, ids[j], 0), dtype="Int64")
-            pdf["code_label"] = pd.array(np.where(ok, labels[j], 0), dtype="Int32")
-            pdf["d2"] = pd.array(d2, dtype="Float64")
-            pdf.loc[~ok, ["code_id", "code_label", "d2"]] = pd.NA
-            yield pdf
+            first = np.zeros(n, dtype=np.int64)
+            second = np.zeros(n, dtype=np.int64)
+            d_first = np.full(n, np.nan)
+            d_second = np.full(n, np.nan)
+            lab_row = pdf["label"].to_numpy() if within_class else None
+            for s in range(0, n, chunk):
+                dd = _distances(x[s:s + chunk], w)
+                if within_class:
+                    mask = labels[None, :] != np.asarray(lab_row[s:s + chunk], dtype=np.float64)[:, None]
+                    dd = np.where(mask, np.inf, dd)
+                order = np.argsort(dd, axis=1, kind="stable")
+                rows = np.arange(dd.shape[0])
+                first[s:s + chunk] = order[:, 0]
+                d_first[s:s + chunk] = dd[rows, order[:, 0]]
+                if k > 1 and dd.shape[1] > 1:
+                    second[s:s + chunk] = order[:, 1]
+                    d_second[s:s + chunk] = dd[rows, order[:, 1]]
+            valid1 = ok & np.isfinite(d_first)
+            valid2 = ok & np.isfinite(d_second)
+            res = pdf.copy()
+            cols = [(first, d_first, valid1)] + ([(second, d_second, valid2)] if k > 1 else [])
+            for (idx, dist, valid), (nid, nlab, nd) in zip(cols, [names[0:3], names[3:6]]):
+                res[nid] = pd.array(np.where(valid, ids[idx], 0), dtype="Int64")
+                res[nlab] = pd.array(np.where(valid, labels[idx], 0), dtype="Int32")
+                res[nd] = pd.array(np.where(valid, dist, 0.0), dtype="Float64")
+                res.loc[~valid, [nid, nlab, nd]] = pd.NA
+            yield res
 
     return df.mapInPandas(run, out_schema)
 
 
-def predict(df: DataFrame, codebook, method: str = "expr", pred_col: str = "pred") -> DataFrame:
+# ---------------------------------------------------------------------------
+# public operators
+# ---------------------------------------------------------------------------
+
+def assign_nearest(df: DataFrame, codebook, within_class: bool = False, method: str = "auto",
+                   features: str = "features") -> DataFrame:
+    """Add ``code_id, code_label, d2`` of the nearest code vector (M1).
+
+    ``within_class`` restricts the search to codes of the row's own label
+    (class-wise SOM passes).  Rows with no valid code get NULLs.
+    """
+    cb = as_codebook(codebook)
+    m = choose_method(cb, method)
+    if m == "arrow":
+        return _arrow_nearest(df, cb, 1, within_class, features)
+    staged = _structs_frame(df, cb, m, within_class, features).select(
+        *df.columns, F.array_min(F.col("_d")).alias("_b"))
+    b = F.col("_b")
+    return staged.select(*df.columns, _field(b, "code_id").alias("code_id"),
+                         _field(b, "code_label").alias("code_label"), _field(b, "d2").alias("d2"))
+
+
+def k_nearest_codes(df: DataFrame, codebook, k: int = 2, method: str = "auto",
+                    features: str = "features") -> DataFrame:
+    """Add ``nearest``: the ``k`` closest codes as
+    ``array<struct<d2, code_id, code_label>>``, ascending ``(d2, code_id)`` (T3)."""
+    cb = as_codebook(codebook)
+    m = choose_method(cb, method)
+    if m == "arrow":
+        m = "unrolled" if cb.k * max(cb.dims, 1) <= UNROLL_MAX_TERMS else "expr"
+    ranked = F.slice(F.sort_array(F.col("_d")), 1, k)
+    kept = F.filter(ranked, lambda s: s.d2 < F.lit(float("inf")))
+    return _structs_frame(df, cb, m, False, features).select(*df.columns, kept.alias("nearest"))
+
+
+def two_nearest(df: DataFrame, codebook, method: str = "auto", features: str = "features") -> DataFrame:
+    """T3 with k=2, flattened: ``code_i, label_i, d2_i, code_j, label_j, d2_j``
+    (``i`` nearest).  NULLs for a missing second code."""
+    cb = as_codebook(codebook)
+    m = choose_method(cb, method)
+    if m == "arrow":
+        return _arrow_nearest(df, cb, 2, False, features)
+    two = F.slice(F.sort_array(F.col("_d")), 1, 2)
+    staged = _structs_frame(df, cb, m, False, features).select(*df.columns, two.alias("_t"))
+    i, j = F.get(F.col("_t"), 0), F.get(F.col("_t"), 1)
+    return staged.select(*df.columns,
+                         _field(i, "code_id").alias("code_i"), _field(i, "code_label").alias("label_i"),
+                         _field(i, "d2").alias("d2_i"), _field(j, "code_id").alias("code_j"),
+                         _field(j, "code_label").alias("label_j"), _field(j, "d2").alias("d2_j"))
+
+
+def predict(df: DataFrame, codebook, method: str = "auto", pred_col: str = "pred") -> DataFrame:
     """Label of the nearest code vector (M7); keeps the true ``label``."""
     assigned = assign_nearest(df, codebook, method=method)
     return assigned.withColumnRenamed("code_label", pred_col).drop("code_id", "d2")
