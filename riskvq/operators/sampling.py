@@ -149,18 +149,49 @@ def shuffle_rows(df: DataFrame, seed: int, id_col: str = "id", pos_col: str = "p
     return with_position(df, [seeded_key(id_col, seed), F.col(id_col)], pos_col)
 
 
+def _bag_candidates(df: DataFrame, bags: list[int], seed: int, id_col: str, fraction: float) -> DataFrame:
+    """``(row, bag, key)`` for every bag whose key falls below ``fraction``.
+
+    The keys of all bags are computed inside one expression per row and only
+    the survivors are exploded, so nothing is multiplied by the bag count
+    except for the rows that are kept."""
+    bag_ids = F.array(*[F.lit(int(b)) for b in bags])
+    keyed = F.transform(bag_ids, lambda b: F.struct(b.alias("bag"), seeded_key(id_col, seed, b).alias("key")))
+    kept = F.filter(keyed, lambda e: key_below(e.key, fraction))
+    return (df.select("*", F.explode(kept).alias("_bk"))
+            .select(*df.columns, F.col("_bk.bag").alias("bag"), F.col("_bk.key").alias("_key")))
+
+
 def draw_bags(df: DataFrame, n_bags: int, bag_size: int, seed: int, id_col: str = "id",
-              first_bag: int = 1) -> DataFrame:
+              first_bag: int = 1, slack_sd: float = 8.0) -> DataFrame:
     """``n_bags`` independent bags of ``bag_size`` rows (SP10).
 
-    Bag ``b`` holds the rows with the smallest keys ``md5(seed:b:id)``: no row
-    twice in a bag, bags independent of each other.  All bags come from one
-    pass: each row is tried for every bag and a per-task top-``bag_size``
-    per bag runs before the shuffle, so the shuffle carries at most
-    ``tasks x n_bags x bag_size`` rows.
+    Bag ``b`` holds the ``bag_size`` rows with the smallest keys
+    ``md5(seed:b:id)``: no row twice in a bag, bags independent of each other.
+
+    Exact, without sorting the table: with ``N`` rows, only keys below a
+    threshold ``f`` (``bag_size`` plus ``slack_sd`` standard deviations of
+    slack, over ``N``) can be among the smallest ``bag_size``; those few
+    candidates are kept (persisted, a table of about ``n_bags x bag_size``
+    rows) and checked: any bag with fewer than ``bag_size`` candidates is
+    drawn again from all rows.  Then a top-``bag_size`` window per bag runs
+    on the candidates only.
     """
-    bag = F.explode(F.sequence(F.lit(first_bag), F.lit(first_bag + n_bags - 1))).alias("bag")
-    tried = df.select("*", bag)
-    w = Window.partitionBy("bag").orderBy(seeded_key(id_col, seed, F.col("bag")), F.col(id_col))
-    return (tried.withColumn("pos", F.row_number().over(w).cast("long"))
-            .where(F.col("pos") <= F.lit(bag_size)))
+    from pyspark import StorageLevel
+
+    bags = list(range(first_bag, first_bag + n_bags))
+    n = df.count()
+    need = min(bag_size, n)
+    fraction = 1.0 if n == 0 else min(1.0, (bag_size + slack_sd * bag_size ** 0.5 + 16.0) / n)
+    cand = _bag_candidates(df, bags, seed, id_col, fraction).persist(StorageLevel.MEMORY_AND_DISK)
+    if fraction < 1.0:
+        got = {r["bag"]: r["n"] for r in cand.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [b for b in bags if got.get(b, 0) < need]
+        if short:
+            cand = cand.where(~F.col("bag").isin(short)).unionByName(_bag_candidates(df, short, seed, id_col, 1.0))
+    w = Window.partitionBy("bag").orderBy(F.col("_key"), F.col(id_col))
+    # Filter on the bare row_number so Spark plans a per-task group limit.
+    return (cand.withColumn("pos", F.row_number().over(w))
+            .where(F.col("pos") <= F.lit(bag_size))
+            .withColumn("pos", F.col("pos").cast("long"))
+            .drop("_key"))
