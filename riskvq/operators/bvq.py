@@ -67,7 +67,9 @@ def bvq_candidates(df: DataFrame, codebook, features: str = "features", method:
     """
     cb = as_codebook(codebook)
     spark = df.sparkSession
-    two = two_nearest(df, cb, method=method, features=features)
+    # The Arrow pick is an optimizer barrier: the label filter below cannot be
+    # pushed into (and multiply) a generated distance expression.
+    two = two_nearest(df, cb, method="expr" if method == "expr" else "arrow", features=features)
     cand = two.where(F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j")))
     cbw = cb.to_df(spark).select("code_id", "w")
     wi = F.broadcast(cbw.select(F.col("code_id").alias("code_i"), F.col("w").alias("w_i")))

@@ -50,66 +50,45 @@ def choose_method(cb: Codebook, method: str = "auto", k: int = 1) -> str:
 # ---------------------------------------------------------------------------
 
 def _unrolled_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, features: str) -> DataFrame:
-    """Nearest (k=1) or two nearest (k=2) codes as plain generated arithmetic.
-
-    Three projections, each compiled into its own small method of the
-    whole-stage-codegen span (one huge method would not be JIT-compiled):
-
-    1. the features as non-null scalar columns ``_x0..`` plus a validity flag;
-    2. one squared distance column per code, summed over dimensions in order
-       (bit-identical to the fold of the ``expr`` path and to SQL);
-    3. ``least`` over those columns and a first-match ``CASE`` for the index,
-       so ties go to the lower ``code_id``; for k=2 the winner is masked and
-       the same is done again.
+    """Nearest (k=1) or two nearest (k=2) codes as generated arithmetic.
+
+    The features become non-null scalar columns once; each code's squared
+    distance is a plain sum over dimensions in order (bit-identical to the
+    fold of the ``expr`` path and to SQL); the pick is ``array_min`` /
+    ``sort_array`` over small ``(miss, d2, idx)`` structs, so ties go to the
+    lower ``code_id`` and a pushed-down filter copies the expression at most
+    linearly.  ``miss`` marks codes of another class (class-wise search).
     """
-    dims, ncode = cb.dims, cb.k
+    dims = cb.dims
     x = F.col(features)
     nan = F.lit(float("nan"))
-    xs = [F.coalesce(F.get(x, d), nan).alias(f"_x{d}") for d in range(dims)]
     ok = F.size(x) == F.lit(dims)
     for d in range(dims):
         ok = ok & F.get(x, d).isNotNull()
-    scal = df.select(*df.columns, *xs, F.coalesce(ok, F.lit(False)).alias("_ok"))
-    dist = []
-    for c in range(ncode):
+    scal = df.select(*df.columns, *[F.coalesce(F.get(x, d), nan).alias(f"_x{d}") for d in range(dims)],
+                     F.coalesce(ok, F.lit(False)).alias("_ok"))
+    elems = []
+    for c in range(cb.k):
         acc = None
         for d in range(dims):
             diff = F.col(f"_x{d}") - F.lit(float(cb.w[c, d]))
             acc = diff * diff if acc is None else acc + diff * diff
-        if within_class:
-            acc = F.when(F.col("label") == F.lit(int(cb.code_label[c])), acc)
-        dist.append(acc.alias(f"_d{c}"))
-    dd = scal.select(*df.columns, "_ok", *dist)
-    dcols = [F.col(f"_d{c}") for c in range(ncode)]
+        miss = F.lit(False) if not within_class else (F.col("label") != F.lit(int(cb.code_label[c])))
+        elems.append(F.struct(miss.alias("miss"), acc.alias("d2"), F.lit(c).alias("idx")))
+    arr = F.array(*elems)
+    pick = F.array_min(arr) if k == 1 else F.slice(F.sort_array(arr), 1, 2)
+    staged = scal.select(*df.columns, F.when(F.col("_ok"), pick).alias("_p"))
     ids = F.array(*[F.lit(int(v)) for v in cb.code_id])
     labels = F.array(*[F.lit(int(v)) for v in cb.code_label])
 
-    def first_match(cols, m, masked=None):
-        expr = None
-        for c, col in enumerate(cols):
-            cond = col == m
-            if masked is not None:
-                cond = cond & (masked != F.lit(c))
-            expr = F.when(cond, F.lit(c)) if expr is None else expr.when(cond, F.lit(c))
-        return expr
-
-    m1 = F.least(*dcols) if ncode > 1 else dcols[0]
-    best = dd.select(*df.columns, "_ok", *dcols, m1.alias("_m1")).select(
-        *df.columns, "_ok", *dcols, "_m1", first_match(dcols, F.col("_m1")).alias("_i1"))
-    valid1 = F.col("_ok") & F.col("_m1").isNotNull()
-    out = [F.when(valid1, F.element_at(ids, F.col("_i1") + 1)), F.when(valid1, F.element_at(labels, F.col("_i1") + 1)),
-           F.when(valid1, F.col("_m1"))]
+    def fields(s: Column) -> list[Column]:
+        return [_field(s, "idx", lambda i: F.element_at(ids, i + 1)),
+                _field(s, "idx", lambda i: F.element_at(labels, i + 1)), _field(s, "d2")]
+
     if k == 1:
-        return best.select(*df.columns, *[c.alias(n) for c, n in zip(out, _OUT1)])
-    masked = [F.when(F.col("_i1") != F.lit(c), dcols[c]) for c in range(ncode)]
-    m2 = F.least(*masked) if ncode > 1 else F.lit(None).cast("double")
-    second = best.select(*df.columns, "_ok", *dcols, "_m1", "_i1", m2.alias("_m2"))
-    second = second.select(*df.columns, "_ok", "_m1", "_i1", "_m2",
-                           first_match(dcols, F.col("_m2"), F.col("_i1")).alias("_i2"))
-    valid2 = valid1 & F.col("_m2").isNotNull()
-    out += [F.when(valid2, F.element_at(ids, F.col("_i2") + 1)), F.when(valid2, F.element_at(labels, F.col("_i2") + 1)),
-            F.when(valid2, F.col("_m2"))]
-    return second.select(*df.columns, *[c.alias(n) for c, n in zip(out, _OUT2)])
+        return staged.select(*df.columns, *[c.alias(n) for c, n in zip(fields(F.col("_p")), _OUT1)])
+    picked = fields(F.get(F.col("_p"), 0)) + fields(F.get(F.col("_p"), 1))
+    return staged.select(*df.columns, *[c.alias(n) for c, n in zip(picked, _OUT2)])
 
 
 def _expr_structs(x: Column, cb_col: Column, same_label: Column | None) -> Column:
@@ -128,10 +107,11 @@ def _structs_frame(df: DataFrame, cb: Codebook, method: str, within_class: bool,
     return base.select(*df.columns, pick(_expr_structs(x, F.col("_cb"), same)).alias("_p"))
 
 
-def _field(s: Column, name: str) -> Column:
+def _field(s: Column, name: str, fn=None) -> Column:
     """Field of a picked distance struct; NULL when no code applied (other
     width, other class, or a NULL feature)."""
-    return F.when(s.isNotNull() & ~s.miss & s.d2.isNotNull(), s[name])
+    v = s[name] if fn is None else fn(s[name])
+    return F.when(s.isNotNull() & ~s.miss & s.d2.isNotNull(), v)
 
 
 # ---------------------------------------------------------------------------

@@ -81,26 +81,51 @@ def class_quota_offsets(per_class: dict[int, int]) -> dict[int, int]:
     return offsets
 
 
-def init_codebook_per_class(df: DataFrame, per_class: dict[int, int], seed: int, id_col: str = "id") -> DataFrame:
+def init_codebook_per_class(df: DataFrame, per_class: dict[int, int], seed: int, id_col: str = "id",
+                            slack_sd: float = 8.0) -> DataFrame:
     """``per_class[c]`` seeded rows of each class become codes (SP6).
 
-    ``code_id`` = offset of the class + rank inside the class, classes in
-    ascending order.  A top-n window per class: Spark plans it as a per-task
-    group limit before the shuffle, so a hot class sends at most
-    ``max(per_class)`` rows per task.
+    Class ``c`` contributes its ``per_class[c]`` rows with the smallest
+    ``(md5(seed:id), id)``; ``code_id`` = offset of the class + rank inside the
+    class, classes in ascending order.
+
+    Exact without sorting the table: per-class row counts (one aggregate)
+    give a key threshold per class far above the quota (``slack_sd``
+    standard deviations); only rows under it are ranked.  A class with too
+    few rows under its threshold is ranked over all its rows instead.  A hot
+    class costs the same as any other.
     """
+    from pyspark import StorageLevel
+
     quotas = {int(k): int(v) for k, v in per_class.items() if int(v) > 0}
     if not quotas:
         return _as_codebook(df.limit(0), F.lit(0))
     offsets = class_quota_offsets(quotas)
+    mine = df.where(F.col("label").isin(list(quotas)))
+    sizes = {r["label"]: r["n"] for r in mine.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fractions = {c: (1.0 if sizes.get(c, 0) == 0 else
+                     min(1.0, (q + slack_sd * q ** 0.5 + 16.0) / sizes[c])) for c, q in quotas.items()}
+    key = seeded_key(id_col, seed)
+
+    def below(classes: dict[int, float]) -> Column:
+        cond = None
+        for c, f in classes.items():
+            term = (F.col("label") == F.lit(c)) & key_below(key, f)
+            cond = term if cond is None else cond | term
+        return cond
+
+    cand = mine.where(below(fractions)).persist(StorageLevel.MEMORY_AND_DISK)
+    got = {r["label"]: r["n"] for r in cand.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = [c for c in quotas if got.get(c, 0) < min(quotas[c], sizes.get(c, 0))]
+    if short:
+        cand = cand.where(~F.col("label").isin(short)).unionByName(mine.where(F.col("label").isin(short)))
     quota = offset = None
     for label in sorted(quotas):
         cond = F.col("label") == F.lit(label)
         quota = F.when(cond, F.lit(quotas[label])) if quota is None else quota.when(cond, F.lit(quotas[label]))
         offset = F.when(cond, F.lit(offsets[label])) if offset is None else offset.when(cond, F.lit(offsets[label]))
-    w = Window.partitionBy("label").orderBy(seeded_key(id_col, seed), F.col(id_col))
-    ranked = (df.where(F.col("label").isin(list(quotas)))
-              .withColumn("_rn", F.row_number().over(w))
+    w = Window.partitionBy("label").orderBy(key, F.col(id_col))
+    ranked = (cand.withColumn("_rn", F.row_number().over(w))
               .where(F.col("_rn") <= F.lit(max(quotas.values())))
               .where(F.col("_rn") <= quota))
     return _as_codebook(ranked, offset + F.col("_rn"))
@@ -149,49 +174,44 @@ def shuffle_rows(df: DataFrame, seed: int, id_col: str = "id", pos_col: str = "p
     return with_position(df, [seeded_key(id_col, seed), F.col(id_col)], pos_col)
 
 
-def _bag_candidates(df: DataFrame, bags: list[int], seed: int, id_col: str, fraction: float) -> DataFrame:
-    """``(row, bag, key)`` for every bag whose key falls below ``fraction``.
-
-    The keys of all bags are computed inside one expression per row and only
-    the survivors are exploded, so nothing is multiplied by the bag count
-    except for the rows that are kept."""
-    bag_ids = F.array(*[F.lit(int(b)) for b in bags])
-    keyed = F.transform(bag_ids, lambda b: F.struct(b.alias("bag"), seeded_key(id_col, seed, b).alias("key")))
-    kept = F.filter(keyed, lambda e: key_below(e.key, fraction))
-    return (df.select("*", F.explode(kept).alias("_bk"))
-            .select(*df.columns, F.col("_bk.bag").alias("bag"), F.col("_bk.key").alias("_key")))
+# Above this many rows a bag draw ranks with the distributed position
+# operator instead of one top-n task.
+MAX_TOP_ROWS = 1_000_000
 
 
 def draw_bags(df: DataFrame, n_bags: int, bag_size: int, seed: int, id_col: str = "id",
-              first_bag: int = 1, slack_sd: float = 8.0) -> DataFrame:
-    """``n_bags`` independent bags of ``bag_size`` rows (SP10).
-
-    Bag ``b`` holds the ``bag_size`` rows with the smallest keys
-    ``md5(seed:b:id)``: no row twice in a bag, bags independent of each other.
-
-    Exact, without sorting the table: with ``N`` rows, only keys below a
-    threshold ``f`` (``bag_size`` plus ``slack_sd`` standard deviations of
-    slack, over ``N``) can be among the smallest ``bag_size``; those few
-    candidates are kept (persisted, a table of about ``n_bags x bag_size``
-    rows) and checked: any bag with fewer than ``bag_size`` candidates is
-    drawn again from all rows.  Then a top-``bag_size`` window per bag runs
-    on the candidates only.
+              first_bag: int = 1) -> DataFrame:
+    """``n_bags`` bags of ``bag_size`` rows: mini-batches of one seeded
+    shuffle (SP10).
+
+    Rows are ordered by ``(md5(seed:id), id)`` -- the ``shuffle_rows`` order.
+    Bag ``first_bag + i`` holds positions ``i*bag_size .. (i+1)*bag_size - 1``
+    of that order; past the last row the order starts again, so bags never
+    repeat a row (when ``bag_size <= rows``) and consecutive bags are
+    disjoint until the table is used up.
+
+    One md5 per row.  Only the first ``n_bags * bag_size`` positions are
+    needed: up to ``MAX_TOP_ROWS`` they come from a bounded per-task top-n
+    (TakeOrderedAndProject, no sort of the table), beyond that from the
+    distributed position operator.
     """
-    from pyspark import StorageLevel
-
-    bags = list(range(first_bag, first_bag + n_bags))
-    n = df.count()
-    need = min(bag_size, n)
-    fraction = 1.0 if n == 0 else min(1.0, (bag_size + slack_sd * bag_size ** 0.5 + 16.0) / n)
-    cand = _bag_candidates(df, bags, seed, id_col, fraction).persist(StorageLevel.MEMORY_AND_DISK)
-    if fraction < 1.0:
-        got = {r["bag"]: r["n"] for r in cand.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).collect()}
-        short = [b for b in bags if got.get(b, 0) < need]
-        if short:
-            cand = cand.where(~F.col("bag").isin(short)).unionByName(_bag_candidates(df, short, seed, id_col, 1.0))
-    w = Window.partitionBy("bag").orderBy(F.col("_key"), F.col(id_col))
-    # Filter on the bare row_number so Spark plans a per-task group limit.
-    return (cand.withColumn("pos", F.row_number().over(w))
-            .where(F.col("pos") <= F.lit(bag_size))
-            .withColumn("pos", F.col("pos").cast("long"))
-            .drop("_key"))
+    total = int(n_bags) * int(bag_size)
+    order = F.struct(seeded_key(id_col, seed).alias("k"), F.col(id_col).alias("i"))
+    keyed = df.withColumn("_o", order)
+    if total <= MAX_TOP_ROWS:
+        top = keyed.orderBy("_o").limit(total)
+        # Both windows see at most ``total`` rows (bounded by the parameters).
+        ranked = top.select("*", (F.row_number().over(Window.orderBy("_o")) - 1).alias("_p"),
+                            F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("_n"))
+    else:
+        pos = with_position(keyed, ["_o"], "_p1").where(F.col("_p1") <= F.lit(total))
+        ranked = (pos.withColumn("_p", F.col("_p1") - 1)
+                  .crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))  # one-row side
+                  .drop("_p1"))
+    ranked = ranked.withColumn("_n", F.least(F.col("_n"), F.lit(total)))
+    slot = F.explode(F.sequence(F.col("_p").cast("long"), F.lit(total - 1).cast("long"),
+                                F.col("_n").cast("long"))).alias("_slot")
+    out = ranked.select(*df.columns, slot)
+    return out.select(*df.columns,
+                      (F.floor(F.col("_slot") / F.lit(bag_size)) + F.lit(first_bag)).cast("int").alias("bag"),
+                      (F.col("_slot") % F.lit(bag_size) + F.lit(1)).cast("long").alias("pos"))

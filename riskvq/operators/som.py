@@ -38,7 +38,7 @@ def neighbour_table(spark, cb: Codebook, radius: int) -> DataFrame:
 
 
 def som_step(df: DataFrame, codebook, rate: float, radius: int = 0, within_class: bool = False,
-             sample_fraction: float | None = None, seed: int = 0, method: str = "expr") -> Codebook:
+             sample_fraction: float | None = None, seed: int = 0, method: str = "auto") -> Codebook:
     """One batch SOM pass; returns the moved codebook."""
     cb = as_codebook(codebook)
     if cb.k == 0:
@@ -60,7 +60,7 @@ def som_step(df: DataFrame, codebook, rate: float, radius: int = 0, within_class
 
 
 def som_train(df: DataFrame, codebook, epochs: int, rate: float, radius: int = 0, within_class: bool = False,
-              sample_fraction: float | None = None, seed: int = 0, method: str = "expr") -> Codebook:
+              sample_fraction: float | None = None, seed: int = 0, method: str = "auto") -> Codebook:
     """``epochs`` SOM passes (M3); each pass re-broadcasts the codebook.
 
     With ``sample_fraction`` each epoch uses its own keyed sample.

@@ -142,6 +142,16 @@ def bvq_ctes(out: str, prev: str, data: str, rate: float, target: str = "sample"
 {out} AS (SELECT code_id, code_label, list(w ORDER BY dim) AS w FROM {out}_l GROUP BY code_id, code_label)"""
 
 
+def bags_cte(name: str, data: str, n_bags: int, bag_size: int) -> str:
+    """Mini-batches of the seeded shuffle, wrapping past the last row."""
+    total = n_bags * bag_size
+    return f"""{name}_r AS (SELECT *, row_number() OVER (ORDER BY {key('id')}, id) - 1 AS p,
+                          least(count(*) OVER (), {total}) AS n FROM {data}),
+{name} AS (SELECT {name}_r.* EXCLUDE (p, n), CAST(slot // {bag_size} + 1 AS INTEGER) AS bag,
+                  CAST(slot % {bag_size} + 1 AS BIGINT) AS pos
+           FROM {name}_r, unnest(range(p, {total}, n)) AS s(slot) WHERE p < {total})"""
+
+
 def pred_cte(name: str, data: str, cb: str) -> str:
     return f"""{nearest_cte(name + '_n', data, cb)},
 {name} AS (SELECT id, label, code_label AS pred FROM {name}_n)"""
@@ -204,11 +214,9 @@ SELECT part, count(*) AS n FROM (
   SELECT CASE WHEN {below(key('id'), thr80)} THEN 'train' ELSE 'test' END AS part FROM ev) GROUP BY part"""
     q["shuffle_rows"] = f"""WITH ev AS ({LAB_EV})
 SELECT row_number() OVER (ORDER BY {key('id')}, id) AS pos, id FROM ev"""
-    q["draw_bags"] = f"""WITH lab AS ({LAB_EMB})
-SELECT bag, pos, id FROM (
-  SELECT b.bag, l.id, row_number() OVER (PARTITION BY b.bag ORDER BY {key('l.id', 'b.bag')}, l.id) AS pos
-  FROM lab l CROSS JOIN (SELECT CAST(range AS INTEGER) AS bag FROM range(1, {C.N_BAGS + 1})) b)
-WHERE pos <= {C.BAG_SIZE}"""
+    q["draw_bags"] = f"""WITH lab AS ({LAB_EMB}),
+{bags_cte('bags', 'lab', C.N_BAGS, C.BAG_SIZE)}
+SELECT bag, pos, id FROM bags"""
 
     q["vec_sum"] = f"WITH lab AS ({LAB_EMB}) SELECT id, round({fold('features')}, {D}) AS s FROM lab"
     q["vec_sum_skip_last"] = (f"WITH lab AS ({LAB_EMB}) SELECT id, "
@@ -259,11 +267,7 @@ SELECT id, u AS label, ci AS code_i, cj AS code_j, round(gap, {D}) AS gap FROM b
 {bvq_ctes('cb1', 'cb0', 'train', C.BVQ_RATE, target='projection')}
 {long_cb('cb1')}"""
     q["bvq_train_2"] = f"""{base},
-bags AS (SELECT * FROM (
-  SELECT t.id, t.label, t.features, b.bag,
-         row_number() OVER (PARTITION BY b.bag ORDER BY {key('t.id', 'b.bag')}, t.id) AS pos
-  FROM train t CROSS JOIN (SELECT CAST(range AS INTEGER) AS bag FROM range(1, {C.TRAIN_BAGS + 1})) b)
-  WHERE pos <= {C.TRAIN_BAG_SIZE}),
+{bags_cte('bags', 'train', C.TRAIN_BAGS, C.TRAIN_BAG_SIZE)},
 bag1 AS (SELECT id, label, features FROM bags WHERE bag = 1),
 bag2 AS (SELECT id, label, features FROM bags WHERE bag = 2),
 {bvq_ctes('cb1', 'cb0', 'bag1', C.BVQ_RATE)},

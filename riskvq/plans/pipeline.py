@@ -45,7 +45,7 @@ class RunParams:
     som_radius: int = 0
     som_within_class: bool = False
     som_sample_fraction: float | None = None
-    method: str = "expr"
+    method: str = "auto"
 
 
 @dataclass
@@ -91,7 +91,8 @@ def classify_pipeline(df: DataFrame, params: RunParams) -> RunResult:
         stages.append(("som", cb))
     t = time.time()
     cb, _ = bvq_train(train, cb, params.bvq_epochs, params.rate, params.delta, params.window_half_width,
-                      params.cost, params.target, params.n_bags, params.bag_size, params.seed, params.use_bags)
+                      params.cost, params.target, params.n_bags, params.bag_size, params.seed, params.use_bags,
+                      method=params.method)
     timings["bvq_sec"] = time.time() - t
     stages.append(("bvq", cb))
     preds = predict(test, cb, method=params.method)
