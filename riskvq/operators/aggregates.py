@@ -43,11 +43,13 @@ def weighted_sums(df: DataFrame, key_col: str, dims: int, weight: Column | None
     wt = weight if weight is not None else F.lit(1.0)
     aggs = [F.count(F.lit(1)).alias("_n"), F.sum(wt).alias("_s")]
     aggs += [F.sum(wt * F.get(v, d)).alias(f"_v{d}") for d in range(dims)]
-    rows = df.groupBy(key_col).agg(*aggs).take(max_keys + 1)
-    if len(rows) > max_keys:
+    rows = df.groupBy(key_col).agg(*aggs).take(max_keys + 2)
+    if sum(r[key_col] is not None for r in rows) > max_keys:
         raise ValueError("more groups than codes")
     out = {}
     for r in rows:
+        if r[key_col] is None:
+            continue
         vec_sum = np.array([r[f"_v{d}"] if r[f"_v{d}"] is not None else 0.0 for d in range(dims)], dtype=np.float64)
         out[int(r[key_col])] = (int(r["_n"]), float(r["_s"] or 0.0), vec_sum)
     return out

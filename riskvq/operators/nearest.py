@@ -3,10 +3,10 @@
 Three interchangeable physical paths, all map-only (no shuffle of the data):
 
 ``unrolled``  The codebook is folded into the plan as literals and each
-              distance is plain arithmetic on ``features[d]``; Spark compiles
-              it into the whole-stage-codegen span of the scan.  Best for
-              small codebooks (K x D up to ``UNROLL_MAX_TERMS``); larger ones
-              would exceed the generated-method size limit.
+              distance is plain arithmetic on scalar feature columns inside
+              whole-stage codegen.  JVM-only; for small codebooks (K x D up
+              to about ``UNROLL_MAX_TERMS``) -- beyond that the generated
+              method outgrows what the JIT compiles.
 ``expr``      The codebook travels as one broadcast row
               ``array<struct<code_id, code_label, w>>`` and distances are
               higher-order functions (interpreted).  Any size; also the path
@@ -14,8 +14,7 @@ Three interchangeable physical paths, all map-only (no shuffle of the data):
 ``arrow``     ``mapInArrow``: numpy distances on zero-copy Arrow batches;
               fastest for wide vectors and large codebooks.
 
-``auto`` picks ``unrolled`` for the single nearest code of a small codebook
-and ``arrow`` otherwise.
+``auto`` is ``arrow`` (see the measurements next to ``UNROLL_MAX_TERMS``).
 Every path returns the same columns; ties go to the lower ``code_id``
 (codes are sorted by id and compared as ``(d2, code_id)``).
 """
@@ -30,9 +29,11 @@ from pyspark.sql import types as T
 from riskvq.functions.vectors import vec_sqdist
 from riskvq.operators.codebook import Codebook, as_codebook, codebook_row
 
-# Measured at sf0.1 (600k x 4 and 2000 x 64): the unrolled plan matches the
-# Arrow path up to ~64 distance terms and falls far behind beyond that (the
-# generated method outgrows what the JIT compiles).
+# Measured at sf0.1 (600k x 4 and 2000 x 64): the Arrow path is as fast as
+# the unrolled plan on small codebooks and far faster on wide ones, and it is
+# an optimizer barrier, so downstream filters never get pushed into (and
+# multiply) a generated distance expression.  ``auto`` therefore means Arrow;
+# the two JVM-only paths stay available by name.
 UNROLL_MAX_TERMS = 64
 
 _OUT1 = ["code_id", "code_label", "d2"]
@@ -40,9 +41,9 @@ _OUT2 = ["code_i", "label_i", "d2_i", "code_j", "label_j", "d2_j"]
 
 
 def choose_method(cb: Codebook, method: str = "auto", k: int = 1) -> str:
-    if method != "auto":
-        return method
-    return "unrolled" if k == 1 and cb.k * max(cb.dims, 1) <= UNROLL_MAX_TERMS else "arrow"
+    if method not in ("auto", "arrow", "unrolled", "expr"):
+        raise ValueError(f"unknown method {method!r}")
+    return "arrow" if method == "auto" else method
 
 
 # ---------------------------------------------------------------------------

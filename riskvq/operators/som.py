@@ -44,7 +44,8 @@ def som_step(df: DataFrame, codebook, rate: float, radius: int = 0, within_class
     if cb.k == 0:
         return cb
     data = df if sample_fraction is None else bernoulli_sample(df, sample_fraction, seed)
-    assigned = assign_nearest(data, cb, within_class=within_class, method=method).where(F.col("code_id").isNotNull())
+    # Rows without a code (NULL key) form one group that is ignored below.
+    assigned = assign_nearest(data, cb, within_class=within_class, method=method)
     key = "code_id"
     if radius > 0:
         nb = neighbour_table(df.sparkSession, cb, radius)
