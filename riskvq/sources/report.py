@@ -20,7 +20,8 @@ def write_run_report(metrics: DataFrame, codebooks: DataFrame | None, path: str,
                      fmt: str = "csv") -> None:
     """Write ``metrics`` (``metric, value``) and stage codebooks under ``path``.
 
-    ``fmt="csv"`` writes ``;``-separated files; ``"parquet"`` keeps types.
+    ``fmt="csv"`` writes ``;``-separated metrics and codebook text lines
+    ``stage_idx;stage;code_id;w1;...;wn;"label"``; ``"parquet"`` keeps types.
     """
     base = path.rstrip("/")
     if fmt == "parquet":
@@ -30,5 +31,7 @@ def write_run_report(metrics: DataFrame, codebooks: DataFrame | None, path: str,
         return
     metrics.write.mode(mode).option("sep", ";").option("header", "true").csv(f"{base}/metrics")
     if codebooks is not None:
-        (codebook_text(codebooks).write.mode(mode).option("sep", ";").option("header", "true")
-         .option("quote", "\u0000").csv(f"{base}/codebooks"))
+        text = codebook_text(codebooks)
+        keys = [c for c in text.columns if c != "line"]
+        line = F.concat_ws(";", *[F.col(c).cast("string") for c in keys], F.col("line"))
+        text.select(line.alias("value")).write.mode(mode).text(f"{base}/codebooks")

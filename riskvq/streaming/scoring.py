@@ -8,6 +8,8 @@ codebook, and the running confusion matrix is a streaming aggregation
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +22,16 @@ from riskvq.operators.nearest import predict
 
 def read_labeled_stream(spark: SparkSession, path: str, schema: T.StructType, id_col: str, label_col: str,
                         features_col: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet file stream projected into ``(id, label, features)``."""
+    """Parquet file stream projected into ``(id, label, features)``.
+
+    ``path`` is a folder that receives files, or one file (then its folder is
+    watched for files of that name)."""
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if os.path.isfile(path):
+        reader = reader.option("pathGlobFilter", os.path.basename(path))
+        path = os.path.dirname(path)
     raw = reader.load(path)
     return raw.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"),
                       F.col(features_col).cast("array<double>").alias("features"))
