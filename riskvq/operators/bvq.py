@@ -71,10 +71,10 @@ def bvq_candidates(df: DataFrame, codebook, features: str = "features", method:
     # pushed into (and multiply) a generated distance expression.
     two = two_nearest(df, cb, method="expr" if method == "expr" else "arrow", features=features)
     cand = two.where(F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j")))
-    cbw = cb.to_df(spark).select("code_id", "w")
-    wi = F.broadcast(cbw.select(F.col("code_id").alias("code_i"), F.col("w").alias("w_i")))
-    wj = F.broadcast(cbw.select(F.col("code_id").alias("code_j"), F.col("w").alias("w_j")))
-    joined = cand.join(wi, "code_i").join(wj, "code_j")
+    cbw = F.broadcast(cb.to_df(spark).select("code_id", "w"))
+    # Both lookups read the same broadcast relation (one exchange, reused).
+    joined = (cand.join(cbw, cand.code_i == cbw.code_id).withColumnRenamed("w", "w_i").drop("code_id")
+              .join(cbw, F.col("code_j") == cbw.code_id).withColumnRenamed("w", "w_j").drop("code_id"))
     dw = joined.withColumn("dw", F.zip_with("w_i", "w_j", lambda a, b: a - b))
     nrm = dw.withColumn("n", F.sqrt(_fold_sum(F.zip_with("dw", "dw", lambda a, b: a * b))))
     return nrm.withColumn("gap", (F.col("d2_j") - F.col("d2_i")) / (F.lit(2.0) * F.col("n")))

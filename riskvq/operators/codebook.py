@@ -19,6 +19,18 @@ from pyspark.sql import types as T
 MAX_CELLS = 10_000_000
 MAX_CODES = 100_000
 
+# Codebooks up to this many cells travel inside the plan as inline tables.
+LOCAL_CELLS = 200_000
+
+
+def _sql_double(x: float) -> str:
+    """Exact SQL literal of a double (17 significant digits round-trip)."""
+    x = float(x)
+    if x != x or x in (float("inf"), float("-inf")):
+        return f"CAST('{x}' AS DOUBLE)".replace("inf", "Infinity").replace("nan", "NaN")
+    return f"{x:.17e}D"
+
+
 CODEBOOK_SCHEMA = T.StructType([
     T.StructField("code_id", T.LongType(), False),
     T.StructField("code_label", T.IntegerType(), True),
@@ -60,6 +72,18 @@ class Codebook:
 
     # -- Spark views --------------------------------------------------------
     def to_df(self, spark: SparkSession) -> DataFrame:
+        """The codebook as a DataFrame ``(code_id, code_label, w)``.
+
+        Up to ``LOCAL_CELLS`` cells it is an inline table (a local relation in
+        the plan: broadcasting it needs no Spark job); larger codebooks are
+        shipped as a parallelised relation."""
+        if 0 < self.k and self.k * max(self.dims, 1) <= LOCAL_CELLS:
+            values = ", ".join(
+                f"({int(i)}L, {int(l)}, array({', '.join(_sql_double(x) for x in w)}))"
+                for i, l, w in zip(self.code_id, self.code_label, self.w))
+            df = spark.sql(f"SELECT * FROM VALUES {values} AS cb(code_id, code_label, w)")
+            return df.select(F.col("code_id").cast("long"), F.col("code_label").cast("int"),
+                             F.col("w").cast("array<double>"))
         rows = [(int(i), int(l), [float(x) for x in w]) for i, l, w in zip(self.code_id, self.code_label, self.w)]
         return spark.createDataFrame(rows, CODEBOOK_SCHEMA)
 

@@ -252,3 +252,14 @@ def test_empty_table(spark):
     assert S.init_codebook_per_class(empty, {0: 2}, 1).count() == 0
     assert S.draw_bags(empty, 2, 3, 1).count() == 0
     assert with_position(empty, ["id"]).count() == 0
+
+
+def test_codebook_inline_table_round_trip_is_exact(spark):
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=(7, 5)) * 10.0 ** rng.integers(-300, 300, size=(7, 5))
+    w[0, 0], w[1, 1], w[2, 2] = 0.1, -0.0, 5e-324
+    cb = Codebook(np.arange(7) * 3, np.arange(7) % 2, w)
+    back = Codebook.from_df(cb.to_df(spark))
+    assert np.array_equal(back.w, cb.w) and np.array_equal(back.code_id, cb.code_id)
+    plan = cb.to_df(spark)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan
