@@ -28,7 +28,7 @@ from riskvq.operators.som import som_step  # noqa: E402
 from riskvq.plans import catalog as C  # noqa: E402
 from riskvq.plans.pipeline import RunParams, classify_pipeline  # noqa: E402
 from riskvq.session import get_spark  # noqa: E402
-from riskvq.sources.labeled import lineitem_labeled  # noqa: E402
+from riskvq.sources.labeled import events_labeled, lineitem_labeled  # noqa: E402
 
 LI_PER_CLASS = {0: 3, 1: 7, 2: 5}
 
@@ -78,6 +78,14 @@ def main() -> None:
                        bag_size=100)
     timed("pipeline_launch_params_lineitem",
           lambda: classify_pipeline(li, launch).confusion().collect())
+    # Closest to the recorded run itself: 2 features, 10 codes, SOM 1 epoch,
+    # BVQ 1 bag of 10 -- on all of ``events``.
+    ev = events_labeled(spark, sf_dir)
+    ev_recorded = RunParams(per_class={c: 2 for c in range(5)}, seed=C.SEED, train_pct=80, delta=C.DELTA,
+                            rate=C.BVQ_RATE, use_som=True, som_epochs=1, som_rate=C.SOM_RATE, bvq_epochs=1,
+                            use_bags=True, n_bags=1, bag_size=10)
+    timed("pipeline_recorded_shape_events",
+          lambda: classify_pipeline(ev, ev_recorded).confusion().collect())
     timed("pipeline_embeddings", lambda: C.q_classify_pipeline(spark, sf_dir).collect())
     timed("split_position_events", lambda: drain(C.q_split_position(spark, sf_dir)))
     timed("draw_bags_lineitem", lambda: drain(S.draw_bags(li, 10, 100, C.SEED)))
@@ -86,7 +94,7 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,
-                      "rows": {"lineitem": li.count()}}))
+                      "rows": {"lineitem": li.count(), "events": ev.count()}}))
     spark.stop()
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,9 @@ def classify_pipeline(df: DataFrame, params: RunParams) -> RunResult:
     else:
         split = split_random(df, params.train_pct, params.seed)
     train, test = train_test(split)
+    # Every SOM epoch and BVQ pass reads the training part again: keep it, at
+    # the three columns used, for the length of the run (spills to disk).
+    train = train.select("id", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     cb = Codebook.from_df(init_codebook_per_class(train, params.per_class, params.seed))
     stages = [("init", cb)]
     timings = {}
@@ -95,6 +99,7 @@ def classify_pipeline(df: DataFrame, params: RunParams) -> RunResult:
                       method=params.method)
     timings["bvq_sec"] = time.time() - t
     stages.append(("bvq", cb))
+    train.unpersist()
     preds = predict(test, cb, method=params.method)
     timings["total_sec"] = time.time() - t0
     return RunResult(params, split, preds, stages, timings)
