@@ -91,9 +91,16 @@ def main() -> None:
     timed("draw_bags_lineitem", lambda: drain(S.draw_bags(li, 10, 100, C.SEED)))
     timed("class_profile_lineitem", lambda: C.q_class_profile(spark, sf_dir).collect())
 
+    # The same nearest-code query on each physical path (not in the total).
+    paths: dict[str, float] = {}
+    for method in ("arrow", "unrolled", "expr"):
+        t = time.time()
+        drain(assign_nearest(li, state["cb"], method=method))
+        paths[f"nearest_lineitem_{method}"] = round(time.time() - t, 3)
+
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,
+                      "queries": times, "nearest_paths": paths, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,
                       "rows": {"lineitem": li.count(), "events": ev.count()}}))
     spark.stop()
 

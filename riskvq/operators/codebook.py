@@ -38,6 +38,32 @@ CODEBOOK_SCHEMA = T.StructType([
 ])
 
 
+def _sql_literal(v, type_name: str) -> str:
+    if v is None:
+        return f"CAST(NULL AS {type_name.upper()})"
+    if type_name == "bigint":
+        return f"{int(v)}L"
+    if type_name == "int":
+        return str(int(v))
+    if type_name == "double":
+        return _sql_double(v)
+    raise ValueError(type_name)
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], columns: list[tuple[str, str]]) -> DataFrame:
+    """A small table built on the driver (neighbour lists, cost matrices).
+
+    Up to ``LOCAL_CELLS`` cells it is an inline table, i.e. a local relation
+    that broadcasts without a Spark job."""
+    names = [c for c, _ in columns]
+    if rows and len(rows) * len(columns) <= LOCAL_CELLS:
+        values = ", ".join("(" + ", ".join(_sql_literal(v, t) for v, (_, t) in zip(r, columns)) + ")" for r in rows)
+        df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+        return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns])
+    schema = ", ".join(f"{c} {t}" for c, t in columns)
+    return spark.createDataFrame(rows, schema)
+
+
 class CodebookTooLarge(ValueError):
     pass
 

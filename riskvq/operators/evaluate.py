@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskvq.functions.vectors import vec_dist
+from riskvq.operators.codebook import local_frame
 
 MAX_COST_CELLS = 1_000_000
 
@@ -40,7 +41,7 @@ def cost_table(spark: SparkSession, classes: list[int], matrix=None) -> DataFram
             else:
                 c = float(matrix[i][j])
             rows.append((int(a), int(p), c))
-    return spark.createDataFrame(rows, COST_SCHEMA)
+    return local_frame(spark, rows, [("actual", "int"), ("predicted", "int"), ("cost", "double")])
 
 
 def confusion(pred: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
@@ -97,8 +98,9 @@ def class_profile(df: DataFrame, dims: int, label_col: str = "label") -> DataFra
     x = F.col("features")
     aggs = [F.count(F.lit(1)).alias("n")]
     for d in range(dims):
-        aggs += [F.avg(x[d]).alias(f"mean{d}"), F.stddev_pop(x[d]).alias(f"std{d}"),
-                 F.min(x[d]).alias(f"min{d}"), F.max(x[d]).alias(f"max{d}")]
+        xd = F.get(x, d)
+        aggs += [F.avg(xd).alias(f"mean{d}"), F.stddev_pop(xd).alias(f"std{d}"),
+                 F.min(xd).alias(f"min{d}"), F.max(xd).alias(f"max{d}")]
     wide = df.groupBy(F.col(label_col).alias("label")).agg(*aggs)
     per_dim = F.explode(F.array(*[
         F.struct(F.lit(d).alias("dim"), F.col(f"mean{d}").alias("mean"), F.col(f"std{d}").alias("std"),

@@ -17,10 +17,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskvq.operators.aggregates import weighted_sums
-from riskvq.operators.codebook import Codebook, as_codebook
+from riskvq.operators.codebook import Codebook, as_codebook, local_frame
 from riskvq.operators.nearest import assign_nearest
 from riskvq.operators.sampling import bernoulli_sample
 
@@ -33,8 +32,7 @@ def neighbour_table(spark, cb: Codebook, radius: int) -> DataFrame:
         for i, cid in enumerate(ids):
             for j in range(max(0, i - radius), min(len(ids), i + radius + 1)):
                 rows.append((int(cid), int(ids[j])))
-    schema = T.StructType([T.StructField("code_id", T.LongType()), T.StructField("target_id", T.LongType())])
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, [("code_id", "bigint"), ("target_id", "bigint")])
 
 
 def som_step(df: DataFrame, codebook, rate: float, radius: int = 0, within_class: bool = False,

@@ -47,6 +47,7 @@ UNIFORM_DIMS = 2
 UNIFORM_LO, UNIFORM_HI = -1.0, 1.0
 INT_LO, INT_HI = 1, 6
 SCALE_OFFSET = 1.0
+SOM_RADIUS = 1
 
 
 def r(c, digits: int = DIGITS):
@@ -230,6 +231,14 @@ def q_som_step(spark, sf):
     return cb_long(spark, som_step(emb_train(spark, sf), init_cb(spark, sf), SOM_RATE))
 
 
+def q_som_step_radius(spark, sf):
+    return cb_long(spark, som_step(emb_train(spark, sf), init_cb(spark, sf), SOM_RATE, radius=SOM_RADIUS))
+
+
+def q_som_step_within_class(spark, sf):
+    return cb_long(spark, som_step(emb_train(spark, sf), init_cb(spark, sf), SOM_RATE, within_class=True))
+
+
 def q_som_train_2(spark, sf):
     return cb_long(spark, som_train(emb_train(spark, sf), init_cb(spark, sf), 2, SOM_RATE))
 
@@ -248,6 +257,11 @@ def q_bvq_step_projection(spark, sf):
                                    target="projection"))
 
 
+def q_bvq_step_cost(spark, sf):
+    cost = {(a, p): float(abs(a - p)) for a in EMB_CLASSES for p in EMB_CLASSES}
+    return cb_long(spark, bvq_step(emb_train(spark, sf), init_cb(spark, sf), BVQ_RATE, DELTA, cost=cost))
+
+
 def q_bvq_train_2(spark, sf):
     cb, _ = bvq_train(emb_train(spark, sf), init_cb(spark, sf), epochs=1, rate=BVQ_RATE, delta=DELTA,
                       n_bags=TRAIN_BAGS, bag_size=TRAIN_BAG_SIZE, seed=SEED)
@@ -340,10 +354,13 @@ QUERIES = {
     "nearest": q_nearest,
     "two_nearest": q_two_nearest,
     "som_step": q_som_step,
+    "som_step_radius": q_som_step_radius,
+    "som_step_within_class": q_som_step_within_class,
     "som_train_2": q_som_train_2,
     "bvq_window": q_bvq_window,
     "bvq_step": q_bvq_step,
     "bvq_step_projection": q_bvq_step_projection,
+    "bvq_step_cost": q_bvq_step_cost,
     "bvq_train_2": q_bvq_train_2,
     "predict": q_predict,
     "confusion": q_confusion,

@@ -89,10 +89,29 @@ def nearest_cte(name: str, data: str, cb: str) -> str:
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, code_id) = 1)"""
 
 
-def som_ctes(out: str, prev: str, data: str, rate: float) -> str:
-    return f"""{nearest_cte(out + '_a', data, prev)},
+def som_ctes(out: str, prev: str, data: str, rate: float, radius: int = 0, within_class: bool = False) -> str:
+    if within_class:
+        assign = f"""{out}_a AS (SELECT * FROM (
+      SELECT d.id, d.label, d.features, c.code_id, c.code_label, {sqd('d.features', 'c.w')} AS d2
+      FROM {data} d JOIN {prev} c ON c.code_label = d.label)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, code_id) = 1)"""
+    else:
+        assign = nearest_cte(out + '_a', data, prev)
+    if radius > 0:
+        # winners pull the codes of their class within ``radius`` positions
+        # of the code_id chain
+        assign += f""",
+{out}_k AS (SELECT code_id, code_label, row_number() OVER (PARTITION BY code_label ORDER BY code_id) AS r
+    FROM {prev}),
+{out}_nb AS (SELECT a.code_id AS winner, b.code_id AS target FROM {out}_k a JOIN {out}_k b
+    ON a.code_label = b.code_label AND abs(a.r - b.r) <= {radius}),
+{out}_x AS (SELECT nb.target AS code_id, a.features FROM {out}_a a JOIN {out}_nb nb ON nb.winner = a.code_id)"""
+        src = f"{out}_x"
+    else:
+        src = f"{out}_a"
+    return f"""{assign},
 {out}_m AS (SELECT code_id, dim, sum(x) AS sx, count(*) AS n
-    FROM (SELECT code_id, unnest(range(len(features))) AS dim, unnest(features) AS x FROM {out}_a)
+    FROM (SELECT code_id, unnest(range(len(features))) AS dim, unnest(features) AS x FROM {src})
     GROUP BY code_id, dim),
 {out}_e AS (SELECT code_id, code_label, unnest(range(len(w))) AS dim, unnest(w) AS w FROM {prev}),
 {out}_l AS (SELECT e.code_id, e.code_label, e.dim,
@@ -114,9 +133,12 @@ def bvq_pairs_ctes(out: str, prev: str, data: str) -> str:
     WHERE li <> lj AND n > 0 AND (d2j - d2i) / ({dbl(2.0)} * n) <= {dbl(C.DELTA / 2.0)})"""
 
 
-def bvq_ctes(out: str, prev: str, data: str, rate: float, target: str = "sample") -> str:
-    b_i = f"CASE WHEN u = li THEN {dbl(0.0)} ELSE {dbl(1.0)} END"
-    b_j = f"CASE WHEN u = lj THEN {dbl(0.0)} ELSE {dbl(1.0)} END"
+def bvq_ctes(out: str, prev: str, data: str, rate: float, target: str = "sample", cost: str = "01") -> str:
+    if cost == "abs":
+        b_i, b_j = "CAST(abs(u - li) AS DOUBLE)", "CAST(abs(u - lj) AS DOUBLE)"
+    else:
+        b_i = f"CASE WHEN u = li THEN {dbl(0.0)} ELSE {dbl(1.0)} END"
+        b_j = f"CASE WHEN u = lj THEN {dbl(0.0)} ELSE {dbl(1.0)} END"
     if target == "sample":
         tgt = f"""{out}_g AS (SELECT ci, cj, ({dbl(rate)} * ({b_j} - {b_i})) / n AS g, x AS t FROM {out}_w)"""
     else:
@@ -252,6 +274,12 @@ SELECT i.id, i.code_id AS code_i, i.code_label AS label_i, round(i.d2, {D}) AS d
 FROM r i JOIN r j ON i.id = j.id AND i.rn = 1 AND j.rn = 2"""
     q["som_step"] = f"""{base},
 {som_ctes('cb1', 'cb0', 'train', C.SOM_RATE)}
+{long_cb('cb1')}"""
+    q["som_step_radius"] = f"""{base},
+{som_ctes('cb1', 'cb0', 'train', C.SOM_RATE, radius=C.SOM_RADIUS)}
+{long_cb('cb1')}"""
+    q["som_step_within_class"] = f"""{base},
+{som_ctes('cb1', 'cb0', 'train', C.SOM_RATE, within_class=True)}
 {long_cb('cb1')}"""
     q["som_train_2"] = f"""{base},
 {som_ctes('cb1', 'cb0', 'train', C.SOM_RATE)},
@@ -265,6 +293,9 @@ SELECT id, u AS label, ci AS code_i, cj AS code_j, round(gap, {D}) AS gap FROM b
 {long_cb('cb1')}"""
     q["bvq_step_projection"] = f"""{base},
 {bvq_ctes('cb1', 'cb0', 'train', C.BVQ_RATE, target='projection')}
+{long_cb('cb1')}"""
+    q["bvq_step_cost"] = f"""{base},
+{bvq_ctes('cb1', 'cb0', 'train', C.BVQ_RATE, cost='abs')}
 {long_cb('cb1')}"""
     q["bvq_train_2"] = f"""{base},
 {bags_cte('bags', 'train', C.TRAIN_BAGS, C.TRAIN_BAG_SIZE)},
