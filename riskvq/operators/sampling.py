@@ -8,6 +8,7 @@ exposed too, but they change with the partitioning.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,8 +96,6 @@ def init_codebook_per_class(df: DataFrame, per_class: dict[int, int], seed: int,
     few rows under its threshold is ranked over all its rows instead.  A hot
     class costs the same as any other.
     """
-    from pyspark import StorageLevel
-
     quotas = {int(k): int(v) for k, v in per_class.items() if int(v) > 0}
     if not quotas:
         return _as_codebook(df.limit(0), F.lit(0))
@@ -180,7 +179,7 @@ MAX_TOP_ROWS = 1_000_000
 
 
 def draw_bags(df: DataFrame, n_bags: int, bag_size: int, seed: int, id_col: str = "id",
-              first_bag: int = 1) -> DataFrame:
+              first_bag: int = 1, slack_sd: float = 8.0) -> DataFrame:
     """``n_bags`` bags of ``bag_size`` rows: mini-batches of one seeded
     shuffle (SP10).
 
@@ -190,27 +189,40 @@ def draw_bags(df: DataFrame, n_bags: int, bag_size: int, seed: int, id_col: str
     repeat a row (when ``bag_size <= rows``) and consecutive bags are
     disjoint until the table is used up.
 
-    One md5 per row.  Only the first ``n_bags * bag_size`` positions are
-    needed: up to ``MAX_TOP_ROWS`` they come from a bounded per-task top-n
-    (TakeOrderedAndProject, no sort of the table), beyond that from the
+    One md5 per row, no sort of the table.  Only the first
+    ``total = n_bags * bag_size`` positions matter: with ``N`` rows (one
+    count), rows whose key lies above a threshold sized for ``total`` plus
+    ``slack_sd`` standard deviations cannot be among them and are dropped in
+    the scan; if fewer than ``total`` rows pass, all rows are used instead
+    (exact either way).  The survivors (about ``total`` rows) are ranked by
+    one bounded top-n task up to ``MAX_TOP_ROWS``, beyond that by the
     distributed position operator.
     """
     total = int(n_bags) * int(bag_size)
-    order = F.struct(seeded_key(id_col, seed).alias("k"), F.col(id_col).alias("i"))
-    keyed = df.withColumn("_o", order)
+    key = seeded_key(id_col, seed)
+    keyed = df.withColumn("_o", F.struct(key.alias("k"), F.col(id_col).alias("i")))
+    n = df.count()
+    if n == 0 or total == 0:
+        return df.select(*df.columns, F.lit(0).alias("bag"), F.lit(0).cast("long").alias("pos")).limit(0)
+    cand = keyed
+    if total < n:
+        fraction = min(1.0, (total + slack_sd * total ** 0.5 + 16.0) / n)
+        if fraction < 1.0:
+            filtered = keyed.where(key_below(key, fraction)).persist(StorageLevel.MEMORY_AND_DISK)
+            if filtered.count() >= total:
+                cand = filtered
+            else:
+                filtered.unpersist()
     if total <= MAX_TOP_ROWS:
-        top = keyed.orderBy("_o").limit(total)
-        # Both windows see at most ``total`` rows (bounded by the parameters).
-        ranked = top.select("*", (F.row_number().over(Window.orderBy("_o")) - 1).alias("_p"),
-                            F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("_n"))
+        top = cand.orderBy("_o").limit(total)
+        # The window sees at most ``total`` rows (bounded by the parameters).
+        ranked = top.select("*", (F.row_number().over(Window.orderBy("_o")) - 1).alias("_p"))
     else:
-        pos = with_position(keyed, ["_o"], "_p1").where(F.col("_p1") <= F.lit(total))
-        ranked = (pos.withColumn("_p", F.col("_p1") - 1)
-                  .crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))  # one-row side
-                  .drop("_p1"))
-    ranked = ranked.withColumn("_n", F.least(F.col("_n"), F.lit(total)))
+        ranked = (with_position(cand, ["_o"], "_p1").where(F.col("_p1") <= F.lit(total))
+                  .withColumn("_p", F.col("_p1") - 1).drop("_p1"))
+    m = min(n, total)
     slot = F.explode(F.sequence(F.col("_p").cast("long"), F.lit(total - 1).cast("long"),
-                                F.col("_n").cast("long"))).alias("_slot")
+                                F.lit(m).cast("long"))).alias("_slot")
     out = ranked.select(*df.columns, slot)
     return out.select(*df.columns,
                       (F.floor(F.col("_slot") / F.lit(bag_size)) + F.lit(first_bag)).cast("int").alias("bag"),

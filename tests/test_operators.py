@@ -263,3 +263,16 @@ def test_codebook_inline_table_round_trip_is_exact(spark):
     assert np.array_equal(back.w, cb.w) and np.array_equal(back.code_id, cb.code_id)
     plan = cb.to_df(spark)._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation" in plan
+
+
+def test_draw_bags_prefiltered_matches_brute_force(emb):
+    bags = S.draw_bags(emb.repartition(6), 3, 20, 8).collect()
+    order = sorted((r.id for r in emb.select("id").collect()), key=lambda i: (md5key(8, i), i))
+    assert {(r.bag, r.pos): r.id for r in bags} == {(s // 20 + 1, s % 20 + 1): order[s] for s in range(60)}
+
+
+def test_draw_bags_large_path(emb, monkeypatch):
+    monkeypatch.setattr(S, "MAX_TOP_ROWS", 10)
+    bags = S.draw_bags(emb, 3, 20, 8).collect()
+    order = sorted((r.id for r in emb.select("id").collect()), key=lambda i: (md5key(8, i), i))
+    assert {(r.bag, r.pos): r.id for r in bags} == {(s // 20 + 1, s % 20 + 1): order[s] for s in range(60)}
