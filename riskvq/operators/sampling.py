@@ -130,11 +130,50 @@ def init_codebook_per_class(df: DataFrame, per_class: dict[int, int], seed: int,
     return _as_codebook(ranked, offset + F.col("_rn"))
 
 
+def kth_smallest(df: DataFrame, col: str, k: int, rel_error: float = 1e-3) -> object:
+    """Exact ``k``-th smallest (1-based) non-null value of a numeric column
+    with unique values, reading only that column.
+
+    ``approxQuantile`` brackets the answer (its rank error is at most
+    ``rel_error * n``, and the brackets are taken at twice that distance);
+    one count places the lower bracket, and only the rows between the
+    brackets (about ``4 * rel_error`` of the table) are ranked exactly.
+    """
+    ids = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
+    n = ids.count()
+    if not 1 <= k <= n:
+        raise ValueError(f"k={k} outside 1..{n}")
+    q = k / n
+    lo, hi = ids.approxQuantile("_v", [max(0.0, q - 2 * rel_error), min(1.0, q + 2 * rel_error)], rel_error)
+    below = ids.where(F.col("_v") < F.lit(lo)).count() if k > 1 else 0
+    band = ids.where((F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi)))
+    if k <= 1:
+        return ids.agg(F.min("_v")).collect()[0][0]
+    if not below < k <= below + band.count():
+        band, below = ids, 0  # brackets missed (not expected): rank everything
+    hit = with_position(band, [F.col("_v")], "_r").where(F.col("_r") == F.lit(k - below)).collect()
+    return hit[0]["_v"]
+
+
 def split_by_position(df: DataFrame, pct: int, id_col: str = "id", order_by: list | None = None,
                       part_col: str = "part") -> DataFrame:
     """First ``rows * pct // 100`` rows (by ``order_by``, default id) are
     ``train``, the rest ``test`` (SP7).  64-bit arithmetic throughout.
+
+    By a numeric id (the usual case) the split is one cutoff value found by
+    ``kth_smallest`` from the id column alone, and the result is a plain
+    filter: no shuffle of the table.  Other orders rank every row with
+    ``with_position``.
     """
+    numeric = dict(df.dtypes).get(id_col) in ("bigint", "int", "smallint", "tinyint", "double", "float")
+    if order_by is None and numeric:
+        n = df.where(F.col(id_col).isNotNull()).count()
+        k = n * int(pct) // 100
+        if k <= 0:
+            return df.withColumn(part_col, F.lit("test"))
+        cutoff = kth_smallest(df, id_col, k) if k < n else None
+        train = F.lit(True) if cutoff is None else F.col(id_col) <= F.lit(cutoff)
+        return df.withColumn(part_col, F.when(train, F.lit("train")).otherwise(F.lit("test")))
     order = [F.col(c) if isinstance(c, str) else c for c in (order_by or [])] + [F.col(id_col)]
     ranked = with_position(df, order, "_pos")
     n = ranked.agg(F.count(F.lit(1)).alias("_total"))

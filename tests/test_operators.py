@@ -276,3 +276,24 @@ def test_draw_bags_large_path(emb, monkeypatch):
     bags = S.draw_bags(emb, 3, 20, 8).collect()
     order = sorted((r.id for r in emb.select("id").collect()), key=lambda i: (md5key(8, i), i))
     assert {(r.bag, r.pos): r.id for r in bags} == {(s // 20 + 1, s % 20 + 1): order[s] for s in range(60)}
+
+
+@pytest.mark.parametrize("k", [1, 2, 37, 499, 500])
+def test_kth_smallest(emb, k):
+    ids = sorted(r.id for r in emb.select("id").collect())
+    assert S.kth_smallest(emb.repartition(4), "id", k, rel_error=0.01) == ids[k - 1]
+
+
+@pytest.mark.parametrize("pct", [0, 1, 50, 99, 100])
+def test_split_by_position_edges(ev, pct):
+    ids = sorted(r.id for r in ev.select("id").collect())
+    cut = len(ids) * pct // 100
+    got = {r.id: r.part for r in S.split_by_position(ev, pct).collect()}
+    assert all(got[i] == ("train" if k < cut else "test") for k, i in enumerate(ids))
+
+
+def test_split_by_position_general_order(ev):
+    rows = sorted((r.label, r.id) for r in ev.select("label", "id").collect())
+    cut = len(rows) * 30 // 100
+    got = {r.id: r.part for r in S.split_by_position(ev, 30, order_by=["label"]).collect()}
+    assert all(got[i] == ("train" if k < cut else "test") for k, (_, i) in enumerate(rows))
