@@ -17,7 +17,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from riskvq.operators import evaluate as E  # noqa: E402
 from riskvq.operators import sampling as S  # noqa: E402

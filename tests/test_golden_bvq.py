@@ -5,7 +5,6 @@ record; it is solved from the two codebooks as described in FIXTURES.md F3.
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from riskvq.operators.bvq import bvq_step, bvq_window, cost_from_matrix
 from riskvq.operators.codebook import Codebook

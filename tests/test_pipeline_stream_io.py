@@ -3,8 +3,6 @@
 import os
 import tempfile
 
-import numpy as np
-from pyspark.sql import functions as F
 
 from riskvq.operators import sampling as S
 from riskvq.operators.codebook import Codebook
