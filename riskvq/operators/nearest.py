@@ -119,53 +119,53 @@ def _field(s: Column, name: str, fn=None) -> Column:
 # Arrow path
 # ---------------------------------------------------------------------------
 
-def _distances(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    diff = x[:, None, :] - w[None, :, :]
-    return np.einsum("nkd,nkd->nk", diff, diff)
-
-
-def _matrix(col, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n x dims) float64 matrix of an Arrow list column and a validity mask
-    (row present, right width, no NULL element).  Zero-copy when regular."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    n = len(col)
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    lengths = pc.list_value_length(col)
-    ok = pc.fill_null(pc.equal(lengths, pa.scalar(dims, lengths.type)), False).to_numpy(zero_copy_only=False)
-    x = np.zeros((n, dims))
-    if ok.all() and col.values.null_count == 0:
-        flat = col.flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(n, dims).astype(np.float64, copy=False), ok
-    rows = col.to_pylist()
-    for i, v in enumerate(rows):
-        if ok[i] and all(e is not None for e in v):
-            x[i] = v
-        else:
-            ok[i] = False
-    return x, ok
+def _nearest_kernel(ids: np.ndarray, labels: np.ndarray, w: np.ndarray, k: int, within_class: bool,
+                    features: str, names: list[str]):
+    """The per-batch function of the Arrow path.
 
-
-def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, features: str) -> DataFrame:
-    """``mapInArrow``: numpy distances per Arrow batch, ties to the lower index."""
-    import pyarrow as pa
-
-    ids, labels, w, dims = cb.code_id, cb.code_label, cb.w, cb.dims
-    names = _OUT1 if k == 1 else _OUT2
-    types = [T.LongType(), T.IntegerType(), T.DoubleType()] * (1 if k == 1 else 2)
-    out_schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in zip(names, types)])
-    chunk = max(1, 2_000_000 // max(1, cb.k * max(dims, 1)))
+    Everything it needs is nested here, so it is shipped to the Python
+    workers by value: executors need numpy and pyarrow, not this package.
+    """
+    dims = w.shape[1]
+    chunk = max(1, 2_000_000 // max(1, w.shape[0] * max(dims, 1)))
+
+    def distances(x, cw):
+        diff = x[:, None, :] - cw[None, :, :]
+        return np.einsum("nkd,nkd->nk", diff, diff)
+
+    def matrix(col):
+        """(n x dims) float64 matrix of an Arrow list column and a validity
+        mask (row present, right width, no NULL element); zero-copy when
+        regular."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = len(col)
+        if isinstance(col, pa.ChunkedArray):
+            col = col.combine_chunks()
+        lengths = pc.list_value_length(col)
+        ok = pc.fill_null(pc.equal(lengths, pa.scalar(dims, lengths.type)), False).to_numpy(zero_copy_only=False)
+        x = np.zeros((n, dims))
+        if ok.all() and col.values.null_count == 0:
+            flat = col.flatten().to_numpy(zero_copy_only=False)
+            return flat.reshape(n, dims).astype(np.float64, copy=False), ok
+        for i, v in enumerate(col.to_pylist()):
+            if ok[i] and all(e is not None for e in v):
+                x[i] = v
+            else:
+                ok[i] = False
+        return x, ok
 
     def run(batches):
+        import pyarrow as pa
+
         for rb in batches:
             n = rb.num_rows
-            x, ok = _matrix(rb.column(features), dims)
+            x, ok = matrix(rb.column(features))
             lab_row = rb.column("label").to_numpy(zero_copy_only=False) if within_class else None
             picks = [(np.zeros(n, np.int64), np.full(n, np.inf)) for _ in range(k)]
             for s in range(0, n, chunk):
-                dd = _distances(x[s:s + chunk], w)
+                dd = distances(x[s:s + chunk], w)
                 if within_class:
                     lr = np.asarray(lab_row[s:s + chunk], dtype=np.float64)
                     dd = np.where(labels[None, :] != lr[:, None], np.inf, dd)
@@ -185,7 +185,17 @@ def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, feat
                            pa.array(dist, pa.float64(), mask=~valid)]
             yield pa.RecordBatch.from_arrays(arrays, names=list(rb.schema.names) + names)
 
-    return df.mapInArrow(run, out_schema)
+    return run
+
+
+def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, features: str) -> DataFrame:
+    """``mapInArrow``: numpy distances per Arrow batch, ties to the lower index."""
+    names = _OUT1 if k == 1 else _OUT2
+    types = [T.LongType(), T.IntegerType(), T.DoubleType()] * (1 if k == 1 else 2)
+    out_schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in zip(names, types)])
+    kernel = _nearest_kernel(cb.code_id.copy(), cb.code_label.copy(), cb.w.copy(), k, within_class, features,
+                             list(names))
+    return df.mapInArrow(kernel, out_schema)
 
 
 # ---------------------------------------------------------------------------
