@@ -2,8 +2,9 @@
 
 A codebook is small by construction (K x D cells, checked against
 ``MAX_CELLS``).  Training loops keep it on the driver as numpy arrays and
-ship it to executors as a one-row broadcast relation each pass; that also
-cuts lineage, because every pass starts from a fresh local relation.
+ship it to executors inside each pass's plan (an inline table, a constant
+column, or the Arrow kernel's closure); that also cuts lineage, because every
+pass starts from fresh local data.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,11 +152,15 @@ def codebook_long(cb_df: DataFrame, digits: int | None = 6) -> DataFrame:
     return exploded.select("code_id", "code_label", F.col("dim").cast("int").alias("dim"), w.alias("w"))
 
 
-def codebook_row(spark: SparkSession, cb: Codebook) -> DataFrame:
-    """The codebook as ONE row ``_cb: array<struct<code_id, code_label, w>>``."""
-    check_size(cb.k, cb.dims)
-    elem = T.StructType([T.StructField("code_id", T.LongType()), T.StructField("code_label", T.IntegerType()),
-                         T.StructField("w", T.ArrayType(T.DoubleType()))])
-    schema = T.StructType([T.StructField("_cb", T.ArrayType(elem))])
-    value = [(int(i), int(l), [float(x) for x in w]) for i, l, w in zip(cb.code_id, cb.code_label, cb.w)]
-    return spark.createDataFrame([(value,)], schema)
+def codebook_literal(cb: Codebook) -> Column:
+    """The codebook as ONE constant column ``array<struct<code_id, code_label, w>>``.
+
+    Catalyst folds it into a single literal that every task holds once; no
+    join is needed.  Limited to ``LOCAL_CELLS`` cells (larger codebooks use
+    the Arrow path)."""
+    if cb.k * max(cb.dims, 1) > LOCAL_CELLS:
+        raise CodebookTooLarge(f"codebook {cb.k}x{cb.dims} too large for a plan literal; use method='arrow'")
+    elems = [F.struct(F.lit(int(i)).cast("long").alias("code_id"), F.lit(int(l)).cast("int").alias("code_label"),
+                      F.array(*[F.lit(float(x)) for x in w]).cast("array<double>").alias("w"))
+             for i, l, w in zip(cb.code_id, cb.code_label, cb.w)]
+    return F.array(*elems)

@@ -176,11 +176,10 @@ def split_by_position(df: DataFrame, pct: int, id_col: str = "id", order_by: lis
         return df.withColumn(part_col, F.when(train, F.lit("train")).otherwise(F.lit("test")))
     order = [F.col(c) if isinstance(c, str) else c for c in (order_by or [])] + [F.col(id_col)]
     ranked = with_position(df, order, "_pos")
-    n = ranked.agg(F.count(F.lit(1)).alias("_total"))
-    cut = (F.col("_total") * F.lit(int(pct))).cast("long") / F.lit(100)
-    return (ranked.crossJoin(F.broadcast(n))  # one-row side
-            .withColumn(part_col, F.when(F.col("_pos") <= F.floor(cut), F.lit("train")).otherwise(F.lit("test")))
-            .drop("_pos", "_total"))
+    cut = ranked.count() * int(pct) // 100  # reads the persisted ranked table
+    return (ranked.withColumn(part_col, F.when(F.col("_pos") <= F.lit(cut), F.lit("train"))
+                              .otherwise(F.lit("test")))
+            .drop("_pos"))
 
 
 def split_random(df: DataFrame, pct: float, seed: int, id_col: str = "id", part_col: str = "part",
