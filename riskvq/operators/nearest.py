@@ -7,10 +7,10 @@ Three interchangeable physical paths, all map-only (no shuffle of the data):
               whole-stage codegen.  JVM-only; for small codebooks (K x D up
               to about ``UNROLL_MAX_TERMS``) -- beyond that the generated
               method outgrows what the JIT compiles.
-``expr``      The codebook travels as one broadcast row
-              ``array<struct<code_id, code_label, w>>`` and distances are
-              higher-order functions (interpreted).  Any size; also the path
-              whose arithmetic mirrors SQL list lambdas term for term.
+``expr``      The codebook is one constant column
+              ``array<struct<code_id, code_label, w>>`` (folded into a single
+              literal) and distances are higher-order functions (interpreted).
+              Its arithmetic mirrors SQL list lambdas term for term.
 ``arrow``     ``mapInArrow``: numpy distances on zero-copy Arrow batches;
               fastest for wide vectors and large codebooks.
 
