@@ -24,11 +24,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskvq.operators.aggregates import weighted_sums
-from riskvq.operators.codebook import Codebook, as_codebook
+from riskvq.operators.codebook import Codebook, as_codebook, local_frame
 from riskvq.operators.nearest import two_nearest
 from riskvq.operators.sampling import draw_bags
 from riskvq.session import ensure_checkpoint_dir
@@ -56,14 +58,37 @@ def _fold_sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, e: acc + e)
 
 
+# Pair-norm tables up to this many code pairs are joined by broadcast; larger
+# codebooks compute the norm per row from the two code vectors.
+MAX_PAIRS = 4_000_000
+
+
+def pair_norms(spark, cb: Codebook) -> DataFrame:
+    """``(code_i, code_j, n)`` for every ordered pair of codes with different
+    labels; ``n = |w_i - w_j|`` summed over dimensions in order (the same
+    rounding as the fold over the vectors)."""
+    ii, jj = np.nonzero(cb.code_label[:, None] != cb.code_label[None, :])
+    diff = cb.w[ii] - cb.w[jj]
+    sq = np.add.accumulate(diff * diff, axis=1)[:, -1] if cb.dims else np.zeros(len(ii))
+    rows = list(zip(cb.code_id[ii].tolist(), cb.code_id[jj].tolist(), np.sqrt(sq).tolist()))
+    return local_frame(spark, rows, [("code_i", "bigint"), ("code_j", "bigint"), ("n", "double")])
+
+
+def _with_vectors(df: DataFrame, cb: Codebook) -> DataFrame:
+    """Attach ``w_i``, ``w_j`` (one broadcast relation, joined twice)."""
+    cbw = F.broadcast(cb.to_df(df.sparkSession).select("code_id", "w"))
+    return (df.join(cbw, df.code_i == cbw.code_id).withColumnRenamed("w", "w_i").drop("code_id")
+            .join(cbw, F.col("code_j") == cbw.code_id).withColumnRenamed("w", "w_j").drop("code_id"))
+
+
 def bvq_candidates(df: DataFrame, codebook, features: str = "features", method: str = "auto") -> DataFrame:
-    """Rows whose two nearest codes carry different labels, with both code
-    vectors, ``n = |w_i - w_j|`` and the distance from the bisector ``gap``.
+    """Rows whose two nearest codes carry different labels, with
+    ``n = |w_i - w_j|`` and the distance from the bisector ``gap``.
 
-    The two nearest codes come from the map-only nearest-code operator; the
-    label test runs before anything else, and the two code vectors are
-    fetched by broadcast hash joins against the K-row codebook.  Each vector
-    expression is its own projection so nothing is evaluated twice.
+    The two nearest codes come from the map-only nearest-code operator and
+    the label test runs first.  ``n`` depends only on the pair of codes, so it
+    comes from a broadcast table of pair norms (no per-row vector work);
+    above ``MAX_PAIRS`` pairs it is computed per row from the two vectors.
     """
     cb = as_codebook(codebook)
     spark = df.sparkSession
@@ -71,12 +96,13 @@ def bvq_candidates(df: DataFrame, codebook, features: str = "features", method:
     # pushed into (and multiply) a generated distance expression.
     two = two_nearest(df, cb, method="expr" if method == "expr" else "arrow", features=features)
     cand = two.where(F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j")))
-    cbw = F.broadcast(cb.to_df(spark).select("code_id", "w"))
-    # Both lookups read the same broadcast relation (one exchange, reused).
-    joined = (cand.join(cbw, cand.code_i == cbw.code_id).withColumnRenamed("w", "w_i").drop("code_id")
-              .join(cbw, F.col("code_j") == cbw.code_id).withColumnRenamed("w", "w_j").drop("code_id"))
-    dw = joined.withColumn("dw", F.zip_with("w_i", "w_j", lambda a, b: a - b))
-    nrm = dw.withColumn("n", F.sqrt(_fold_sum(F.zip_with("dw", "dw", lambda a, b: a * b))))
+    if cb.k * cb.k <= MAX_PAIRS:
+        nrm = cand.join(F.broadcast(pair_norms(spark, cb)), ["code_i", "code_j"])
+    else:
+        joined = _with_vectors(cand, cb)
+        dw = joined.withColumn("_dw", F.zip_with("w_i", "w_j", lambda a, b: a - b))
+        nrm = dw.withColumn("n", F.sqrt(_fold_sum(F.zip_with("_dw", "_dw", lambda a, b: a * b)))).drop(
+            "_dw", "w_i", "w_j")
     return nrm.withColumn("gap", (F.col("d2_j") - F.col("d2_i")) / (F.lit(2.0) * F.col("n")))
 
 
@@ -109,6 +135,9 @@ def bvq_contributions(df: DataFrame, codebook, rate: float, delta: float | None
     if target == "sample":
         t = x
     elif target == "projection":
+        # vector work only for the rows inside the window
+        active = _with_vectors(active, as_codebook(codebook))
+        active = active.withColumn("dw", F.zip_with("w_i", "w_j", lambda a, b: a - b))
         active = active.withColumn("_xm", F.zip_with(x, F.zip_with("w_i", "w_j", lambda a, b: (a + b) / F.lit(2.0)),
                                                      lambda a, b: a - b))
         active = active.withColumn("_pc", _fold_sum(F.zip_with("_xm", "dw", lambda a, b: a * b))

@@ -297,3 +297,14 @@ def test_split_by_position_general_order(ev):
     cut = len(rows) * 30 // 100
     got = {r.id: r.part for r in S.split_by_position(ev, 30, order_by=["label"]).collect()}
     assert all(got[i] == ("train" if k < cut else "test") for k, (_, i) in enumerate(rows))
+
+
+def test_bvq_pair_table_and_per_row_norms_agree(emb, monkeypatch):
+    import riskvq.operators.bvq as B
+    cb = Codebook.from_df(S.init_codebook_per_class(emb, {c: 2 for c in range(10)}, 1))
+    for target in ("sample", "projection"):
+        a = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
+        monkeypatch.setattr(B, "MAX_PAIRS", 1)
+        b = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
+        monkeypatch.setattr(B, "MAX_PAIRS", 4_000_000)
+        assert np.array_equal(a.w, b.w) and not np.array_equal(a.w, cb.w)
