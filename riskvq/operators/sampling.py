@@ -8,11 +8,10 @@ exposed too, but they change with the partitioning.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskvq.functions.keys import key_below, seeded_key
+from riskvq.functions.keys import deepest_depth, has_zero_prefix, key_below, seeded_key, zero_digits
 from riskvq.operators.ranking import with_position
 
 
@@ -82,49 +81,41 @@ def class_quota_offsets(per_class: dict[int, int]) -> dict[int, int]:
     return offsets
 
 
-def init_codebook_per_class(df: DataFrame, per_class: dict[int, int], seed: int, id_col: str = "id",
-                            slack_sd: float = 8.0) -> DataFrame:
+def init_codebook_per_class(df: DataFrame, per_class: dict[int, int], seed: int, id_col: str = "id") -> DataFrame:
     """``per_class[c]`` seeded rows of each class become codes (SP6).
 
     Class ``c`` contributes its ``per_class[c]`` rows with the smallest
     ``(md5(seed:id), id)``; ``code_id`` = offset of the class + rank inside the
     class, classes in ascending order.
 
-    Exact without sorting the table: per-class row counts (one aggregate)
-    give a key threshold per class far above the quota (``slack_sd``
-    standard deviations); only rows under it are ranked.  A class with too
-    few rows under its threshold is ranked over all its rows instead.  A hot
-    class costs the same as any other.
+    Exact without sorting the table, in two passes: one aggregate counts the
+    rows of each class by the number of leading zero digits of their key,
+    which fixes per class the narrowest key prefix still holding its quota;
+    the second pass keeps only rows under that prefix (about 16 x quota per
+    class at most, in expectation) and ranks them with a per-class top-n.  A
+    hot class costs the same as any other.
     """
     quotas = {int(k): int(v) for k, v in per_class.items() if int(v) > 0}
     if not quotas:
         return _as_codebook(df.limit(0), F.lit(0))
     offsets = class_quota_offsets(quotas)
-    mine = df.where(F.col("label").isin(list(quotas)))
-    sizes = {r["label"]: r["n"] for r in mine.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fractions = {c: (1.0 if sizes.get(c, 0) == 0 else
-                     min(1.0, (q + slack_sd * q ** 0.5 + 16.0) / sizes[c])) for c, q in quotas.items()}
     key = seeded_key(id_col, seed)
-
-    def below(classes: dict[int, float]) -> Column:
-        cond = None
-        for c, f in classes.items():
-            term = (F.col("label") == F.lit(c)) & key_below(key, f)
-            cond = term if cond is None else cond | term
-        return cond
-
-    cand = mine.where(below(fractions)).persist(StorageLevel.MEMORY_AND_DISK)
-    got = {r["label"]: r["n"] for r in cand.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    short = [c for c in quotas if got.get(c, 0) < min(quotas[c], sizes.get(c, 0))]
-    if short:
-        cand = cand.where(~F.col("label").isin(short)).unionByName(mine.where(F.col("label").isin(short)))
+    mine = df.where(F.col("label").isin(list(quotas)))
+    hist: dict[int, dict[int, int]] = {}
+    for r in mine.groupBy("label", zero_digits(key).alias("z")).agg(F.count(F.lit(1)).alias("n")).collect():
+        hist.setdefault(r["label"], {})[r["z"]] = r["n"]
+    keep = None
+    for c, q in quotas.items():
+        depth = deepest_depth(hist.get(c, {}), q)
+        term = (F.col("label") == F.lit(c)) & has_zero_prefix(key, depth)
+        keep = term if keep is None else keep | term
     quota = offset = None
     for label in sorted(quotas):
         cond = F.col("label") == F.lit(label)
         quota = F.when(cond, F.lit(quotas[label])) if quota is None else quota.when(cond, F.lit(quotas[label]))
         offset = F.when(cond, F.lit(offsets[label])) if offset is None else offset.when(cond, F.lit(offsets[label]))
     w = Window.partitionBy("label").orderBy(key, F.col(id_col))
-    ranked = (cand.withColumn("_rn", F.row_number().over(w))
+    ranked = (mine.where(keep).withColumn("_rn", F.row_number().over(w))
               .where(F.col("_rn") <= F.lit(max(quotas.values())))
               .where(F.col("_rn") <= quota))
     return _as_codebook(ranked, offset + F.col("_rn"))
@@ -217,7 +208,7 @@ MAX_TOP_ROWS = 1_000_000
 
 
 def draw_bags(df: DataFrame, n_bags: int, bag_size: int, seed: int, id_col: str = "id",
-              first_bag: int = 1, slack_sd: float = 8.0) -> DataFrame:
+              first_bag: int = 1) -> DataFrame:
     """``n_bags`` bags of ``bag_size`` rows: mini-batches of one seeded
     shuffle (SP10).
 
@@ -227,30 +218,23 @@ def draw_bags(df: DataFrame, n_bags: int, bag_size: int, seed: int, id_col: str
     repeat a row (when ``bag_size <= rows``) and consecutive bags are
     disjoint until the table is used up.
 
-    One md5 per row, no sort of the table.  Only the first
-    ``total = n_bags * bag_size`` positions matter: with ``N`` rows (one
-    count), rows whose key lies above a threshold sized for ``total`` plus
-    ``slack_sd`` standard deviations cannot be among them and are dropped in
-    the scan; if fewer than ``total`` rows pass, all rows are used instead
-    (exact either way).  The survivors (about ``total`` rows) are ranked by
-    one bounded top-n task up to ``MAX_TOP_ROWS``, beyond that by the
-    distributed position operator.
+    One md5 per row, no sort of the table, two passes.  Only the first
+    ``total = n_bags * bag_size`` positions matter: one aggregate counts rows
+    by the number of leading zero digits of their key, which fixes the
+    narrowest key prefix still holding ``total`` rows (exact counts, no
+    verification needed); the second pass keeps only rows under it (at most
+    about 16 x ``total`` in expectation) and ranks them by one bounded top-n
+    up to ``MAX_TOP_ROWS``, beyond that by the distributed position operator.
     """
     total = int(n_bags) * int(bag_size)
     key = seeded_key(id_col, seed)
     keyed = df.withColumn("_o", F.struct(key.alias("k"), F.col(id_col).alias("i")))
-    n = df.count()
+    hist = {r["z"]: r["n"] for r in
+            df.groupBy(zero_digits(key).alias("z")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(hist.values())
     if n == 0 or total == 0:
         return df.select(*df.columns, F.lit(0).alias("bag"), F.lit(0).cast("long").alias("pos")).limit(0)
-    cand = keyed
-    if total < n:
-        fraction = min(1.0, (total + slack_sd * total ** 0.5 + 16.0) / n)
-        if fraction < 1.0:
-            filtered = keyed.where(key_below(key, fraction)).persist(StorageLevel.MEMORY_AND_DISK)
-            if filtered.count() >= total:
-                cand = filtered
-            else:
-                filtered.unpersist()
+    cand = keyed.where(has_zero_prefix(key, deepest_depth(hist, min(total, n))))
     if total <= MAX_TOP_ROWS:
         top = cand.orderBy("_o").limit(total)
         # The window sees at most ``total`` rows (bounded by the parameters).

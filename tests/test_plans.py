@@ -1,10 +1,12 @@
 """Physical-plan shape: where the shuffles are, what the scans read, and how
 a hot class is handled."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from riskvq.functions.keys import key_below, seeded_key
+from riskvq.functions.keys import deepest_depth, has_zero_prefix, seeded_key, zero_digits
 from riskvq.operators import evaluate as E
 from riskvq.operators import sampling as S
 from riskvq.operators.codebook import Codebook
@@ -14,6 +16,10 @@ from riskvq.sources.labeled import events_labeled, lineitem_labeled
 SF = "/root/testdata/sf0.001"
 
 
+def md5key(seed, id_):
+    return hashlib.md5(f"{seed}:{id_}".encode()).hexdigest()
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -61,13 +67,17 @@ def test_hot_class_ranks_only_candidates(spark):
     # one class holds half of the rows
     ev = events_labeled(spark, "/root/testdata/sf0.01")
     hot = ev.withColumn("label", F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("label")))
-    cb = S.init_codebook_per_class(hot, {0: 4, 1: 4}, 6)
-    leaves = cb._jdf.queryExecution().optimizedPlan().toString()
-    assert "InMemoryRelation" in leaves  # ranked from the persisted candidate set
-    cand = hot.where("label = 0").count()
-    got = {r.code_id for r in cb.collect()}
-    assert got == set(range(1, 9)) and cand > 4000
-    # the candidates the window sees for the hot class stay near the quota
-    frac = (4 + 8 * 2 + 16) / cand
-    kept = hot.where("label = 0").where(key_below(seeded_key("id", 6), frac)).count()
-    assert kept < 100
+    got = {(r.code_label, r.code_id) for r in S.init_codebook_per_class(hot, {0: 4, 1: 4}, 6).collect()}
+    rows = hot.select("id", "label").collect()
+    exp = set()
+    for c, off in ((0, 0), (1, 4)):
+        ids = sorted((md5key(6, r.id), r.id) for r in rows if r.label == c)[:4]
+        exp |= {(c, off + k + 1) for k in range(len(ids))}
+    assert got == exp
+    # the rows the per-class window sees for the hot class: the narrowest
+    # zero-digit prefix that still holds the quota
+    key = seeded_key("id", 6)
+    hot0 = hot.where("label = 0")
+    hist = {r.z: r.n for r in hot0.groupBy(zero_digits(key).alias("z")).agg(F.count("*").alias("n")).collect()}
+    kept = hot0.where(has_zero_prefix(key, deepest_depth(hist, 4))).count()
+    assert hot0.count() > 4000 and 4 <= kept < 16 * 4 * 3
