@@ -47,29 +47,3 @@ def key_below(key: Column, fraction: float) -> Column:
 def key_uniform(key: Column) -> Column:
     """Uniform double in [0, 1) from the first 32 bits of the key."""
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") / F.lit(TWO_POW_32)
-
-
-def zero_digits(key: Column) -> Column:
-    """Number of leading ``0`` hex digits of a key (0..32).
-
-    A row has at least ``j`` of them exactly when its key is below
-    ``16**-j``, so one count per digit depth gives exact counts below every
-    threshold ``16**-j`` in a single aggregate."""
-    return (F.length(key) - F.length(F.ltrim(key, F.lit("0")))).cast("int")
-
-
-def deepest_depth(counts_by_depth: dict[int, int], need: int) -> int:
-    """Largest ``j`` with at least ``need`` rows having ``>= j`` zero digits
-    (0 when ``need`` exceeds every deeper count)."""
-    best, total = 0, 0
-    for depth in sorted(counts_by_depth, reverse=True):
-        total += counts_by_depth[depth]
-        if total >= need:
-            best = depth
-            break
-    return best
-
-
-def has_zero_prefix(key: Column, depth: int) -> Column:
-    """Key starts with ``depth`` zero digits (always true for depth 0)."""
-    return F.lit(True) if depth <= 0 else F.substring(key, 1, depth) == F.lit("0" * depth)
