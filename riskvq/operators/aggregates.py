@@ -32,24 +32,53 @@ def vec_avg_long(df: DataFrame, group_col: str, features: str = "features") -> D
             .groupBy(group_col, F.col("dim").cast("int").alias("dim")).agg(F.avg("x").alias("avg")))
 
 
+# Up to this width the per-code sums are one aggregate with a column per
+# dimension; wider vectors are aggregated by (key, dimension).
+UNROLL_MAX_DIMS = 256
+
+
 def weighted_sums(df: DataFrame, key_col: str, dims: int, weight: Column | None = None,
                   vec: Column | None = None, max_keys: int = 100_000) -> dict[int, tuple[float, float, np.ndarray]]:
     """Per key: ``(count, sum(weight), sum(weight * vec))`` collected to the driver.
 
-    The result has one row per key (a code id), so at most ``max_keys``
-    rows of ``dims + 2`` numbers come back.
+    At most ``max_keys`` keys (code ids) come back, each with ``dims`` sums:
+    bounded by the codebook size check.  Both forms aggregate map-side
+    first, so a hot code sends one partial row (or ``dims``) per task.
     """
     v = vec if vec is not None else F.col("features")
     wt = weight if weight is not None else F.lit(1.0)
-    aggs = [F.count(F.lit(1)).alias("_n"), F.sum(wt).alias("_s")]
-    aggs += [F.sum(wt * F.get(v, d)).alias(f"_v{d}") for d in range(dims)]
-    rows = df.groupBy(key_col).agg(*aggs).take(max_keys + 2)
+    base = [F.count(F.lit(1)).alias("_n"), F.sum(wt).alias("_s")]
+    if dims <= UNROLL_MAX_DIMS:
+        aggs = base + [F.sum(wt * F.get(v, d)).alias(f"_v{d}") for d in range(dims)]
+        rows = df.groupBy(key_col).agg(*aggs).take(max_keys + 2)
+        per_dim = None
+    else:
+        # position 0 is a constant 1.0: its count and weighted sum are the
+        # row count and the weight sum, so one aggregate serves all
+        staged = df.select(F.col(key_col).alias("_k"), wt.alias("_w"),
+                           F.concat(F.array(F.lit(1.0)), v.cast("array<double>")).alias("_x"))
+        exploded = staged.select("_k", "_w", F.posexplode("_x").alias("_d", "_e"))
+        sums = exploded.groupBy("_k", "_d").agg(F.count(F.lit(1)).alias("_n"),
+                                                F.sum(F.col("_w") * F.col("_e")).alias("_v"))
+        per_dim, rows = {}, []
+        for r in sums.collect():
+            if r["_k"] is None:
+                continue
+            if r["_d"] == 0:
+                rows.append({key_col: r["_k"], "_n": r["_n"], "_s": r["_v"]})
+            elif r["_d"] <= dims:
+                per_dim.setdefault(int(r["_k"]), np.zeros(dims))[r["_d"] - 1] = r["_v"] or 0.0
     if sum(r[key_col] is not None for r in rows) > max_keys:
         raise ValueError("more groups than codes")
     out = {}
     for r in rows:
         if r[key_col] is None:
             continue
-        vec_sum = np.array([r[f"_v{d}"] if r[f"_v{d}"] is not None else 0.0 for d in range(dims)], dtype=np.float64)
-        out[int(r[key_col])] = (int(r["_n"]), float(r["_s"] or 0.0), vec_sum)
+        key = int(r[key_col])
+        if per_dim is None:
+            vec_sum = np.array([r[f"_v{d}"] if r[f"_v{d}"] is not None else 0.0 for d in range(dims)],
+                               dtype=np.float64)
+        else:
+            vec_sum = per_dim.get(key, np.zeros(dims))
+        out[key] = (int(r["_n"]), float(r["_s"] or 0.0), vec_sum)
     return out

@@ -308,3 +308,15 @@ def test_bvq_pair_table_and_per_row_norms_agree(emb, monkeypatch):
         b = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
         monkeypatch.setattr(B, "MAX_PAIRS", 4_000_000)
         assert np.array_equal(a.w, b.w) and not np.array_equal(a.w, cb.w)
+
+
+def test_weighted_sums_wide_form_matches_unrolled(emb, monkeypatch):
+    import riskvq.operators.aggregates as A
+    cb = Codebook.from_df(S.init_codebook_per_class(emb, {c: 2 for c in range(10)}, 1))
+    a = som_step(emb, cb, 0.3)
+    monkeypatch.setattr(A, "UNROLL_MAX_DIMS", 8)
+    b = som_step(emb, cb, 0.3)
+    c = bvq_step(emb, cb, 0.05, delta=2.0)
+    monkeypatch.setattr(A, "UNROLL_MAX_DIMS", 256)
+    d = bvq_step(emb, cb, 0.05, delta=2.0)
+    assert np.allclose(a.w, b.w, rtol=0, atol=1e-12) and np.allclose(c.w, d.w, rtol=0, atol=1e-12)
