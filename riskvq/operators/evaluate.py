@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskvq.functions.vectors import vec_dist
+from riskvq.operators.aggregates import UNROLL_MAX_DIMS
 from riskvq.operators.codebook import local_frame
 
 MAX_COST_CELLS = 1_000_000
@@ -93,8 +94,18 @@ def class_profile(df: DataFrame, dims: int, label_col: str = "label") -> DataFra
     """Rows per class and per-feature mean, population std, min and max (E7).
 
     Long form ``(label, dim, n, mean, std, min, max)``: one hash aggregate with
-    ``5 x dims`` partial aggregates, so a hot class costs nothing extra.
+    ``4 x dims`` partial aggregates (by (class, dimension) above
+    ``UNROLL_MAX_DIMS``), so a hot class costs nothing extra.
     """
+    if dims > UNROLL_MAX_DIMS:
+        per = (df.select(F.col(label_col).alias("label"), F.posexplode("features").alias("dim", "x"))
+               .where(F.col("dim") < F.lit(dims))
+               .groupBy("label", F.col("dim").cast("int").alias("dim"))
+               .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"),
+                    F.max("x").alias("max")))
+        counts = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+        # one row per class: a broadcast side bounded by the class count
+        return per.join(F.broadcast(counts), "label").select("label", "dim", "n", "mean", "std", "min", "max")
     x = F.col("features")
     aggs = [F.count(F.lit(1)).alias("n")]
     for d in range(dims):

@@ -320,3 +320,14 @@ def test_weighted_sums_wide_form_matches_unrolled(emb, monkeypatch):
     monkeypatch.setattr(A, "UNROLL_MAX_DIMS", 256)
     d = bvq_step(emb, cb, 0.05, delta=2.0)
     assert np.allclose(a.w, b.w, rtol=0, atol=1e-12) and np.allclose(c.w, d.w, rtol=0, atol=1e-12)
+
+
+def test_class_profile_wide_form_matches(emb, monkeypatch):
+    import riskvq.operators.evaluate as EV
+    a = {(r.label, r.dim): r for r in E.class_profile(emb, 64).collect()}
+    monkeypatch.setattr(EV, "UNROLL_MAX_DIMS", 8)
+    b = {(r.label, r.dim): r for r in E.class_profile(emb, 64).collect()}
+    assert a.keys() == b.keys() and len(a) == 640
+    for k in a:
+        assert a[k].n == b[k].n and np.allclose([a[k].mean, a[k].std, a[k].min, a[k].max],
+                                                [b[k].mean, b[k].std, b[k].min, b[k].max], atol=1e-12)
