@@ -35,6 +35,9 @@ from riskvq.operators.codebook import Codebook, as_codebook, codebook_literal
 # multiply) a generated distance expression.  ``auto`` therefore means Arrow;
 # the two JVM-only paths stay available by name.
 UNROLL_MAX_TERMS = 64
+# From this many distance terms per row (K x D) the Arrow kernel ranks with a
+# BLAS product plus exact re-ranking of a few candidates.
+GEMM_MIN_TERMS = 4_096
 
 _OUT1 = ["code_id", "code_label", "d2"]
 _OUT2 = ["code_i", "label_i", "d2_i", "code_j", "label_j", "d2_j"]
@@ -119,19 +122,60 @@ def _field(s: Column, name: str, fn=None) -> Column:
 # ---------------------------------------------------------------------------
 
 def _nearest_kernel(ids: np.ndarray, labels: np.ndarray, w: np.ndarray, k: int, within_class: bool,
-                    features: str, names: list[str]):
+                    features: str, names: list[str], gemm_min_terms: int):
     """The per-batch function of the Arrow path.
 
     Everything it needs is nested here, so it is shipped to the Python
     workers by value: executors need numpy and pyarrow, not this package.
     """
-    dims = w.shape[1]
-    chunk = max(1, 2_000_000 // max(1, w.shape[0] * max(dims, 1)))
+    dims, ncode = w.shape[1], w.shape[0]
+    use_gemm = ncode * dims >= gemm_min_terms and ncode > k
+    chunk = max(1, 2_000_000 // max(1, (ncode if use_gemm else ncode * max(dims, 1))))
+    ww = np.einsum("kd,kd->k", w, w)
+    # bound on the rounding error of |x|^2 - 2 x.w + |w|^2 (generous)
+    err = 64.0 * max(dims, 1) * np.finfo(np.float64).eps
 
     def distances(x, cw):
         diff = x[:, None, :] - cw[None, :, :]
         return np.einsum("nkd,nkd->nk", diff, diff)
 
+    def exact_pick(x, lr):
+        """k nearest by exact distances to every code; first index on ties."""
+        dd = distances(x, w)
+        if lr is not None:
+            dd = np.where(labels[None, :] != lr[:, None], np.inf, dd)
+        rows = np.arange(dd.shape[0])
+        idx = np.zeros((dd.shape[0], k), np.int64)
+        dist = np.full((dd.shape[0], k), np.inf)
+        for j in range(min(k, dd.shape[1])):
+            i = np.argmin(dd, axis=1)
+            idx[:, j], dist[:, j] = i, dd[rows, i]
+            dd[rows, i] = np.inf
+        return idx, dist
+
+    def gemm_pick(x, lr):
+        """Large codebooks: BLAS distances pick k + 4 candidates, their exact
+        distances rank them, and rows where a non-candidate could tie or win
+        (within the rounding bound) are redone exactly."""
+        xx = np.einsum("nd,nd->n", x, x)
+        approx = xx[:, None] - 2.0 * (x @ w.T) + ww[None, :]
+        if lr is not None:
+            approx = np.where(labels[None, :] != lr[:, None], np.inf, approx)
+        m = min(k + 4, ncode)
+        cand = np.argpartition(approx, m - 1, axis=1)[:, :m]
+        diff = x[:, None, :] - w[cand]
+        ex = np.einsum("nmd,nmd->nm", diff, diff)
+        if lr is not None:
+            ex = np.where(labels[cand] != lr[:, None], np.inf, ex)
+        order = np.lexsort((cand, ex), axis=1)[:, :k]
+        idx = np.take_along_axis(cand, order, axis=1)
+        dist = np.take_along_axis(ex, order, axis=1)
+        edge = np.take_along_axis(approx, cand, axis=1).max(axis=1)
+        unsafe = (m < ncode) & (edge - err * (xx + ww.max()) <= dist[:, -1])
+        if unsafe.any():
+            idx[unsafe], dist[unsafe] = exact_pick(x[unsafe], None if lr is None else lr[unsafe])
+        return idx, dist
+
     def matrix(col):
         """(n x dims) float64 matrix of an Arrow list column and a validity
         mask (row present, right width, no NULL element); zero-copy when
@@ -163,19 +207,13 @@ def _nearest_kernel(ids: np.ndarray, labels: np.ndarray, w: np.ndarray, k: int,
             x, ok = matrix(rb.column(features))
             lab_row = rb.column("label").to_numpy(zero_copy_only=False) if within_class else None
             picks = [(np.zeros(n, np.int64), np.full(n, np.inf)) for _ in range(k)]
+            pick = gemm_pick if use_gemm else exact_pick
             for s in range(0, n, chunk):
-                dd = distances(x[s:s + chunk], w)
-                if within_class:
-                    lr = np.asarray(lab_row[s:s + chunk], dtype=np.float64)
-                    dd = np.where(labels[None, :] != lr[:, None], np.inf, dd)
-                rows = np.arange(dd.shape[0])
+                lr = None if lab_row is None else np.asarray(lab_row[s:s + chunk], dtype=np.float64)
+                idx, dist = pick(x[s:s + chunk], lr)
                 for j in range(k):
-                    if dd.shape[1] <= j:
-                        break
-                    idx = np.argmin(dd, axis=1)  # first minimum: lower code_id on ties
-                    picks[j][0][s:s + chunk] = idx
-                    picks[j][1][s:s + chunk] = dd[rows, idx]
-                    dd[rows, idx] = np.inf
+                    picks[j][0][s:s + chunk] = idx[:, j]
+                    picks[j][1][s:s + chunk] = dist[:, j]
             arrays = list(rb.columns)
             for idx, dist in picks:
                 valid = ok & np.isfinite(dist)
@@ -193,7 +231,7 @@ def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, feat
     types = [T.LongType(), T.IntegerType(), T.DoubleType()] * (1 if k == 1 else 2)
     out_schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in zip(names, types)])
     kernel = _nearest_kernel(cb.code_id.copy(), cb.code_label.copy(), cb.w.copy(), k, within_class, features,
-                             list(names))
+                             list(names), GEMM_MIN_TERMS)
     return df.mapInArrow(kernel, out_schema)
 
 

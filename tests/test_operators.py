@@ -331,3 +331,21 @@ def test_class_profile_wide_form_matches(emb, monkeypatch):
     for k in a:
         assert a[k].n == b[k].n and np.allclose([a[k].mean, a[k].std, a[k].min, a[k].max],
                                                 [b[k].mean, b[k].std, b[k].min, b[k].max], atol=1e-12)
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_arrow_gemm_ranking_matches_exact(emb, monkeypatch, within):
+    import riskvq.operators.nearest as NN
+    base = Codebook.from_df(S.init_codebook_per_class(emb, {c: 3 for c in range(10)}, 4))
+    # duplicate codes create exact ties that must still go to the lower code_id
+    w = np.vstack([base.w, base.w[:5]])
+    cb = Codebook(np.arange(1, len(w) + 1), np.concatenate([base.code_label, base.code_label[:5]]), w)
+    exact_one = assign_nearest(emb, cb, within_class=within, method="arrow").toPandas().sort_values("id")
+    exact_two = two_nearest(emb, cb, method="arrow").toPandas().sort_values("id")
+    monkeypatch.setattr(NN, "GEMM_MIN_TERMS", 1)
+    gemm_one = assign_nearest(emb, cb, within_class=within, method="arrow").toPandas().sort_values("id")
+    gemm_two = two_nearest(emb, cb, method="arrow").toPandas().sort_values("id")
+    assert (exact_one.code_id.to_numpy() == gemm_one.code_id.to_numpy()).all()
+    assert np.allclose(exact_one.d2.to_numpy(), gemm_one.d2.to_numpy(), rtol=1e-12)
+    for c in ("code_i", "code_j"):
+        assert (exact_two[c].to_numpy() == gemm_two[c].to_numpy()).all()
