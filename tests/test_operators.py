@@ -349,3 +349,19 @@ def test_arrow_gemm_ranking_matches_exact(emb, monkeypatch, within):
     assert np.allclose(exact_one.d2.to_numpy(), gemm_one.d2.to_numpy(), rtol=1e-12)
     for c in ("code_i", "code_j"):
         assert (exact_two[c].to_numpy() == gemm_two[c].to_numpy()).all()
+
+
+@pytest.mark.parametrize("method", ["arrow", "unrolled", "expr"])
+def test_null_feature_element_scores_null(spark, method):
+    cb = Codebook(np.array([1, 2]), np.array([0, 1]), np.array([[0.0, 0.0], [1.0, 1.0]]))
+    df = spark.createDataFrame([(1, 0, [0.1, None]), (2, 1, None), (3, 1, [0.9, 1.0])], LABELED_SCHEMA)
+    got = {r.id: (r.code_id, r.d2) for r in assign_nearest(df, cb, method=method).collect()}
+    assert got[1] == (None, None) and got[2] == (None, None) and got[3][0] == 2
+
+
+def test_one_class_table_leaves_bvq_codebook_unchanged(emb):
+    one = emb.where("label = 3")
+    cb = Codebook.from_df(S.init_codebook_per_class(one, {3: 4}, 2))
+    assert np.array_equal(bvq_step(one, cb, 0.1, delta=10.0).w, cb.w)
+    out, _ = bvq_train(one, cb, epochs=1, rate=0.1, delta=10.0, n_bags=2, bag_size=10, seed=1)
+    assert np.array_equal(out.w, cb.w)
