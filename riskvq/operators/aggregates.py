@@ -12,10 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Up to this width per-group vector sums are one aggregate with a column per
+# dimension; wider vectors are aggregated by (key, dimension).
+UNROLL_MAX_DIMS = 256
+
+
 def vec_avg(df: DataFrame, group_col: str, features: str = "features", dims: int | None = None) -> DataFrame:
     """Element-wise mean per group: ``(group, avg array<double>, n)``."""
     x = F.col(features)
-    if dims is not None:
+    if dims is not None and dims <= UNROLL_MAX_DIMS:
         agg = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"),
                                         *[F.avg(x[d]).alias(f"_m{d}") for d in range(dims)])
         return agg.select(group_col, F.array(*[F.col(f"_m{d}") for d in range(dims)]).alias("avg"), "n")
@@ -32,11 +37,6 @@ def vec_avg_long(df: DataFrame, group_col: str, features: str = "features") -> D
             .groupBy(group_col, F.col("dim").cast("int").alias("dim")).agg(F.avg("x").alias("avg")))
 
 
-# Up to this width the per-code sums are one aggregate with a column per
-# dimension; wider vectors are aggregated by (key, dimension).
-UNROLL_MAX_DIMS = 256
-
-
 def weighted_sums(df: DataFrame, key_col: str, dims: int, weight: Column | None = None,
                   vec: Column | None = None, max_keys: int = 100_000) -> dict[int, tuple[float, float, np.ndarray]]:
     """Per key: ``(count, sum(weight), sum(weight * vec))`` collected to the driver.

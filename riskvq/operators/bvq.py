@@ -58,6 +58,11 @@ def _fold_sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, e: acc + e)
 
 
+# Cost matrices up to this many cells are a literal map in the plan; larger
+# ones are joined by broadcast.
+MAP_COST_CELLS = 1_024
+MAX_COST_CELLS = 1_000_000
+
 # Pair-norm tables up to this many code pairs are joined by broadcast; larger
 # codebooks compute the norm per row from the two code vectors.
 MAX_PAIRS = 4_000_000
@@ -128,9 +133,13 @@ def bvq_contributions(df: DataFrame, codebook, rate: float, delta: float | None
                       window_half_width: float | None = None, cost: dict | None = None,
                       target: str = "sample", features: str = "features", method: str = "auto") -> DataFrame:
     """Two rows per active sample: ``(code_id, coef, t)`` (M5 before the sum)."""
+    if cost is not None and len(cost) > MAX_COST_CELLS:
+        raise ValueError("cost matrix too large to broadcast")
     active = bvq_window(df, codebook, delta, window_half_width, features, method)
     u = F.col("label")
-    g = F.lit(rate) * (_cost_lookup(cost, u, F.col("label_j")) - _cost_lookup(cost, u, F.col("label_i"))) / F.col("n")
+    if cost is None or len(cost) <= MAP_COST_CELLS:
+        g = (F.lit(rate) * (_cost_lookup(cost, u, F.col("label_j")) - _cost_lookup(cost, u, F.col("label_i")))
+             / F.col("n"))
     x = F.col(features)
     if target == "sample":
         t = x
@@ -145,6 +154,18 @@ def bvq_contributions(df: DataFrame, codebook, rate: float, delta: float | None
         t = F.zip_with(x, F.col("dw"), lambda a, b: a - F.col("_pc") * b)
     else:
         raise ValueError(f"unknown target {target!r}")
+    if cost is not None and len(cost) > MAP_COST_CELLS:
+        # many classes: look the two costs up by broadcast joins instead of a literal map
+        table = F.broadcast(local_frame(df.sparkSession, [(int(a), int(p), float(c)) for (a, p), c in cost.items()],
+                                        [("_a", "int"), ("_p", "int"), ("_c", "double")]))
+        active = (active.join(table.withColumnRenamed("_c", "_bi"),
+                              (F.col("label") == F.col("_a")) & (F.col("label_i") == F.col("_p")), "left")
+                  .drop("_a", "_p")
+                  .join(table.withColumnRenamed("_c", "_bj"),
+                        (F.col("label") == F.col("_a")) & (F.col("label_j") == F.col("_p")), "left")
+                  .drop("_a", "_p"))
+        g = (F.lit(rate) * (F.coalesce(F.col("_bj"), F.lit(0.0)) - F.coalesce(F.col("_bi"), F.lit(0.0)))
+             / F.col("n"))
     act = active.select(F.col("code_i"), F.col("code_j"), g.alias("g"), t.alias("t")).where(F.col("g") != 0)
     pair = F.explode(F.array(F.struct(F.col("code_i").alias("code_id"), (-F.col("g")).alias("coef")),
                              F.struct(F.col("code_j").alias("code_id"), F.col("g").alias("coef"))))

@@ -365,3 +365,21 @@ def test_one_class_table_leaves_bvq_codebook_unchanged(emb):
     assert np.array_equal(bvq_step(one, cb, 0.1, delta=10.0).w, cb.w)
     out, _ = bvq_train(one, cb, epochs=1, rate=0.1, delta=10.0, n_bags=2, bag_size=10, seed=1)
     assert np.array_equal(out.w, cb.w)
+
+
+def test_bvq_cost_map_and_join_agree(emb, monkeypatch):
+    import riskvq.operators.bvq as B
+    cb = Codebook.from_df(S.init_codebook_per_class(emb, {c: 2 for c in range(10)}, 1))
+    cost = {(a, p): float(abs(a - p)) + (0.5 if a == 3 else 0.0) for a in range(10) for p in range(10) if a != p}
+    a = bvq_step(emb, cb, 0.05, delta=2.0, cost=cost)
+    monkeypatch.setattr(B, "MAP_COST_CELLS", 1)
+    b = bvq_step(emb, cb, 0.05, delta=2.0, cost=cost)
+    assert np.array_equal(a.w, b.w) and not np.array_equal(a.w, cb.w)
+
+
+def test_vec_avg_forms_agree(emb, monkeypatch):
+    import riskvq.operators.aggregates as A
+    a = {r.label: r.avg for r in A.vec_avg(emb, "label", dims=64).collect()}
+    monkeypatch.setattr(A, "UNROLL_MAX_DIMS", 8)
+    b = {r.label: r.avg for r in A.vec_avg(emb, "label", dims=64).collect()}
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
