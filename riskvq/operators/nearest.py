@@ -226,9 +226,17 @@ def _nearest_kernel(ids: np.ndarray, labels: np.ndarray, w: np.ndarray, k: int,
 
 
 def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, features: str) -> DataFrame:
-    """``mapInArrow``: numpy distances per Arrow batch, ties to the lower index."""
-    names = _OUT1 if k == 1 else _OUT2
-    types = [T.LongType(), T.IntegerType(), T.DoubleType()] * (1 if k == 1 else 2)
+    """``mapInArrow``: numpy distances per Arrow batch, ties to the lower index.
+
+    Output columns: ``code_id, code_label, d2`` (k=1), the ``_i``/``_j`` pair
+    (k=2), or ``_c<r>, _l<r>, _d<r>`` for ranks ``r = 0..k-1`` (k>2)."""
+    if k == 1:
+        names = list(_OUT1)
+    elif k == 2:
+        names = list(_OUT2)
+    else:
+        names = [n for r in range(k) for n in (f"_c{r}", f"_l{r}", f"_d{r}")]
+    types = [T.LongType(), T.IntegerType(), T.DoubleType()] * k
     out_schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in zip(names, types)])
     kernel = _nearest_kernel(cb.code_id.copy(), cb.code_label.copy(), cb.w.copy(), k, within_class, features,
                              list(names), GEMM_MIN_TERMS)
@@ -263,7 +271,13 @@ def k_nearest_codes(df: DataFrame, codebook, k: int = 2, method: str = "auto",
     """Add ``nearest``: the ``k`` closest codes as
     ``array<struct<d2, code_id, code_label>>``, ascending ``(d2, code_id)`` (T3)."""
     cb = as_codebook(codebook)
-    m = choose_method(cb, method)
+    m = choose_method(cb, method, k=k)
+    if m == "arrow" and k > 2:
+        flat = _arrow_nearest(df, cb, k, False, features)
+        ranks = [F.when(F.col(f"_c{r}").isNotNull(),
+                        F.struct(F.col(f"_d{r}").alias("d2"), F.col(f"_c{r}").alias("code_id"),
+                                 F.col(f"_l{r}").alias("code_label"))) for r in range(k)]
+        return flat.select(*df.columns, F.array_compact(F.array(*ranks)).alias("nearest"))
     staged = _structs_frame(df, cb, "expr", False, features, lambda a: F.slice(F.sort_array(a), 1, k))
     drop_miss = F.transform(F.col("_p"), lambda e: F.struct(e.d2.alias("d2"), e.code_id.alias("code_id"),
                                                              e.code_label.alias("code_label")))

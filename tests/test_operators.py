@@ -383,3 +383,12 @@ def test_vec_avg_forms_agree(emb, monkeypatch):
     monkeypatch.setattr(A, "UNROLL_MAX_DIMS", 8)
     b = {r.label: r.avg for r in A.vec_avg(emb, "label", dims=64).collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
+
+
+def test_k_nearest_arrow_matches_expression_path(emb):
+    from riskvq.operators.nearest import k_nearest_codes
+    cb = Codebook.from_df(S.init_codebook_per_class(emb, {c: 2 for c in range(10)}, 1))
+    a = {r.id: [(n.code_id, n.code_label) for n in r.nearest] for r in k_nearest_codes(emb, cb, 4).collect()}
+    b = {r.id: [(n.code_id, n.code_label) for n in r.nearest]
+         for r in k_nearest_codes(emb, cb, 4, method="expr").collect()}
+    assert a == b and all(len(v) == 4 for v in a.values())
