@@ -202,8 +202,9 @@ def bvq_train(train: DataFrame, codebook, epochs: int, rate: float, delta: float
               features: str = "features", method: str = "auto") -> tuple[Codebook, BvqHistory]:
     """``epochs`` x ``n_bags`` BVQ steps, codebook chained bag to bag (M6).
 
-    With bags, all ``epochs * n_bags`` bags are drawn in ONE pass over the
-    training table and written to the session's checkpoint folder (a table
+    With bags, all ``epochs * n_bags`` bags are drawn once (a count and one
+    keyed pass over the training table) and written to the session's
+    checkpoint folder (a table
     of at most ``epochs * n_bags * bag_size`` rows), so later steps never
     rescan the training data and the lineage stays one level deep.  Without
     bags every epoch is one step over the whole training table.
