@@ -272,11 +272,12 @@ def k_nearest_codes(df: DataFrame, codebook, k: int = 2, method: str = "auto",
     ``array<struct<d2, code_id, code_label>>``, ascending ``(d2, code_id)`` (T3)."""
     cb = as_codebook(codebook)
     m = choose_method(cb, method, k=k)
-    if m == "arrow" and k > 2:
+    if m == "arrow":
         flat = _arrow_nearest(df, cb, k, False, features)
-        ranks = [F.when(F.col(f"_c{r}").isNotNull(),
-                        F.struct(F.col(f"_d{r}").alias("d2"), F.col(f"_c{r}").alias("code_id"),
-                                 F.col(f"_l{r}").alias("code_label"))) for r in range(k)]
+        cols = flat.columns[len(df.columns):]
+        ranks = [F.when(F.col(c).isNotNull(), F.struct(F.col(d).alias("d2"), F.col(c).alias("code_id"),
+                                                       F.col(lab).alias("code_label")))
+                 for c, lab, d in zip(cols[0::3], cols[1::3], cols[2::3])]
         return flat.select(*df.columns, F.array_compact(F.array(*ranks)).alias("nearest"))
     staged = _structs_frame(df, cb, "expr", False, features, lambda a: F.slice(F.sort_array(a), 1, k))
     drop_miss = F.transform(F.col("_p"), lambda e: F.struct(e.d2.alias("d2"), e.code_id.alias("code_id"),

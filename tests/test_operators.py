@@ -388,7 +388,8 @@ def test_vec_avg_forms_agree(emb, monkeypatch):
 def test_k_nearest_arrow_matches_expression_path(emb):
     from riskvq.operators.nearest import k_nearest_codes
     cb = Codebook.from_df(S.init_codebook_per_class(emb, {c: 2 for c in range(10)}, 1))
-    a = {r.id: [(n.code_id, n.code_label) for n in r.nearest] for r in k_nearest_codes(emb, cb, 4).collect()}
-    b = {r.id: [(n.code_id, n.code_label) for n in r.nearest]
-         for r in k_nearest_codes(emb, cb, 4, method="expr").collect()}
-    assert a == b and all(len(v) == 4 for v in a.values())
+    for k in (1, 2, 4):
+        a = {r.id: [(n.code_id, n.code_label) for n in r.nearest] for r in k_nearest_codes(emb, cb, k).collect()}
+        b = {r.id: [(n.code_id, n.code_label) for n in r.nearest]
+             for r in k_nearest_codes(emb, cb, k, method="expr").collect()}
+        assert a == b and all(len(v) == k for v in a.values())
