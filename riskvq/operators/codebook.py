@@ -125,11 +125,22 @@ class Codebook:
     def from_df(cls, df: DataFrame, max_codes: int = MAX_CODES) -> "Codebook":
         """Collect a codebook DataFrame ``(code_id, code_label, w)``.
 
-        At most ``max_codes + 1`` rows ever reach the driver; more fails.
+        The codebook plan runs once (persisted); its size is checked by one
+        aggregate (code count and widest vector) before any row reaches the
+        driver, so an oversized codebook fails without being collected.
         """
-        rows = df.select("code_id", "code_label", "w").take(max_codes + 1)
-        if len(rows) > max_codes:
-            raise CodebookTooLarge(f"codebook has more than {max_codes} codes")
+        from pyspark import StorageLevel
+
+        cb = df.select("code_id", "code_label", "w").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            meta = cb.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("w")).alias("d")).collect()[0]
+            k, d = int(meta["k"]), int(meta["d"] or 0)
+            if k > max_codes:
+                raise CodebookTooLarge(f"codebook has more than {max_codes} codes")
+            check_size(k, d)
+            rows = cb.collect()
+        finally:
+            cb.unpersist()
         if not rows:
             return cls(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)))
         dims = {len(r["w"]) for r in rows}

@@ -393,3 +393,14 @@ def test_k_nearest_arrow_matches_expression_path(emb):
         b = {r.id: [(n.code_id, n.code_label) for n in r.nearest]
              for r in k_nearest_codes(emb, cb, k, method="expr").collect()}
         assert a == b and all(len(v) == k for v in a.values())
+
+
+def test_codebook_collect_checks_size_first(emb, monkeypatch):
+    import riskvq.operators.codebook as CBM
+    cbdf = S.init_codebook_per_class(emb, {c: 2 for c in range(10)}, 1)
+    assert Codebook.from_df(cbdf).k == 20
+    monkeypatch.setattr(CBM, "MAX_CELLS", 100)
+    with pytest.raises(CodebookTooLarge):
+        Codebook.from_df(cbdf)
+    with pytest.raises(CodebookTooLarge):
+        Codebook.from_df(cbdf, max_codes=5)
