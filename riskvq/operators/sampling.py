@@ -130,7 +130,7 @@ def init_codebook_per_class(df: DataFrame, per_class: dict[int, int], seed: int,
     return _as_codebook(ranked, offset + F.col("_rn"))
 
 
-def kth_smallest(df: DataFrame, col: str, k: int, rel_error: float = 1e-3) -> object:
+def kth_smallest(df: DataFrame, col: str, k: int, rel_error: float = 1e-3, n: int | None = None) -> object:
     """Exact ``k``-th smallest (1-based) non-null value of a numeric column
     with unique values, reading only that column.
 
@@ -140,7 +140,7 @@ def kth_smallest(df: DataFrame, col: str, k: int, rel_error: float = 1e-3) -> ob
     brackets (about ``4 * rel_error`` of the table) are ranked exactly.
     """
     ids = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
-    n = ids.count()
+    n = ids.count() if n is None else n  # non-null count, if the caller has it
     if not 1 <= k <= n:
         raise ValueError(f"k={k} outside 1..{n}")
     q = k / n
@@ -171,7 +171,7 @@ def split_by_position(df: DataFrame, pct: int, id_col: str = "id", order_by: lis
         k = n * int(pct) // 100
         if k <= 0:
             return df.withColumn(part_col, F.lit("test"))
-        cutoff = kth_smallest(df, id_col, k) if k < n else None
+        cutoff = kth_smallest(df, id_col, k, n=n) if k < n else None
         train = F.lit(True) if cutoff is None else F.col(id_col) <= F.lit(cutoff)
         return df.withColumn(part_col, F.when(train, F.lit("train")).otherwise(F.lit("test")))
     order = [F.col(c) if isinstance(c, str) else c for c in (order_by or [])] + [F.col(id_col)]
