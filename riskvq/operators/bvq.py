@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from riskvq.operators.aggregates import weighted_sums
 from riskvq.operators.codebook import Codebook, as_codebook, local_frame
-from riskvq.operators.nearest import two_nearest
+from riskvq.operators.nearest import _arrow_nearest, two_nearest
 from riskvq.operators.sampling import draw_bags
 from riskvq.session import ensure_checkpoint_dir
 
@@ -63,6 +63,9 @@ def _fold_sum(v: Column) -> Column:
 MAP_COST_CELLS = 1_024
 MAX_COST_CELLS = 1_000_000
 
+# Up to this many codes the Arrow kernel carries the K x K pair norms itself.
+KERNEL_PAIR_CODES = 512
+
 # Pair-norm tables up to this many code pairs are joined by broadcast; larger
 # codebooks compute the norm per row from the two code vectors.
 MAX_PAIRS = 4_000_000
@@ -99,6 +102,11 @@ def bvq_candidates(df: DataFrame, codebook, features: str = "features", method:
     spark = df.sparkSession
     # The Arrow pick is an optimizer barrier: the label filter below cannot be
     # pushed into (and multiply) a generated distance expression.
+    if method != "expr" and cb.k <= KERNEL_PAIR_CODES:
+        # the Arrow kernel also returns n for the chosen pair (K x K norms in its closure)
+        two = _arrow_nearest(df, cb, 2, False, features, with_pair_norm=True)
+        cand = two.where(F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j")))
+        return cand.withColumn("gap", (F.col("d2_j") - F.col("d2_i")) / (F.lit(2.0) * F.col("n")))
     two = two_nearest(df, cb, method="expr" if method == "expr" else "arrow", features=features)
     cand = two.where(F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j")))
     if cb.k * cb.k <= MAX_PAIRS:

@@ -122,7 +122,7 @@ def _field(s: Column, name: str, fn=None) -> Column:
 # ---------------------------------------------------------------------------
 
 def _nearest_kernel(ids: np.ndarray, labels: np.ndarray, w: np.ndarray, k: int, within_class: bool,
-                    features: str, names: list[str], gemm_min_terms: int):
+                    features: str, names: list[str], gemm_min_terms: int, pair_n: np.ndarray | None = None):
     """The per-batch function of the Arrow path.
 
     Everything it needs is nested here, so it is shipped to the Python
@@ -220,12 +220,30 @@ def _nearest_kernel(ids: np.ndarray, labels: np.ndarray, w: np.ndarray, k: int,
                 arrays += [pa.array(ids[idx], pa.int64(), mask=~valid),
                            pa.array(labels[idx].astype(np.int32), pa.int32(), mask=~valid),
                            pa.array(dist, pa.float64(), mask=~valid)]
+            if pair_n is not None:
+                both = ok & np.isfinite(picks[0][1]) & np.isfinite(picks[1][1])
+                arrays.append(pa.array(pair_n[picks[0][0], picks[1][0]], pa.float64(), mask=~both))
             yield pa.RecordBatch.from_arrays(arrays, names=list(rb.schema.names) + names)
 
     return run
 
 
-def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, features: str) -> DataFrame:
+def pair_norm_matrix(w: np.ndarray) -> np.ndarray:
+    """K x K matrix of ``|w_i - w_j|``, summed over dimensions in order (the
+    rounding of the fold over the vectors), in row blocks."""
+    ncode, dims = w.shape
+    out = np.zeros((ncode, ncode))
+    if dims == 0:
+        return out
+    block = max(1, 2_000_000 // max(1, ncode * dims))
+    for s in range(0, ncode, block):
+        diff = w[s:s + block, None, :] - w[None, :, :]
+        out[s:s + block] = np.sqrt(np.add.accumulate(diff * diff, axis=2)[:, :, -1])
+    return out
+
+
+def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, features: str,
+                   with_pair_norm: bool = False) -> DataFrame:
     """``mapInArrow``: numpy distances per Arrow batch, ties to the lower index.
 
     Output columns: ``code_id, code_label, d2`` (k=1), the ``_i``/``_j`` pair
@@ -237,9 +255,14 @@ def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, feat
     else:
         names = [n for r in range(k) for n in (f"_c{r}", f"_l{r}", f"_d{r}")]
     types = [T.LongType(), T.IntegerType(), T.DoubleType()] * k
+    pair_n = None
+    if with_pair_norm and k == 2:
+        pair_n = pair_norm_matrix(cb.w)
+        names.append("n")
+        types.append(T.DoubleType())
     out_schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in zip(names, types)])
     kernel = _nearest_kernel(cb.code_id.copy(), cb.code_label.copy(), cb.w.copy(), k, within_class, features,
-                             list(names), GEMM_MIN_TERMS)
+                             list(names), GEMM_MIN_TERMS, pair_n)
     return df.mapInArrow(kernel, out_schema)
 
 

@@ -299,15 +299,19 @@ def test_split_by_position_general_order(ev):
     assert all(got[i] == ("train" if k < cut else "test") for k, (_, i) in enumerate(rows))
 
 
-def test_bvq_pair_table_and_per_row_norms_agree(emb, monkeypatch):
+def test_bvq_pair_norm_sources_agree(emb, monkeypatch):
     import riskvq.operators.bvq as B
     cb = Codebook.from_df(S.init_codebook_per_class(emb, {c: 2 for c in range(10)}, 1))
     for target in ("sample", "projection"):
-        a = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
+        kernel = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
+        monkeypatch.setattr(B, "KERNEL_PAIR_CODES", 0)
+        table = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
         monkeypatch.setattr(B, "MAX_PAIRS", 1)
-        b = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
+        per_row = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
         monkeypatch.setattr(B, "MAX_PAIRS", 4_000_000)
-        assert np.array_equal(a.w, b.w) and not np.array_equal(a.w, cb.w)
+        monkeypatch.setattr(B, "KERNEL_PAIR_CODES", 512)
+        assert np.array_equal(kernel.w, table.w) and np.array_equal(table.w, per_row.w)
+        assert not np.array_equal(kernel.w, cb.w)
 
 
 def test_weighted_sums_wide_form_matches_unrolled(emb, monkeypatch):
