@@ -64,16 +64,30 @@ def map_texts(df: DataFrame, make: Callable, fields: list[tuple[str, str]],
     """
     types_of = dict(df.dtypes)
     kept = [(c, types_of[c]) for c in carry]
+    at = carry.index(text) if text in carry else len(kept)
 
     def run(batches):
         of_text = make()
         for b in batches:
-            rows = [of_text(t or "") for t in b.column(len(kept)).to_pylist()]
+            rows = [of_text(t or "") for t in b.column(at).to_pylist()]
             if rows:
                 yield arrow_rows([b.column(i) for i in range(len(kept))] + [list(c) for c in zip(*rows, strict=True)],
                                  kept + fields)
 
-    return df.select(*carry, F.col(text).alias("_text")).mapInArrow(run, ddl(kept + fields))
+    more = [] if text in carry else [F.col(text).alias("_text")]
+    return df.select(*carry, *more).mapInArrow(run, ddl(kept + fields))
+
+
+def annotated(df: DataFrame, operator: Callable[[DataFrame, tuple], DataFrame]) -> tuple[DataFrame, list[Column]]:
+    """The result of an operator that carries every column of df, and df's columns in it.
+
+    The columns travel under names of their own, so those of df clash with none of the operator's.
+    """
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names).withColumnRenamed(names[df.columns.index("text")], "text")
+    plain = plain.withColumnRenamed(names[df.columns.index("doc_id")], "doc_id")
+    out = operator(plain, tuple(plain.columns))
+    return out, [F.col(c).alias(n) for c, n in zip(plain.columns, df.columns, strict=True)]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
