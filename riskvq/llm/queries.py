@@ -6,7 +6,9 @@ from riskvq.llm.bpe import encode_documents
 from riskvq.llm.common import table
 from riskvq.llm.decontam import find_contamination
 from riskvq.llm.language import identify_language
+from riskvq.llm.lattice import link_embeddings
 from riskvq.llm.near_dup import near_duplicates
+from riskvq.llm.passages import remove_repeats
 from riskvq.llm.quality import classify_quality
 from riskvq.llm.secrets import scan_secrets
 from riskvq.llm.shards import assign_shards
@@ -51,14 +53,22 @@ def op6_language(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_shards(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark, sf_dir):
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_bpe, op4_decontamination, op5_toxicity, op6_language,
-                                   op8_shards, op10_near_duplicates)}
+                                   op7_repeated_passages, op8_shards, op9_embeddings, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
