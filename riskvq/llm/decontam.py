@@ -21,7 +21,7 @@ from riskvq.llm.common import arrow_rows, checkpointed, ddl, sha_hex
 WINDOW = 10
 # Of the item texts behind one automaton, in characters; more items go in several scans, one automaton each.
 BLOCK_CHARS = 1_000_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # of the text as it is, with A-Z
 # after lower-casing A-Z: other ASCII than 0-9 and a-z becomes a blank
 _TO_WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 

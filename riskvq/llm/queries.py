@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskvq.llm import oracle
 from riskvq.llm.bpe import encode_documents
 from riskvq.llm.common import table
 from riskvq.llm.decontam import find_contamination
@@ -42,7 +43,7 @@ def op3_bpe(spark, sf_dir):
 
 
 def op4_decontamination(spark, sf_dir):
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op5_toxicity(spark, sf_dir):
@@ -71,4 +72,10 @@ def op10_near_duplicates(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_bpe, op4_decontamination, op5_toxicity, op6_language,
                                    op7_repeated_passages, op8_shards, op9_embeddings, op10_near_duplicates)}
-ORACLE_SQL: dict[str, str] = {}
+# The others take SQL's reach beyond use: offsets of matches, trained models, rank merges, CRC-32, 64-bit products.
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": oracle.DECONTAMINATION,
+    "op7_repeated_passages": oracle.PASSAGES,
+    "op9_embeddings": oracle.EMBEDDINGS,
+    "op10_near_duplicates": oracle.NEAR_DUPLICATES,
+}

@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import map_texts, sha_hex
+from riskvq.llm.common import annotated, map_texts, sha_hex
 
 # Keywords and patterns of the base kinds, in the order of their kinds.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -135,10 +135,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; NULL texts stay NULL, n_chars follows."""
-    carry = tuple(c for c in docs.columns if c != "text")
-    out = map_texts(docs.withColumn("_null", F.col("text").isNull()), _make_redact, [("text", "string")],
-                    carry=(*carry, "_null"))
-    out = out.withColumn("text", F.when(~F.col("_null"), F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
-    return out.select(*docs.columns)
+    out, columns = annotated(docs, lambda d, carry: map_texts(d, _make_redact, [("_redacted", "string")], carry=carry))
+    text = F.when(F.col("text").isNotNull(), F.col("_redacted"))
+    changed = {"text": text, "n_chars": F.coalesce(F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint")),
+                                                   columns[docs.columns.index("n_chars")] if "n_chars" in docs.columns
+                                                   else F.lit(0))}
+    return out.select(*(changed[n].alias(n) if n in changed else c for n, c in zip(docs.columns, columns, strict=True)))
