@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import arrow_rows, checkpointed, map_texts, mix64
+from riskvq.llm.common import annotated, arrow_rows, checkpointed, map_texts, mix64
 from riskvq.llm.graph import components, local_roots, runs
 
 SHINGLE = 5
@@ -260,9 +260,14 @@ def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents kept: of each component the one of the smallest id, rows equal in id and text once."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without id are never equal
-    return (docs.join(gone, "doc_id", "left_anti").withColumns({"_h": F.xxhash64("text"), "_own": own})
-            .dropDuplicates(["doc_id", "_h", "_own"]).select(*docs.columns))
+
+    def keep(d, _):
+        own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without id are never equal
+        return (d.join(gone, "doc_id", "left_anti").withColumns({"_h": F.xxhash64("text"), "_own": own})
+                .dropDuplicates(["doc_id", "_h", "_own"]))
+
+    out, columns = annotated(docs, keep)
+    return out.select(*columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
