@@ -32,7 +32,7 @@ TREES, DEPTH, NODE = 10, 3, 256
 COORDINATES = 64
 MIN_AGREE = 40          # of COORDINATES: five standard deviations below similarity 0.85
 BRANCH = 100 / PERCENT  # expected children of a class in a node
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 WORDS_KEPT = 400_000    # words whose hashes a Python worker remembers
 
 _ODD = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
