@@ -283,6 +283,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_class = classes.select("sig", "id").join(linked, "id", "left").select(
         "sig", F.coalesce("component", "id").alias("_component"))
     out = features.select("doc_id", "n_shingles", "sig").join(of_class, "sig", "left")
-    component = F.coalesce("_component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
