@@ -29,19 +29,30 @@ def seeded_key(id_col, seed, *salts) -> Column:
     return F.md5(F.concat(*parts))
 
 
+def draw_key(id_col, seed, purpose: str, salt: str = "") -> Column:
+    """Key of one kind of draw: ``md5(seed:purpose[:salt]:id)``.
+
+    Every operator that draws has a purpose of its own (``sample``, ``limit``,
+    ``init``, ``split``, ``shuffle``, ``bag``), so its choice is independent of
+    what the others chose with the same seed; a caller that repeats a draw
+    passes a ``salt`` per repetition.
+    """
+    return seeded_key(id_col, seed, *([purpose, salt] if salt else [purpose]))
+
+
 def key_threshold(fraction: float) -> str | None:
-    """Hex threshold for keeping ``fraction`` of rows; None means keep all."""
+    """Hex threshold (64 bits) for keeping ``fraction`` of rows; None means keep all."""
     if fraction >= 1.0:
         return None
-    return format(max(int(fraction * 2 ** 32), 0), "08x")
+    return format(max(int(fraction * 2 ** 64), 0), "016x")
 
 
 def key_below(key: Column, fraction: float) -> Column:
-    """True for about ``fraction`` of keys: compares the first 32 bits."""
+    """True for about ``fraction`` of keys: compares the first 64 bits."""
     thr = key_threshold(fraction)
     if thr is None:
         return F.lit(True)
-    return F.substring(key, 1, 8) < F.lit(thr)
+    return F.substring(key, 1, 16) < F.lit(thr)
 
 
 def key_uniform(key: Column) -> Column:

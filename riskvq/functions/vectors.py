@@ -68,11 +68,3 @@ def vec_scale(x, v) -> Column:
     """Scalar (literal or column) times vector (V7)."""
     xs = x if isinstance(x, Column) else F.lit(float(x))
     return F.transform(_c(v), lambda e: xs * e)
-
-
-def vec_norm(v) -> Column:
-    return F.sqrt(_fold_sum(F.transform(_c(v), lambda e: e * e)))
-
-
-def vec_round(v, digits: int = 6) -> Column:
-    return F.transform(_c(v), lambda e: F.round(e, digits))

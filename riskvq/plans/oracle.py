@@ -7,7 +7,6 @@ inputs.  Training passes (SOM, BVQ) are chained CTE blocks, one per pass.
 
 from __future__ import annotations
 
-from riskvq.functions.keys import key_threshold
 from riskvq.plans import catalog as C
 from riskvq.sources.labeled import EVENT_TYPES, LINEITEM_FEATURES, RETURN_FLAGS
 
@@ -23,8 +22,14 @@ def key(id_expr: str, *salts: str) -> str:
     return "md5(" + " || ".join(parts) + ")"
 
 
+def draw(purpose: str, id_expr: str = "id") -> str:
+    """Key of one kind of draw: seed, purpose, id."""
+    return key(id_expr, f"'{purpose}'")
+
+
 def below(key_expr: str, fraction: float) -> str:
-    return f"substr({key_expr}, 1, 8) < '{key_threshold(fraction)}'"
+    """The first 64 bits of the key as a fraction of 2^64, compared as hex text."""
+    return f"substr({key_expr}, 1, 16) < '{int(fraction * 2 ** 64):016x}'"
 
 
 def uniform(key_expr: str) -> str:
@@ -55,7 +60,7 @@ LAB_EV = (f"SELECT event_id AS id, {case_label('event_type', EVENT_TYPES)} AS la
 
 def split_ctes(lab: str = LAB_EMB) -> str:
     return f"""lab AS ({lab}),
-split AS (SELECT *, CASE WHEN {below(key('id'), C.TRAIN_PCT / 100.0)} THEN 'train' ELSE 'test' END AS part
+split AS (SELECT *, CASE WHEN {below(draw('split'), C.TRAIN_PCT / 100.0)} THEN 'train' ELSE 'test' END AS part
           FROM lab),
 train AS (SELECT id, label, features FROM split WHERE part = 'train'),
 test AS (SELECT id, label, features FROM split WHERE part = 'test')"""
@@ -72,7 +77,7 @@ def per_class_cte(name: str, data: str) -> str:
     quota = "CASE label " + " ".join(f"WHEN {k} THEN {v}" for k, v in quotas.items()) + " END"
     labels = ", ".join(str(k) for k in sorted(quotas))
     return f"""{name} AS (SELECT CAST({off} + rn AS BIGINT) AS code_id, label AS code_label, features AS w
-    FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {key('id')}, id) AS rn
+    FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw('init')}, id) AS rn
           FROM {data} WHERE label IN ({labels}))
     WHERE rn <= {quota})"""
 
@@ -167,7 +172,7 @@ def bvq_ctes(out: str, prev: str, data: str, rate: float, target: str = "sample"
 def bags_cte(name: str, data: str, n_bags: int, bag_size: int) -> str:
     """Mini-batches of the seeded shuffle, wrapping past the last row."""
     total = n_bags * bag_size
-    return f"""{name}_r AS (SELECT *, row_number() OVER (ORDER BY {key('id')}, id) - 1 AS p,
+    return f"""{name}_r AS (SELECT *, row_number() OVER (ORDER BY {draw('bag')}, id) - 1 AS p,
                           least(count(*) OVER (), {total}) AS n FROM {data}),
 {name} AS (SELECT {name}_r.* EXCLUDE (p, n), CAST(slot // {bag_size} + 1 AS INTEGER) AS bag,
                   CAST(slot % {bag_size} + 1 AS BIGINT) AS pos
@@ -203,6 +208,8 @@ def build() -> dict[str, str]:
                        "CAST(user_id AS DOUBLE) AS f2 FROM events")
     li_feats = ", ".join(f"CAST({c} AS DOUBLE) AS f{i + 1}" for i, c in enumerate(LINEITEM_FEATURES))
     q["from_matrix"] = f"SELECT {case_label('l_returnflag', RETURN_FLAGS)} AS label, {li_feats} FROM lineitem"
+    q["to_labeled_numeric"] = """SELECT o_orderkey AS id, CAST(trunc(o_totalprice / 100000.0) AS INTEGER) AS label,
+  CAST(o_totalprice AS DOUBLE) AS f1 FROM orders"""
     span = C.UNIFORM_HI - C.UNIFORM_LO
     q["uniform_table"] = f"""SELECT event_id AS id, 0 AS label, CAST(d.dim AS INTEGER) AS dim,
   round({dbl(C.UNIFORM_LO)} + {dbl(span)} * {uniform(key('event_id', 'd.dim'))}, {D}) AS x
@@ -212,11 +219,11 @@ FROM events CROSS JOIN (SELECT range AS dim FROM range({C.UNIFORM_DIMS})) d"""
 
     q["row_count"] = "SELECT count(*) AS n FROM events"
     q["bernoulli_sample"] = f"""WITH ev AS ({LAB_EV})
-SELECT id, label FROM ev WHERE {below(key('id'), C.SAMPLE_FRACTION)}"""
+SELECT id, label FROM ev WHERE {below(draw('sample'), C.SAMPLE_FRACTION)}"""
     q["limit_n"] = f"""WITH ev AS ({LAB_EV})
-SELECT row_number() OVER (ORDER BY {key('id')}, id) AS pos, id FROM ev QUALIFY pos <= {C.LIMIT_N}"""
+SELECT row_number() OVER (ORDER BY {draw('limit')}, id) AS pos, id FROM ev QUALIFY pos <= {C.LIMIT_N}"""
     q["init_sampled"] = f"""WITH lab AS ({LAB_EMB}),
-cb AS (SELECT row_number() OVER (ORDER BY {key('id')}, id) AS code_id, label AS code_label, features AS w
+cb AS (SELECT row_number() OVER (ORDER BY {draw('init')}, id) AS code_id, label AS code_label, features AS w
        FROM lab QUALIFY code_id <= {C.INIT_N})
 {long_cb('cb')}"""
     q["init_first"] = f"""WITH lab AS ({LAB_EMB}),
@@ -230,12 +237,12 @@ cb AS (SELECT row_number() OVER (ORDER BY id) AS code_id, label AS code_label, f
 SELECT id, CASE WHEN row_number() OVER (ORDER BY id) <= (count(*) OVER ()) * {C.TRAIN_PCT} // 100
                 THEN 'train' ELSE 'test' END AS part FROM ev"""
     q["split_random"] = f"""WITH ev AS ({LAB_EV})
-SELECT id, CASE WHEN {below(key('id'), thr80)} THEN 'train' ELSE 'test' END AS part FROM ev"""
+SELECT id, CASE WHEN {below(draw('split'), thr80)} THEN 'train' ELSE 'test' END AS part FROM ev"""
     q["split_sizes"] = f"""WITH ev AS ({LAB_EV})
 SELECT part, count(*) AS n FROM (
-  SELECT CASE WHEN {below(key('id'), thr80)} THEN 'train' ELSE 'test' END AS part FROM ev) GROUP BY part"""
+  SELECT CASE WHEN {below(draw('split'), thr80)} THEN 'train' ELSE 'test' END AS part FROM ev) GROUP BY part"""
     q["shuffle_rows"] = f"""WITH ev AS ({LAB_EV})
-SELECT row_number() OVER (ORDER BY {key('id')}, id) AS pos, id FROM ev"""
+SELECT row_number() OVER (ORDER BY {draw('shuffle')}, id) AS pos, id FROM ev"""
     q["draw_bags"] = f"""WITH lab AS ({LAB_EMB}),
 {bags_cte('bags', 'lab', C.N_BAGS, C.BAG_SIZE)}
 SELECT bag, pos, id FROM bags"""
@@ -306,11 +313,21 @@ bag2 AS (SELECT id, label, features FROM bags WHERE bag = 2),
 {long_cb('cb2')}"""
     pred = f"""{base},
 {pred_cte('pr', 'test', 'cb0')}"""
+    q["bvq_train_epochs"] = f"""{base},
+{bags_cte('bags', 'train', 4, C.TRAIN_BAG_SIZE)},
+{', '.join(f"bag{b} AS (SELECT id, label, features FROM bags WHERE bag = {b})" for b in range(1, 5))},
+{', '.join(bvq_ctes(f'cb{b}', f'cb{b - 1}', f'bag{b}', C.BVQ_RATE) for b in range(1, 5))}
+{long_cb('cb4')}"""
     q["predict"] = f"{pred}\nSELECT id, label, pred FROM pr"
     q["confusion"] = f"{pred}\nSELECT label AS actual, pred AS predicted, count(*) AS n FROM pr GROUP BY label, pred"
+    cells = ", ".join(f"count(*) FILTER (WHERE pred = {c}) AS \"{c}\"" for c in C.EMB_CLASSES)
+    known = ", ".join(map(str, C.EMB_CLASSES))
+    q["confusion_matrix"] = (f"{pred}\nSELECT label AS actual, {cells}, "
+                             f"count(*) FILTER (WHERE pred IS NULL OR pred NOT IN ({known})) AS other FROM pr GROUP BY label")
     q["accuracy"] = (f"{pred}\nSELECT round(avg(CASE WHEN label = pred THEN {dbl(1.0)} ELSE {dbl(0.0)} END), {D}) "
                      "AS accuracy FROM pr")
-    q["mean_cost"] = f"{pred}\nSELECT round(avg(CAST(abs(label - pred) AS DOUBLE)), {D}) AS mean_cost FROM pr"
+    q["mean_cost"] = (f"{pred}\nSELECT round(avg(CAST(abs(label - pred) AS DOUBLE)), {D}) AS mean_cost, "
+                      "count(*) FILTER (WHERE label IS NULL OR pred IS NULL) AS n_unlisted FROM pr")
     stages = f"""{base},
 {som_ctes('cb1', 'cb0', 'train', C.SOM_RATE)},
 {bvq_ctes('cb2', 'cb1', 'train', C.BVQ_RATE)},
