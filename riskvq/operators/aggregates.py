@@ -1,8 +1,10 @@
 """Vector aggregates: element-wise mean per group (V8) and per-code sums.
 
-When the width ``dims`` is known the aggregate is unrolled into ``dims``
-scalar sums (one codegen'd hash aggregate with map-side partial
-aggregation); otherwise the vectors are exploded by position first.
+When the width ``dims`` is known and not too large the aggregate is unrolled
+into ``dims`` scalar sums (one codegen'd hash aggregate with map-side partial
+aggregation); otherwise the vectors are exploded by position first.  Both forms
+give the same rows: every group appears, ``n`` counts its rows, and a mean is
+NULL where no row of the group has a value.
 """
 
 from __future__ import annotations
@@ -18,23 +20,54 @@ UNROLL_MAX_DIMS = 256
 
 
 def vec_avg(df: DataFrame, group_col: str, features: str = "features", dims: int | None = None) -> DataFrame:
-    """Element-wise mean per group: ``(group, avg array<double>, n)``."""
+    """Element-wise mean per group: ``(group, avg array<double>, n)``.
+
+    Without ``dims`` a group's width is that of its longest vector."""
     x = F.col(features)
     if dims is not None and dims <= UNROLL_MAX_DIMS:
         agg = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"),
-                                        *[F.avg(x[d]).alias(f"_m{d}") for d in range(dims)])
+                                        *[F.avg(F.get(x, d)).alias(f"_m{d}") for d in range(dims)])
         return agg.select(group_col, F.array(*[F.col(f"_m{d}") for d in range(dims)]).alias("avg"), "n")
-    per_dim = (df.select(group_col, F.posexplode(features).alias("dim", "x"))
-               .groupBy(group_col, "dim").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")))
-    return (per_dim.groupBy(group_col)
-            .agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("_s"), F.max("n").alias("n"))
-            .select(group_col, F.transform("_s", lambda s: s.m).alias("avg"), "n"))
+    per_dim = df.select(F.col(group_col).alias("_g"), F.posexplode(features).alias("dim", "x"))
+    if dims is not None:
+        per_dim = per_dim.where(F.col("dim") < dims)
+    means = (per_dim.groupBy("_g", "dim").agg(F.avg("x").alias("m")).groupBy("_g")
+             .agg(F.map_from_entries(F.collect_list(F.struct("dim", "m"))).alias("_s"), F.max("dim").alias("_w")))
+    groups = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
+    width = F.lit(dims) if dims is not None else F.coalesce(F.col("_w") + 1, F.lit(0))
+    index = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+    return (groups.join(means, groups[group_col].eqNullSafe(means["_g"]), "left")
+            .select(group_col, F.transform(index, lambda d: F.try_element_at(F.col("_s"), d)).alias("avg"), "n"))
+
+
+def vec_avg_long(df: DataFrame, group_col: str, features: str = "features", dims: int | None = None) -> DataFrame:
+    """Element-wise mean per group in long form ``(group, dim, avg)``; one row per dimension of ``vec_avg``."""
+    return vec_avg(df, group_col, features, dims).select(group_col, F.posexplode("avg").alias("dim", "avg"))
+
 
+def partial_sums(partials: DataFrame, dims: int, max_keys: int,
+                 whole: bool = False) -> dict[int, tuple[int, float, np.ndarray]]:
+    """Totals of the kernels' partial rows ``(code_id, n, s, v)`` per code, collected to the driver.
 
-def vec_avg_long(df: DataFrame, group_col: str, features: str = "features") -> DataFrame:
-    """Element-wise mean per group in long form ``(group, dim, avg)``."""
-    return (df.select(group_col, F.posexplode(features).alias("dim", "x"))
-            .groupBy(group_col, F.col("dim").cast("int").alias("dim")).agg(F.avg("x").alias("avg")))
+    At most ``max_keys`` codes of ``dims`` sums come back, bounded by the
+    codebook size check.  ``whole`` says that one task made all rows, which are
+    then totals already.
+    """
+    if whole:
+        return {int(r["code_id"]): (int(r["n"]), float(r["s"]), np.array(r["v"], np.float64))
+                for r in partials.take(max_keys + 1)}
+    base = [F.sum("n").alias("n"), F.sum("s").alias("s")]
+    if dims <= UNROLL_MAX_DIMS:
+        rows = partials.groupBy("code_id").agg(
+            *base, *[F.sum(F.get("v", F.lit(d))).alias(f"_v{d}") for d in range(dims)]).take(max_keys + 1)
+        return {int(r["code_id"]): (int(r["n"]), float(r["s"]), np.array([r[f"_v{d}"] for d in range(dims)], np.float64))
+                for r in rows}
+    out = {int(r["code_id"]): (int(r["n"]), float(r["s"]), np.zeros(dims))
+           for r in partials.groupBy("code_id").agg(*base).take(max_keys + 1)}
+    per_dim = partials.select("code_id", F.posexplode("v").alias("d", "x")).groupBy("code_id", "d").agg(F.sum("x").alias("x"))
+    for r in per_dim.collect():
+        out[int(r["code_id"])][2][r["d"]] = r["x"]
+    return out
 
 
 def weighted_sums(df: DataFrame, key_col: str, dims: int, weight: Column | None = None,

@@ -16,8 +16,12 @@ projection on the bisector (``target="projection"``).
 Batch semantics: all contributions of a bag are taken against the codebook
 at the start of the bag and summed per code.  Per code the update is
 ``m_k <- m_k + S_k * m_k - V_k`` with ``S_k = sum(coef)`` and
-``V_k = sum(coef * t)``, so one hash aggregate of at most K rows of D sums
-per bag.  With one active row this equals the online rule exactly.
+``V_k = sum(coef * t)``: each task sums its own rows, the partial sums are
+added, and at most K rows of D sums come back per bag.  With one active row
+this equals the online rule exactly.
+
+A cost table must list every class it names against every label of the
+codebook; rows of a class that it does not name are not trained on.
 """
 
 from __future__ import annotations
@@ -26,19 +30,32 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.operators.aggregates import weighted_sums
+from riskvq.operators.aggregates import partial_sums, weighted_sums
 from riskvq.operators.codebook import Codebook, as_codebook, local_frame
-from riskvq.operators.nearest import _arrow_nearest, two_nearest
+from riskvq.operators.nearest import GEMM_MIN_TERMS, PARTIAL_SCHEMA, _arrow_nearest, make_finder, two_nearest
 from riskvq.operators.sampling import draw_bags
-from riskvq.session import ensure_checkpoint_dir
+
+
+def check_cost(cost: dict | None, cb: Codebook) -> None:
+    """Raise if a class of the cost table lacks its cost against a label of the codebook."""
+    if cost is None:
+        return
+    if len(cost) > MAX_COST_CELLS:
+        raise ValueError("cost matrix too large to broadcast")
+    labels = {int(x) for x in cb.code_label}
+    missing = [(a, p) for a in {a for a, _ in cost} for p in labels if a != p and (a, p) not in cost]
+    if missing:
+        raise ValueError(f"cost of {sorted(missing)[:5]} (actual, decided) is not given")
 
 
 def _cost_lookup(cost, actual: Column, decided: Column) -> Column:
     """``b(actual, decided)``: 0/1 by default, a dict ``{(a, p): c}`` literal
-    map otherwise (classes x classes entries, small by construction)."""
+    map otherwise (classes x classes entries, small by construction); deciding
+    the actual class costs 0 unless the table says otherwise."""
     if cost is None:
         return F.when(actual == decided, F.lit(0.0)).otherwise(F.lit(1.0))
     pairs = []
@@ -63,23 +80,8 @@ def _fold_sum(v: Column) -> Column:
 MAP_COST_CELLS = 1_024
 MAX_COST_CELLS = 1_000_000
 
-# Up to this many codes the Arrow kernel carries the K x K pair norms itself.
-KERNEL_PAIR_CODES = 512
-
-# Pair-norm tables up to this many code pairs are joined by broadcast; larger
-# codebooks compute the norm per row from the two code vectors.
-MAX_PAIRS = 4_000_000
-
-
-def pair_norms(spark, cb: Codebook) -> DataFrame:
-    """``(code_i, code_j, n)`` for every ordered pair of codes with different
-    labels; ``n = |w_i - w_j|`` summed over dimensions in order (the same
-    rounding as the fold over the vectors)."""
-    ii, jj = np.nonzero(cb.code_label[:, None] != cb.code_label[None, :])
-    diff = cb.w[ii] - cb.w[jj]
-    sq = np.add.accumulate(diff * diff, axis=1)[:, -1] if cb.dims else np.zeros(len(ii))
-    rows = list(zip(cb.code_id[ii].tolist(), cb.code_id[jj].tolist(), np.sqrt(sq).tolist()))
-    return local_frame(spark, rows, [("code_i", "bigint"), ("code_j", "bigint"), ("n", "double")])
+# Bags up to this size are summed by one task (same sums, no aggregate).
+ONE_TASK_ROWS = 50_000
 
 
 def _with_vectors(df: DataFrame, cb: Codebook) -> DataFrame:
@@ -93,26 +95,16 @@ def bvq_candidates(df: DataFrame, codebook, features: str = "features", method:
     """Rows whose two nearest codes carry different labels, with
     ``n = |w_i - w_j|`` and the distance from the bisector ``gap``.
 
-    The two nearest codes come from the map-only nearest-code operator and
-    the label test runs first.  ``n`` depends only on the pair of codes, so it
-    comes from a broadcast table of pair norms (no per-row vector work);
-    above ``MAX_PAIRS`` pairs it is computed per row from the two vectors.
+    The two nearest codes come from the map-only nearest-code operator, whose
+    Arrow form also returns ``n`` of the chosen pair; it is an optimizer barrier,
+    so the label filter is not pushed into a generated distance expression.
     """
     cb = as_codebook(codebook)
-    spark = df.sparkSession
-    # The Arrow pick is an optimizer barrier: the label filter below cannot be
-    # pushed into (and multiply) a generated distance expression.
-    if method != "expr" and cb.k <= KERNEL_PAIR_CODES:
-        # the Arrow kernel also returns n for the chosen pair (K x K norms in its closure)
-        two = _arrow_nearest(df, cb, 2, False, features, with_pair_norm=True)
-        cand = two.where(F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j")))
-        return cand.withColumn("gap", (F.col("d2_j") - F.col("d2_i")) / (F.lit(2.0) * F.col("n")))
-    two = two_nearest(df, cb, method="expr" if method == "expr" else "arrow", features=features)
-    cand = two.where(F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j")))
-    if cb.k * cb.k <= MAX_PAIRS:
-        nrm = cand.join(F.broadcast(pair_norms(spark, cb)), ["code_i", "code_j"])
+    differ = F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j"))
+    if method in ("auto", "arrow"):
+        nrm = _arrow_nearest(df, cb, 2, False, features, with_pair_norm=True).where(differ)
     else:
-        joined = _with_vectors(cand, cb)
+        joined = _with_vectors(two_nearest(df, cb, method=method, features=features).where(differ), cb)
         dw = joined.withColumn("_dw", F.zip_with("w_i", "w_j", lambda a, b: a - b))
         nrm = dw.withColumn("n", F.sqrt(_fold_sum(F.zip_with("_dw", "_dw", lambda a, b: a * b)))).drop(
             "_dw", "w_i", "w_j")
@@ -141,8 +133,7 @@ def bvq_contributions(df: DataFrame, codebook, rate: float, delta: float | None
                       window_half_width: float | None = None, cost: dict | None = None,
                       target: str = "sample", features: str = "features", method: str = "auto") -> DataFrame:
     """Two rows per active sample: ``(code_id, coef, t)`` (M5 before the sum)."""
-    if cost is not None and len(cost) > MAX_COST_CELLS:
-        raise ValueError("cost matrix too large to broadcast")
+    check_cost(cost, as_codebook(codebook))
     active = bvq_window(df, codebook, delta, window_half_width, features, method)
     u = F.col("label")
     if cost is None or len(cost) <= MAP_COST_CELLS:
@@ -180,15 +171,78 @@ def bvq_contributions(df: DataFrame, codebook, rate: float, delta: float | None
     return act.select(pair.alias("c"), "t").select("c.code_id", "c.coef", "t")
 
 
+def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict | None, target: str):
+    """Per task: rows, sum of coefficients and sum of coefficient times target by code."""
+    ids, labels, w = cb.code_id.copy(), cb.code_label.copy(), cb.w.copy()
+    k, dims = cb.k, cb.dims
+    find, matrix = make_finder(labels, w, 2, False, GEMM_MIN_TERMS)
+    classes = decided = costs = None
+    if cost is not None:
+        classes, decided = np.unique([a for a, _ in cost]), np.unique(labels)
+        costs = np.array([[cost.get((int(a), int(p)), 0.0) for p in decided] for a in classes])
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, s, v = np.zeros(k, np.int64), np.zeros(k), np.zeros((k, dims))
+        for rb in batches:
+            x, ok = matrix(rb.column(0))
+            u = rb.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            idx, dist = find(x, None)
+            on = ok & np.isfinite(u) & np.isfinite(dist[:, 1]) & (labels[idx[:, 0]] != labels[idx[:, 1]])
+            if classes is not None:
+                on &= np.isin(u, classes)
+            x, u, i, j, dist = x[on], u[on], idx[on, 0], idx[on, 1], dist[on]
+            dw = w[i] - w[j]
+            norm = np.sqrt(np.add.accumulate(dw * dw, axis=1)[:, -1]) if dw.size else np.zeros(len(x))
+            near = norm > 0
+            if half_width is not None:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near &= (dist[:, 1] - dist[:, 0]) / (2.0 * norm) <= half_width
+            x, u, i, j, dw, norm = x[near], u[near], i[near], j[near], dw[near], norm[near]
+            if classes is None:
+                b_i, b_j = (u != labels[i]).astype(float), (u != labels[j]).astype(float)
+            else:
+                at = np.searchsorted(classes, u)
+                b_i, b_j = (costs[at, np.searchsorted(decided, labels[c])] for c in (i, j))
+            g = rate * (b_j - b_i) / norm
+            t = x
+            if target == "projection":
+                mid = (w[i] + w[j]) / 2.0
+                t = x - (np.einsum("nd,nd->n", x - mid, dw) / (norm * norm))[:, None] * dw
+            moved = g != 0
+            for code, coef in ((i[moved], -g[moved]), (j[moved], g[moved])):
+                n += np.bincount(code, minlength=k)
+                np.add.at(s, code, coef)
+                np.add.at(v, code, coef[:, None] * t[moved])
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[used], pa.int64()), pa.array(n[used], pa.int64()), pa.array(s[used], pa.float64()),
+             pa.array(list(v[used]), pa.list_(pa.float64()))], names=["code_id", "n", "s", "v"])
+
+    return run
+
+
 def bvq_step(bag: DataFrame, codebook, rate: float, delta: float | None = 0.2,
              window_half_width: float | None = None, cost: dict | None = None,
-             target: str = "sample", features: str = "features", method: str = "auto") -> Codebook:
-    """One batch BVQ step on a bag (M5); returns the new codebook."""
+             target: str = "sample", features: str = "features", method: str = "auto",
+             one_task: bool = False) -> Codebook:
+    """One batch BVQ step on a bag (M5); returns the new codebook.
+
+    ``one_task`` says that the bag is small and in one partition: its sums are
+    then whole and need no aggregate."""
     cb = as_codebook(codebook)
     if cb.k < 2:
         return cb
-    contrib = bvq_contributions(bag, cb, rate, delta, window_half_width, cost, target, features, method)
-    sums = weighted_sums(contrib, "code_id", cb.dims, weight=F.col("coef"), vec=F.col("t"), max_keys=cb.k)
+    check_cost(cost, cb)
+    if target not in ("sample", "projection"):
+        raise ValueError(f"unknown target {target!r}")
+    if method in ("auto", "arrow"):
+        kernel = _bvq_kernel(cb, rate, _half_width(delta, window_half_width), cost, target)
+        sums = partial_sums(bag.select(features, "label").mapInArrow(kernel, PARTIAL_SCHEMA), cb.dims, cb.k, one_task)
+    else:
+        contrib = bvq_contributions(bag, cb, rate, delta, window_half_width, cost, target, features, method)
+        sums = weighted_sums(contrib, "code_id", cb.dims, weight=F.col("coef"), vec=F.col("t"), max_keys=cb.k)
     w = cb.w.copy()
     for i, cid in enumerate(cb.code_id):
         got = sums.get(int(cid))
@@ -211,23 +265,28 @@ def bvq_train(train: DataFrame, codebook, epochs: int, rate: float, delta: float
     """``epochs`` x ``n_bags`` BVQ steps, codebook chained bag to bag (M6).
 
     With bags, all ``epochs * n_bags`` bags are drawn once (a count and one
-    keyed pass over the training table) and written to the session's
-    checkpoint folder (a table
-    of at most ``epochs * n_bags * bag_size`` rows), so later steps never
-    rescan the training data and the lineage stays one level deep.  Without
-    bags every epoch is one step over the whole training table.
+    keyed pass over the training table); the drawn rows, at most
+    ``epochs * n_bags * bag_size``, are laid out by bag and kept until the last
+    step, so a step reads its own bag only.  A lost block is drawn again with
+    the same keys.  Without bags every epoch is one step over the whole
+    training table.
     """
     cb = as_codebook(codebook)
     hist = BvqHistory()
     if use_bags and n_bags and bag_size:
-        ensure_checkpoint_dir(train.sparkSession)
-        bags = draw_bags(train, epochs * n_bags, bag_size, seed, id_col).checkpoint(eager=True)
-        for e in range(epochs):
-            for b in range(n_bags):
-                one = bags.where(F.col("bag") == F.lit(e * n_bags + b + 1))
-                cb = bvq_step(one, cb, rate, delta, window_half_width, cost, target, features, method)
-                if keep_history:
-                    hist.steps.append((e, b, cb))
+        small = bag_size <= ONE_TASK_ROWS
+        bags = (draw_bags(train, epochs * n_bags, bag_size, seed, id_col).select("bag", features, "label")
+                .repartitionByRange("bag").sortWithinPartitions("bag").persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            for e in range(epochs):
+                for b in range(n_bags):
+                    one = bags.where(F.col("bag") == F.lit(e * n_bags + b + 1))
+                    cb = bvq_step(one.coalesce(1) if small else one, cb, rate, delta, window_half_width, cost, target,
+                                  features, method, one_task=small)
+                    if keep_history:
+                        hist.steps.append((e, b, cb))
+        finally:
+            bags.unpersist()
     else:
         for e in range(epochs):
             cb = bvq_step(train, cb, rate, delta, window_half_width, cost, target, features, method)

@@ -141,6 +141,9 @@ class Codebook:
             rows = cb.collect()
         finally:
             cb.unpersist()
+        if any(r["code_id"] is None or r["code_label"] is None or r["w"] is None or any(x is None for x in r["w"])
+               for r in rows):
+            raise ValueError("a code without id, label or whole vector")
         if not rows:
             return cls(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)))
         dims = {len(r["w"]) for r in rows}

@@ -5,8 +5,8 @@ Three interchangeable physical paths, all map-only (no shuffle of the data):
 ``unrolled``  The codebook is folded into the plan as literals and each
               distance is plain arithmetic on scalar feature columns inside
               whole-stage codegen.  JVM-only; for small codebooks (K x D up
-              to about ``UNROLL_MAX_TERMS``) -- beyond that the generated
-              method outgrows what the JIT compiles.
+              to some 64 terms) -- beyond that the generated method outgrows
+              what the JIT compiles.
 ``expr``      The codebook is one constant column
               ``array<struct<code_id, code_label, w>>`` (folded into a single
               literal) and distances are higher-order functions (interpreted).
@@ -14,9 +14,13 @@ Three interchangeable physical paths, all map-only (no shuffle of the data):
 ``arrow``     ``mapInArrow``: numpy distances on zero-copy Arrow batches;
               fastest for wide vectors and large codebooks.
 
-``auto`` is ``arrow`` (see the measurements next to ``UNROLL_MAX_TERMS``).
+``auto`` is ``arrow``: it is about as fast as the unrolled plan on small
+codebooks, far faster on wide ones, and an optimizer barrier, so downstream
+filters never get pushed into (and multiply) a generated distance expression.
 Every path returns the same columns; ties go to the lower ``code_id``
-(codes are sorted by id and compared as ``(d2, code_id)``).
+(codes are sorted by id and compared as ``(d2, code_id)``).  A code whose
+distance is not finite does not count, so a row with a NULL, NaN or infinite
+feature, or of another width, has no nearest code (NULLs) on any path.
 """
 
 from __future__ import annotations
@@ -29,12 +33,6 @@ from pyspark.sql import types as T
 from riskvq.functions.vectors import vec_sqdist
 from riskvq.operators.codebook import Codebook, as_codebook, codebook_literal
 
-# Measured at sf0.1 (600k x 4 and 2000 x 64): the Arrow path is as fast as
-# the unrolled plan on small codebooks and far faster on wide ones, and it is
-# an optimizer barrier, so downstream filters never get pushed into (and
-# multiply) a generated distance expression.  ``auto`` therefore means Arrow;
-# the two JVM-only paths stay available by name.
-UNROLL_MAX_TERMS = 64
 # From this many distance terms per row (K x D) the Arrow kernel ranks with a
 # BLAS product plus exact re-ranking of a few candidates.
 GEMM_MIN_TERMS = 4_096
@@ -99,7 +97,7 @@ def _expr_structs(x: Column, cb_col: Column, same_label: Column | None) -> Colum
     structs = F.transform(cb_col, lambda c: F.struct(
         (F.lit(False) if same_label is None else c.code_label != same_label).alias("miss"),
         vec_sqdist(x, c.w).alias("d2"), c.code_id.alias("code_id"), c.code_label.alias("code_label")))
-    return F.filter(structs, lambda e: e.d2.isNotNull())
+    return F.filter(structs, lambda e: e.d2.isNotNull() & (e.d2 < F.lit(float("inf"))))
 
 
 def _structs_frame(df: DataFrame, cb: Codebook, method: str, within_class: bool, features: str,
@@ -114,43 +112,43 @@ def _field(s: Column, name: str, fn=None) -> Column:
     """Field of a picked distance struct; NULL when no code applied (other
     width, other class, or a NULL feature)."""
     v = s[name] if fn is None else fn(s[name])
-    return F.when(s.isNotNull() & ~s.miss & s.d2.isNotNull(), v)
+    return F.when(s.isNotNull() & ~s.miss & s.d2.isNotNull() & (s.d2 < F.lit(float("inf"))), v)
 
 
 # ---------------------------------------------------------------------------
 # Arrow path
 # ---------------------------------------------------------------------------
 
-def _nearest_kernel(ids: np.ndarray, labels: np.ndarray, w: np.ndarray, k: int, within_class: bool,
-                    features: str, names: list[str], gemm_min_terms: int, pair_n: np.ndarray | None = None):
-    """The per-batch function of the Arrow path.
+def make_finder(labels: np.ndarray, w: np.ndarray, k: int, within_class: bool, gemm_min_terms: int):
+    """``(find, matrix)``: the numpy functions that the Arrow kernels share.
 
-    Everything it needs is nested here, so it is shipped to the Python
-    workers by value: executors need numpy and pyarrow, not this package.
+    ``find(x, row_labels)`` gives indices and squared distances of the k nearest
+    codes; ``matrix(column)`` an (n x dims) matrix and a validity mask.  They are
+    nested here, so they travel to the Python workers by value: executors need
+    numpy and pyarrow, not this package.
     """
     dims, ncode = w.shape[1], w.shape[0]
     use_gemm = ncode * dims >= gemm_min_terms and ncode > k
-    chunk = max(1, 2_000_000 // max(1, (ncode if use_gemm else ncode * max(dims, 1))))
+    exact_rows = max(1, 2_000_000 // max(1, ncode * max(dims, 1)))
+    gemm_rows = max(1, 2_000_000 // max(1, ncode))
     ww = np.einsum("kd,kd->k", w, w)
     # bound on the rounding error of |x|^2 - 2 x.w + |w|^2 (generous)
     err = 64.0 * max(dims, 1) * np.finfo(np.float64).eps
 
-    def distances(x, cw):
-        diff = x[:, None, :] - cw[None, :, :]
-        return np.einsum("nkd,nkd->nk", diff, diff)
-
     def exact_pick(x, lr):
-        """k nearest by exact distances to every code; first index on ties."""
-        dd = distances(x, w)
-        if lr is not None:
-            dd = np.where(labels[None, :] != lr[:, None], np.inf, dd)
-        rows = np.arange(dd.shape[0])
-        idx = np.zeros((dd.shape[0], k), np.int64)
-        dist = np.full((dd.shape[0], k), np.inf)
-        for j in range(min(k, dd.shape[1])):
-            i = np.argmin(dd, axis=1)
-            idx[:, j], dist[:, j] = i, dd[rows, i]
-            dd[rows, i] = np.inf
+        """k nearest by exact distances to every code, in blocks of rows; first index on ties."""
+        n = len(x)
+        idx, dist = np.zeros((n, k), np.int64), np.full((n, k), np.inf)
+        for s in range(0, n, exact_rows):
+            diff = x[s:s + exact_rows, None, :] - w[None, :, :]
+            dd = np.einsum("nkd,nkd->nk", diff, diff)
+            if lr is not None:
+                dd = np.where(labels[None, :] != lr[s:s + exact_rows, None], np.inf, dd)
+            rows = np.arange(dd.shape[0])
+            for j in range(min(k, ncode)):
+                i = np.argmin(dd, axis=1)
+                idx[s:s + exact_rows, j], dist[s:s + exact_rows, j] = i, dd[rows, i]
+                dd[rows, i] = np.inf
         return idx, dist
 
     def gemm_pick(x, lr):
@@ -171,83 +169,86 @@ def _nearest_kernel(ids: np.ndarray, labels: np.ndarray, w: np.ndarray, k: int,
         idx = np.take_along_axis(cand, order, axis=1)
         dist = np.take_along_axis(ex, order, axis=1)
         edge = np.take_along_axis(approx, cand, axis=1).max(axis=1)
-        unsafe = (m < ncode) & (edge - err * (xx + ww.max()) <= dist[:, -1])
+        unsafe = (m < ncode) & ~(edge - err * (xx + ww.max()) > dist[:, -1])
         if unsafe.any():
             idx[unsafe], dist[unsafe] = exact_pick(x[unsafe], None if lr is None else lr[unsafe])
         return idx, dist
 
+    def find(x, lr):
+        if not use_gemm:
+            return exact_pick(x, lr)
+        parts = [gemm_pick(x[s:s + gemm_rows], None if lr is None else lr[s:s + gemm_rows])
+                 for s in range(0, len(x), gemm_rows)]
+        if not parts:
+            return exact_pick(x, lr)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
     def matrix(col):
         """(n x dims) float64 matrix of an Arrow list column and a validity
-        mask (row present, right width, no NULL element); zero-copy when
-        regular."""
+        mask (row present, right width, all elements finite); no Python loop."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        n = len(col)
         if isinstance(col, pa.ChunkedArray):
             col = col.combine_chunks()
         lengths = pc.list_value_length(col)
         ok = pc.fill_null(pc.equal(lengths, pa.scalar(dims, lengths.type)), False).to_numpy(zero_copy_only=False)
-        x = np.zeros((n, dims))
-        if ok.all() and col.values.null_count == 0:
-            flat = col.flatten().to_numpy(zero_copy_only=False)
-            return flat.reshape(n, dims).astype(np.float64, copy=False), ok
-        for i, v in enumerate(col.to_pylist()):
-            if ok[i] and all(e is not None for e in v):
-                x[i] = v
-            else:
-                ok[i] = False
-        return x, ok
+        whole = col if ok.all() else col.filter(pa.array(ok))
+        # a NULL element becomes NaN
+        flat = whole.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dims)
+        if ok.all():
+            x = flat
+        else:
+            x = np.zeros((len(col), dims))
+            x[ok] = flat
+        finite = np.isfinite(x).all(axis=1)
+        if not finite.all():
+            x = np.where(finite[:, None], x, 0.0)
+        return x, ok & finite
+
+    return find, matrix
+
+
+def _nearest_kernel(cb: Codebook, k: int, within_class: bool, keep: list[str], features: str, names: list[str],
+                    with_pair_norm: bool):
+    """The per-batch function of the Arrow path: kept columns, then the picks."""
+    ids, labels, w = cb.code_id.copy(), cb.code_label.copy(), cb.w.copy()
+    find, matrix = make_finder(labels, w, k, within_class, GEMM_MIN_TERMS)
 
     def run(batches):
         import pyarrow as pa
 
         for rb in batches:
-            n = rb.num_rows
             x, ok = matrix(rb.column(features))
-            lab_row = rb.column("label").to_numpy(zero_copy_only=False) if within_class else None
-            picks = [(np.zeros(n, np.int64), np.full(n, np.inf)) for _ in range(k)]
-            pick = gemm_pick if use_gemm else exact_pick
-            for s in range(0, n, chunk):
-                lr = None if lab_row is None else np.asarray(lab_row[s:s + chunk], dtype=np.float64)
-                idx, dist = pick(x[s:s + chunk], lr)
-                for j in range(k):
-                    picks[j][0][s:s + chunk] = idx[:, j]
-                    picks[j][1][s:s + chunk] = dist[:, j]
-            arrays = list(rb.columns)
-            for idx, dist in picks:
-                valid = ok & np.isfinite(dist)
-                arrays += [pa.array(ids[idx], pa.int64(), mask=~valid),
-                           pa.array(labels[idx].astype(np.int32), pa.int32(), mask=~valid),
-                           pa.array(dist, pa.float64(), mask=~valid)]
-            if pair_n is not None:
-                both = ok & np.isfinite(picks[0][1]) & np.isfinite(picks[1][1])
-                arrays.append(pa.array(pair_n[picks[0][0], picks[1][0]], pa.float64(), mask=~both))
-            yield pa.RecordBatch.from_arrays(arrays, names=list(rb.schema.names) + names)
+            lr = rb.column("label").cast(pa.float64()).to_numpy(zero_copy_only=False) if within_class else None
+            idx, dist = find(x, lr)
+            arrays = [rb.column(c) for c in keep]
+            for j in range(k):
+                bad = ~(ok & np.isfinite(dist[:, j]))
+                arrays += [pa.array(ids[idx[:, j]], pa.int64(), mask=bad),
+                           pa.array(labels[idx[:, j]].astype(np.int32), pa.int32(), mask=bad),
+                           pa.array(dist[:, j], pa.float64(), mask=bad)]
+            if with_pair_norm:
+                # |w_i - w_j| of the chosen pair, where the classes differ; summed over dimensions in order
+                both = ok & np.isfinite(dist[:, 1]) & (labels[idx[:, 0]] != labels[idx[:, 1]])
+                n = np.zeros(len(x))
+                diff = w[idx[both, 0]] - w[idx[both, 1]]
+                if diff.size:
+                    n[both] = np.sqrt(np.add.accumulate(diff * diff, axis=1)[:, -1])
+                arrays.append(pa.array(n, pa.float64(), mask=~both))
+            yield pa.RecordBatch.from_arrays(arrays, names=keep + names)
 
     return run
 
 
-def pair_norm_matrix(w: np.ndarray) -> np.ndarray:
-    """K x K matrix of ``|w_i - w_j|``, summed over dimensions in order (the
-    rounding of the fold over the vectors), in row blocks."""
-    ncode, dims = w.shape
-    out = np.zeros((ncode, ncode))
-    if dims == 0:
-        return out
-    block = max(1, 2_000_000 // max(1, ncode * dims))
-    for s in range(0, ncode, block):
-        diff = w[s:s + block, None, :] - w[None, :, :]
-        out[s:s + block] = np.sqrt(np.add.accumulate(diff * diff, axis=2)[:, :, -1])
-    return out
-
-
 def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, features: str,
-                   with_pair_norm: bool = False) -> DataFrame:
+                   with_pair_norm: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``mapInArrow``: numpy distances per Arrow batch, ties to the lower index.
 
-    Output columns: ``code_id, code_label, d2`` (k=1), the ``_i``/``_j`` pair
-    (k=2), or ``_c<r>, _l<r>, _d<r>`` for ranks ``r = 0..k-1`` (k>2)."""
+    Output columns: the columns of ``keep`` (default all of ``df``), then
+    ``code_id, code_label, d2`` (k=1), the ``_i``/``_j`` pair (k=2), or
+    ``_c<r>, _l<r>, _d<r>`` for ranks ``r = 0..k-1`` (k>2).  Only kept columns
+    come back from Python."""
     if k == 1:
         names = list(_OUT1)
     elif k == 2:
@@ -255,15 +256,18 @@ def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, feat
     else:
         names = [n for r in range(k) for n in (f"_c{r}", f"_l{r}", f"_d{r}")]
     types = [T.LongType(), T.IntegerType(), T.DoubleType()] * k
-    pair_n = None
-    if with_pair_norm and k == 2:
-        pair_n = pair_norm_matrix(cb.w)
+    if with_pair_norm:
         names.append("n")
         types.append(T.DoubleType())
-    out_schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in zip(names, types)])
-    kernel = _nearest_kernel(cb.code_id.copy(), cb.code_label.copy(), cb.w.copy(), k, within_class, features,
-                             list(names), GEMM_MIN_TERMS, pair_n)
-    return df.mapInArrow(kernel, out_schema)
+    keep = df.columns if keep is None else keep
+    needed = list(dict.fromkeys([*keep, features, *(["label"] if within_class else [])]))
+    fields = {f.name: f for f in df.schema.fields}
+    out_schema = T.StructType([fields[c] for c in keep] + [T.StructField(n, t) for n, t in zip(names, types)])
+    kernel = _nearest_kernel(cb, k, within_class, list(keep), features, list(names), with_pair_norm)
+    return df.select(*needed).mapInArrow(kernel, out_schema)
+
+
+PARTIAL_SCHEMA = "code_id bigint, n bigint, s double, v array<double>"
 
 
 # ---------------------------------------------------------------------------
@@ -271,21 +275,23 @@ def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, feat
 # ---------------------------------------------------------------------------
 
 def assign_nearest(df: DataFrame, codebook, within_class: bool = False, method: str = "auto",
-                   features: str = "features") -> DataFrame:
+                   features: str = "features", keep: list[str] | None = None) -> DataFrame:
     """Add ``code_id, code_label, d2`` of the nearest code vector (M1).
 
     ``within_class`` restricts the search to codes of the row's own label
-    (class-wise SOM passes).  Rows with no valid code get NULLs.
+    (class-wise SOM passes).  Rows with no valid code get NULLs.  ``keep``
+    names the columns of ``df`` to return (default all).
     """
     cb = as_codebook(codebook)
     m = choose_method(cb, method)
+    keep = df.columns if keep is None else keep
     if m == "arrow":
-        return _arrow_nearest(df, cb, 1, within_class, features)
+        return _arrow_nearest(df, cb, 1, within_class, features, keep=keep)
     if m == "unrolled":
-        return _unrolled_nearest(df, cb, 1, within_class, features)
+        return _unrolled_nearest(df, cb, 1, within_class, features).select(*keep, *_OUT1)
     staged = _structs_frame(df, cb, m, within_class, features, F.array_min)
     b = F.col("_p")
-    return staged.select(*df.columns, _field(b, "code_id").alias("code_id"),
+    return staged.select(*keep, _field(b, "code_id").alias("code_id"),
                          _field(b, "code_label").alias("code_label"), _field(b, "d2").alias("d2"))
 
 
@@ -325,7 +331,10 @@ def two_nearest(df: DataFrame, codebook, method: str = "auto", features: str = "
                          _field(j, "code_label").alias("label_j"), _field(j, "d2").alias("d2_j"))
 
 
-def predict(df: DataFrame, codebook, method: str = "auto", pred_col: str = "pred") -> DataFrame:
-    """Label of the nearest code vector (M7); keeps the true ``label``."""
-    assigned = assign_nearest(df, codebook, method=method)
-    return assigned.withColumnRenamed("code_label", pred_col).drop("code_id", "d2")
+def predict(df: DataFrame, codebook, method: str = "auto", pred_col: str = "pred",
+            features: str = "features", keep: list[str] | None = None) -> DataFrame:
+    """Label of the nearest code vector (M7) with the columns of ``keep``
+    (default all but the features, so the true ``label`` stays)."""
+    keep = [c for c in df.columns if c != features] if keep is None else keep
+    assigned = assign_nearest(df, codebook, method=method, features=features, keep=keep)
+    return assigned.select(*keep, F.col("code_label").alias(pred_col))

@@ -8,63 +8,93 @@ the rows it (or a neighbour within ``radius``) won::
 
 Neighbours are codes of the same class whose position in ``code_id`` order
 differs by at most ``radius`` (a bubble kernel on a 1-D chain); ``radius=0``
-is winner-only.  Labels never change.  One pass = one Spark job whose result
-is at most K rows of D sums.
+is winner-only.  Labels never change.  One pass = one Spark job: each task sums
+its rows per winning code, the partial sums are added, and at most K rows of D
+sums reach the driver, which spreads them over the neighbours.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from riskvq.operators.aggregates import weighted_sums
-from riskvq.operators.codebook import Codebook, as_codebook, local_frame
-from riskvq.operators.nearest import assign_nearest
+from riskvq.operators.aggregates import partial_sums, weighted_sums
+from riskvq.operators.codebook import Codebook, as_codebook
+from riskvq.operators.nearest import GEMM_MIN_TERMS, PARTIAL_SCHEMA, assign_nearest, make_finder
 from riskvq.operators.sampling import bernoulli_sample
 
 
-def neighbour_table(spark, cb: Codebook, radius: int) -> DataFrame:
-    """``(code_id, target_id)``: codes a winner pulls along (itself included)."""
-    rows = []
+def _som_kernel(cb: Codebook, within_class: bool):
+    """Per task: rows and sums of features by winning code."""
+    ids, k, dims = cb.code_id.copy(), cb.k, cb.dims
+    find, matrix = make_finder(cb.code_label.copy(), cb.w.copy(), 1, within_class, GEMM_MIN_TERMS)
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, v = np.zeros(k, np.int64), np.zeros((k, dims))
+        for rb in batches:
+            x, ok = matrix(rb.column(0))
+            lr = rb.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False) if within_class else None
+            idx, dist = find(x, lr)
+            won = ok & np.isfinite(dist[:, 0])
+            np.add.at(v, idx[won, 0], x[won])
+            n += np.bincount(idx[won, 0], minlength=k)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[used], pa.int64()), pa.array(n[used], pa.int64()), pa.array(n[used], pa.float64()),
+             pa.array(list(v[used]), pa.list_(pa.float64()))], names=["code_id", "n", "s", "v"])
+
+    return run
+
+
+def spread(cb: Codebook, n: np.ndarray, v: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and sums per code with those of its class within ``radius`` places of the code_id chain."""
+    if radius <= 0:
+        return n, v
+    out_n, out_v = np.zeros_like(n), np.zeros_like(v)
     for lab in np.unique(cb.code_label):
-        ids = cb.code_id[cb.code_label == lab]
-        for i, cid in enumerate(ids):
-            for j in range(max(0, i - radius), min(len(ids), i + radius + 1)):
-                rows.append((int(cid), int(ids[j])))
-    return local_frame(spark, rows, [("code_id", "bigint"), ("target_id", "bigint")])
+        at = np.flatnonzero(cb.code_label == lab)
+        for i, code in enumerate(at):
+            near = at[max(0, i - radius):i + radius + 1]
+            out_n[code], out_v[code] = n[near].sum(), v[near].sum(axis=0)
+    return out_n, out_v
 
 
 def som_step(df: DataFrame, codebook, rate: float, radius: int = 0, within_class: bool = False,
-             sample_fraction: float | None = None, seed: int = 0, method: str = "auto") -> Codebook:
-    """One batch SOM pass; returns the moved codebook."""
+             sample_fraction: float | None = None, seed: int = 0, method: str = "auto", salt: str = "som") -> Codebook:
+    """One batch SOM pass; returns the moved codebook.
+
+    ``sample_fraction`` reads a keyed sample; ``salt`` names it."""
     cb = as_codebook(codebook)
     if cb.k == 0:
         return cb
-    data = df if sample_fraction is None else bernoulli_sample(df, sample_fraction, seed)
-    # Rows without a code (NULL key) form one group that is ignored below.
-    assigned = assign_nearest(data, cb, within_class=within_class, method=method)
-    key = "code_id"
-    if radius > 0:
-        nb = neighbour_table(df.sparkSession, cb, radius)
-        assigned = assigned.join(F.broadcast(nb), "code_id").drop("code_id").withColumnRenamed("target_id", "code_id")
-    sums = weighted_sums(assigned, key, cb.dims, max_keys=cb.k)
+    data = df if sample_fraction is None else bernoulli_sample(df, sample_fraction, seed, salt=salt)
+    if method in ("auto", "arrow"):
+        columns = ["features", "label"] if within_class else ["features"]
+        sums = partial_sums(data.select(*columns).mapInArrow(_som_kernel(cb, within_class), PARTIAL_SCHEMA), cb.dims, cb.k)
+    else:
+        # rows without a code (NULL key) form one group that is left out
+        sums = weighted_sums(assign_nearest(data, cb, within_class=within_class, method=method), "code_id", cb.dims,
+                             max_keys=cb.k)
+    n, v = np.zeros(cb.k), np.zeros((cb.k, cb.dims))
+    place = {int(c): i for i, c in enumerate(cb.code_id)}
+    for code, (count, _, total) in sums.items():
+        n[place[code]], v[place[code]] = count, total
+    n, v = spread(cb, n, v, radius)
     w = cb.w.copy()
-    for i, cid in enumerate(cb.code_id):
-        got = sums.get(int(cid))
-        if got and got[0] > 0:
-            mean = got[2] / got[0]
-            w[i] = w[i] + rate * (mean - w[i])
+    for i in np.flatnonzero(n > 0):
+        w[i] = w[i] + rate * (v[i] / n[i] - w[i])
     return cb.with_weights(w)
 
 
 def som_train(df: DataFrame, codebook, epochs: int, rate: float, radius: int = 0, within_class: bool = False,
               sample_fraction: float | None = None, seed: int = 0, method: str = "auto") -> Codebook:
-    """``epochs`` SOM passes (M3); each pass re-broadcasts the codebook.
+    """``epochs`` SOM passes (M3), each against the codebook of the last.
 
     With ``sample_fraction`` each epoch uses its own keyed sample.
     """
     cb = as_codebook(codebook)
     for e in range(epochs):
-        cb = som_step(df, cb, rate, radius, within_class, sample_fraction, seed + e, method)
+        cb = som_step(df, cb, rate, radius, within_class, sample_fraction, seed, method, salt=f"som:{e}")
     return cb
