@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskvq.functions.vectors import vec_dist
 from riskvq.operators.aggregates import UNROLL_MAX_DIMS
@@ -16,12 +15,6 @@ from riskvq.operators.codebook import local_frame
 
 MAX_COST_CELLS = 1_000_000
 
-COST_SCHEMA = T.StructType([
-    T.StructField("actual", T.IntegerType(), False),
-    T.StructField("predicted", T.IntegerType(), False),
-    T.StructField("cost", T.DoubleType(), False),
-])
-
 
 def cost_table(spark: SparkSession, classes: list[int], matrix=None) -> DataFrame:
     """Cost matrix as ``(actual, predicted, cost)``.
@@ -53,10 +46,13 @@ def confusion(pred: DataFrame, label_col: str = "label", pred_col: str = "pred")
 
 def confusion_matrix(pred: DataFrame, classes: list[int], label_col: str = "label",
                      pred_col: str = "pred") -> DataFrame:
-    """Pivoted confusion matrix: rows actual, one column per predicted class,
-    zero-filled.  ``classes`` is given so the pivot needs no extra pass."""
-    return (pred.groupBy(F.col(label_col).alias("actual"))
-            .pivot(pred_col, classes).agg(F.count(F.lit(1))).na.fill(0))
+    """Pivoted confusion matrix: rows actual, one column per class of
+    ``classes`` and ``other`` for predictions outside it (NULL included), so a
+    row sums to its number of rows.  One aggregate, no pivot pass."""
+    p = F.col(pred_col)
+    known = F.coalesce(p.isin([int(c) for c in classes]), F.lit(False)) if classes else F.lit(False)
+    return pred.groupBy(F.col(label_col).alias("actual")).agg(
+        *[F.count_if(p == F.lit(int(c))).alias(str(c)) for c in classes], F.count_if(~known).alias("other"))
 
 
 def accuracy(pred: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
@@ -66,12 +62,15 @@ def accuracy(pred: DataFrame, label_col: str = "label", pred_col: str = "pred")
 
 
 def mean_cost(pred: DataFrame, cost: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
-    """Average misclassification cost (E3); with 0/1 costs = 1 - accuracy.
+    """Average misclassification cost and the rows it leaves out (E3): ``(mean_cost, n_unlisted)``.
 
-    Pairs missing from the cost table cost 0."""
+    Rows whose (actual, predicted) pair the cost table does not list, NULLs
+    included, have no cost: they are counted in ``n_unlisted`` and are not part
+    of the average.  With 0/1 costs and every pair listed the average is
+    1 - accuracy."""
     j = pred.join(F.broadcast(cost), (F.col(label_col) == F.col("actual")) & (F.col(pred_col) == F.col("predicted")),
                   "left")
-    return j.agg(F.avg(F.coalesce(F.col("cost"), F.lit(0.0))).alias("mean_cost"))
+    return j.agg(F.avg("cost").alias("mean_cost"), F.count_if(F.col("cost").isNull()).alias("n_unlisted"))
 
 
 def codebook_trace(stages: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -93,26 +92,29 @@ def codebook_shift(trace: DataFrame) -> DataFrame:
 def class_profile(df: DataFrame, dims: int, label_col: str = "label") -> DataFrame:
     """Rows per class and per-feature mean, population std, min and max (E7).
 
-    Long form ``(label, dim, n, mean, std, min, max)``: one hash aggregate with
-    ``4 x dims`` partial aggregates (by (class, dimension) above
+    Long form ``(label, dim, n, mean, std, min, max)``: one row for every class
+    (NULL is one) and every dimension below ``dims``; ``n`` counts the rows of
+    the class, the others are NULL where no row has a value.  One hash aggregate
+    with ``4 x dims`` partial aggregates (by (class, dimension) above
     ``UNROLL_MAX_DIMS``), so a hot class costs nothing extra.
     """
+    label = F.col(label_col).alias("label")
     if dims > UNROLL_MAX_DIMS:
-        per = (df.select(F.col(label_col).alias("label"), F.posexplode("features").alias("dim", "x"))
-               .where(F.col("dim") < F.lit(dims))
-               .groupBy("label", F.col("dim").cast("int").alias("dim"))
+        per = (df.select(F.col(label_col).alias("_l"), F.posexplode("features").alias("_d", "x"))
+               .where(F.col("_d") < F.lit(dims)).groupBy("_l", "_d")
                .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"),
                     F.max("x").alias("max")))
-        counts = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-        # one row per class: a broadcast side bounded by the class count
-        return per.join(F.broadcast(counts), "label").select("label", "dim", "n", "mean", "std", "min", "max")
+        grid = (df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+                .select("label", "n", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim")))
+        return (grid.join(per, grid["label"].eqNullSafe(per["_l"]) & (grid["dim"] == per["_d"]), "left")
+                .select("label", "dim", "n", "mean", "std", "min", "max"))
     x = F.col("features")
     aggs = [F.count(F.lit(1)).alias("n")]
     for d in range(dims):
         xd = F.get(x, d)
         aggs += [F.avg(xd).alias(f"mean{d}"), F.stddev_pop(xd).alias(f"std{d}"),
                  F.min(xd).alias(f"min{d}"), F.max(xd).alias(f"max{d}")]
-    wide = df.groupBy(F.col(label_col).alias("label")).agg(*aggs)
+    wide = df.groupBy(label).agg(*aggs)
     per_dim = F.explode(F.array(*[
         F.struct(F.lit(d).alias("dim"), F.col(f"mean{d}").alias("mean"), F.col(f"std{d}").alias("std"),
                  F.col(f"min{d}").alias("min"), F.col(f"max{d}").alias("max")) for d in range(dims)]))

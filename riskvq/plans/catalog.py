@@ -32,6 +32,7 @@ DIGITS = 6
 SEED = 15
 TRAIN_PCT = 80
 EMB_CLASSES = list(range(10))
+EMB_DIMS = 64
 PER_CLASS = {c: 3 for c in EMB_CLASSES}
 SOM_RATE = 0.05
 BVQ_RATE = 0.01
@@ -96,6 +97,11 @@ def q_to_labeled(spark, sf):
     return feature_columns(lab, 2)
 
 
+def q_to_labeled_numeric(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("band", F.col("o_totalprice") / F.lit(100000.0))
+    return feature_columns(to_labeled(orders, "o_orderkey", "band", ["o_totalprice"]), 1)
+
+
 def q_from_matrix(spark, sf):
     li = table(spark, sf, "lineitem")
     matrix = li.select(*LINEITEM_FEATURES, label_index("l_returnflag", RETURN_FLAGS).alias("label"))
@@ -200,7 +206,7 @@ def q_vec_scale(spark, sf):
 
 
 def q_vec_avg(spark, sf):
-    return vec_avg_long(emb(spark, sf), "label").select("label", "dim", r("avg").alias("avg"))
+    return vec_avg_long(emb(spark, sf), "label", dims=EMB_DIMS).select("label", "dim", r("avg").alias("avg"))
 
 
 # -- sorts -------------------------------------------------------------------
@@ -268,12 +274,22 @@ def q_bvq_train_2(spark, sf):
     return cb_long(spark, cb)
 
 
+def q_bvq_train_epochs(spark, sf):
+    cb, _ = bvq_train(emb_train(spark, sf), init_cb(spark, sf), epochs=2, rate=BVQ_RATE, delta=DELTA,
+                      n_bags=TRAIN_BAGS, bag_size=TRAIN_BAG_SIZE, seed=SEED)
+    return cb_long(spark, cb)
+
+
 def q_predict(spark, sf):
     return predict(emb_test(spark, sf), init_cb(spark, sf)).select("id", "label", "pred")
 
 
 def q_confusion(spark, sf):
-    return E.confusion(predict(emb_test(spark, sf), init_cb(spark, sf)))
+    return E.confusion(predict(emb_test(spark, sf), init_cb(spark, sf), keep=["label"]))
+
+
+def q_confusion_matrix(spark, sf):
+    return E.confusion_matrix(predict(emb_test(spark, sf), init_cb(spark, sf), keep=["label"]), EMB_CLASSES)
 
 
 def q_accuracy(spark, sf):
@@ -283,7 +299,7 @@ def q_accuracy(spark, sf):
 def q_mean_cost(spark, sf):
     cost = E.cost_table(spark, EMB_CLASSES, lambda a, p: abs(a - p))
     pred = predict(emb_test(spark, sf), init_cb(spark, sf))
-    return E.mean_cost(pred, cost).select(r("mean_cost").alias("mean_cost"))
+    return E.mean_cost(pred, cost).select(r("mean_cost").alias("mean_cost"), "n_unlisted")
 
 
 def _stages(spark, sf):
@@ -325,6 +341,7 @@ def q_classify_pipeline(spark, sf):
 
 QUERIES = {
     "to_labeled": q_to_labeled,
+    "to_labeled_numeric": q_to_labeled_numeric,
     "from_matrix": q_from_matrix,
     "uniform_table": q_uniform_table,
     "uniform_int": q_uniform_int,
@@ -362,8 +379,10 @@ QUERIES = {
     "bvq_step_projection": q_bvq_step_projection,
     "bvq_step_cost": q_bvq_step_cost,
     "bvq_train_2": q_bvq_train_2,
+    "bvq_train_epochs": q_bvq_train_epochs,
     "predict": q_predict,
     "confusion": q_confusion,
+    "confusion_matrix": q_confusion_matrix,
     "accuracy": q_accuracy,
     "mean_cost": q_mean_cost,
     "codebook_trace": q_codebook_trace,

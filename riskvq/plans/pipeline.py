@@ -11,7 +11,7 @@ and per-code sums come back to the driver.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -21,7 +21,7 @@ from riskvq.operators.bvq import bvq_train
 from riskvq.operators.codebook import Codebook
 from riskvq.operators.evaluate import accuracy, confusion, cost_table, mean_cost
 from riskvq.operators.nearest import predict
-from riskvq.operators.sampling import init_codebook_per_class, split_by_position, split_random, train_test
+from riskvq.operators.sampling import init_codebook_per_class, split_by_position, split_random, split_sizes, train_test
 from riskvq.operators.som import som_train
 
 
@@ -47,6 +47,7 @@ class RunParams:
     som_within_class: bool = False
     som_sample_fraction: float | None = None
     method: str = "auto"
+    persist_train: bool = False          # keep the training part between passes (else it is read again)
 
 
 @dataclass
@@ -66,7 +67,7 @@ class RunResult:
     def mean_cost(self, classes: list[int]) -> DataFrame:
         spark = self.predictions.sparkSession
         cost = self.params.cost
-        matrix = None if cost is None else (lambda a, p: cost.get((a, p), 0.0))
+        matrix = None if cost is None else (lambda a, p: cost[(a, p)] if a != p else cost.get((a, p), 0.0))
         return mean_cost(self.predictions, cost_table(spark, classes, matrix))
 
     def codebook(self) -> Codebook:
@@ -81,39 +82,64 @@ def classify_pipeline(df: DataFrame, params: RunParams) -> RunResult:
     else:
         split = split_random(df, params.train_pct, params.seed)
     train, test = train_test(split)
-    # Every SOM epoch and BVQ pass reads the training part again: keep it, at
-    # the three columns used, for the length of the run (spills to disk).
-    train = train.select("id", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    cb = Codebook.from_df(init_codebook_per_class(train, params.per_class, params.seed))
-    stages = [("init", cb)]
+    train = train.select("id", "label", "features")
     timings = {}
-    if params.use_som and params.som_epochs > 0:
+    if params.persist_train:
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cb = Codebook.from_df(init_codebook_per_class(train, params.per_class, params.seed))
+        stages = [("init", cb)]
+        if params.use_som and params.som_epochs > 0:
+            t = time.time()
+            cb = som_train(train, cb, params.som_epochs, params.som_rate, params.som_radius,
+                           params.som_within_class, params.som_sample_fraction, params.seed, params.method)
+            timings["som_sec"] = time.time() - t
+            stages.append(("som", cb))
         t = time.time()
-        cb = som_train(train, cb, params.som_epochs, params.som_rate, params.som_radius,
-                       params.som_within_class, params.som_sample_fraction, params.seed, params.method)
-        timings["som_sec"] = time.time() - t
-        stages.append(("som", cb))
-    t = time.time()
-    cb, _ = bvq_train(train, cb, params.bvq_epochs, params.rate, params.delta, params.window_half_width,
-                      params.cost, params.target, params.n_bags, params.bag_size, params.seed, params.use_bags,
-                      method=params.method)
-    timings["bvq_sec"] = time.time() - t
-    stages.append(("bvq", cb))
-    train.unpersist()
+        cb, _ = bvq_train(train, cb, params.bvq_epochs, params.rate, params.delta, params.window_half_width,
+                          params.cost, params.target, params.n_bags, params.bag_size, params.seed, params.use_bags,
+                          method=params.method)
+        timings["bvq_sec"] = time.time() - t
+        stages.append(("bvq", cb))
+    finally:
+        if params.persist_train:
+            train.unpersist()
     preds = predict(test, cb, method=params.method)
-    timings["total_sec"] = time.time() - t0
+    timings["train_sec"] = time.time() - t0
     return RunResult(params, split, preds, stages, timings)
 
 
 def run_report(result: RunResult, classes: list[int]) -> DataFrame:
-    """``(metric, value)`` rows of a run: sizes, times, accuracy, mean cost."""
+    """``(metric, value)`` rows of a run: parameters, sizes, times, the confusion
+    matrix, accuracy and mean cost.
+
+    ``score_sec`` is the time to score the whole test part, ``total_sec`` that
+    of training and scoring."""
     spark = result.predictions.sparkSession
-    sizes = {r["part"]: r["n"] for r in result.split.groupBy("part").count().withColumnRenamed("count", "n").collect()}
-    acc = result.accuracy().collect()[0]["accuracy"]
-    cost = result.mean_cost(classes).collect()[0]["mean_cost"]
-    rows = [("train_rows", str(sizes.get("train", 0))), ("test_rows", str(sizes.get("test", 0))),
-            ("codes", str(result.codebook().k)), ("accuracy", repr(acc)), ("mean_cost", repr(cost))]
+    t = time.time()
+    # one scoring pass; the rest follows from at most classes^2 counts
+    counts = {(r["actual"], r["predicted"]): r["n"] for r in result.confusion().collect()}
+    score_sec = time.time() - t
+    sizes = {r["part"]: r["n"] for r in split_sizes(result.split).collect()}
+    total = sum(counts.values())
+    acc = sum(n for (a, p), n in counts.items() if a is not None and a == p) / total if total else None
+    rows = [(f"param_{f.name}", str(getattr(result.params, f.name))) for f in fields(result.params)]
+    rows += [("train_rows", str(sizes.get("train", 0))), ("test_rows", str(sizes.get("test", 0))),
+             ("codes", str(result.codebook().k))]
+    rows.append(("confusion_columns", " ".join([*map(str, classes), "other"])))
+    for a in sorted({a for a, _ in counts}, key=lambda x: (x is None, x)):
+        own = {p: n for (b, p), n in counts.items() if b == a}
+        cells = [own.get(c, 0) for c in classes]
+        rows.append((f"confusion_{a}", " ".join(map(str, [*cells, sum(own.values()) - sum(cells)]))))
+    cost = result.params.cost
+    listed = {(a, p): n for (a, p), n in counts.items() if a in classes and p in classes}
+    spent = sum(n * ((0.0 if a == p else 1.0) if cost is None else cost.get((a, p), 0.0) if a == p else cost[(a, p)])
+                for (a, p), n in listed.items())
+    n_listed = sum(listed.values())
+    rows += [("accuracy", repr(acc)), ("mean_cost", repr(spent / n_listed if n_listed else None)),
+             ("unlisted_rows", str(total - n_listed))]
     rows += [(k, f"{v:.3f}") for k, v in result.timings.items()]
+    rows += [("score_sec", f"{score_sec:.3f}"), ("total_sec", f"{result.timings['train_sec'] + score_sec:.3f}")]
     return spark.createDataFrame(rows, "metric string, value string")
 
 

@@ -36,27 +36,24 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
-    On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared
-    file system).  Only a local-mode session without that setting gets a
-    scratch folder of its own, so tests and the bench can run.
+    It comes from ``spark.checkpoint.dir``, a folder that all executors share.
+    Only a session whose executors run in the driver's own process may go
+    without the setting: it gets a scratch folder, so tests and the bench run.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="riskvq-ckpt-", dir=os.environ.get("RISKVQ_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(path)
-    return path
+    if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="riskvq-ckpt-", dir=os.environ.get("RISKVQ_SCRATCH"))
+    sc.setCheckpointDir(configured)
+    return sc._jsc.sc().getCheckpointDir().get()

@@ -45,13 +45,13 @@ def label_index(col, values: list[str]) -> Column:
 def to_labeled(df: DataFrame, id_col, label_col, feature_cols, label_values: list[str] | None = None) -> DataFrame:
     """Project a table into ``(id, label, features)`` (IO3).
 
-    A numeric label is truncated to int (the reference reads it as double and
-    narrows it); a string label is numbered through ``label_values``.
+    A numeric label is truncated to int, NULL where it is no number or out of
+    range; a string label is numbered through ``label_values``.
     """
     if label_values is not None:
         label = label_index(label_col, label_values)
     else:
-        label = _c(label_col).cast("double").cast("int")
+        label = _c(label_col).try_cast("double").try_cast("int")
     feats = F.array(*[_c(c).cast("double") for c in feature_cols])
     return df.select(_c(id_col).alias("id"), label.alias("label"), feats.alias("features"))
 
@@ -64,7 +64,7 @@ def from_matrix(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """
     cols = [c for c in df.columns if c != id_col]
     feats, label = cols[:-1], cols[-1]
-    out = [F.col(label).cast("double").cast("int").alias("label"),
+    out = [F.col(label).try_cast("double").try_cast("int").alias("label"),
            F.array(*[F.col(c).cast("double") for c in feats]).alias("features")]
     if id_col is not None:
         out.insert(0, F.col(id_col).alias("id"))

@@ -3,12 +3,16 @@ BVQ bag, the recorded confusion matrix).  The sample row is not part of the
 record; it is solved from the two codebooks as described in FIXTURES.md F3.
 """
 
+import os
+
 import numpy as np
 import pytest
 
 from riskvq.operators.bvq import bvq_step, bvq_window, cost_from_matrix
 from riskvq.operators.codebook import Codebook
-from riskvq.sources.labeled import LABELED_SCHEMA
+from riskvq.operators.evaluate import confusion_matrix
+from riskvq.operators.nearest import predict
+from riskvq.sources.labeled import LABELED_SCHEMA, read_labeled_csv
 
 # The recorded codebook before the BVQ bag (w1, w2, label), in file order.
 BEFORE_BVQ = [
@@ -91,3 +95,16 @@ def test_default_cost_equals_01_matrix(spark):
 def test_recorded_accuracy():
     c = RECORDED_CONFUSION
     assert (c[0][0] + c[1][1]) / sum(map(sum, c)) == pytest.approx(RECORDED_ACCURACY, abs=1e-15)
+
+
+# Confusion matrices of the 201 sample rows (actual 1, 2 by predicted 1, 2) under the recorded codebooks.
+SAMPLE_CONFUSION = {"before": [[58, 42], [29, 72]], "after": [[57, 43], [29, 72]]}
+
+
+@pytest.mark.skipif("RISKVQ_SAMPLE_CSV" not in os.environ, reason="RISKVQ_SAMPLE_CSV names the 201 sample rows (id,label,f1,f2)")
+@pytest.mark.parametrize("stage", ["before", "after"])
+def test_scoring_of_the_sample_rows(spark, stage):
+    rows = read_labeled_csv(spark, os.environ["RISKVQ_SAMPLE_CSV"], 2)
+    pred = predict(rows, _cb(BEFORE_BVQ if stage == "before" else AFTER_BVQ))
+    got = {r.actual: [r["1"], r["2"]] for r in confusion_matrix(pred, [1, 2]).collect()}
+    assert [got[1], got[2]] == SAMPLE_CONFUSION[stage]

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskvq.functions import vectors as V
+from riskvq.functions.keys import draw_key, key_threshold
 from riskvq.operators import evaluate as E
 from riskvq.operators import sampling as S
 from riskvq.operators.bvq import bvq_step, bvq_train
@@ -17,13 +18,13 @@ from riskvq.operators.nearest import assign_nearest, two_nearest
 from riskvq.operators.ranking import with_position
 from riskvq.operators.som import som_step
 from riskvq.sources.generate import uniform_features, uniform_table
-from riskvq.sources.labeled import LABELED_SCHEMA, embeddings_labeled, events_labeled, read_labeled_csv
+from riskvq.sources.labeled import LABELED_SCHEMA, embeddings_labeled, events_labeled, from_matrix, read_labeled_csv, to_labeled
 
 SF = "/root/testdata/sf0.001"
 
 
-def md5key(seed, id_):
-    return hashlib.md5(f"{seed}:{id_}".encode()).hexdigest()
+def md5key(seed, purpose, id_):
+    return hashlib.md5(f"{seed}:{purpose}:{id_}".encode()).hexdigest()
 
 
 @pytest.fixture(scope="module")
@@ -63,14 +64,14 @@ def test_with_position_is_a_permutation(ev):
 
 def test_shuffle_rows_matches_md5_order(ev):
     rows = {r.id: r.pos for r in S.shuffle_rows(ev, 11).collect()}
-    order = sorted(rows, key=lambda i: (md5key(11, i), i))
+    order = sorted(rows, key=lambda i: (md5key(11, 'shuffle', i), i))
     assert [rows[i] for i in order] == list(range(1, len(order) + 1))
 
 
 def test_draw_bags_wraps_past_the_end(spark, emb):
     small = emb.where(F.col("id") < 30)
     bags = S.draw_bags(small, 4, 20, 5).collect()
-    order = sorted(range(30), key=lambda i: (md5key(5, i), i))
+    order = sorted(range(30), key=lambda i: (md5key(5, 'bag', i), i))
     expect = {(s // 20 + 1, s % 20 + 1): order[s % 30] for s in range(80)}
     assert {(r.bag, r.pos): r.id for r in bags} == expect
     for b in range(1, 5):
@@ -92,7 +93,7 @@ def test_init_per_class_brute_force(emb):
     exp = set()
     off = 0
     for c, q in [(3, 4), (7, 2)]:
-        ids = sorted((md5key(21, r.id), r.id) for r in rows if r.label == c)[:q]
+        ids = sorted((md5key(21, 'init', r.id), r.id) for r in rows if r.label == c)[:q]
         exp |= {(c, off + k + 1) for k in range(len(ids))}
         off += q
     assert got == exp
@@ -100,7 +101,7 @@ def test_init_per_class_brute_force(emb):
 
 def test_limit_n_and_init_sampled(emb):
     top = S.limit_n(emb, 5, 4).collect()
-    ids = sorted((md5key(4, r.id), r.id) for r in emb.select("id").collect())[:5]
+    ids = sorted((md5key(4, 'limit', r.id), r.id) for r in emb.select("id").collect())[:5]
     assert [r.id for r in sorted(top, key=lambda r: r.pos)] == [i for _, i in ids]
     assert S.init_codebook_sampled(emb, 5, 4).count() == 5
     assert S.init_codebook_sampled(emb.limit(3), 5, 4).count() == 3
@@ -219,7 +220,12 @@ def test_evaluation(spark):
     cost = E.cost_table(spark, [0, 1], [[0, 5], [2, 0]])
     assert E.mean_cost(pred, cost).collect()[0].mean_cost == 1.25
     cm = E.confusion_matrix(pred, [0, 1]).orderBy("actual").collect()
-    assert [(r["0"], r["1"]) for r in cm] == [(1, 1), (0, 2)]
+    assert [(r["0"], r["1"], r["other"]) for r in cm] == [(1, 1, 0), (0, 2, 0)]
+    odd = spark.createDataFrame([(1, 0, None), (2, 0, 7), (3, None, 0), (4, 0, 0)], "id long, label int, pred int")
+    cm = {r["actual"]: (r["0"], r["1"], r["other"]) for r in E.confusion_matrix(odd, [0, 1]).collect()}
+    assert cm == {0: (1, 0, 2), None: (1, 0, 0)}
+    mc = E.mean_cost(odd, cost).collect()[0]
+    assert (mc.mean_cost, mc.n_unlisted) == (0.0, 3)
 
 
 def test_codebook_bounds():
@@ -246,6 +252,16 @@ def test_read_labeled_csv_quirks(spark):
     assert rows[3].features[0] is None
 
 
+def test_labels_that_are_no_int_read_as_null(spark):
+    df = spark.createDataFrame([(1, float("nan"), 0.5), (2, 1e30, 0.5), (3, 2.9, 0.5), (4, None, 0.5)], "id long, y double, x double")
+    got = {r.id: r.label for r in to_labeled(df, "id", "y", ["x"]).collect()}
+    assert got == {1: None, 2: None, 3: 2, 4: None}
+    text = spark.createDataFrame([(1, "abc", 0.5), (2, "3", 0.5)], "id long, y string, x double")
+    assert {r.id: r.label for r in to_labeled(text, "id", "y", ["x"]).collect()} == {1: None, 2: 3}
+    last = spark.createDataFrame([(0.5, float("inf"))], "x double, y double")
+    assert from_matrix(last).collect()[0].label is None
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], LABELED_SCHEMA)
     assert S.row_count(empty).collect()[0].n == 0
@@ -267,14 +283,14 @@ def test_codebook_inline_table_round_trip_is_exact(spark):
 
 def test_draw_bags_prefiltered_matches_brute_force(emb):
     bags = S.draw_bags(emb.repartition(6), 3, 20, 8).collect()
-    order = sorted((r.id for r in emb.select("id").collect()), key=lambda i: (md5key(8, i), i))
+    order = sorted((r.id for r in emb.select("id").collect()), key=lambda i: (md5key(8, 'bag', i), i))
     assert {(r.bag, r.pos): r.id for r in bags} == {(s // 20 + 1, s % 20 + 1): order[s] for s in range(60)}
 
 
 def test_draw_bags_large_path(emb, monkeypatch):
     monkeypatch.setattr(S, "MAX_TOP_ROWS", 10)
     bags = S.draw_bags(emb, 3, 20, 8).collect()
-    order = sorted((r.id for r in emb.select("id").collect()), key=lambda i: (md5key(8, i), i))
+    order = sorted((r.id for r in emb.select("id").collect()), key=lambda i: (md5key(8, 'bag', i), i))
     assert {(r.bag, r.pos): r.id for r in bags} == {(s // 20 + 1, s % 20 + 1): order[s] for s in range(60)}
 
 
@@ -299,19 +315,29 @@ def test_split_by_position_general_order(ev):
     assert all(got[i] == ("train" if k < cut else "test") for k, (_, i) in enumerate(rows))
 
 
-def test_bvq_pair_norm_sources_agree(emb, monkeypatch):
-    import riskvq.operators.bvq as B
+def test_bvq_kernel_agrees_with_expressions(emb):
     cb = Codebook.from_df(S.init_codebook_per_class(emb, {c: 2 for c in range(10)}, 1))
+    cost = {(a, p): float(abs(a - p)) + (0.5 if a == 3 else 0.0) for a in range(9) for p in range(10)}
     for target in ("sample", "projection"):
-        kernel = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
-        monkeypatch.setattr(B, "KERNEL_PAIR_CODES", 0)
-        table = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
-        monkeypatch.setattr(B, "MAX_PAIRS", 1)
-        per_row = bvq_step(emb, cb, 0.05, delta=2.0, target=target)
-        monkeypatch.setattr(B, "MAX_PAIRS", 4_000_000)
-        monkeypatch.setattr(B, "KERNEL_PAIR_CODES", 512)
-        assert np.array_equal(kernel.w, table.w) and np.array_equal(table.w, per_row.w)
-        assert not np.array_equal(kernel.w, cb.w)
+        for c in (None, cost):
+            kernel = bvq_step(emb, cb, 0.05, delta=2.0, target=target, cost=c)
+            rows = bvq_step(emb, cb, 0.05, delta=2.0, target=target, cost=c, method="expr")
+            assert np.allclose(kernel.w, rows.w, rtol=0, atol=1e-12) and not np.allclose(kernel.w, cb.w)
+
+
+def test_som_kernel_agrees_with_expressions(emb):
+    cb = Codebook.from_df(S.init_codebook_per_class(emb, {c: 3 for c in range(10)}, 1))
+    for radius in (0, 1):
+        for within in (False, True):
+            a = som_step(emb, cb, 0.3, radius=radius, within_class=within)
+            b = som_step(emb, cb, 0.3, radius=radius, within_class=within, method="expr")
+            assert np.allclose(a.w, b.w, rtol=0, atol=1e-12)
+
+
+def test_incomplete_cost_raises(emb):
+    cb = Codebook.from_df(S.init_codebook_per_class(emb, {0: 1, 1: 1}, 1))
+    with pytest.raises(ValueError, match="not given"):
+        bvq_step(emb, cb, 0.1, cost={(0, 0): 0.0, (1, 0): 1.0})
 
 
 def test_weighted_sums_wide_form_matches_unrolled(emb, monkeypatch):
@@ -375,10 +401,10 @@ def test_bvq_cost_map_and_join_agree(emb, monkeypatch):
     import riskvq.operators.bvq as B
     cb = Codebook.from_df(S.init_codebook_per_class(emb, {c: 2 for c in range(10)}, 1))
     cost = {(a, p): float(abs(a - p)) + (0.5 if a == 3 else 0.0) for a in range(10) for p in range(10) if a != p}
-    a = bvq_step(emb, cb, 0.05, delta=2.0, cost=cost)
+    a = bvq_step(emb, cb, 0.05, delta=2.0, cost=cost, method="expr")
     monkeypatch.setattr(B, "MAP_COST_CELLS", 1)
-    b = bvq_step(emb, cb, 0.05, delta=2.0, cost=cost)
-    assert np.array_equal(a.w, b.w) and not np.array_equal(a.w, cb.w)
+    b = bvq_step(emb, cb, 0.05, delta=2.0, cost=cost, method="expr")
+    assert np.allclose(a.w, b.w, rtol=0, atol=1e-12) and not np.array_equal(a.w, cb.w)
 
 
 def test_vec_avg_forms_agree(emb, monkeypatch):
@@ -408,3 +434,152 @@ def test_codebook_collect_checks_size_first(emb, monkeypatch):
         Codebook.from_df(cbdf)
     with pytest.raises(CodebookTooLarge):
         Codebook.from_df(cbdf, max_codes=5)
+
+
+# -- draws are independent of each other ----------------------------------------
+
+def test_sample_of_a_test_part_keeps_its_fraction(spark):
+    ev = events_labeled(spark, "/root/testdata/sf0.01")
+    train, test = S.train_test(S.split_random(ev, 80, 15))
+    for part in (train, test):
+        n = part.count()
+        kept = S.bernoulli_sample(part, 0.5, 15).count()
+        assert abs(kept - 0.5 * n) < 5 * (0.25 * n) ** 0.5
+    again = {r.part: r["count"] for r in S.split_random(test, 50, 15, salt="again").groupBy("part").count().collect()}
+    n = sum(again.values())
+    assert abs(again["train"] - n / 2) < 5 * (0.25 * n) ** 0.5
+
+
+def test_bags_do_not_prefer_code_vectors(spark):
+    ev = events_labeled(spark, "/root/testdata/sf0.01")
+    codes = {tuple(r.w) for r in S.init_codebook_per_class(ev, {c: 40 for c in range(5)}, 15).collect()}
+    bag = S.draw_bags(ev, 1, 1000, 15).collect()
+    inside = sum(tuple(r.features) in codes for r in bag)
+    n = ev.count()
+    assert inside <= 1000 * 200 / n + 5 * (1000 * 200 / n) ** 0.5
+
+
+def test_som_epochs_draw_samples_of_their_own(ev):
+    a, b = ({r.id for r in S.bernoulli_sample(ev, 0.5, 3, salt=f"som:{e}").collect()} for e in range(2))
+    assert abs(len(a & b) / len(a) - 0.5) < 0.1
+
+
+def test_tiny_fractions_have_a_threshold(ev):
+    assert int(key_threshold(1e-15), 16) > 0 and int(key_threshold(33 / 1e14), 16) > 0
+    assert key_threshold(1.0) is None and key_threshold(0.0) == "0" * 16
+    n = ev.count()
+    few = S._smallest_keys(ev, draw_key("id", 1, "bag"), 5, n, slack_sd=0.0)  # too tight at first: takes a larger threshold
+    assert 5 <= few.count() < n
+
+
+def test_codes_come_from_whole_rows_only(spark):
+    rows = [(1, 0, None), (2, None, [1.0, 2.0]), (3, 0, [1.0, None]), (4, 0, [float("nan"), 1.0]), (5, 0, [1.0, 2.0]), (6, 1, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, LABELED_SCHEMA)
+    for cb in (S.init_codebook_first(df, 5), S.init_codebook_sampled(df, 5, 1), S.init_codebook_per_class(df, {0: 5, 1: 5}, 1)):
+        assert sorted(Codebook.from_df(cb).w.tolist()) == [[1.0, 2.0], [3.0, 4.0]]
+    bad = spark.createDataFrame([(1, 0, None)], "code_id long, code_label int, w array<double>")
+    with pytest.raises(ValueError, match="whole vector"):
+        Codebook.from_df(bad)
+
+
+def test_limit_by_other_orders(spark, emb):
+    ids = sorted(r.id for r in emb.select("id").collect())
+    assert [r.id for r in sorted(S.limit_n(emb, 7, order_by=["id"]).collect(), key=lambda r: r.pos)] == ids[:7]
+    rows = sorted((r.label, r.id) for r in emb.select("label", "id").collect())
+    top = sorted(S.limit_n(emb, 7, order_by=["label"]).collect(), key=lambda r: r.pos)
+    assert [r.id for r in top] == [i for _, i in rows[:7]]
+    nulls = spark.createDataFrame([(None, 1), (5, 2), (3, 3), (4, 4)], "id long, x int")
+    assert [r.id for r in sorted(S.limit_n(nulls, 3, order_by=["id"]).collect(), key=lambda r: r.pos)] == [None, 3, 4]
+
+
+def test_with_position_many_ranges_ties_and_nulls(spark):
+    rows = [(i, None if i % 7 == 0 else float(i % 5), f"s{i % 3}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x double, s string").repartition(9)
+    got = {r.id: r.pos for r in with_position(df, ["x", "s", "id"]).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[2], r[0]))
+    assert all(got[r[0]] == k + 1 for k, r in enumerate(order))
+
+
+# -- one rule for NULLs in both forms ---------------------------------------------
+
+ODD = [(1, None, [1.0, 2.0, 3.0]), (2, 0, None), (3, 1, [4.0]), (4, 1, [6.0, None, 1.0]), (5, 1, [1.0, 2.0, 3.0, 9.0])]
+
+
+def test_class_profile_forms_agree_on_odd_rows(spark, monkeypatch):
+    import riskvq.operators.evaluate as EV
+    df = spark.createDataFrame(ODD, LABELED_SCHEMA)
+    narrow = sorted(map(tuple, E.class_profile(df, 3).collect()), key=repr)
+    monkeypatch.setattr(EV, "UNROLL_MAX_DIMS", 1)
+    wide = sorted(map(tuple, E.class_profile(df, 3).collect()), key=repr)
+    assert narrow == wide and len(narrow) == 9
+    assert (0, 0, 1, None, None, None, None) in narrow
+
+
+def test_vec_avg_forms_agree_on_odd_rows(spark, monkeypatch):
+    import riskvq.operators.aggregates as A
+    df = spark.createDataFrame(ODD, LABELED_SCHEMA)
+    narrow = sorted(map(tuple, A.vec_avg(df, "label", dims=3).collect()), key=repr)
+    long = sorted(map(tuple, A.vec_avg_long(df, "label", dims=3).collect()), key=repr)
+    monkeypatch.setattr(A, "UNROLL_MAX_DIMS", 1)
+    assert narrow == sorted(map(tuple, A.vec_avg(df, "label", dims=3).collect()), key=repr)
+    assert long == sorted(map(tuple, A.vec_avg_long(df, "label", dims=3).collect()), key=repr) and len(long) == 9
+    free = {r.label: (r.avg, r.n) for r in A.vec_avg(df, "label").collect()}
+    assert free[0] == ([], 1) and len(free[1][0]) == 4 and free[None] == ([1.0, 2.0, 3.0], 1)
+
+
+@pytest.mark.parametrize("features", [[0.1, None], [0.1, float("nan")], [float("inf"), 0.0], [0.1], [], None])
+def test_paths_agree_on_bad_values(spark, features):
+    cb = Codebook(np.array([1, 2]), np.array([0, 1]), np.array([[0.0, 0.0], [1.0, 1.0]]))
+    df = spark.createDataFrame([(1, 0, features), (2, 1, [0.9, 1.0])], LABELED_SCHEMA)
+    for m in ("arrow", "unrolled", "expr"):
+        got = {r.id: (r.code_id, r.code_label, r.d2) for r in assign_nearest(df, cb, method=m).collect()}
+        assert got[1] == (None, None, None) and got[2][0] == 2
+        two = {r.id: (r.code_i, r.code_j) for r in two_nearest(df, cb, method=m).collect()}
+        assert two == {1: (None, None), 2: (2, 1)}
+
+
+def test_one_bad_row_does_not_slow_a_batch():
+    import time
+
+    import pyarrow as pa
+    from riskvq.operators.nearest import make_finder
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(20_000, 64))
+    _, matrix = make_finder(np.array([0]), np.zeros((1, 64)), 1, False, 10**9)
+    clean = pa.array(list(x), pa.list_(pa.float64()))
+    rows = x.tolist()
+    rows[7], rows[9], rows[11] = None, [1.0], [None] * 64
+    odd = pa.array(rows, pa.list_(pa.float64()))
+
+    def seconds(col):
+        best = 9.0
+        for _ in range(5):
+            t = time.perf_counter()
+            m, ok = matrix(col)
+            best = min(best, time.perf_counter() - t)
+        return best, m, ok
+
+    t0, _, _ = seconds(clean)
+    t1, m, ok = seconds(odd)
+    assert np.flatnonzero(~ok).tolist() == [7, 9, 11] and np.array_equal(m[ok], x[ok])
+    assert t1 < 10 * t0 + 0.05  # a Python loop over the batch would take seconds
+
+
+def test_large_codebook_step_needs_no_table_of_pairs(spark, emb):
+    import resource
+    rng = np.random.default_rng(1)
+    cb = Codebook(np.arange(1, 2001), np.arange(2000) % 10, rng.normal(size=(2000, 64)) / 8)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = bvq_step(emb, cb, 0.05, delta=2.0)
+    assert not np.array_equal(out.w, cb.w)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB
+
+
+def test_exact_pick_in_blocks(monkeypatch):
+    from riskvq.operators.nearest import make_finder
+    rng = np.random.default_rng(2)
+    w = np.repeat(rng.normal(size=(30, 6)), 2, axis=0)  # every code twice: all rows are ties
+    x = rng.normal(size=(500, 6))
+    labels = np.arange(60) % 3
+    exact, gemm = (make_finder(labels, w, 2, False, t)[0](x, None) for t in (10**9, 1))
+    assert np.array_equal(exact[0], gemm[0]) and np.allclose(exact[1], gemm[1])

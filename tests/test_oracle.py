@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 from compare import compare, duck  # noqa: E402
+from riskvq.plans.catalog import QUERIES  # noqa: E402
+from riskvq.plans.oracle import ORACLE_SQL  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,12 +22,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    ok, msg, _, _ = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF)
+    ok, msg, _, _ = compare(spark, con, name, QUERIES[name], ORACLE_SQL[name], SF)
     assert ok, msg
 
 

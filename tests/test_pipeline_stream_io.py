@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 
 from riskvq.operators import sampling as S
 from riskvq.operators.codebook import Codebook
@@ -31,7 +32,12 @@ def test_pipeline_launch_shape(spark):
     acc = res.accuracy().collect()[0].accuracy
     assert acc == sum(r.n for r in conf if r.actual == r.predicted) / test_rows
     report = {r.metric: r.value for r in run_report(res, list(range(10))).collect()}
-    assert report["codes"] == "10" and float(report["mean_cost"]) == 1 - acc
+    assert report["codes"] == "10" and float(report["mean_cost"]) == pytest.approx(1 - acc)
+    assert report["param_seed"] == "15" and report["param_bag_size"] == "20" and report["unlisted_rows"] == "0"
+    cells = {(int(k[10:]), c): int(v) for k, row in report.items() if k.startswith("confusion_") and k[10:].isdigit()
+             for c, v in zip(report["confusion_columns"].split(), row.split(), strict=True)}
+    assert sum(cells.values()) == test_rows and all(cells[r.actual, str(r.predicted)] == r.n for r in conf)
+    assert float(report["total_sec"]) >= float(report["score_sec"]) > 0
 
 
 def test_position_split_pipeline(spark):
@@ -72,3 +78,13 @@ def test_stream_scoring_matches_batch(spark):
     q2.awaitTermination(120)
     total = spark.sql("SELECT sum(n) AS n FROM riskvq_conf").collect()[0].n
     assert total == emb.count()
+
+
+def test_persisted_train_part_is_released(spark):
+    emb = embeddings_labeled(spark, SF)
+    a = classify_pipeline(emb, RunParams(per_class={0: 1, 1: 1}, bag_size=20, delta=2.0, persist_train=True))
+    b = classify_pipeline(emb, RunParams(per_class={0: 1, 1: 1}, bag_size=20, delta=2.0))
+    assert (a.codebook().w == b.codebook().w).all() or abs(a.codebook().w - b.codebook().w).max() < 1e-12
+    with pytest.raises(ValueError):
+        classify_pipeline(emb, RunParams(per_class={0: 1, 1: 1}, target="other", persist_train=True))
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from riskvq.operators import evaluate as E  # noqa: E402
 from riskvq.operators import sampling as S  # noqa: E402
-from riskvq.operators.bvq import bvq_contributions  # noqa: E402
+from riskvq.operators.bvq import _bvq_kernel  # noqa: E402
 from riskvq.operators.codebook import Codebook  # noqa: E402
-from riskvq.operators.nearest import assign_nearest, predict  # noqa: E402
+from riskvq.operators.nearest import PARTIAL_SCHEMA, assign_nearest, predict  # noqa: E402
 from riskvq.operators.ranking import with_position  # noqa: E402
+from riskvq.operators.som import _som_kernel  # noqa: E402
 from riskvq.session import get_spark  # noqa: E402
 from riskvq.sources.labeled import events_labeled, lineitem_labeled  # noqa: E402
 
@@ -43,11 +44,12 @@ def main() -> None:
     ev = events_labeled(spark, sf)
     train, test = S.train_test(S.split_random(li, 80, 15))
     cb = Codebook.from_df(S.init_codebook_per_class(train, {0: 3, 1: 7, 2: 5}, 15))
-    per_code = assign_nearest(train, cb).groupBy("code_id").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(F.get("features", d)).alias(f"_v{d}") for d in range(cb.dims)])
-    contrib = bvq_contributions(train, cb, 0.01, 0.2)
-    bvq_sums = contrib.groupBy("code_id").agg(F.sum("coef"), *[F.sum(F.col("coef") * F.get("t", d))
-                                                               for d in range(cb.dims)])
+    def totals(kernel, *columns):
+        partials = train.select(*columns).mapInArrow(kernel, PARTIAL_SCHEMA)
+        return partials.groupBy("code_id").agg(F.sum("n"), F.sum("s"), *[F.sum(F.get("v", F.lit(d))) for d in range(cb.dims)])
+
+    per_code = totals(_som_kernel(cb, False), "features")
+    bvq_sums = totals(_bvq_kernel(cb, 0.01, 0.1, None, "sample"), "features", "label")
     cases = [
         ("Nearest code (M1), Arrow path",
          assign_nearest(li, cb),
@@ -59,11 +61,11 @@ def main() -> None:
          "(at most classes^2 rows per task)."),
         ("SOM pass (M2): nearest code, then per-code sums",
          per_code,
-         "Partial HashAggregate before the Exchange: each task sends at most K rows, whatever the skew."),
+         "One kernel finds the nearest code and sums per code: MapInArrow puts out at most K rows a task, whatever the "
+         "skew, and no feature comes back from Python."),
         ("BVQ pass (M5): contributions and per-code sums",
          bvq_sums,
-         "MapInArrow (two nearest) -> label filter -> BroadcastHashJoin with the code-pair norm table "
-         "(K^2 rows) -> window filter -> Generate (two rows per active sample) -> partial aggregate."),
+         "One kernel: two nearest codes, window test, update and sums per code; at most K rows a task leave it."),
         ("Keyed random split (SP8)",
          S.split_random(ev, 80, 15),
          "A projection over the scan: no shuffle."),
@@ -72,12 +74,10 @@ def main() -> None:
          "After the id cutoff is found from the id column alone, the split is a projection: no shuffle."),
         ("Per-class codebook draw (SP6)",
          S.init_codebook_per_class(train, {0: 3, 1: 7, 2: 5}, 15),
-         "Ranked from the persisted candidate set (InMemoryTableScan), with a per-task "
-         "WindowGroupLimit before the Exchange."),
+         "The key threshold of each class is a Filter on the scan; a per-task WindowGroupLimit before the Exchange."),
         ("Global position (SP9, T1, T2)",
          with_position(ev, ["label", "id"]),
-         "One range-partitioning Exchange feeding a persisted table; per-partition counts (one row per "
-         "partition) are prefix-summed and joined back by broadcast."),
+         "One Exchange of the rows by range, numbered by a window in each; bounds and offsets are literals."),
         ("Class profile (E7)",
          E.class_profile(li, 4),
          "One HashAggregate with 4 x D partial aggregates; the scan reads the label and feature columns "
