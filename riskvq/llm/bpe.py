@@ -2,7 +2,7 @@
 
 Each match of the split pattern is merged on its own.  Pairs wait in one bucket
 per merge rank, each a heap of positions in the linked list of tokens; a
-three-level bitmap over the ranks gives the next rank by find-first-set; entries
+bitmap of two levels over the ranks gives the next rank by find-first-set; entries
 whose pair has changed meanwhile are skipped.  A pre-token of n bytes takes
 O(n log n), however long it is.
 
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from riskvq.llm.common import map_texts, per_process, sha_hex
 
-CACHE_ENTRIES = 150_000  # pre-tokens kept per Python worker
+CACHE_ENTRIES = 300_000  # pre-tokens of a generation kept per Python worker
+NONE = 1 << 40         # the rank of a pair that is no token
 CACHE_LENGTH = 64        # longer pre-tokens are merged anew
 
 FIELDS = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
@@ -32,60 +33,35 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank, lowest rank first, then lowest position."""
+    """Positions by merge rank: lowest rank first, then lowest position.
+
+    ``low`` has one bit per rank in words of 256, ``top`` one bit per word that is not empty; ``buckets[rank]`` is a heap of
+    positions.  The merge loop below works on these fields itself, for a call per step would cost more than the step.
+    """
 
     def __init__(self, n_ranks: int):
-        self.low = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
+        self.low = [0] * ((n_ranks >> 8) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [pos]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heapq.heappush(bucket, pos)
-
-    def pop(self) -> tuple[int, int]:
-        """Lowest rank and its first position; (-1, -1) when empty."""
-        top = self.top
-        if not top:
-            return -1, -1
-        b = (top & -top).bit_length() - 1
-        m = self.mid[b]
-        a = (b << 6) | ((m & -m).bit_length() - 1)
-        w = self.low[a]
-        rank = (a << 6) | ((w & -w).bit_length() - 1)
-        bucket = self.buckets[rank]
-        pos = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= w - 1
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, pos
+        self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
 
 
 class PieceCache(dict):
-    """Ids by pre-token; emptied when full."""
+    """Ids by pre-token, in two generations: when the young one is full it becomes the old one, which is dropped."""
 
     def __init__(self, merge):
         super().__init__()
-        self.merge = merge
+        self.merge, self.old = merge, {}
 
     def __missing__(self, piece: str):
-        ids = self.merge(piece.encode())
-        if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.merge(piece.encode())
+            if len(piece) > CACHE_LENGTH:
+                return ids
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -101,44 +77,89 @@ class BytePairCodec:
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.cache = PieceCache(self.merge)
+        self.bits = [1 << i for i in range(256)]
+        self.pairs = [[ranks.get(bytes((a, b)), NONE) for b in range(256)] for a in range(256)]
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        ranks, longest = self.ranks, self.longest
+        ranks, longest, bits, pairs = self.ranks, self.longest, self.bits, self.pairs
         if piece in ranks:
             return (ranks[piece],)
-        n, push, pop = len(piece), self.queue.push, self.queue.pop
-        end = list(range(1, n + 1))     # a token spans piece[i:end[i]]; end[i] is its successor
-        prev = list(range(-1, n - 1))
-        pair = [-1] * n                 # rank of the pair that begins at i
+        low, buckets, top = self.queue.low, self.queue.buckets, 0
+        push, pop, get = heapq.heappush, heapq.heappop, ranks.get
+        n = len(piece)
+        end = list(range(1, n + 2))     # a token spans piece[i:end[i]]; end[i] is its successor
+        prev = list(range(-1, n))       # prev[0] is -1: the last entry of pair, which is NONE
+        # rank of the pair that begins at i; one that does not precede both neighbours waits outside the queue
+        pair = [pairs[a][b] for a, b in zip(piece, piece[1:])]
+        pair += (NONE, NONE)
+        left = NONE
         for i in range(n - 1):
-            r = ranks.get(piece[i:i + 2], -1)
-            if r >= 0:
-                pair[i] = r
-                push(r, i)
-        while True:
-            r, i = pop()
-            if r < 0:
-                break
+            r = pair[i]
+            if r < left and r <= pair[i + 1] and r != NONE:
+                buckets[r].append(i)    # ascending, so a heap
+                a = r >> 8
+                low[a] |= bits[r & 255]
+                top |= bits[a]
+            left = r
+        while top:
+            a = (top & -top).bit_length() - 1
+            w = low[a]
+            r = (a << 8) + (w & -w).bit_length() - 1
+            bucket = buckets[r]
+            i = pop(bucket)
+            if not bucket:
+                w &= w - 1
+                low[a] = w
+                if not w:
+                    top &= top - 1
             if pair[i] != r:
                 continue  # stale
             j = end[i]
             e = end[i] = end[j]
-            pair[j] = pair[i] = -1
+            pair[j] = NONE
+            p = prev[i]
+            ri = rp = NONE
             if e < n:
                 prev[e] = i
-                if end[e] - i <= longest and (r := ranks.get(piece[i:end[e]], -1)) >= 0:
-                    pair[i] = r
-                    push(r, i)
-            p = prev[i]
+                f = end[e]
+                if f - i <= longest:
+                    ri = get(piece[i:f], NONE)
             if p >= 0:
-                pair[p] = -1
-                if e - p <= longest and (r := ranks.get(piece[p:e], -1)) >= 0:
-                    pair[p] = r
-                    push(r, p)
+                if e - p <= longest:
+                    rp = get(piece[p:e], NONE)
+                pair[p] = rp
+                q = prev[p]
+                rq = pair[q]
+            else:
+                q, rq = -1, NONE
+            pair[i] = ri
+            re = pair[e]
+            # of the two new pairs and the two beside them, those that now precede their neighbours
+            if rq <= rp and rq != NONE and rq < pair[prev[q]]:
+                push(buckets[rq], q)
+                a = rq >> 8
+                low[a] |= bits[rq & 255]
+                top |= bits[a]
+            elif rp < rq and rp <= ri and rp != NONE:
+                push(buckets[rp], p)
+                a = rp >> 8
+                low[a] |= bits[rp & 255]
+                top |= bits[a]
+            if re < ri and re <= pair[end[e]]:
+                push(buckets[re], e)
+                a = re >> 8
+                low[a] |= bits[re & 255]
+                top |= bits[a]
+            elif ri < rp and ri <= re and ri != NONE:
+                push(buckets[ri], i)
+                a = ri >> 8
+                low[a] |= bits[ri & 255]
+                top |= bits[a]
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i:end[i]]])
-            i = end[i]
+            j = end[i]
+            ids.append(ranks[piece[i:j]])
+            i = j
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
