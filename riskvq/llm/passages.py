@@ -231,18 +231,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     features = checkpointed(map_texts(texts, _make_features, FIELDS))
     key = ["doc_id", "sig"]
 
-    # one document stands for all of an equal word sequence
+    # Aggregates that are joined back to their rows are kept apart from them (checkpointed), so that Spark can
+    # split those joins at a hot key.  First, one document stands for all of an equal word sequence.
     long = features.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
-    first = long.groupBy("sig", "own_sha256").agg(F.min("doc_id").alias("first_id"))
+    first = checkpointed(long.groupBy("sig", "own_sha256").agg(F.min("doc_id").alias("first_id")))
     copies = long.select("doc_id", "sig", "own_sha256").join(first, ["sig", "own_sha256"])
     only = first.select(F.col("first_id").alias("doc_id"), "sig", "own_sha256")
 
     pieces = (long.join(only, ["doc_id", "sig", "own_sha256"], "left_semi")
               .select("doc_id", "sig", F.explode(F.arrays_zip("minimisers", "starts")).alias("p"))
               .select("doc_id", "sig", F.col("p.minimisers").alias("low"), F.col("p.starts").alias("start")))
-    shared = (pieces.groupBy("low").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"),
-                                        F.count("*").alias("n"))
-              .where("x < y").select("low", (F.col("n") > HOT).alias("hot")))
+    shared = checkpointed(pieces.groupBy("low").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"),
+                                                    F.count("*").alias("n"))
+                          .where("x < y").select("low", (F.col("n") > HOT).alias("hot")))
     wanted = (pieces.join(shared, "low").groupBy(*key)
               .agg(F.collect_list("start").alias("starts"), F.collect_list("hot").alias("hots")))
     (texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -253,9 +254,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spans = (held.mapInArrow(_pack(False), ddl(PACKED_FIELDS)).repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(_sort_buckets, ddl(SPAN_FIELDS)))
     hot = held.where(F.exists("hots", lambda x: x)).mapInArrow(_pack(True), ddl(HOT_FIELDS))
-    least = hot.groupBy("digest").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
+    least = checkpointed(hot.groupBy("digest").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
+                         .where("x < y").select("digest", "x"))
     spans = spans.unionByName(
-        hot.join(least.select("digest", "x"), "digest").where(F.col("doc_id") > F.col("x"))
+        hot.join(least, "digest").where(F.col("doc_id") > F.col("x"))
         .select(*key, F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b")))
     spans = spans.groupBy(*key).agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
     cut = (held.select(*key, "text").join(spans.hint("shuffle_hash"), key).select(*key, "text", "spans")
