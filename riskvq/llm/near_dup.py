@@ -159,7 +159,8 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     rows = reps.mapInArrow(_first_branch, "node bigint, id bigint")
     found = []
     for level in range(1, DEPTH + 1):
-        sizes = (rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"))
+        # kept apart from the rows' own aggregate, so that Spark can split the join at a large node
+        sizes = checkpointed(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"))
         rows = checkpointed(rows.join(sizes, "node"))
         small = rows.where(F.col("n") <= NODE).select("node", "id").join(reps, "id").select("node", "id", "sketch")
         found.append(small.repartition("node").sortWithinPartitions("node")
