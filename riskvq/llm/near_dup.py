@@ -6,10 +6,11 @@ class has a sketch of minwise hashes.  A tree sends every class down one or two
 randomly chosen sketch coordinates of a node to the child named by its value
 there, so classes stay together with a chance that grows with their similarity;
 nodes of at most NODE classes compare all their sketches, larger ones branch
-again, and what is still together after DEPTH levels is taken as a candidate
-group.  TREES independent trees bring the chance to miss a link of similarity
-0.85 to about 0.25 ** TREES.  Candidate groups (joined over all trees) are then
-compared exhaustively on full sets, large ones block against block.
+again, and what keeps most of its parent, or is still together after DEPTH
+levels, is taken as a candidate group.  With TREES independent trees a link of similarity 0.85 is missed with a
+chance under 0.01 even if it never leaves large nodes (0.15 ** TREES if its
+first node is small).  Candidate groups (joined over all trees) are then compared
+on full sets until every link is found or lies inside a component.
 
 Cases: documents without words, or without text, have an empty set, are linked
 with nothing and kept; with fewer than five words the whole sequence is the
@@ -19,21 +20,26 @@ without doc_id are linked with nothing, have no component and are kept.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskvq.llm.common import annotated, arrow_rows, checkpointed, map_texts, mix64
 from riskvq.llm.graph import components, local_roots, runs
+from riskvq.session import ensure_checkpoint_dir
 
 SHINGLE = 5
 PERCENT = 85
-TREES, DEPTH, NODE = 10, 3, 256
+TREES, DEPTH, NODE = 10, 6, 256
+DENSE = 0.6             # share of its parent from which on a large node is a candidate group
 COORDINATES = 64
 MIN_AGREE = 40          # of COORDINATES: five standard deviations below similarity 0.85
 BRANCH = 100 / PERCENT  # expected children of a class in a node
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
-WORDS_KEPT = 400_000    # words whose hashes a Python worker remembers
+PIVOTS = 16             # members of a large group that every block of it is compared with
+WORDS_KEPT = 200_000    # words whose hashes a Python worker remembers
 
 _ODD = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -120,12 +126,13 @@ def _first_branch(batches):
 
 
 def _next_branch(batches):
-    """Rows (node, id, sketch) to (node, id) of the children."""
+    """Rows (node, id, n, sketch) to (node, id) of the children and the size n of their parent."""
     for b in batches:
         if b.num_rows:
-            at, keys = branches(b.column(0).to_numpy().view(np.uint64), _sketches(b.column(2)))
-            yield arrow_rows([keys.view(np.int64).tolist(), b.column(1).to_numpy()[at].tolist()],
-                             [("node", "bigint"), ("id", "bigint")])
+            at, keys = branches(b.column(0).to_numpy().view(np.uint64), _sketches(b.column(3)))
+            yield arrow_rows([keys.view(np.int64).tolist(), b.column(1).to_numpy()[at].tolist(),
+                              b.column(2).to_numpy()[at].tolist()],
+                             [("node", "bigint"), ("id", "bigint"), ("above", "bigint")])
 
 
 def _compare_sketches(batches):
@@ -156,7 +163,7 @@ EDGE = [("a", "bigint"), ("b", "bigint")]
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
     """Edges that join every candidate group of (id, sketch) rows."""
-    rows = reps.mapInArrow(_first_branch, "node bigint, id bigint")
+    rows = reps.mapInArrow(_first_branch, "node bigint, id bigint").withColumn("above", F.lit(None).cast("bigint"))
     found = []
     for level in range(1, DEPTH + 1):
         # kept apart from the rows' own aggregate, so that Spark can split the join at a large node
@@ -165,14 +172,14 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
         small = rows.where(F.col("n") <= NODE).select("node", "id").join(reps, "id").select("node", "id", "sketch")
         found.append(small.repartition("node").sortWithinPartitions("node")
                      .mapInArrow(_compare_sketches, "a bigint, b bigint"))
-        large = rows.where(F.col("n") > NODE)
-        if level == DEPTH:
-            found.append(large.select(F.col("id").alias("a"), F.col("least").alias("b")))
-        elif large.limit(1).count():
-            rows = (large.select("node", "id").join(reps, "id").select("node", "id", "sketch")
-                    .mapInArrow(_next_branch, "node bigint, id bigint"))
-        else:
+        # a node that keeps most of its parent holds copies of one text: branching would not part them
+        whole = F.lit(level == DEPTH) | F.coalesce(F.col("n") >= DENSE * F.col("above"), F.lit(False))
+        found.append(rows.where((F.col("n") > NODE) & whole).select(F.col("id").alias("a"), F.col("least").alias("b")))
+        large = rows.where((F.col("n") > NODE) & ~whole)
+        if not large.limit(1).count():
             break
+        rows = (large.select("node", "id", "n").join(reps, "id").select("node", "id", "n", "sketch")
+                .mapInArrow(_next_branch, "node bigint, id bigint, above bigint"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -198,28 +205,33 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(batches):
-    """Rows (grp, x, y, block, id, text) sorted by the first three to edges of true links, one star per component."""
-    hashes = WordHashes()
-    a_ids, b_ids = [], []
-    for (_, x, y), (block, ids, sets) in _as_sets(batches, hashes):
-        inter = _intersections(sets)
-        size = np.array([len(s) for s in sets], np.float64)
-        linked = 100.0 * inter >= PERCENT * (size[:, None] + size[None, :] - inter)
-        if x != y:
-            block = np.array(block)
-            linked &= block[:, None] != block[None, :]
-        i, j = np.nonzero(np.triu(linked, 1))
-        if len(i):
-            root = local_roots(len(ids), i, j)
-            for k in np.flatnonzero(root != np.arange(len(ids))):
-                a_ids.append(ids[k])
-                b_ids.append(ids[root[k]])
-        if len(a_ids) >= 20_000:
+def _verify(across: bool):
+    """Rows (grp, x, y, side, id, text) sorted by the first three to edges of true links, one star per component.
+
+    ``across`` compares rows of different sides only, else all rows of a (grp, x, y)."""
+    def run(batches):
+        hashes = WordHashes()
+        a_ids, b_ids = [], []
+        for _, (side, ids, sets) in _as_sets(batches, hashes):
+            inter = _intersections(sets)
+            size = np.array([len(s) for s in sets], np.float64)
+            linked = 100.0 * inter >= PERCENT * (size[:, None] + size[None, :] - inter)
+            if across:
+                side = np.array(side)
+                linked &= side[:, None] != side[None, :]
+            i, j = np.nonzero(np.triu(linked, 1))
+            if len(i):
+                root = local_roots(len(ids), i, j)
+                for k in np.flatnonzero(root != np.arange(len(ids))):
+                    a_ids.append(ids[k])
+                    b_ids.append(ids[root[k]])
+            if len(a_ids) >= 20_000:
+                yield arrow_rows([a_ids, b_ids], EDGE)
+                a_ids, b_ids = [], []
+        if a_ids:
             yield arrow_rows([a_ids, b_ids], EDGE)
-            a_ids, b_ids = [], []
-    if a_ids:
-        yield arrow_rows([a_ids, b_ids], EDGE)
+
+    return run
 
 
 def _as_sets(batches, hashes):
@@ -232,30 +244,64 @@ def _as_sets(batches, hashes):
                 part = b.slice(start, 256)
                 sets = [shingles(t, hashes).tobytes() for t in part.column(5).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())],
-                                                 names=["g", "x", "y", "block", "id", "s"])
+                                                 names=["g", "x", "y", "side", "id", "s"])
 
-    for key, (block, ids, raw) in runs(convert(), 3):
-        yield key, (block, ids, [np.frombuffer(r, np.uint64) for r in raw])
+    for key, (side, ids, raw) in runs(convert(), 3):
+        yield key, (side, ids, [np.frombuffer(r, np.uint64) for r in raw])
 
 
-def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """True links among members (id, sig, n, grp), as star edges; docs gives (doc_id, text) of the ids.
+def _blocks(rows: str, shingles: str):
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
-    A group of g rows is cut into b blocks of bounded rows and shingles; every
-    pair of blocks is one comparison, so a row travels b times and no task
-    holds more than two blocks.
+
+def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """True links among members (id, n, grp), as star edges that join what is linked; docs gives (doc_id, text).
+
+    Groups of bounded rows and shingles are compared whole.  A larger group is
+    cut into blocks of that size; each block is compared whole together with
+    about PIVOTS members of the group, which usually joins nearly all of it.
+    Only what is then outside the group's largest component still needs
+    comparing with the others, block against block; two members of one
+    component are not compared again.
     """
-    sizes = (members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
-             .select("grp", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES))
-                     .cast("int").alias("b")))
+    folder = f"{ensure_checkpoint_dir(docs.sparkSession)}/near-dup-{uuid.uuid4().hex}"
+    # aggregates that are joined back are kept apart, so that Spark can split the joins at a large group
+    sizes = checkpointed(members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
+                         .select("grp", "m", _blocks("m", "s").alias("b")))
     placed = members.join(sizes, "grp").select(
-        "grp", "b", "id", F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("block"))
+        "grp", "b", "m", "id", "n", F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("block"))
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    rows = (texts.join(placed.hint("shuffle_hash"), "id")
-            .select("grp", "block", "id", "text", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("o"))
-            .select("grp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "id", "text"))
-    return (rows.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
-            .mapInArrow(_verify, "a bigint, b bigint"))
+    texts.join(placed.hint("shuffle_hash"), "id").write.parquet(f"{folder}/texts")
+    held = docs.sparkSession.read.parquet(f"{folder}/texts")
+
+    def compared(rows: DataFrame, across: bool) -> DataFrame:
+        return (rows.select("grp", "x", "y", "side", "id", "text").repartition("grp", "x", "y")
+                .sortWithinPartitions("grp", "x", "y", "id").mapInArrow(_verify(across), "a bigint, b bigint"))
+
+    own = held.withColumns({"x": F.col("block"), "y": F.col("block"), "side": F.lit(0)})
+    pivots = (held.where((F.col("b") > 1) & (F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.col("m")) < PIVOTS))
+              .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+              .where(F.col("x") != F.col("block")).withColumns({"y": F.col("x"), "side": F.lit(0)}))
+    edges = checkpointed(compared(own.unionByName(pivots), False))
+
+    large = held.where("b > 1").select("grp", "id", "n", "b").distinct()
+    if not large.limit(1).count():
+        return edges
+    at = large.join(components(edges), "id", "left").select(
+        "grp", "id", "n", "b", F.coalesce("component", "id").alias("c"))
+    main = checkpointed(at.groupBy("grp", "c").agg(F.count("*").alias("k"))
+                        .groupBy("grp").agg(F.max(F.struct("k", "c")).alias("top")).select("grp", "top.c"))
+    rest = checkpointed(at.join(main.withColumnRenamed("c", "main"), "grp").where(F.col("c") != F.col("main"))
+                        .select("grp", "id", "n"))
+    counts = checkpointed(rest.groupBy("grp").agg(F.count("*").alias("m2"), F.sum("n").alias("s2"))
+                          .select("grp", _blocks("m2", "s2").alias("b2")))
+    every = (held.join(counts, "grp").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)))
+             .withColumns({"y": F.col("block"), "side": F.lit(0)}))
+    outside = (held.join(rest.select("grp", "id"), ["grp", "id"]).join(counts, "grp")
+               .withColumns({"x": F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("b2")).cast("int"), "side": F.lit(1)})
+               .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("b") - 1))))
+    columns = ["grp", "x", "y", "side", "id", "text"]
+    return edges.unionByName(compared(every.select(*columns).unionByName(outside.select(*columns)), True))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def corpus(n=12):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"NODE": 2, "BLOCK_ROWS": 3}, {"NODE": 1, "DEPTH": 1, "BLOCK_SHINGLES": 150}])
+@pytest.mark.parametrize("limits", [{}, {"NODE": 2, "BLOCK_ROWS": 3}, {"NODE": 1, "DEPTH": 1, "BLOCK_SHINGLES": 150, "PIVOTS": 0},
+                                    {"NODE": 1, "DEPTH": 1, "BLOCK_ROWS": 2, "PIVOTS": 1}])
 def test_equals_brute_force(documents, odd_rows, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(N, k, v)
