@@ -90,12 +90,25 @@ def annotated(df: DataFrame, operator: Callable[[DataFrame, tuple], DataFrame])
     return out, [F.col(c).alias(n) for c, n in zip(plain.columns, df.columns, strict=True)]
 
 
+ROWS_PER_TASK = 100_000  # of narrow intermediate tables
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, read back from the session's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A narrow table checkpointed and read back in as many tasks as its rows need.
+
+    What follows a filter or an aggregate is often far smaller than the number
+    of shuffle partitions suggests; later shuffles then write few files.
+    """
+    kept = checkpointed(df)
+    return kept.coalesce(max(1, -(-kept.count() // ROWS_PER_TASK)))
+
+
 def sample_of_labels(labels: DataFrame, value: str, k: int, held: int, bound: int, seed: str) -> DataFrame:
     """(doc_id, y): about ``bound`` labelled ids at most, drawn by a keyed hash outside fold ``held``.
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import checkpointed
+from riskvq.llm.common import settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,9 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = (edges.where(F.col("a") != F.col("b"))
          .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    e = checkpointed(e)
+    e = settled(e)
     while True:
-        low = e.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        # kept apart from the edges, so that Spark can split the joins at a hub
+        low = settled(e.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m"), F.count("*").alias("n")))
         # a star: every node has one smaller neighbour, which has none
         deeper = e.select(F.col("lo").alias("k")).join(low, "k", "left_semi").limit(1).count()
         if not deeper and not low.where("n > 1").limit(1).count():
@@ -34,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         j = e.join(low, F.col("hi") == F.col("k"))
         e = (j.where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
              .unionByName(low.select(F.col("k").alias("hi"), F.col("m").alias("lo"))).distinct())
-        e = checkpointed(e)
+        e = settled(e)
     roots = e.select(F.col("lo").alias("id")).distinct()
     return (e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
             .unionByName(roots.select("id", F.col("id").alias("component"))))

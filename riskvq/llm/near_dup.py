@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import annotated, arrow_rows, checkpointed, map_texts, mix64
+from riskvq.llm.common import annotated, arrow_rows, checkpointed, map_texts, mix64, settled
 from riskvq.llm.graph import components, local_roots, runs
 from riskvq.session import ensure_checkpoint_dir
 
@@ -167,8 +167,8 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     found = []
     for level in range(1, DEPTH + 1):
         # kept apart from the rows' own aggregate, so that Spark can split the join at a large node
-        sizes = checkpointed(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"))
-        rows = checkpointed(rows.join(sizes, "node"))
+        sizes = settled(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"))
+        rows = settled(rows.join(sizes, "node"))
         small = rows.where(F.col("n") <= NODE).select("node", "id").join(reps, "id").select("node", "id", "sketch")
         found.append(small.repartition("node").sortWithinPartitions("node")
                      .mapInArrow(_compare_sketches, "a bigint, b bigint"))
@@ -266,7 +266,7 @@ def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
     """
     folder = f"{ensure_checkpoint_dir(docs.sparkSession)}/near-dup-{uuid.uuid4().hex}"
     # aggregates that are joined back are kept apart, so that Spark can split the joins at a large group
-    sizes = checkpointed(members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
+    sizes = settled(members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
                          .select("grp", "m", _blocks("m", "s").alias("b")))
     placed = members.join(sizes, "grp").select(
         "grp", "b", "m", "id", "n", F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("block"))
@@ -282,18 +282,18 @@ def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
     pivots = (held.where((F.col("b") > 1) & (F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.col("m")) < PIVOTS))
               .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
               .where(F.col("x") != F.col("block")).withColumns({"y": F.col("x"), "side": F.lit(0)}))
-    edges = checkpointed(compared(own.unionByName(pivots), False))
+    edges = settled(compared(own.unionByName(pivots), False))
 
     large = held.where("b > 1").select("grp", "id", "n", "b").distinct()
     if not large.limit(1).count():
         return edges
     at = large.join(components(edges), "id", "left").select(
         "grp", "id", "n", "b", F.coalesce("component", "id").alias("c"))
-    main = checkpointed(at.groupBy("grp", "c").agg(F.count("*").alias("k"))
+    main = settled(at.groupBy("grp", "c").agg(F.count("*").alias("k"))
                         .groupBy("grp").agg(F.max(F.struct("k", "c")).alias("top")).select("grp", "top.c"))
-    rest = checkpointed(at.join(main.withColumnRenamed("c", "main"), "grp").where(F.col("c") != F.col("main"))
+    rest = settled(at.join(main.withColumnRenamed("c", "main"), "grp").where(F.col("c") != F.col("main"))
                         .select("grp", "id", "n"))
-    counts = checkpointed(rest.groupBy("grp").agg(F.count("*").alias("m2"), F.sum("n").alias("s2"))
+    counts = settled(rest.groupBy("grp").agg(F.count("*").alias("m2"), F.sum("n").alias("s2"))
                           .select("grp", _blocks("m2", "s2").alias("b2")))
     every = (held.join(counts, "grp").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)))
              .withColumns({"y": F.col("block"), "side": F.lit(0)}))
