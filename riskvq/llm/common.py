@@ -20,6 +20,7 @@ ARROW = {
     "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
     "array<string>": pa.list_(pa.string()),
 }
+ROWS_AT_ONCE = 1000  # texts held as Python strings at a time
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -55,6 +56,13 @@ def ddl(fields: list[tuple[str, str]]) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in fields)
 
 
+def sliced(batches):
+    """The rows of record batches, at most ROWS_AT_ONCE together."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def map_texts(df: DataFrame, make: Callable, fields: list[tuple[str, str]],
               carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """One output row per input row: carried columns, then ``make()(text)`` as a tuple.
@@ -68,11 +76,10 @@ def map_texts(df: DataFrame, make: Callable, fields: list[tuple[str, str]],
 
     def run(batches):
         of_text = make()
-        for b in batches:
+        for b in sliced(batches):
             rows = [of_text(t or "") for t in b.column(at).to_pylist()]
-            if rows:
-                yield arrow_rows([b.column(i) for i in range(len(kept))] + [list(c) for c in zip(*rows, strict=True)],
-                                 kept + fields)
+            yield arrow_rows([b.column(i) for i in range(len(kept))] + [list(c) for c in zip(*rows, strict=True)],
+                             kept + fields)
 
     more = [] if text in carry else [F.col(text).alias("_text")]
     return df.select(*carry, *more).mapInArrow(run, ddl(kept + fields))

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import arrow_rows, checkpointed, ddl, sha_hex
+from riskvq.llm.common import arrow_rows, checkpointed, ddl, sha_hex, sliced
 
 WINDOW = 10
 # Of the item texts behind one automaton, in characters; more items go in several scans, one automaton each.
@@ -120,7 +120,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str,
 
         def run(batches):
             automaton = automaton_of(items.value)
-            for b in batches:
+            for b in sliced(batches):
                 rows = []
                 for text, hit0, items0 in zip(*(b.column(n + i).to_pylist() for i in range(3)), strict=True):
                     words = words_of(text or "")
