@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import EMPTY_SHA, arrow_rows, checkpointed, ddl, map_texts, mix64, sha_hex
+from riskvq.llm.common import EMPTY_SHA, arrow_rows, checkpointed, ddl, map_texts, mix64, settled, sha_hex, sliced
 from riskvq.llm.graph import runs
 from riskvq.session import ensure_checkpoint_dir
 
@@ -34,7 +34,7 @@ WINDOW, GRAM = 50, 8
 LONGEST_RUN = 256      # windows of a super-k-mer; longer runs are cut
 LONG_WORD = 64         # bytes; longer words are packed as their digest
 HOT = 2000             # super-k-mers of a bucket that one task sorts
-WORDS_KEPT = 400_000   # words whose hashes a Python worker remembers
+WORDS_KEPT = 200_000   # words whose hashes a Python worker remembers
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 FIELDS = [("n_words", "bigint"), ("own_sha256", "string"), ("sig", "bigint"),
@@ -202,7 +202,7 @@ CUT_FIELDS = [("doc_id", "bigint"), ("sig", "bigint"), ("n_removed", "bigint"),
 def _cut(with_text: bool):
     """Rows (doc_id, sig, text, spans as a, b, a, b ...) to what is left of the text."""
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for doc, sig, text, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = words_of(text)
@@ -234,16 +234,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # Aggregates that are joined back to their rows are kept apart from them (checkpointed), so that Spark can
     # split those joins at a hot key.  First, one document stands for all of an equal word sequence.
     long = features.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
-    first = checkpointed(long.groupBy("sig", "own_sha256").agg(F.min("doc_id").alias("first_id")))
+    first = settled(long.groupBy("sig", "own_sha256").agg(F.min("doc_id").alias("first_id")))
     copies = long.select("doc_id", "sig", "own_sha256").join(first, ["sig", "own_sha256"])
     only = first.select(F.col("first_id").alias("doc_id"), "sig", "own_sha256")
 
     pieces = (long.join(only, ["doc_id", "sig", "own_sha256"], "left_semi")
               .select("doc_id", "sig", F.explode(F.arrays_zip("minimisers", "starts")).alias("p"))
               .select("doc_id", "sig", F.col("p.minimisers").alias("low"), F.col("p.starts").alias("start")))
-    shared = checkpointed(pieces.groupBy("low").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"),
-                                                    F.count("*").alias("n"))
-                          .where("x < y").select("low", (F.col("n") > HOT).alias("hot")))
+    shared = settled(pieces.groupBy("low").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"),
+                                               F.count("*").alias("n"))
+                     .where("x < y").select("low", (F.col("n") > HOT).alias("hot")))
     wanted = (pieces.join(shared, "low").groupBy(*key)
               .agg(F.collect_list("start").alias("starts"), F.collect_list("hot").alias("hots")))
     (texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -254,8 +254,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spans = (held.mapInArrow(_pack(False), ddl(PACKED_FIELDS)).repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(_sort_buckets, ddl(SPAN_FIELDS)))
     hot = held.where(F.exists("hots", lambda x: x)).mapInArrow(_pack(True), ddl(HOT_FIELDS))
-    least = checkpointed(hot.groupBy("digest").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
-                         .where("x < y").select("digest", "x"))
+    least = settled(hot.groupBy("digest").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
+                    .where("x < y").select("digest", "x"))
     spans = spans.unionByName(
         hot.join(least, "digest").where(F.col("doc_id") > F.col("x"))
         .select(*key, F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b")))
