@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import arrow_rows, fold, map_texts, mix64
+from riskvq.llm.common import arrow_rows, fold, map_texts, mix64, per_process
 
 FOLDS, HELD = 4, 2
 DIMS = 512
@@ -41,28 +41,34 @@ def character_vectors(codes: np.ndarray) -> np.ndarray:
 
 
 class Profiler:
-    """Document vectors; n-gram vectors are made once and kept until there are too many."""
+    """Document vectors; n-gram vectors are made once in a Python worker and kept until there are too many."""
 
     def __init__(self):
+        self.vectors = np.empty((GRAMS_KEPT, DIMS), np.float32)
+        self.forget()
+
+    def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)                  # sorted n-gram keys
-        self.vectors = np.zeros((0, DIMS), np.float32)
+        self.slots = np.zeros(0, np.int64)                  # the row of vectors of each
 
     def gram_vectors(self, keys: np.ndarray) -> np.ndarray:
+        """Vectors of distinct keys, at most GRAMS_KEPT of them."""
         at = np.searchsorted(self.keys, keys)
-        known = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(len(keys), bool)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
         if not known.all():
+            if len(self.keys) + np.count_nonzero(~known) > GRAMS_KEPT:
+                self.forget()
+                known[:] = False
             new = keys[~known]
-            made = self.bind(new)
-            if len(self.keys) + len(new) > GRAMS_KEPT:
-                self.keys, self.vectors = self.keys[:0], self.vectors[:0]
-                if len(keys) > GRAMS_KEPT:
-                    return self.bind(keys)
-                new, made = keys, self.bind(keys)
+            slots = np.arange(len(self.keys), len(self.keys) + len(new))
+            self.vectors[slots] = self.bind(new)
             order = np.argsort(np.concatenate([self.keys, new]), kind="stable")
             self.keys = np.concatenate([self.keys, new])[order]
-            self.vectors = np.concatenate([self.vectors, made])[order]
+            self.slots = np.concatenate([self.slots, slots])[order]
             at = np.searchsorted(self.keys, keys)
-        return self.vectors[at]
+        return self.vectors[self.slots[at]]
 
     @staticmethod
     def bind(keys: np.ndarray) -> np.ndarray:
@@ -79,9 +85,9 @@ class Profiler:
         codes = np.frombuffer(f"  {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         keys, counts = np.unique((codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:],
                                  return_counts=True)
-        out = np.zeros(DIMS, np.float64)
-        for i in range(0, len(keys), 8192):
-            out += counts[i:i + 8192].astype(np.float32) @ self.gram_vectors(keys[i:i + 8192])
+        out, step = np.zeros(DIMS, np.float64), min(8192, GRAMS_KEPT)
+        for i in range(0, len(keys), step):
+            out += counts[i:i + step].astype(np.float32) @ self.gram_vectors(keys[i:i + step])
         return out
 
 
@@ -97,7 +103,7 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[li
     drawn = usable.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(2**32)) < below)
 
     def bundle(batches):
-        profiler, sums = Profiler(), {}
+        profiler, sums = per_process("language", (DIMS, GRAMS_KEPT), Profiler), {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 v = profiler.profile(text)
@@ -130,7 +136,7 @@ def predict_language(docs: DataFrame, names: list[str], prototypes: np.ndarray,
     sent = docs.sparkSession.sparkContext.broadcast((names, prototypes))  # at most MAX_LANGUAGES x DIMS numbers
 
     def make():
-        profiler = Profiler()
+        profiler = per_process("language", (DIMS, GRAMS_KEPT), Profiler)
         names, prototypes = sent.value
 
         def of_text(text):
