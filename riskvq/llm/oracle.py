@@ -64,3 +64,73 @@ c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id,
        least(d.doc_id, coalesce(c.m, d.doc_id)) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""
+
+
+def clusters(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd rounds written out: assignments a1, a2, ... and centroids c0, c1, ..."""
+    def assigned(i: int, c: int) -> str:
+        return f"""a{i} AS MATERIALIZED (SELECT rid, min(d * 1000 + k) AS m FROM (
+  SELECT v.rid, c.k, CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+  FROM v CROSS JOIN c{c} c) GROUP BY rid)"""
+
+    def moved(i: int) -> str:
+        return f"""c{i} AS MATERIALIZED (SELECT c.k, coalesce(n.e, c.e) AS e FROM c{i - 1} c LEFT JOIN (
+  SELECT k, list(q ORDER BY p) AS e FROM (SELECT k, p, CAST(floor(sum(x) / count(*)) AS BIGINT) AS q FROM (
+    SELECT a.m % 1000 AS k, unnest(v.e) AS x, unnest(range(1, 65)) AS p FROM a{i} a JOIN v ON v.rid = a.rid)
+    GROUP BY k, p) GROUP BY k) n ON n.k = c.k)"""
+
+    turns = [part for i in range(1, rounds + 1) for part in (assigned(i, i - 1), moved(i))]
+    last = rounds + 1
+    return f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, e
+                    FROM (SELECT sha256('2:' || vec_id) AS h, e FROM v ORDER BY h LIMIT {k})),
+{", ".join(turns)}, {assigned(last, rounds)},
+r AS (SELECT v.vec_id, CAST(a.m % 1000 AS INTEGER) AS cluster, CAST(a.m // 1000 AS BIGINT) AS distance
+      FROM a{last} a JOIN v ON v.rid = a.rid)
+SELECT r.vec_id, r.cluster, r.distance, CAST(sum(r.distance) OVER (PARTITION BY r.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(r.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM r JOIN c{rounds} c ON c.k = r.cluster"""
+
+
+CLUSTERS = clusters()
+
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+m AS (SELECT page_id, strlen(body) AS size, sha1(body) AS digest,
+             CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS top FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN top IS DISTINCT FROM page_id AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to FROM m"""
+
+FILTER_AUDIT = """WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+             (len(d.ws) < 200) AS a, (100 * len(list_distinct(d.ws)) < 50 * len(d.ws)) AS b,
+             (100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 2 * length(d.t)) AS c,
+             regexp_matches(d.t, '[#$%&*|]') AS d, coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY d.t), false) AS e
+      FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+u AS (SELECT part, good, toxic, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END)
+             || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END)
+             || (CASE WHEN e THEN 'E' ELSE '' END) AS fails FROM f),
+s AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM u GROUP BY part, fails),
+o(w) AS (SELECT '' UNION ALL SELECT w || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE position(x IN w) = 0),
+k AS (SELECT w, unnest(range(1, 6)) AS step FROM o WHERE length(w) = 5),
+r AS (SELECT s.part, k.w, k.step, s.n, s.good, s.toxic, s.fails, substr(k.w, k.step, 1) AS x,
+             length(translate(substr(k.w, 1, k.step - 1), s.fails, '')) < k.step - 1 AS gone FROM s CROSS JOIN k),
+q AS (SELECT part, w, step, any_value(x) AS x,
+             sum(CASE WHEN NOT gone AND position(x IN fails) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN NOT gone AND position(x IN fails) > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN gone AND position(x IN fails) > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN NOT gone AND position(x IN fails) > 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN NOT gone AND position(x IN fails) > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM r GROUP BY part, w, step)
+SELECT part, w AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM q"""

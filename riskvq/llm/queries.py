@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from riskvq.llm import oracle
+from riskvq.llm.audit import audit_filters
 from riskvq.llm.bpe import encode_documents
+from riskvq.llm.clusters import cluster_vectors
 from riskvq.llm.common import table
 from riskvq.llm.decontam import find_contamination
 from riskvq.llm.language import identify_language
@@ -14,6 +16,7 @@ from riskvq.llm.quality import classify_quality
 from riskvq.llm.secrets import scan_secrets
 from riskvq.llm.shards import assign_shards
 from riskvq.llm.toxicity import classify_toxicity
+from riskvq.llm.warc import archive_pages
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -70,12 +73,28 @@ def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark, sf_dir):
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark, sf_dir):
+    return archive_pages(table(spark, sf_dir, "pages")).drop("problem")
+
+
+def op13_filter_audit(spark, sf_dir):
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_bpe, op4_decontamination, op5_toxicity, op6_language,
-                                   op7_repeated_passages, op8_shards, op9_embeddings, op10_near_duplicates)}
+                                   op7_repeated_passages, op8_shards, op9_embeddings, op10_near_duplicates, op11_clusters,
+                                   op12_warc, op13_filter_audit)}
 # The others take SQL's reach beyond use: offsets of matches, trained models, rank merges, CRC-32, 64-bit products.
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": oracle.DECONTAMINATION,
     "op7_repeated_passages": oracle.PASSAGES,
     "op9_embeddings": oracle.EMBEDDINGS,
     "op10_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op11_clusters": oracle.CLUSTERS,
+    "op12_warc": oracle.WARC,
+    "op13_filter_audit": oracle.FILTER_AUDIT,
 }
