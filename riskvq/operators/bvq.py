@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from riskvq.operators.aggregates import partial_sums, weighted_sums
 from riskvq.operators.codebook import Codebook, as_codebook, local_frame
-from riskvq.operators.nearest import GEMM_MIN_TERMS, PARTIAL_SCHEMA, _arrow_nearest, make_finder, two_nearest
+from riskvq.operators.exact_sums import SLICES, ExactSums, collected
+from riskvq.operators.nearest import ARROW_METHODS, GEMM_MIN_TERMS, PARTIAL_SCHEMA, _arrow_nearest, make_finder, two_nearest
 from riskvq.operators.sampling import draw_bags
 
 
@@ -101,8 +102,8 @@ def bvq_candidates(df: DataFrame, codebook, features: str = "features", method:
     """
     cb = as_codebook(codebook)
     differ = F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j"))
-    if method in ("auto", "arrow"):
-        nrm = _arrow_nearest(df, cb, 2, False, features, with_pair_norm=True).where(differ)
+    if method in ARROW_METHODS:
+        nrm = _arrow_nearest(df, cb, 2, False, features, with_pair_norm=True, method=method).where(differ)
     else:
         joined = _with_vectors(two_nearest(df, cb, method=method, features=features).where(differ), cb)
         dw = joined.withColumn("_dw", F.zip_with("w_i", "w_j", lambda a, b: a - b))
@@ -171,11 +172,14 @@ def bvq_contributions(df: DataFrame, codebook, rate: float, delta: float | None
     return act.select(pair.alias("c"), "t").select("c.code_id", "c.coef", "t")
 
 
-def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict | None, target: str):
-    """Per task: rows, sum of coefficients and sum of coefficient times target by code."""
+def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict | None, target: str, method: str,
+                replicable: bool):
+    """Per task: rows, sum of coefficients and sum of coefficient times target by code.
+
+    ``replicable``: the sums in exact slices, the coefficient as one more dimension."""
     ids, labels, w = cb.code_id.copy(), cb.code_label.copy(), cb.w.copy()
     k, dims = cb.k, cb.dims
-    find, matrix = make_finder(labels, w, 2, False, GEMM_MIN_TERMS)
+    find, matrix = make_finder(labels, w, 2, False, GEMM_MIN_TERMS, method)
     classes = decided = costs = None
     if cost is not None:
         classes, decided = np.unique([a for a, _ in cost]), np.unique(labels)
@@ -184,7 +188,8 @@ def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict
     def run(batches):
         import pyarrow as pa
 
-        n, s, v = np.zeros(k, np.int64), np.zeros(k), np.zeros((k, dims))
+        n, s, v = np.zeros(k, np.int64), np.zeros(k), np.zeros((0 if replicable else k, dims))
+        exact = ExactSums(k, dims + 1)
         for rb in batches:
             x, ok = matrix(rb.column(0))
             u = rb.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False)
@@ -212,9 +217,15 @@ def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict
                 t = x - (np.einsum("nd,nd->n", x - mid, dw) / (norm * norm))[:, None] * dw
             moved = g != 0
             for code, coef in ((i[moved], -g[moved]), (j[moved], g[moved])):
+                if replicable:
+                    exact.add(code, np.concatenate([coef[:, None] * t[moved], coef[:, None]], axis=1))
+                    continue
                 n += np.bincount(code, minlength=k)
                 np.add.at(s, code, coef)
                 np.add.at(v, code, coef[:, None] * t[moved])
+        if replicable:
+            yield exact.rows(ids)
+            return
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[used], pa.int64()), pa.array(n[used], pa.int64()), pa.array(s[used], pa.float64()),
@@ -226,20 +237,25 @@ def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict
 def bvq_step(bag: DataFrame, codebook, rate: float, delta: float | None = 0.2,
              window_half_width: float | None = None, cost: dict | None = None,
              target: str = "sample", features: str = "features", method: str = "auto",
-             one_task: bool = False) -> Codebook:
+             one_task: bool = False, replicable: bool = False) -> Codebook:
     """One batch BVQ step on a bag (M5); returns the new codebook.
 
     ``one_task`` says that the bag is small and in one partition: its sums are
-    then whole and need no aggregate."""
+    then whole and need no aggregate.  ``replicable`` adds in whole numbers
+    (``exact_sums``): the same bytes under any partitioning."""
     cb = as_codebook(codebook)
     if cb.k < 2:
         return cb
     check_cost(cost, cb)
     if target not in ("sample", "projection"):
         raise ValueError(f"unknown target {target!r}")
-    if method in ("auto", "arrow"):
-        kernel = _bvq_kernel(cb, rate, _half_width(delta, window_half_width), cost, target)
-        sums = partial_sums(bag.select(features, "label").mapInArrow(kernel, PARTIAL_SCHEMA), cb.dims, cb.k, one_task)
+    if method in ARROW_METHODS or replicable:
+        kernel = _bvq_kernel(cb, rate, _half_width(delta, window_half_width), cost, target, method, replicable)
+        partials = bag.select(features, "label").mapInArrow(kernel, SLICES if replicable else PARTIAL_SCHEMA)
+        if replicable:
+            sums = {c: (n, float(v[-1]), v[:-1]) for c, (n, v) in collected(partials, cb.dims + 1).items()}
+        else:
+            sums = partial_sums(partials, cb.dims, cb.k, one_task)
     else:
         contrib = bvq_contributions(bag, cb, rate, delta, window_half_width, cost, target, features, method)
         sums = weighted_sums(contrib, "code_id", cb.dims, weight=F.col("coef"), vec=F.col("t"), max_keys=cb.k)
@@ -261,7 +277,8 @@ def bvq_train(train: DataFrame, codebook, epochs: int, rate: float, delta: float
               window_half_width: float | None = None, cost: dict | None = None, target: str = "sample",
               n_bags: int | None = None, bag_size: int | None = None, seed: int = 0,
               use_bags: bool = True, id_col: str = "id", keep_history: bool = False,
-              features: str = "features", method: str = "auto") -> tuple[Codebook, BvqHistory]:
+              features: str = "features", method: str = "auto",
+              replicable: bool = False) -> tuple[Codebook, BvqHistory]:
     """``epochs`` x ``n_bags`` BVQ steps, codebook chained bag to bag (M6).
 
     With bags, all ``epochs * n_bags`` bags are drawn once (a count and one
@@ -282,14 +299,15 @@ def bvq_train(train: DataFrame, codebook, epochs: int, rate: float, delta: float
                 for b in range(n_bags):
                     one = bags.where(F.col("bag") == F.lit(e * n_bags + b + 1))
                     cb = bvq_step(one.coalesce(1) if small else one, cb, rate, delta, window_half_width, cost, target,
-                                  features, method, one_task=small)
+                                  features, method, small, replicable)
                     if keep_history:
                         hist.steps.append((e, b, cb))
         finally:
             bags.unpersist()
     else:
         for e in range(epochs):
-            cb = bvq_step(train, cb, rate, delta, window_half_width, cost, target, features, method)
+            cb = bvq_step(train, cb, rate, delta, window_half_width, cost, target, features, method,
+                          replicable=replicable)
             if keep_history:
                 hist.steps.append((e, 0, cb))
     return cb, hist

@@ -13,14 +13,21 @@ Three interchangeable physical paths, all map-only (no shuffle of the data):
               Its arithmetic mirrors SQL list lambdas term for term.
 ``arrow``     ``mapInArrow``: numpy distances on zero-copy Arrow batches;
               fastest for wide vectors and large codebooks.
+``tree``      The Arrow kernel with a metric tree over the codes
+              (``code_tree``): exact, far fewer distances where codes cluster
+              or have few dimensions.
 
-``auto`` is ``arrow``: it is about as fast as the unrolled plan on small
+``auto`` is ``arrow``, from ``TREE_MIN_CODES`` codes with a tree as long as it
+spares distances.  The Arrow path is about as fast as the unrolled plan on small
 codebooks, far faster on wide ones, and an optimizer barrier, so downstream
 filters never get pushed into (and multiply) a generated distance expression.
 Every path returns the same columns; ties go to the lower ``code_id``
 (codes are sorted by id and compared as ``(d2, code_id)``).  A code whose
 distance is not finite does not count, so a row with a NULL, NaN or infinite
 feature, or of another width, has no nearest code (NULLs) on any path.
+
+A codebook given as a DataFrame may be larger than one task should hold; it is
+then searched part by part (``large_codebook``).
 """
 
 from __future__ import annotations
@@ -31,20 +38,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskvq.functions.vectors import vec_sqdist
+from riskvq.operators.code_tree import tree_finder
 from riskvq.operators.codebook import Codebook, as_codebook, codebook_literal
+from riskvq.operators.large_codebook import CodeParts, nearest_in_parts
 
 # From this many distance terms per row (K x D) the Arrow kernel ranks with a
 # BLAS product plus exact re-ranking of a few candidates.
 GEMM_MIN_TERMS = 4_096
+# From this many codes a tree is tried first.
+TREE_MIN_CODES = 1_000
 
 _OUT1 = ["code_id", "code_label", "d2"]
 _OUT2 = ["code_i", "label_i", "d2_i", "code_j", "label_j", "d2_j"]
 
 
 def choose_method(cb: Codebook, method: str = "auto", k: int = 1) -> str:
-    if method not in ("auto", "arrow", "unrolled", "expr"):
+    if method not in ("auto", "arrow", "tree", "unrolled", "expr"):
         raise ValueError(f"unknown method {method!r}")
-    return "arrow" if method == "auto" else method
+    return method
+
+
+ARROW_METHODS = ("auto", "arrow", "tree")
+
+
+def _in_parts(codebook, method: str) -> CodeParts | None:
+    """The codebook in parts if it is one, or a DataFrame too large for one task."""
+    if isinstance(codebook, CodeParts):
+        return codebook
+    if isinstance(codebook, Codebook) or method not in ARROW_METHODS:
+        return None
+    parts = CodeParts.of(codebook)
+    return parts if parts.too_large() else None
 
 
 # ---------------------------------------------------------------------------
@@ -119,7 +143,8 @@ def _field(s: Column, name: str, fn=None) -> Column:
 # Arrow path
 # ---------------------------------------------------------------------------
 
-def make_finder(labels: np.ndarray, w: np.ndarray, k: int, within_class: bool, gemm_min_terms: int):
+def make_finder(labels: np.ndarray, w: np.ndarray, k: int, within_class: bool, gemm_min_terms: int,
+                method: str = "auto"):
     """``(find, matrix)``: the numpy functions that the Arrow kernels share.
 
     ``find(x, row_labels)`` gives indices and squared distances of the k nearest
@@ -206,14 +231,16 @@ def make_finder(labels: np.ndarray, w: np.ndarray, k: int, within_class: bool, g
             x = np.where(finite[:, None], x, 0.0)
         return x, ok & finite
 
+    if method == "tree" or (method == "auto" and ncode >= TREE_MIN_CODES):
+        return tree_finder(labels, w, k, within_class, find if method == "auto" else None), matrix
     return find, matrix
 
 
 def _nearest_kernel(cb: Codebook, k: int, within_class: bool, keep: list[str], features: str, names: list[str],
-                    with_pair_norm: bool):
+                    with_pair_norm: bool, method: str):
     """The per-batch function of the Arrow path: kept columns, then the picks."""
     ids, labels, w = cb.code_id.copy(), cb.code_label.copy(), cb.w.copy()
-    find, matrix = make_finder(labels, w, k, within_class, GEMM_MIN_TERMS)
+    find, matrix = make_finder(labels, w, k, within_class, GEMM_MIN_TERMS, method)
 
     def run(batches):
         import pyarrow as pa
@@ -242,7 +269,7 @@ def _nearest_kernel(cb: Codebook, k: int, within_class: bool, keep: list[str], f
 
 
 def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, features: str,
-                   with_pair_norm: bool = False, keep: list[str] | None = None) -> DataFrame:
+                   with_pair_norm: bool = False, keep: list[str] | None = None, method: str = "auto") -> DataFrame:
     """``mapInArrow``: numpy distances per Arrow batch, ties to the lower index.
 
     Output columns: the columns of ``keep`` (default all of ``df``), then
@@ -263,7 +290,7 @@ def _arrow_nearest(df: DataFrame, cb: Codebook, k: int, within_class: bool, feat
     needed = list(dict.fromkeys([*keep, features, *(["label"] if within_class else [])]))
     fields = {f.name: f for f in df.schema.fields}
     out_schema = T.StructType([fields[c] for c in keep] + [T.StructField(n, t) for n, t in zip(names, types)])
-    kernel = _nearest_kernel(cb, k, within_class, list(keep), features, list(names), with_pair_norm)
+    kernel = _nearest_kernel(cb, k, within_class, list(keep), features, list(names), with_pair_norm, method)
     return df.select(*needed).mapInArrow(kernel, out_schema)
 
 
@@ -282,11 +309,15 @@ def assign_nearest(df: DataFrame, codebook, within_class: bool = False, method:
     (class-wise SOM passes).  Rows with no valid code get NULLs.  ``keep``
     names the columns of ``df`` to return (default all).
     """
+    keep = df.columns if keep is None else keep
+    if (parts := _in_parts(codebook, method)) is not None:
+        best = F.get("nearest", F.lit(0))
+        return nearest_in_parts(df, parts, 1, within_class, features, keep).select(
+            *keep, *[best[n].alias(n) for n in _OUT1])
     cb = as_codebook(codebook)
     m = choose_method(cb, method)
-    keep = df.columns if keep is None else keep
-    if m == "arrow":
-        return _arrow_nearest(df, cb, 1, within_class, features, keep=keep)
+    if m in ARROW_METHODS:
+        return _arrow_nearest(df, cb, 1, within_class, features, keep=keep, method=m)
     if m == "unrolled":
         return _unrolled_nearest(df, cb, 1, within_class, features).select(*keep, *_OUT1)
     staged = _structs_frame(df, cb, m, within_class, features, F.array_min)
@@ -299,10 +330,12 @@ def k_nearest_codes(df: DataFrame, codebook, k: int = 2, method: str = "auto",
                     features: str = "features") -> DataFrame:
     """Add ``nearest``: the ``k`` closest codes as
     ``array<struct<d2, code_id, code_label>>``, ascending ``(d2, code_id)`` (T3)."""
+    if (parts := _in_parts(codebook, method)) is not None:
+        return nearest_in_parts(df, parts, k, False, features, df.columns)
     cb = as_codebook(codebook)
     m = choose_method(cb, method, k=k)
-    if m == "arrow":
-        flat = _arrow_nearest(df, cb, k, False, features)
+    if m in ARROW_METHODS:
+        flat = _arrow_nearest(df, cb, k, False, features, method=m)
         cols = flat.columns[len(df.columns):]
         ranks = [F.when(F.col(c).isNotNull(), F.struct(F.col(d).alias("d2"), F.col(c).alias("code_id"),
                                                        F.col(lab).alias("code_label")))
@@ -317,10 +350,14 @@ def k_nearest_codes(df: DataFrame, codebook, k: int = 2, method: str = "auto",
 def two_nearest(df: DataFrame, codebook, method: str = "auto", features: str = "features") -> DataFrame:
     """T3 with k=2, flattened: ``code_i, label_i, d2_i, code_j, label_j, d2_j``
     (``i`` nearest).  NULLs for a missing second code."""
+    if (parts := _in_parts(codebook, method)) is not None:
+        i, j = F.get("nearest", F.lit(0)), F.get("nearest", F.lit(1))
+        picked = [c[n].alias(out) for c, outs in ((i, _OUT2[:3]), (j, _OUT2[3:])) for n, out in zip(_OUT1, outs)]
+        return nearest_in_parts(df, parts, 2, False, features, df.columns).select(*df.columns, *picked)
     cb = as_codebook(codebook)
     m = choose_method(cb, method, k=2)
-    if m == "arrow":
-        return _arrow_nearest(df, cb, 2, False, features)
+    if m in ARROW_METHODS:
+        return _arrow_nearest(df, cb, 2, False, features, method=m)
     if m == "unrolled":
         return _unrolled_nearest(df, cb, 2, False, features)
     staged = _structs_frame(df, cb, m, False, features, lambda a: F.slice(F.sort_array(a), 1, 2))

@@ -20,26 +20,34 @@ from pyspark.sql import DataFrame
 
 from riskvq.operators.aggregates import partial_sums, weighted_sums
 from riskvq.operators.codebook import Codebook, as_codebook
-from riskvq.operators.nearest import GEMM_MIN_TERMS, PARTIAL_SCHEMA, assign_nearest, make_finder
+from riskvq.operators.exact_sums import SLICES, ExactSums, collected
+from riskvq.operators.nearest import ARROW_METHODS, GEMM_MIN_TERMS, PARTIAL_SCHEMA, assign_nearest, make_finder
 from riskvq.operators.sampling import bernoulli_sample
 
 
-def _som_kernel(cb: Codebook, within_class: bool):
-    """Per task: rows and sums of features by winning code."""
+def _som_kernel(cb: Codebook, within_class: bool, method: str, replicable: bool):
+    """Per task: rows and sums of features by winning code (``replicable``: in exact slices)."""
     ids, k, dims = cb.code_id.copy(), cb.k, cb.dims
-    find, matrix = make_finder(cb.code_label.copy(), cb.w.copy(), 1, within_class, GEMM_MIN_TERMS)
+    find, matrix = make_finder(cb.code_label.copy(), cb.w.copy(), 1, within_class, GEMM_MIN_TERMS, method)
 
     def run(batches):
         import pyarrow as pa
 
-        n, v = np.zeros(k, np.int64), np.zeros((k, dims))
+        n, v = np.zeros(k, np.int64), np.zeros((0 if replicable else k, dims))
+        exact = ExactSums(k, dims)
         for rb in batches:
             x, ok = matrix(rb.column(0))
             lr = rb.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False) if within_class else None
             idx, dist = find(x, lr)
             won = ok & np.isfinite(dist[:, 0])
+            if replicable:
+                exact.add(idx[won, 0], x[won])
+                continue
             np.add.at(v, idx[won, 0], x[won])
             n += np.bincount(idx[won, 0], minlength=k)
+        if replicable:
+            yield exact.rows(ids)
+            return
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[used], pa.int64()), pa.array(n[used], pa.int64()), pa.array(n[used], pa.float64()),
@@ -62,17 +70,24 @@ def spread(cb: Codebook, n: np.ndarray, v: np.ndarray, radius: int) -> tuple[np.
 
 
 def som_step(df: DataFrame, codebook, rate: float, radius: int = 0, within_class: bool = False,
-             sample_fraction: float | None = None, seed: int = 0, method: str = "auto", salt: str = "som") -> Codebook:
+             sample_fraction: float | None = None, seed: int = 0, method: str = "auto", salt: str = "som",
+             replicable: bool = False) -> Codebook:
     """One batch SOM pass; returns the moved codebook.
 
-    ``sample_fraction`` reads a keyed sample; ``salt`` names it."""
+    ``sample_fraction`` reads a keyed sample; ``salt`` names it.  ``replicable``
+    adds in whole numbers (``exact_sums``): the same bytes under any partitioning."""
     cb = as_codebook(codebook)
     if cb.k == 0:
         return cb
     data = df if sample_fraction is None else bernoulli_sample(df, sample_fraction, seed, salt=salt)
-    if method in ("auto", "arrow"):
+    if method in ARROW_METHODS or replicable:
         columns = ["features", "label"] if within_class else ["features"]
-        sums = partial_sums(data.select(*columns).mapInArrow(_som_kernel(cb, within_class), PARTIAL_SCHEMA), cb.dims, cb.k)
+        kernel = _som_kernel(cb, within_class, method, replicable)
+        partials = data.select(*columns).mapInArrow(kernel, SLICES if replicable else PARTIAL_SCHEMA)
+        if replicable:
+            sums = {c: (m, float(m), total) for c, (m, total) in collected(partials, cb.dims).items()}
+        else:
+            sums = partial_sums(partials, cb.dims, cb.k)
     else:
         # rows without a code (NULL key) form one group that is left out
         sums = weighted_sums(assign_nearest(data, cb, within_class=within_class, method=method), "code_id", cb.dims,
@@ -89,12 +104,13 @@ def som_step(df: DataFrame, codebook, rate: float, radius: int = 0, within_class
 
 
 def som_train(df: DataFrame, codebook, epochs: int, rate: float, radius: int = 0, within_class: bool = False,
-              sample_fraction: float | None = None, seed: int = 0, method: str = "auto") -> Codebook:
+              sample_fraction: float | None = None, seed: int = 0, method: str = "auto",
+              replicable: bool = False) -> Codebook:
     """``epochs`` SOM passes (M3), each against the codebook of the last.
 
     With ``sample_fraction`` each epoch uses its own keyed sample.
     """
     cb = as_codebook(codebook)
     for e in range(epochs):
-        cb = som_step(df, cb, rate, radius, within_class, sample_fraction, seed, method, salt=f"som:{e}")
+        cb = som_step(df, cb, rate, radius, within_class, sample_fraction, seed, method, f"som:{e}", replicable)
     return cb

@@ -17,11 +17,14 @@ from riskvq.operators import sampling as S
 from riskvq.operators.aggregates import vec_avg_long
 from riskvq.operators.bvq import bvq_step, bvq_train, bvq_window
 from riskvq.operators.codebook import Codebook, codebook_long
-from riskvq.operators.nearest import assign_nearest, predict, two_nearest
+from riskvq.operators.exact_sums import exact_vec_sum
+from riskvq.operators.large_codebook import CodeParts
+from riskvq.operators.nearest import assign_nearest, k_nearest_codes, predict, two_nearest
 from riskvq.operators.ranking import sort_by_first, sort_by_label
 from riskvq.operators.som import som_step, som_train
 from riskvq.plans.pipeline import RunParams, classify_pipeline
 from riskvq.sources import generate as G
+from riskvq.sources.row_index import with_row_index
 from riskvq.sources.labeled import (EVENT_TYPES, LINEITEM_FEATURES, RETURN_FLAGS, embeddings_labeled,
                                     events_labeled, feature_columns, from_matrix, label_index, table, to_labeled)
 
@@ -49,6 +52,10 @@ UNIFORM_LO, UNIFORM_HI = -1.0, 1.0
 INT_LO, INT_HI = 1, 6
 SCALE_OFFSET = 1.0
 SOM_RADIUS = 1
+# A larger codebook, searched in parts of 64 codes, and the number of codes returned.
+MORE_PER_CLASS = {c: 20 for c in EMB_CLASSES}
+PART_CELLS = 64 * EMB_DIMS
+K_NEAREST = 3
 
 
 def r(c, digits: int = DIGITS):
@@ -166,6 +173,29 @@ def q_draw_bags(spark, sf):
                                                                       "pos", "id")
 
 
+def lineitem_rows(spark, sf):
+    """``lineitem``, which has no single id, with its row number."""
+    return with_row_index(table(spark, sf, "lineitem"))
+
+
+def q_row_index(spark, sf):
+    return lineitem_rows(spark, sf).select("row_index", "l_orderkey", "l_partkey", "l_linenumber")
+
+
+def q_sample_by_row(spark, sf):
+    return S.bernoulli_sample(lineitem_rows(spark, sf), SAMPLE_FRACTION, SEED, id_col="row_index").select(
+        "row_index", "l_orderkey")
+
+
+def q_split_by_row(spark, sf):
+    return S.split_by_position(lineitem_rows(spark, sf), TRAIN_PCT, id_col="row_index").select("row_index", "part")
+
+
+def q_bags_by_row(spark, sf):
+    bags = S.draw_bags(lineitem_rows(spark, sf), N_BAGS, BAG_SIZE, SEED, id_col="row_index")
+    return bags.select(F.col("bag").cast("int").alias("bag"), "pos", "row_index")
+
+
 # -- vectors -----------------------------------------------------------------
 
 def q_vec_sum(spark, sf):
@@ -233,6 +263,22 @@ def q_two_nearest(spark, sf):
                                                   "code_j", "label_j", r("d2_j").alias("d2_j"))
 
 
+def more_codes(spark, sf) -> DataFrame:
+    return S.init_codebook_per_class(emb_train(spark, sf), MORE_PER_CLASS, SEED)
+
+
+def q_nearest_in_parts(spark, sf):
+    parts = CodeParts.of(more_codes(spark, sf), PART_CELLS)
+    near = k_nearest_codes(emb(spark, sf).select("id", "features"), parts, K_NEAREST)
+    return near.select("id", F.posexplode("nearest").alias("p", "c")).select(
+        "id", (F.col("p") + 1).alias("rank"), "c.code_id", "c.code_label", r("c.d2").alias("d2"))
+
+
+def q_nearest_tree(spark, sf):
+    near = two_nearest(emb(spark, sf), Codebook.from_df(more_codes(spark, sf)), method="tree")
+    return near.select("id", "code_i", "label_i", r("d2_i").alias("d2_i"), "code_j", "label_j", r("d2_j").alias("d2_j"))
+
+
 def q_som_step(spark, sf):
     return cb_long(spark, som_step(emb_train(spark, sf), init_cb(spark, sf), SOM_RATE))
 
@@ -268,6 +314,19 @@ def q_bvq_step_cost(spark, sf):
     return cb_long(spark, bvq_step(emb_train(spark, sf), init_cb(spark, sf), BVQ_RATE, DELTA, cost=cost))
 
 
+def q_som_train_replicable(spark, sf):
+    return cb_long(spark, som_train(emb_train(spark, sf), init_cb(spark, sf), 2, SOM_RATE, replicable=True))
+
+
+def q_bvq_step_replicable(spark, sf):
+    return cb_long(spark, bvq_step(emb_train(spark, sf), init_cb(spark, sf), BVQ_RATE, DELTA, replicable=True))
+
+
+def q_vec_avg_exact(spark, sf):
+    avg = exact_vec_sum(emb(spark, sf), "label", dims=EMB_DIMS, mean=True)
+    return _long_vec(avg.select(F.col("key").cast("int").alias("label"), "sums"), ["label"], "sums", "avg")
+
+
 def q_bvq_train_2(spark, sf):
     cb, _ = bvq_train(emb_train(spark, sf), init_cb(spark, sf), epochs=1, rate=BVQ_RATE, delta=DELTA,
                       n_bags=TRAIN_BAGS, bag_size=TRAIN_BAG_SIZE, seed=SEED)
@@ -356,6 +415,10 @@ QUERIES = {
     "split_sizes": q_split_sizes,
     "shuffle_rows": q_shuffle_rows,
     "draw_bags": q_draw_bags,
+    "row_index": q_row_index,
+    "sample_by_row": q_sample_by_row,
+    "split_by_row": q_split_by_row,
+    "bags_by_row": q_bags_by_row,
     "vec_sum": q_vec_sum,
     "vec_sum_skip_last": q_vec_sum_skip_last,
     "vec_sqdist": q_vec_sqdist,
@@ -370,6 +433,11 @@ QUERIES = {
     "sort_by_label": q_sort_by_label,
     "nearest": q_nearest,
     "two_nearest": q_two_nearest,
+    "nearest_in_parts": q_nearest_in_parts,
+    "nearest_tree": q_nearest_tree,
+    "som_train_replicable": q_som_train_replicable,
+    "bvq_step_replicable": q_bvq_step_replicable,
+    "vec_avg_exact": q_vec_avg_exact,
     "som_step": q_som_step,
     "som_step_radius": q_som_step_radius,
     "som_step_within_class": q_som_step_within_class,

@@ -66,8 +66,7 @@ train AS (SELECT id, label, features FROM split WHERE part = 'train'),
 test AS (SELECT id, label, features FROM split WHERE part = 'test')"""
 
 
-def per_class_cte(name: str, data: str) -> str:
-    quotas = C.PER_CLASS
+def per_class_cte(name: str, data: str, quotas: dict[int, int] = C.PER_CLASS) -> str:
     offsets = {}
     total = 0
     for lab in sorted(quotas):
@@ -194,6 +193,10 @@ def long_list(keys: str, list_expr: str, src: str, out: str = "x") -> str:
 FROM (SELECT {keys}, unnest(range(len(v))) AS dim, unnest(v) AS {out} FROM (SELECT {keys}, {list_expr} AS v FROM {src}))"""
 
 
+def li_rows() -> str:
+    return "li AS (SELECT row_number() OVER () - 1 AS row_index, * FROM lineitem)"
+
+
 def _li_lab() -> str:
     feats = ", ".join(f"CAST({c} AS DOUBLE)" for c in LINEITEM_FEATURES)
     return f"SELECT {case_label('l_returnflag', RETURN_FLAGS)} AS label, [{feats}] AS features FROM lineitem"
@@ -247,6 +250,16 @@ SELECT row_number() OVER (ORDER BY {draw('shuffle')}, id) AS pos, id FROM ev"""
 {bags_cte('bags', 'lab', C.N_BAGS, C.BAG_SIZE)}
 SELECT bag, pos, id FROM bags"""
 
+    q["row_index"] = f"WITH {li_rows()} SELECT row_index, l_orderkey, l_partkey, l_linenumber FROM li"
+    q["sample_by_row"] = f"""WITH {li_rows()}
+SELECT row_index, l_orderkey FROM li WHERE {below(draw('sample', 'row_index'), C.SAMPLE_FRACTION)}"""
+    q["split_by_row"] = f"""WITH {li_rows()}
+SELECT row_index, CASE WHEN row_number() OVER (ORDER BY row_index) <= (count(*) OVER ()) * {C.TRAIN_PCT} // 100
+                       THEN 'train' ELSE 'test' END AS part FROM li"""
+    q["bags_by_row"] = f"""WITH {li_rows()}, rows AS (SELECT row_index AS id FROM li),
+{bags_cte('bags', 'rows', C.N_BAGS, C.BAG_SIZE)}
+SELECT bag, pos, id AS row_index FROM bags"""
+
     q["vec_sum"] = f"WITH lab AS ({LAB_EMB}) SELECT id, round({fold('features')}, {D}) AS s FROM lab"
     q["vec_sum_skip_last"] = (f"WITH lab AS ({LAB_EMB}) SELECT id, "
                               f"round({fold('list_slice(features, 1, len(features) - 1)')}, {D}) AS s FROM lab")
@@ -278,6 +291,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, code_id) AS rn F
       SELECT l.id, c.code_id, c.code_label, {sqd('l.features', 'c.w')} AS d2 FROM lab l CROSS JOIN cb0 c))
 SELECT i.id, i.code_id AS code_i, i.code_label AS label_i, round(i.d2, {D}) AS d2_i,
        j.code_id AS code_j, j.code_label AS label_j, round(j.d2, {D}) AS d2_j
+FROM r i JOIN r j ON i.id = j.id AND i.rn = 1 AND j.rn = 2"""
+    more = f"""WITH {split_ctes()},
+{per_class_cte('cb0', 'train', C.MORE_PER_CLASS)},
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, code_id) AS rn FROM (
+      SELECT l.id, c.code_id, c.code_label, {sqd('l.features', 'c.w')} AS d2 FROM lab l CROSS JOIN cb0 c))"""
+    q["nearest_in_parts"] = f"""{more}
+SELECT id, CAST(rn AS INTEGER) AS rank, code_id, code_label, round(d2, {D}) AS d2 FROM r WHERE rn <= {C.K_NEAREST}"""
+    q["nearest_tree"] = f"""{more}
+SELECT i.id, i.code_id AS code_i, i.code_label AS label_i, round(i.d2, {D}) AS d2_i,
+       j.code_id AS code_j, j.code_label AS label_j, round(j.d2, {D}) AS d2_j
 FROM r i JOIN r j ON i.id = j.id AND i.rn = 1 AND j.rn = 2"""
     q["som_step"] = f"""{base},
 {som_ctes('cb1', 'cb0', 'train', C.SOM_RATE)}
@@ -292,12 +315,15 @@ FROM r i JOIN r j ON i.id = j.id AND i.rn = 1 AND j.rn = 2"""
 {som_ctes('cb1', 'cb0', 'train', C.SOM_RATE)},
 {som_ctes('cb2', 'cb1', 'train', C.SOM_RATE)}
 {long_cb('cb2')}"""
+    q["som_train_replicable"] = q["som_train_2"]
+    q["vec_avg_exact"] = q["vec_avg"]
     q["bvq_window"] = f"""{base},
 {bvq_pairs_ctes('b1', 'cb0', 'train')}
 SELECT id, u AS label, ci AS code_i, cj AS code_j, round(gap, {D}) AS gap FROM b1_w"""
     q["bvq_step"] = f"""{base},
 {bvq_ctes('cb1', 'cb0', 'train', C.BVQ_RATE)}
 {long_cb('cb1')}"""
+    q["bvq_step_replicable"] = q["bvq_step"]
     q["bvq_step_projection"] = f"""{base},
 {bvq_ctes('cb1', 'cb0', 'train', C.BVQ_RATE, target='projection')}
 {long_cb('cb1')}"""
