@@ -75,7 +75,7 @@ def main() -> None:
     # The launch parameters: 5 SOM epochs, 5 BVQ epochs of 10 bags of 100.
     launch = RunParams(per_class=LI_PER_CLASS, seed=C.SEED, train_pct=80, delta=C.DELTA, rate=C.BVQ_RATE,
                        use_som=True, som_epochs=5, som_rate=C.SOM_RATE, bvq_epochs=5, use_bags=True, n_bags=10,
-                       bag_size=100, persist_train=True)  # the table is small: its train part is kept between passes
+                       bag_size=100)
     timed("pipeline_launch_params_lineitem",
           lambda: classify_pipeline(li, launch).confusion().collect())
     # Closest to the recorded run itself: 2 features, 10 codes, SOM 1 epoch,

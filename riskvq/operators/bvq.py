@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from riskvq.operators.aggregates import partial_sums, weighted_sums
 from riskvq.operators.codebook import Codebook, as_codebook, local_frame
-from riskvq.operators.exact_sums import SLICES, ExactSums, collected
+from riskvq.operators.exact_sums import SLICES, ExactSums, collected, rounded
 from riskvq.operators.nearest import ARROW_METHODS, GEMM_MIN_TERMS, PARTIAL_SCHEMA, _arrow_nearest, make_finder, two_nearest
+from riskvq.operators.progress import Progress
 from riskvq.operators.sampling import draw_bags
 
 
@@ -172,19 +173,65 @@ def bvq_contributions(df: DataFrame, codebook, rate: float, delta: float | None
     return act.select(pair.alias("c"), "t").select("c.code_id", "c.coef", "t")
 
 
-def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict | None, target: str, method: str,
-                replicable: bool):
-    """Per task: rows, sum of coefficients and sum of coefficient times target by code.
+def _mover(cb: Codebook, rate: float, half_width: float | None, cost: dict | None, target: str, method: str):
+    """``(moves, matrix, active)``: the rule of a step in numpy.
 
-    ``replicable``: the sums in exact slices, the coefficient as one more dimension."""
-    ids, labels, w = cb.code_id.copy(), cb.code_label.copy(), cb.w.copy()
-    k, dims = cb.k, cb.dims
-    find, matrix = make_finder(labels, w, 2, False, GEMM_MIN_TERMS, method)
+    ``moves(w, x, ok, u)``: what rows contribute against codes ``w``, as two
+    (code, coefficient, target) triples.  ``active(w, x, u, i, j, d_i, d_j)``: of
+    rows with their two nearest codes, those that move them, with their factor
+    and target.  Nested, so that they travel to the workers by value.
+    """
+    labels, dims = cb.code_label.copy(), cb.dims
+    _, matrix = make_finder(labels, cb.w.copy(), 2, False, GEMM_MIN_TERMS, "arrow")
     classes = decided = costs = None
     if cost is not None:
         classes, decided = np.unique([a for a, _ in cost]), np.unique(labels)
         costs = np.array([[cost.get((int(a), int(p)), 0.0) for p in decided] for a in classes])
 
+    def active(w, x, u, i, j, d_i, d_j):
+        at = np.flatnonzero(np.isfinite(u) & np.isfinite(d_j) & (labels[i] != labels[j]))
+        if classes is not None:
+            at = at[np.isin(u[at], classes)]
+        dw = w[i[at]] - w[j[at]]
+        norm = np.sqrt(np.add.accumulate(dw * dw, axis=1)[:, -1]) if dw.size else np.zeros(len(at))
+        near = norm > 0
+        if half_width is not None:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near &= (d_j[at] - d_i[at]) / (2.0 * norm) <= half_width
+        at, dw, norm = at[near], dw[near], norm[near]
+        i, j, u, x = i[at], j[at], u[at], x[at]
+        if classes is None:
+            b_i, b_j = (u != labels[i]).astype(float), (u != labels[j]).astype(float)
+        else:
+            c = np.searchsorted(classes, u)
+            b_i, b_j = (costs[c, np.searchsorted(decided, labels[k])] for k in (i, j))
+        g = rate * (b_j - b_i) / norm
+        t = x
+        if target == "projection":
+            mid = (w[i] + w[j]) / 2.0
+            t = x - (np.einsum("nd,nd->n", x - mid, dw) / (norm * norm))[:, None] * dw
+        moved = g != 0
+        return at[moved], g[moved], t[moved]
+
+    def moves(w, x, ok, u, find=None):
+        find = find or make_finder(labels, w, 2, False, GEMM_MIN_TERMS, method)[0]
+        idx, dist = find(x, None)
+        i, j = idx[:, 0], idx[:, 1]
+        at, g, t = active(w, x, np.where(ok, u, np.nan), i, j, dist[:, 0], dist[:, 1])
+        return (i[at], -g, t), (j[at], g, t)
+
+    return moves, matrix, active
+
+
+def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict | None, target: str, method: str,
+                replicable: bool):
+    """Per task: rows, sum of coefficients and sum of coefficient times target by code.
+
+    ``replicable``: the sums in exact slices, the coefficient as one more dimension."""
+    ids, w, k, dims = cb.code_id.copy(), cb.w.copy(), cb.k, cb.dims
+    moves, matrix, _ = _mover(cb, rate, half_width, cost, target, method)
+    find, _ = make_finder(cb.code_label.copy(), w, 2, False, GEMM_MIN_TERMS, method)
+
     def run(batches):
         import pyarrow as pa
 
@@ -193,36 +240,13 @@ def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict
         for rb in batches:
             x, ok = matrix(rb.column(0))
             u = rb.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False)
-            idx, dist = find(x, None)
-            on = ok & np.isfinite(u) & np.isfinite(dist[:, 1]) & (labels[idx[:, 0]] != labels[idx[:, 1]])
-            if classes is not None:
-                on &= np.isin(u, classes)
-            x, u, i, j, dist = x[on], u[on], idx[on, 0], idx[on, 1], dist[on]
-            dw = w[i] - w[j]
-            norm = np.sqrt(np.add.accumulate(dw * dw, axis=1)[:, -1]) if dw.size else np.zeros(len(x))
-            near = norm > 0
-            if half_width is not None:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    near &= (dist[:, 1] - dist[:, 0]) / (2.0 * norm) <= half_width
-            x, u, i, j, dw, norm = x[near], u[near], i[near], j[near], dw[near], norm[near]
-            if classes is None:
-                b_i, b_j = (u != labels[i]).astype(float), (u != labels[j]).astype(float)
-            else:
-                at = np.searchsorted(classes, u)
-                b_i, b_j = (costs[at, np.searchsorted(decided, labels[c])] for c in (i, j))
-            g = rate * (b_j - b_i) / norm
-            t = x
-            if target == "projection":
-                mid = (w[i] + w[j]) / 2.0
-                t = x - (np.einsum("nd,nd->n", x - mid, dw) / (norm * norm))[:, None] * dw
-            moved = g != 0
-            for code, coef in ((i[moved], -g[moved]), (j[moved], g[moved])):
+            for code, coef, t in moves(w, x, ok, u, find):
                 if replicable:
-                    exact.add(code, np.concatenate([coef[:, None] * t[moved], coef[:, None]], axis=1))
+                    exact.add(code, np.concatenate([coef[:, None] * t, coef[:, None]], axis=1))
                     continue
                 n += np.bincount(code, minlength=k)
                 np.add.at(s, code, coef)
-                np.add.at(v, code, coef[:, None] * t[moved])
+                np.add.at(v, code, coef[:, None] * t)
         if replicable:
             yield exact.rows(ids)
             return
@@ -234,6 +258,115 @@ def _bvq_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict
     return run
 
 
+# Rows whose distances to all codes are held together when a bag is trained row by row.
+ONLINE_ROWS = 512
+CHAIN_SCHEMA = "bag int, code_id bigint, w array<double>"
+
+
+def _chain_kernel(cb: Codebook, rate: float, half_width: float | None, cost: dict | None, target: str, method: str,
+                  replicable: bool, order: str, keep_history: bool):
+    """Rows (bag, features, label) in order of bag and place to the codebook after the last bag, or after each.
+
+    ``batch``: a bag's contributions are summed against the codebook at its
+    start.  ``online``: every row sees the codes as the rows before it left them.
+    A moved pair touches only the later rows' distances to those two codes, so
+    the distances of a block of rows to all codes are kept, the next row that
+    moves anything is found from them, and its two columns are measured again.
+    """
+    ids, k, dims = cb.code_id.copy(), cb.k, cb.dims
+    start = cb.w.copy()
+    moves, matrix, active = _mover(cb, rate, half_width, cost, target, method)
+    rounded_total = rounded
+
+    def online(w, x, u):
+        for a in range(0, len(x), ONLINE_ROWS):
+            xb, ub = x[a:a + ONLINE_ROWS], u[a:a + ONLINE_ROWS]
+            d = np.stack([np.einsum("nd,nd->n", xb - c, xb - c) for c in w], axis=1)
+            at = 0
+            while at < len(xb):
+                rest = d[at:]
+                i = rest.argmin(axis=1)
+                rows = np.arange(len(rest))
+                d_i = rest[rows, i]
+                second = rest.copy()
+                second[rows, i] = np.inf
+                j = second.argmin(axis=1)
+                on, g, t = active(w, xb[at:], ub[at:], i, j, d_i, second[rows, j])
+                if not len(on):
+                    break
+                r, g, t = on[0], g[0], t[0]  # the first row that moves anything
+                p, q = i[r], j[r]
+                w[p], w[q] = w[p] - g * (w[p] - t), w[q] + g * (w[q] - t)
+                at += r + 1
+                for c in (p, q):
+                    d[at:, c] = np.einsum("nd,nd->n", xb[at:] - w[c], xb[at:] - w[c])
+        return w
+
+    def run(batches):
+        import pyarrow as pa
+
+        w = start.copy()
+        bag = None
+        n, s, v, exact = np.zeros(k, np.int64), np.zeros(k), np.zeros((k, dims)), ExactSums(k, dims + 1)
+
+        def apply():
+            if replicable:
+                for c in np.flatnonzero(exact.n):
+                    total = np.array([rounded_total({p: int(m[c, d]) for p, m in exact.places.items()})
+                                      for d in range(dims + 1)])
+                    w[c] = w[c] + total[-1] * w[c] - total[:-1]
+            else:
+                used = n > 0
+                w[used] = w[used] + s[used, None] * w[used] - v[used]
+
+        def codes():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(k, bag, np.int32), pa.int32()), pa.array(ids, pa.int64()),
+                 pa.array(list(w), pa.list_(pa.float64()))], names=["bag", "code_id", "w"])
+
+        for rb in batches:
+            bags = rb.column(0).to_numpy()
+            x, ok = matrix(rb.column(1))
+            u = np.where(ok, rb.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False), np.nan)
+            cuts = [0, *(np.flatnonzero(np.diff(bags)) + 1).tolist(), len(bags)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if bags[a] != bag:
+                    if bag is not None:
+                        apply()
+                        if keep_history:
+                            yield codes()
+                    bag = int(bags[a])
+                    n[:], s[:], v[:] = 0, 0, 0
+                    exact = ExactSums(k, dims + 1)
+                if order == "online":
+                    online(w, x[a:b], u[a:b])
+                    continue
+                for code, coef, t in moves(w, x[a:b], ok[a:b], u[a:b]):
+                    if replicable:
+                        exact.add(code, np.concatenate([coef[:, None] * t, coef[:, None]], axis=1))
+                    else:
+                        n += np.bincount(code, minlength=k)
+                        np.add.at(s, code, coef)
+                        np.add.at(v, code, coef[:, None] * t)
+        if bag is not None:
+            apply()
+            yield codes()
+
+    return run
+
+
+def _trained_in_one_task(bags: DataFrame, cb: Codebook, kernel) -> list[tuple[int, Codebook]]:
+    """(bag, codebook) for the bags that the kernel hands back; the last is the last bag's."""
+    rows = bags.coalesce(1).sortWithinPartitions("bag", "pos").select("bag", "features", "label")
+    place = {int(c): i for i, c in enumerate(cb.code_id)}
+    found: dict[int, np.ndarray] = {}
+    for r in rows.mapInArrow(kernel, CHAIN_SCHEMA).collect():  # the codes of the bags asked for
+        found.setdefault(r["bag"], np.empty_like(cb.w))[place[r["code_id"]]] = r["w"]
+    return [(bag, cb.with_weights(w)) for bag, w in sorted(found.items())]
+
+
 def bvq_step(bag: DataFrame, codebook, rate: float, delta: float | None = 0.2,
              window_half_width: float | None = None, cost: dict | None = None,
              target: str = "sample", features: str = "features", method: str = "auto",
@@ -277,37 +410,73 @@ def bvq_train(train: DataFrame, codebook, epochs: int, rate: float, delta: float
               window_half_width: float | None = None, cost: dict | None = None, target: str = "sample",
               n_bags: int | None = None, bag_size: int | None = None, seed: int = 0,
               use_bags: bool = True, id_col: str = "id", keep_history: bool = False,
-              features: str = "features", method: str = "auto",
-              replicable: bool = False) -> tuple[Codebook, BvqHistory]:
+              features: str = "features", method: str = "auto", replicable: bool = False,
+              order: str = "batch", progress: str | None = None) -> tuple[Codebook, BvqHistory]:
     """``epochs`` x ``n_bags`` BVQ steps, codebook chained bag to bag (M6).
 
     With bags, all ``epochs * n_bags`` bags are drawn once (a count and one
-    keyed pass over the training table); the drawn rows, at most
-    ``epochs * n_bags * bag_size``, are laid out by bag and kept until the last
-    step, so a step reads its own bag only.  A lost block is drawn again with
-    the same keys.  Without bags every epoch is one step over the whole
-    training table.
+    keyed pass over the training table).  A bag needs the codebook of the bag
+    before, so bags of at most ``ONE_TASK_ROWS`` rows are trained one after the
+    other in one task that holds a batch of rows and the codebook: one job for
+    all bags if they have at most ``ONE_TASK_ROWS`` rows together, else one an
+    epoch.  Larger bags are one distributed step each; their rows are laid out
+    by bag and kept until the last step (a lost block is drawn again with the
+    same keys).  Without bags every epoch is one step over the whole training
+    table.
+
+    ``order="online"`` trains the rows of a bag one by one in the order drawn,
+    as a serial program does, instead of summing a bag (small bags only).
+    ``progress`` names a shared folder: the codebook is written there after each
+    epoch, and a run that finds one of its own goes on from the last.
     """
+    if order not in ("batch", "online"):
+        raise ValueError(f"unknown order {order!r}")
+    bagged = bool(use_bags and n_bags and bag_size)
+    small = bagged and bag_size <= ONE_TASK_ROWS and method in ARROW_METHODS
+    if order == "online" and not small:
+        raise ValueError(f"rows are trained one by one in bags of at most {ONE_TASK_ROWS} rows only")
     cb = as_codebook(codebook)
     hist = BvqHistory()
-    if use_bags and n_bags and bag_size:
-        small = bag_size <= ONE_TASK_ROWS
-        bags = (draw_bags(train, epochs * n_bags, bag_size, seed, id_col).select("bag", features, "label")
-                .repartitionByRange("bag").sortWithinPartitions("bag").persist(StorageLevel.MEMORY_AND_DISK))
-        try:
-            for e in range(epochs):
-                for b in range(n_bags):
-                    one = bags.where(F.col("bag") == F.lit(e * n_bags + b + 1))
-                    cb = bvq_step(one.coalesce(1) if small else one, cb, rate, delta, window_half_width, cost, target,
-                                  features, method, small, replicable)
+    if cb.k < 2 or epochs < 1:
+        return cb, hist
+    check_cost(cost, cb)
+    if target not in ("sample", "projection"):
+        raise ValueError(f"unknown target {target!r}")
+    saved = Progress(train.sparkSession, progress, cb, ("bvq", rate, delta, window_half_width, sorted((cost or {}).items()),
+                                                        target, n_bags, bag_size, seed, bagged, order, replicable))
+    done, cb = saved.last(cb)
+    if done >= epochs:
+        return cb, hist
+    half_width = _half_width(delta, window_half_width)
+    bags = None
+    if bagged:
+        bags = draw_bags(train, epochs * n_bags, bag_size, seed, id_col).select("bag", "pos", F.col(features).alias("features"),
+                                                                               "label")
+    one_job = small and progress is None and epochs * n_bags * bag_size <= ONE_TASK_ROWS
+    if bagged and not one_job:
+        bags = bags.repartitionByRange("bag").sortWithinPartitions("bag", "pos").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        e = done
+        while e < epochs:
+            if small:
+                until = epochs if one_job else e + 1
+                kernel = _chain_kernel(cb, rate, half_width, cost, target, method, replicable, order, keep_history)
+                own = bags.where((F.col("bag") > e * n_bags) & (F.col("bag") <= until * n_bags))
+                for bag, moved in _trained_in_one_task(own, cb, kernel):
+                    cb = moved
+                    if keep_history:
+                        hist.steps.append(((bag - 1) // n_bags, (bag - 1) % n_bags, cb))
+                e = until
+            else:
+                for b in range(n_bags if bagged else 1):
+                    rows = bags.where(F.col("bag") == F.lit(e * n_bags + b + 1)) if bagged else train
+                    cb = bvq_step(rows, cb, rate, delta, window_half_width, cost, target,
+                                  "features" if bagged else features, method, replicable=replicable)
                     if keep_history:
                         hist.steps.append((e, b, cb))
-        finally:
+                e += 1
+            saved.save(e, cb)
+    finally:
+        if bagged and not one_job:
             bags.unpersist()
-    else:
-        for e in range(epochs):
-            cb = bvq_step(train, cb, rate, delta, window_half_width, cost, target, features, method,
-                          replicable=replicable)
-            if keep_history:
-                hist.steps.append((e, 0, cb))
     return cb, hist

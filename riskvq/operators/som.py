@@ -22,6 +22,7 @@ from riskvq.operators.aggregates import partial_sums, weighted_sums
 from riskvq.operators.codebook import Codebook, as_codebook
 from riskvq.operators.exact_sums import SLICES, ExactSums, collected
 from riskvq.operators.nearest import ARROW_METHODS, GEMM_MIN_TERMS, PARTIAL_SCHEMA, assign_nearest, make_finder
+from riskvq.operators.progress import Progress
 from riskvq.operators.sampling import bernoulli_sample
 
 
@@ -105,12 +106,17 @@ def som_step(df: DataFrame, codebook, rate: float, radius: int = 0, within_class
 
 def som_train(df: DataFrame, codebook, epochs: int, rate: float, radius: int = 0, within_class: bool = False,
               sample_fraction: float | None = None, seed: int = 0, method: str = "auto",
-              replicable: bool = False) -> Codebook:
+              replicable: bool = False, progress: str | None = None) -> Codebook:
     """``epochs`` SOM passes (M3), each against the codebook of the last.
 
-    With ``sample_fraction`` each epoch uses its own keyed sample.
+    With ``sample_fraction`` each epoch uses its own keyed sample.  ``progress``
+    names a shared folder: the codebook is written there after each epoch, and a
+    run that finds one of its own goes on from the last.
     """
     cb = as_codebook(codebook)
-    for e in range(epochs):
+    saved = Progress(df.sparkSession, progress, cb, ("som", rate, radius, within_class, sample_fraction, seed, replicable))
+    done, cb = saved.last(cb)
+    for e in range(done, epochs):
         cb = som_step(df, cb, rate, radius, within_class, sample_fraction, seed, method, f"som:{e}", replicable)
+        saved.save(e + 1, cb)
     return cb

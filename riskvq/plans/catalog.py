@@ -8,6 +8,8 @@ Every query reads the driver tables and runs over all of their rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from riskvq.operators.nearest import assign_nearest, k_nearest_codes, predict, t
 from riskvq.operators.ranking import sort_by_first, sort_by_label
 from riskvq.operators.som import som_step, som_train
 from riskvq.plans.pipeline import RunParams, classify_pipeline
+from riskvq.session import ensure_checkpoint_dir
 from riskvq.sources import generate as G
 from riskvq.sources.row_index import with_row_index
 from riskvq.sources.labeled import (EVENT_TYPES, LINEITEM_FEATURES, RETURN_FLAGS, embeddings_labeled,
@@ -318,6 +321,20 @@ def q_som_train_replicable(spark, sf):
     return cb_long(spark, som_train(emb_train(spark, sf), init_cb(spark, sf), 2, SOM_RATE, replicable=True))
 
 
+def q_som_train_resumed(spark, sf):
+    """A run of two passes that finds the first one done by a run before."""
+    train, cb = emb_train(spark, sf), init_cb(spark, sf)
+    folder = f"{ensure_checkpoint_dir(spark)}/som-{uuid.uuid4().hex}"
+    som_train(train, cb, 1, SOM_RATE, progress=folder)
+    return cb_long(spark, som_train(train, cb, 2, SOM_RATE, progress=folder))
+
+
+def q_bvq_train_online(spark, sf):
+    cb, _ = bvq_train(emb_train(spark, sf), init_cb(spark, sf), epochs=1, rate=BVQ_RATE, delta=DELTA,
+                      n_bags=TRAIN_BAGS, bag_size=TRAIN_BAG_SIZE, seed=SEED, order="online")
+    return cb_long(spark, cb)
+
+
 def q_bvq_step_replicable(spark, sf):
     return cb_long(spark, bvq_step(emb_train(spark, sf), init_cb(spark, sf), BVQ_RATE, DELTA, replicable=True))
 
@@ -436,6 +453,8 @@ QUERIES = {
     "nearest_in_parts": q_nearest_in_parts,
     "nearest_tree": q_nearest_tree,
     "som_train_replicable": q_som_train_replicable,
+    "som_train_resumed": q_som_train_resumed,
+    "bvq_train_online": q_bvq_train_online,
     "bvq_step_replicable": q_bvq_step_replicable,
     "vec_avg_exact": q_vec_avg_exact,
     "som_step": q_som_step,

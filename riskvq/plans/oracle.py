@@ -315,7 +315,7 @@ FROM r i JOIN r j ON i.id = j.id AND i.rn = 1 AND j.rn = 2"""
 {som_ctes('cb1', 'cb0', 'train', C.SOM_RATE)},
 {som_ctes('cb2', 'cb1', 'train', C.SOM_RATE)}
 {long_cb('cb2')}"""
-    q["som_train_replicable"] = q["som_train_2"]
+    q["som_train_replicable"] = q["som_train_resumed"] = q["som_train_2"]
     q["vec_avg_exact"] = q["vec_avg"]
     q["bvq_window"] = f"""{base},
 {bvq_pairs_ctes('b1', 'cb0', 'train')}

@@ -47,7 +47,19 @@ class RunParams:
     som_within_class: bool = False
     som_sample_fraction: float | None = None
     method: str = "auto"
-    persist_train: bool = False          # keep the training part between passes (else it is read again)
+    replicable: bool = False             # the same codebooks to the byte under any partitioning
+    order: str = "batch"                 # "online": rows of a bag one by one
+    progress: str | None = None          # shared folder to go on from after a loss
+    persist_train: bool | None = None    # keep the training part between passes; None: if it is estimated small
+
+
+# A training part estimated below this is kept in memory (and on disk) between passes.
+PERSIST_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the size of a DataFrame, from file sizes and column types."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 @dataclass
@@ -84,25 +96,32 @@ def classify_pipeline(df: DataFrame, params: RunParams) -> RunResult:
     train, test = train_test(split)
     train = train.select("id", "label", "features")
     timings = {}
-    if params.persist_train:
+    keep = estimated_bytes(train) <= PERSIST_BYTES if params.persist_train is None else params.persist_train
+    if keep:
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def folder(name: str) -> str | None:
+        return None if params.progress is None else f"{params.progress.rstrip('/')}/{name}"
+
     try:
         cb = Codebook.from_df(init_codebook_per_class(train, params.per_class, params.seed))
         stages = [("init", cb)]
         if params.use_som and params.som_epochs > 0:
             t = time.time()
             cb = som_train(train, cb, params.som_epochs, params.som_rate, params.som_radius,
-                           params.som_within_class, params.som_sample_fraction, params.seed, params.method)
+                           params.som_within_class, params.som_sample_fraction, params.seed, params.method,
+                           params.replicable, folder("som"))
             timings["som_sec"] = time.time() - t
             stages.append(("som", cb))
         t = time.time()
         cb, _ = bvq_train(train, cb, params.bvq_epochs, params.rate, params.delta, params.window_half_width,
                           params.cost, params.target, params.n_bags, params.bag_size, params.seed, params.use_bags,
-                          method=params.method)
+                          method=params.method, replicable=params.replicable, order=params.order,
+                          progress=folder("bvq"))
         timings["bvq_sec"] = time.time() - t
         stages.append(("bvq", cb))
     finally:
-        if params.persist_train:
+        if keep:
             train.unpersist()
     preds = predict(test, cb, method=params.method)
     timings["train_sec"] = time.time() - t0
