@@ -65,8 +65,12 @@ def partial_sums(partials: DataFrame, dims: int, max_keys: int,
     out = {int(r["code_id"]): (int(r["n"]), float(r["s"]), np.zeros(dims))
            for r in partials.groupBy("code_id").agg(*base).take(max_keys + 1)}
     per_dim = partials.select("code_id", F.posexplode("v").alias("d", "x")).groupBy("code_id", "d").agg(F.sum("x").alias("x"))
-    for r in per_dim.collect():
-        out[int(r["code_id"])][2][r["d"]] = r["x"]
+    # one row a code, as Arrow arrays: K x D doubles without a Python object each
+    per_code = per_dim.groupBy("code_id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("e")).select(
+        "code_id", F.transform("e", lambda e: e.x).alias("v"))
+    for batch in per_code.toArrow().to_batches():
+        for i, code in enumerate(batch.column(0).to_pylist()):
+            out[code][2][:] = batch.column(1)[i].values.to_numpy()
     return out
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from riskvq.operators.code_tree import CodeTree, no_codes
 from riskvq.operators.codebook import MAX_CELLS, MAX_CODES
+from riskvq.operators.ranking import with_position
 from riskvq.session import ensure_checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need numpy and pyarrow, not this package
@@ -61,28 +62,36 @@ class CodeParts:
         return self.k > MAX_CODES or self.k * self.dims > self.part_cells
 
 
-def _pack(per_part: int, dims: int):
-    """Rows (code_id, code_label, w) sorted by id to parts of at most ``per_part`` codes, one row each."""
-    def packed(ids, labels, w):
+PACKED = "part bigint, ids binary, labels binary, w binary"
+
+
+def _pack(dims: int):
+    """Rows (part, code_id, code_label, w) sorted by the first two to one row a part."""
+    def packed(part, held):
         import pyarrow as pa
 
+        ids, labels, w = (np.concatenate(c) for c in zip(*held, strict=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids[0]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
-             pa.array([labels.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())],
-            names=["first", "n", "ids", "labels", "w"])
+            [pa.array([part], pa.int64()), *[pa.array([c.tobytes()], pa.binary()) for c in (ids, labels, w)]],
+            names=["part", "ids", "labels", "w"])
 
     def run(batches):
-        ids, labels, w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dims))
+        part, held = None, []
         for rb in batches:
-            flat = rb.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            ids = np.concatenate([ids, rb.column(0).to_numpy()])
-            labels = np.concatenate([labels, rb.column(1).to_numpy().astype(np.int64)])
-            w = np.concatenate([w, flat])
-            while len(ids) >= per_part:
-                yield packed(ids[:per_part], labels[:per_part], w[:per_part])
-                ids, labels, w = ids[per_part:], labels[per_part:], w[per_part:]
-        if len(ids):
-            yield packed(ids, labels, w)
+            parts, ids = rb.column(0).to_numpy(), rb.column(1).to_numpy()
+            labels = rb.column(2).to_numpy().astype(np.int64)
+            w = rb.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if held and parts[a] != part:
+                    yield packed(part, held)
+                    held = []
+                part = int(parts[a])
+                held.append((ids[a:b], labels[a:b], w[a:b]))
+        if held:
+            yield packed(part, held)
 
     return run
 
@@ -165,24 +174,24 @@ def nearest_in_parts(df: DataFrame, parts: CodeParts, k: int, within_class: bool
         return df.select(*keep, F.array().cast(NEAREST).alias("nearest"))
     folder = f"{ensure_checkpoint_dir(spark)}/codes-{uuid.uuid4().hex}"
     per_part = max(1, min(MAX_CODES, parts.part_cells // max(1, parts.dims)))
-    (parts.codes.select(F.col("code_id").cast("bigint"), F.col("code_label").cast("int"),
-                        F.col("w").cast("array<double>"))
-     .repartitionByRange("code_id").sortWithinPartitions("code_id")
-     .mapInArrow(_pack(per_part, parts.dims), "first bigint, n bigint, ids binary, labels binary, w binary")
-     .write.parquet(f"{folder}/codes"))
+    codes = parts.codes.select(F.col("code_id").cast("bigint").alias("code_id"), F.col("code_label").cast("int"),
+                               F.col("w").cast("array<double>"))
+    (with_position(codes, ["code_id"]).withColumn("part", F.expr(f"(pos - 1) div {per_part}"))
+     .select("part", "code_id", "code_label", "w").repartition("part").sortWithinPartitions("part", "code_id")
+     .mapInArrow(_pack(parts.dims), PACKED).write.parquet(f"{folder}/codes"))
     packed = spark.read.parquet(f"{folder}/codes")
-    order = [r["first"] for r in packed.select("first").orderBy("first").collect()]  # a number a part
+    n_parts = -(-parts.k // per_part)
     fields = {f.name: f for f in df.schema.fields}
     carried = list(dict.fromkeys([*keep, features, *(["label"] if within_class else [])]))
     nearest = T.StructField("nearest", T.ArrayType(T.StructType([
         T.StructField("d2", T.DoubleType()), T.StructField("code_id", T.LongType()),
         T.StructField("code_label", T.IntegerType())])))
     rows = df.select(*carried)
-    for turn, first in enumerate(order):
-        part = packed.where(F.col("first") == first).collect()[0]  # one part at a time
+    for turn in range(n_parts):
+        part = packed.where(F.col("part") == turn).collect()[0]  # one part at a time
         ids, labels = (np.frombuffer(part[c], np.int64) for c in ("ids", "labels"))
         w = np.frombuffer(part["w"], np.float64).reshape(len(ids), -1)
-        last = turn == len(order) - 1
+        last = turn == n_parts - 1
         out = list(keep) if last else carried
         kernel = _part_kernel(ids, labels, w, k, within_class, out, features, turn == 0)
         rows = rows.mapInArrow(kernel, T.StructType([fields[c] for c in out] + [nearest]))

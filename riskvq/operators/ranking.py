@@ -4,6 +4,8 @@
 ``with_position`` gives the same 1-based position with ranges of the sort key:
 
 1. bounds of about equal ranges come from a small sample of the key columns;
+   their number follows from the number of rows and is bounded, whatever the
+   session's shuffle partitions;
 2. the rows of each range are counted from the key columns alone, and the
    counts (one per range) are summed up to offsets;
 3. the rows travel once, to their range, where a window numbers them.
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 
 # Keys sampled per range: ranges come out even within some ten per cent.
 SAMPLED_PER_RANGE = 100
+# Rows of a range, and the least and most ranges; bounds are literals in the plan.
+ROWS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 200_000, 16, 1_024
 
 
 def _c(c) -> Column:
@@ -43,10 +47,9 @@ def with_position(df: DataFrame, order_cols, name: str = "pos", num_partitions:
     All orders ascend, NULLs first.  Ties must be broken by the caller (include
     a unique column last).
     """
-    spark = df.sparkSession
-    ranges = num_partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(F.struct(*[_c(c).alias(f"k{i}") for i, c in enumerate(order_cols)]).alias("_o"))
     n = keys.count()
+    ranges = num_partitions or min(MOST_RANGES, max(LEAST_RANGES, -(-n // ROWS_PER_RANGE)))
     wanted = ranges * SAMPLED_PER_RANGE
     sample = keys if n <= wanted else keys.sample(False, min(1.0, 1.2 * wanted / n), 17)
     drawn = [r["_o"] for r in sample.orderBy("_o").limit(2 * wanted).collect()]  # a bounded number of keys

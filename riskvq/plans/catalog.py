@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskvq.functions import vectors as V
@@ -24,12 +24,14 @@ from riskvq.operators.large_codebook import CodeParts
 from riskvq.operators.nearest import assign_nearest, k_nearest_codes, predict, two_nearest
 from riskvq.operators.ranking import sort_by_first, sort_by_label
 from riskvq.operators.som import som_step, som_train
-from riskvq.plans.pipeline import RunParams, classify_pipeline
+from riskvq.plans.pipeline import RunParams, classify_pipeline, run_report
 from riskvq.session import ensure_checkpoint_dir
 from riskvq.sources import generate as G
 from riskvq.sources.row_index import with_row_index
 from riskvq.sources.labeled import (EVENT_TYPES, LINEITEM_FEATURES, RETURN_FLAGS, embeddings_labeled,
-                                    events_labeled, feature_columns, from_matrix, label_index, table, to_labeled)
+                                    events_labeled, feature_columns, from_matrix, label_index, parse_labeled_csv, table,
+                                    to_labeled)
+from riskvq.sources.report import read_run_report, write_run_report
 
 DIGITS = 6
 
@@ -118,6 +120,39 @@ def q_from_matrix(spark, sf):
     return feature_columns(from_matrix(matrix), len(LINEITEM_FEATURES))
 
 
+def quirky_line(i: Column, columns: list[Column]) -> Column:
+    """A CSV line of lineitem row ``i`` as careless programs write it; some are wrong, by the row number."""
+    def joined(cols):
+        return F.concat_ws(",", *[c.cast("string") for c in cols])
+
+    def is_(k, rest):
+        return i % k == rest
+
+    row, label, f1, f2, *others = columns
+    line = (F.when(is_(11, 3), joined([row, label, f1, F.lit("n/a"), *others]))
+            .when(is_(13, 5), joined(columns[:-1]))
+            .when(is_(17, 7), joined([*columns, F.lit(9)]))
+            .when(is_(19, 8), joined([row, F.lit("x"), f1, f2, *others]))
+            .when(is_(23, 9), joined([F.concat(F.lit("no"), row.cast("string")), *columns[1:]]))
+            .otherwise(joined(columns)))
+    start, end = F.when(i == 0, F.lit("\ufeff")).otherwise(""), F.when(is_(7, 0), " \r").when(is_(5, 0), "  ").otherwise("")
+    return F.concat(start, line, end)
+
+
+def q_csv_rejects(spark, sf):
+    """lineitem written as CSV with mistakes and read back: lines by reason, with sums of the good ones."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = lineitem_rows(spark, sf)
+    columns = [F.col("row_index"), label_index("l_returnflag", RETURN_FLAGS), *[F.col(c).cast("double") for c in LINEITEM_FEATURES]]
+    rows.select(quirky_line(F.col("row_index"), columns).alias("value")).write.text(path)
+    parsed = parse_labeled_csv(spark, path, len(LINEITEM_FEATURES))
+    good = F.col("reason").isNull()
+    return parsed.groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(good, F.col("id"))).alias("ids"),
+        F.sum(F.when(good, F.col("label"))).alias("labels"),
+        F.round(F.sum(F.when(good, F.element_at("features", 2))), 2).alias("prices"))
+
+
 def q_uniform_table(spark, sf):
     ev = table(spark, sf, "events")
     u = G.uniform_features(ev, UNIFORM_DIMS, SEED, UNIFORM_LO, UNIFORM_HI, id_col="event_id")
@@ -410,6 +445,15 @@ def pipeline_params() -> RunParams:
                      use_bags=False, bvq_epochs=1, use_som=True, som_epochs=1, som_rate=SOM_RATE)
 
 
+def q_run_report(spark, sf):
+    """The report of a run, written as text and read back, without its parameters and times."""
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    result = classify_pipeline(emb(spark, sf), pipeline_params())
+    write_run_report(run_report(result, EMB_CLASSES), None, path)
+    rows = read_run_report(spark, path)
+    return rows.where(~F.col("metric").like("param\\_%") & ~F.col("metric").like("%\\_sec"))
+
+
 def q_classify_pipeline(spark, sf):
     res = classify_pipeline(emb(spark, sf), pipeline_params())
     return res.confusion()
@@ -419,6 +463,7 @@ QUERIES = {
     "to_labeled": q_to_labeled,
     "to_labeled_numeric": q_to_labeled_numeric,
     "from_matrix": q_from_matrix,
+    "csv_rejects": q_csv_rejects,
     "uniform_table": q_uniform_table,
     "uniform_int": q_uniform_int,
     "row_count": q_row_count,
@@ -476,4 +521,5 @@ QUERIES = {
     "codebook_shift": q_codebook_shift,
     "class_profile": q_class_profile,
     "classify_pipeline": q_classify_pipeline,
+    "run_report": q_run_report,
 }

@@ -211,6 +211,14 @@ def build() -> dict[str, str]:
                        "CAST(user_id AS DOUBLE) AS f2 FROM events")
     li_feats = ", ".join(f"CAST({c} AS DOUBLE) AS f{i + 1}" for i, c in enumerate(LINEITEM_FEATURES))
     q["from_matrix"] = f"SELECT {case_label('l_returnflag', RETURN_FLAGS)} AS label, {li_feats} FROM lineitem"
+    label = case_label("l_returnflag", RETURN_FLAGS)
+    q["csv_rejects"] = f"""WITH {li_rows()},
+r AS (SELECT row_index AS i, {label} AS label, CAST(l_extendedprice AS DOUBLE) AS price,
+             CASE WHEN row_index % 11 = 3 THEN 'feature' WHEN row_index % 13 = 5 OR row_index % 17 = 7 THEN 'columns'
+                  WHEN row_index % 19 = 8 THEN 'label' WHEN row_index % 23 = 9 THEN 'id' ELSE 'good' END AS reason FROM li)
+SELECT reason, count(*) AS n, CAST(sum(CASE WHEN reason = 'good' THEN i END) AS BIGINT) AS ids,
+       CAST(sum(CASE WHEN reason = 'good' THEN label END) AS BIGINT) AS labels,
+       round(sum(CASE WHEN reason = 'good' THEN price END), 2) AS prices FROM r GROUP BY reason"""
     q["to_labeled_numeric"] = """SELECT o_orderkey AS id, CAST(trunc(o_totalprice / 100000.0) AS INTEGER) AS label,
   CAST(o_totalprice AS DOUBLE) AS f1 FROM orders"""
     span = C.UNIFORM_HI - C.UNIFORM_LO
@@ -379,6 +387,22 @@ FROM li GROUP BY label""")
 {bvq_ctes('cb2', 'cb1', 'train', C.BVQ_RATE)},
 {pred_cte('pr', 'test', 'cb2')}
 SELECT label AS actual, pred AS predicted, count(*) AS n FROM pr GROUP BY label, pred"""
+    per_class = " || ' ' || ".join(f"count(*) FILTER (WHERE pred = {c})" for c in C.EMB_CLASSES)
+    q["run_report"] = f"""{base},
+{som_ctes('cb1', 'cb0', 'train', C.SOM_RATE)},
+{bvq_ctes('cb2', 'cb1', 'train', C.BVQ_RATE)},
+{pred_cte('pr', 'test', 'cb2')}
+SELECT 'train_rows' AS metric, CAST(count(*) AS VARCHAR) AS value FROM train
+UNION ALL SELECT 'test_rows', CAST(count(*) AS VARCHAR) FROM test
+UNION ALL SELECT 'codes', CAST(count(*) AS VARCHAR) FROM cb2
+UNION ALL SELECT 'confusion_columns', '{" ".join(map(str, C.EMB_CLASSES))} other'
+UNION ALL SELECT 'confusion_' || coalesce(CAST(label AS VARCHAR), 'None'), {per_class} || ' ' ||
+  count(*) FILTER (WHERE pred IS NULL OR pred NOT IN ({known})) FROM pr GROUP BY label
+UNION ALL SELECT 'accuracy', CAST(count(*) FILTER (WHERE label = pred) / count(*) AS VARCHAR) FROM pr
+UNION ALL SELECT 'mean_cost', CAST(count(*) FILTER (WHERE label <> pred) / count(*) AS VARCHAR) FROM pr
+  WHERE label IN ({known}) AND pred IN ({known})
+UNION ALL SELECT 'unlisted_rows', CAST(count(*) FILTER (WHERE label IS NULL OR label NOT IN ({known}) OR pred IS NULL
+  OR pred NOT IN ({known})) AS VARCHAR) FROM pr"""
     return q
 
 

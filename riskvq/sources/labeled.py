@@ -91,6 +91,50 @@ def read_labeled_csv(spark: SparkSession, path: str, n_features: int) -> DataFra
     return to_labeled(raw, "id", "label", [f"f{i + 1}" for i in range(n_features)])
 
 
+REASONS = ("columns", "id", "label", "feature")
+
+
+def parse_labeled_csv(spark: SparkSession, path: str, n_features: int) -> DataFrame:
+    """Every line of a headerless CSV ``id,label,f1..fn``, with what is wrong with it (IO1).
+
+    ``reason`` is NULL for a line that reads as ``read_labeled_csv`` reads it;
+    else the first of ``columns`` (too few or too many), ``id``, ``label`` and
+    ``feature`` (no number there), and ``record`` holds the line (without the
+    blanks around its fields where the number of columns is right).
+    """
+    names = ["id", "label", *(f"f{i + 1}" for i in range(n_features))]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
+    raw = (spark.read.schema(schema)
+           .option("header", "false")
+           .option("sep", ",")
+           .option("encoding", "UTF-8")
+           .option("ignoreLeadingWhiteSpace", "true")
+           .option("ignoreTrailingWhiteSpace", "true")
+           .option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_line")
+           .csv(path))
+    first = F.regexp_replace(names[0], "^\ufeff", "")  # a byte order mark
+    row_id, label = first.try_cast("bigint"), F.col("label").try_cast("double").try_cast("int")
+    feats = F.array(*[F.col(n).try_cast("double") for n in names[2:]])
+    reason = (F.when(F.col("_line").isNotNull(), "columns").when(row_id.isNull(), "id").when(label.isNull(), "label")
+              .when(F.exists(feats, lambda x: x.isNull()), "feature"))
+    line = F.coalesce(F.col("_line"), F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in names]))
+    return raw.select(row_id.alias("id"), label.alias("label"), feats.alias("features"), reason.alias("reason"),
+                      line.alias("_text")).select("id", "label", "features", "reason",
+                                                  F.when(F.col("reason").isNotNull(), F.col("_text")).alias("record"))
+
+
+def good_and_rejected(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The labelled rows, and the rejected lines ``(reason, record)``, of ``parse_labeled_csv``."""
+    return (parsed.where("reason IS NULL").select("id", "label", "features"),
+            parsed.where("reason IS NOT NULL").select("reason", "record"))
+
+
+def reason_counts(parsed: DataFrame) -> DataFrame:
+    """Lines by reason, ``good`` for the labelled ones: ``(reason, n)``."""
+    return parsed.groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def feature_columns(df: DataFrame, n_features: int, prefix: str = "f") -> DataFrame:
     """Spread the feature array into ``f1..fn`` double columns."""
     rest = [c for c in df.columns if c != "features"]

@@ -4,7 +4,7 @@ as Parquet.  Both are distributed writes; nothing is gathered on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,14 @@ def codebook_text(cb_df: DataFrame) -> DataFrame:
     return cb_df.select(*cols, "code_id", line.alias("line"))
 
 
+def read_run_report(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The ``(metric, value)`` rows of a report."""
+    base = f"{path.rstrip('/')}/metrics"
+    if fmt == "parquet":
+        return spark.read.parquet(base)
+    return spark.read.schema("metric string, value string").option("sep", ";").option("header", "true").csv(base)
+
+
 def write_run_report(metrics: DataFrame, codebooks: DataFrame | None, path: str, mode: str = "overwrite",
                      fmt: str = "csv") -> None:
     """Write ``metrics`` (``metric, value``) and stage codebooks under ``path``.
