@@ -14,8 +14,11 @@ on full sets until every link is found or lies inside a component.
 
 Cases: documents without words, or without text, have an empty set, are linked
 with nothing and kept; with fewer than five words the whole sequence is the
-one shingle; rows that share a doc_id are placed by their own text; rows
-without doc_id are linked with nothing, have no component and are kept.
+one shingle.  What is linked are rows: a row has the set of its own text and
+the links of that set, and its component_id is the smallest doc_id of the rows
+that these links reach; rows that share a doc_id but not a text are not linked
+by the id.  Rows without doc_id are linked with nothing, have no component and
+are kept.
 """
 
 from __future__ import annotations
@@ -235,16 +238,19 @@ def _verify(across: bool):
 
 
 def _as_sets(batches, hashes):
-    """Groups of ``runs`` with texts turned into sets as they arrive."""
+    """Groups of ``runs`` with texts turned into sets as they arrive; a text of another set of its doc_id is left out."""
     import pyarrow as pa
+    import xxhash
 
     def convert():
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
                 sets = [shingles(t, hashes).tobytes() for t in part.column(5).to_pylist()]
+                own = pa.array([xxhash.xxh3_128_digest(s) == sig
+                                for s, sig in zip(sets, part.column(6).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())],
-                                                 names=["g", "x", "y", "side", "id", "s"])
+                                                 names=["g", "x", "y", "side", "id", "s"]).filter(own)
 
     for key, (side, ids, raw) in runs(convert(), 3):
         yield key, (side, ids, [np.frombuffer(r, np.uint64) for r in raw])
@@ -254,8 +260,17 @@ def _blocks(rows: str, shingles: str):
     return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
+def _ids_repeat(docs: DataFrame) -> bool:
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
+    counts = ids.groupBy("doc_id").count().where("count > 1")
+    return counts.limit(1).count() > 0
+
+
 def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """True links among members (id, n, grp), as star edges that join what is linked; docs gives (doc_id, text).
+    """True links among members (id, rep, sig, n, grp), as star edges that join what is linked.
+
+    The text of class ``id`` is that of the row ``rep`` of docs (doc_id, text)
+    whose set has the signature ``sig``.
 
     Groups of bounded rows and shingles are compared whole.  A larger group is
     cut into blocks of that size; each block is compared whole together with
@@ -269,13 +284,16 @@ def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
     sizes = settled(members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
                          .select("grp", "m", _blocks("m", "s").alias("b")))
     placed = members.join(sizes, "grp").select(
-        "grp", "b", "m", "id", "n", F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("block"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    texts.join(placed.hint("shuffle_hash"), "id").write.parquet(f"{folder}/texts")
+        "grp", "b", "m", "id", "rep", "sig", "n", F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("block"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").where(
+        F.col("rep").isNotNull() & F.col("text").isNotNull())
+    if _ids_repeat(docs):  # one row for each text of an id
+        texts = texts.groupBy("rep", F.sha2("text", 256).alias("_h")).agg(F.min("text").alias("text")).drop("_h")
+    texts.join(placed.hint("shuffle_hash"), "rep").write.parquet(f"{folder}/texts")
     held = docs.sparkSession.read.parquet(f"{folder}/texts")
 
     def compared(rows: DataFrame, across: bool) -> DataFrame:
-        return (rows.select("grp", "x", "y", "side", "id", "text").repartition("grp", "x", "y")
+        return (rows.select("grp", "x", "y", "side", "id", "text", "sig").repartition("grp", "x", "y")
                 .sortWithinPartitions("grp", "x", "y", "id").mapInArrow(_verify(across), "a bigint, b bigint"))
 
     own = held.withColumns({"x": F.col("block"), "y": F.col("block"), "side": F.lit(0)})
@@ -300,17 +318,50 @@ def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
     outside = (held.join(rest.select("grp", "id"), ["grp", "id"]).join(counts, "grp")
                .withColumns({"x": F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("b2")).cast("int"), "side": F.lit(1)})
                .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("b") - 1))))
-    columns = ["grp", "x", "y", "side", "id", "text"]
+    columns = ["grp", "x", "y", "side", "id", "text", "sig"]
     return edges.unionByName(compared(every.select(*columns).unionByName(outside.select(*columns)), True))
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """Per row of (doc_id, text): doc_id, text_hash, n_shingles, root, component_id.
+
+    ``root`` names the component among all rows, also where two components have
+    the same smallest doc_id; NULL for rows that can have no link.
+    """
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    features = checkpointed(map_texts(named, _make_features,
+                                      [("n_shingles", "bigint"), ("sig", "binary"), ("sketch", "binary")],
+                                      carry=("doc_id", "text_hash")))
+    # a class has a number of its own: two sets of one doc_id are two classes
+    classes = checkpointed(features.where(F.col("doc_id").isNotNull() & F.col("sig").isNotNull())
+                           .groupBy("sig", "sketch").agg(F.min(F.col("doc_id").cast("bigint")).alias("rep"),
+                                                         F.first("n_shingles").alias("n"))
+                           .withColumn("id", F.monotonically_increasing_id()))
+    groups = components(candidate_edges(classes.select("id", "sketch")))
+    members = classes.select("id", "rep", "sig", "n").join(groups.select("id", F.col("component").alias("grp")), "id")
+    linked = settled(components(verified_edges(docs, members)))
+    least = settled(linked.join(classes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least")))
+    of_class = (classes.select("sig", "id", "rep").join(linked.join(least, "component"), "id", "left")
+                .select("sig", F.coalesce("component", "id").alias("root"), F.coalesce("least", "rep").alias("least")))
+    out = features.select("doc_id", "text_hash", "n_shingles", "sig").join(settled(of_class), "sig", "left")
+    has = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(has, F.col("root")).alias("root"),
+                      F.when(has, F.coalesce("least", "doc_id")).alias("component_id"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents kept: of each component the one of the smallest id, rows equal in id and text once."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """The documents kept: one of each component (the smallest id, of its texts the one of the smallest hash).
+
+    Rows equal in id and text count once; documents without words are all kept.
+    """
+    rows = checkpointed(_placed(docs).where(F.col("root").isNotNull()).select("doc_id", "text_hash", "root"))
+    first = settled(rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    gone = (rows.join(first, "root").where(F.struct("doc_id", "text_hash") != F.col("first"))
+            .select("doc_id", F.col("text_hash").alias("_h")).distinct())
 
     def keep(d, _):
         own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without id are never equal
-        return (d.join(gone, "doc_id", "left_anti").withColumns({"_h": F.xxhash64("text"), "_own": own})
+        return (d.withColumns({"_h": F.xxhash64("text"), "_own": own}).join(gone, ["doc_id", "_h"], "left_anti")
                 .dropDuplicates(["doc_id", "_h", "_own"]))
 
     out, columns = annotated(docs, keep)
@@ -319,17 +370,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    features = checkpointed(map_texts(docs, _make_features,
-                                      [("n_shingles", "bigint"), ("sig", "binary"), ("sketch", "binary")]))
-    classes = checkpointed(features.where(F.col("doc_id").isNotNull() & F.col("sig").isNotNull())
-                           .groupBy("sig", "sketch").agg(F.min(F.col("doc_id").cast("bigint")).alias("id"),
-                                                         F.first("n_shingles").alias("n")))
-    groups = components(candidate_edges(classes.select("id", "sketch")))
-    members = classes.select("id", "n").join(groups.select("id", F.col("component").alias("grp")), "id")
-    linked = components(verified_edges(docs, members))
-    of_class = classes.select("sig", "id").join(linked, "id", "left").select(
-        "sig", F.coalesce("component", "id").alias("_component"))
-    out = features.select("doc_id", "n_shingles", "sig").join(of_class, "sig", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    component = F.col("component_id")
+    return _placed(docs).select("doc_id", "n_shingles", "component_id",
+                                F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

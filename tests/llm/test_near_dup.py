@@ -86,6 +86,39 @@ def test_kept_documents(documents, odd_rows):
     assert N.drop_near_duplicates(documents([])).count() == N.near_duplicates(documents([])).count() == 0
 
 
+def test_rows_that_share_an_id_are_placed_by_their_text(documents):
+    rng = random.Random(12)
+    a, b = prose(rng, 100), prose(rng, 100)
+    rows = [(3, a), (7, a + " more"), (7, b), (5, b + " end"), (9, prose(rng, 50)), (9, prose(rng, 50)), (7, b), (11, None),
+            (11, ""), (11, "")]
+    out = sorted(map(tuple, N.near_duplicates(documents(rows)).collect()))
+    by = {(i, c): k for i, _, c, k in out}
+    assert by[(3, 3)] and not by[(7, 3)] and not by[(7, 5)] and by[(5, 5)] and by[(9, 9)] and by[(11, 11)]
+    assert sorted((i, c) for i, _, c, _ in out) == [(3, 3), (5, 5), (7, 3), (7, 5), (7, 5), (9, 9), (9, 9), (11, 11),
+                                                    (11, 11), (11, 11)]
+    kept = sorted((r.doc_id, r.text or "") for r in N.drop_near_duplicates(documents(rows)).collect())
+    assert kept == sorted([(3, a), (5, b + " end"), *((i, t) for i, t in rows if i == 9), (11, ""), (11, "")])
+
+
+def test_unique_texts_of_a_repeated_id_stay(documents):
+    rng = random.Random(13)
+    a, lone = prose(rng, 80), prose(rng, 80)
+    rows = [(3, a), (7, a + " x"), (7, lone), (9, prose(rng, 70))]
+    got = {(r.doc_id, r.text) for r in N.drop_near_duplicates(documents(rows)).collect()}
+    assert got == {rows[0], rows[2], rows[3]}
+    twice = [(4, a), (4, a + " x"), (4, a.replace("b", "B")), (4, a)]  # one group under one id: one of its texts stays
+    assert N.drop_near_duplicates(documents(twice)).count() == 1
+
+
+def test_a_hot_id_with_equal_and_other_texts(documents):
+    rng = random.Random(14)
+    a = prose(rng, 60)
+    rows = [(1, a)] * 300 + [(1, prose(rng, 60)) for _ in range(20)] + [(2, a + " z"), (0, prose(rng, 9))]
+    out = N.near_duplicates(documents(rows)).collect()
+    assert len(out) == len(rows) and sum(not r.kept for r in out) == 1
+    assert N.drop_near_duplicates(documents(rows)).count() == 22
+
+
 def test_sketch_agrees_with_similarity():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 2000, dtype=np.uint64)

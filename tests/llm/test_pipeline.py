@@ -79,7 +79,7 @@ def test_stages_keep_the_columns(spark, folder):
 
 def test_registered_queries(spark):
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
@@ -87,7 +87,7 @@ def test_registered_queries(spark):
 def test_query_equals_its_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "labels"):
+    for t in ("documents", "benchmark", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rel = con.sql(ORACLE_SQL[name])
     columns = sorted(rel.columns)
