@@ -11,16 +11,19 @@ words but add to no item count; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import arrow_rows, checkpointed, ddl, sha_hex, sliced
+from riskvq.llm.common import arrow_rows, checkpointed, ddl, per_process, sha_hex, sliced
 
 WINDOW = 10
-# Of the item texts behind one automaton, in characters; more items go in several scans, one automaton each.
-BLOCK_CHARS = 1_000_000
+# Of the item texts that are broadcast and stand behind one automaton, in characters.  A benchmark beyond that bound
+# goes in several scans, one automaton each.
+BLOCK_CHARS = 2_500_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # of the text as it is, with A-Z
 # after lower-casing A-Z: other ASCII than 0-9 and a-z becomes a blank
 _TO_WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -33,47 +36,49 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_TO_WORDS).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> set[bytes]:
-    """The item's windows, words joined by one blank."""
-    if not words:
-        return set()
-    return {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))}
+class Windows:
+    """The windows of all items in one automaton; a word is two symbols, so tries stay small and hits fall on words.
 
+    Words are numbered; the two digits of a number have an alphabet each, of about
+    the square root of the vocabulary.  Words of no item are two symbols of no window.
+    """
 
-def automaton_of(items: list[tuple[str | None, str]]):
-    """One automaton of all windows; the value of a window: its words and the ids of its items."""
-    import ahocorasick
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW):
+        import ahocorasick
 
-    owners: dict[bytes, set] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text or "")):
-            owners.setdefault(w, set()).add(item)
-    a = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        # latin-1 maps each byte to one character, so offsets are bytes
-        a.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, len(w), tuple(x for x in ids if x is not None)))
-    if len(a):
-        a.make_automaton()
-    return a
+        texts = [(item, words_of(text or "")) for item, text in items]
+        known = sorted({w for _, words in texts for w in words})
+        base = math.isqrt(len(known)) + 1
+        self.symbols = {w: chr(1 + i // base) + chr(base + 2 + i % base) for i, w in enumerate(known)}
+        self.automaton = ahocorasick.Automaton()
+        for item, words in texts:
+            line = self.line(words)
+            for w in {line[2 * i:2 * (i + size)] for i in range(max(1, len(words) - size + 1))} if words else ():
+                found = self.automaton.get(w, None)
+                if found is None:
+                    found = (len(w) // 2, set())
+                    self.automaton.add_word(w, found)
+                if item is not None:
+                    found[1].add(item)
+        if len(self.automaton):
+            self.automaton.make_automaton()
 
+    def line(self, words: list[bytes]) -> str:
+        symbols = self.symbols
+        return "".join([symbols.get(w, "\0\0") for w in words])
 
-def hits_of(words: list[bytes], automaton) -> tuple[set[int], set[str]]:
+
+def automaton_of(items: list[tuple[str | None, str]]) -> Windows:
+    return Windows(items)
+
+
+def hits_of(words: list[bytes], windows: Windows) -> tuple[set[int], set[str]]:
     """Indices of the words inside any occurrence of a window, and the items of those windows."""
     hit, items = set(), set()
-    if not words or not len(automaton):
-        return hit, items
-    joined = b" " + b" ".join(words) + b" "
-    found = list(automaton.iter(joined.decode("latin-1")))
-    if not found:
-        return hit, items
-    first, at = {}, 1
-    for i, w in enumerate(words):
-        first[at] = i
-        at += len(w) + 1
-    for end, (n, length, ids) in found:
-        i = first[end - length]
-        hit.update(range(i, i + n))
-        items.update(ids)
+    if words and len(windows.automaton):
+        for end, (n, ids) in windows.automaton.iter(windows.line(words)):
+            hit.update(range(end // 2 - n + 1, end // 2 + 1))
+            items.update(ids)
     return hit, items
 
 
@@ -116,10 +121,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str,
     middle = [("_text", "string"), ("_hit", "array<int>"), ("_items", "array<string>")]
 
     def scan(block, last: bool):
-        items = sc.broadcast(block)
+        items, version = sc.broadcast(block), uuid.uuid4().hex
 
         def run(batches):
-            automaton = automaton_of(items.value)
+            # built once in a Python worker
+            automaton = per_process("decontam", version, lambda: automaton_of(items.value))
             for b in sliced(batches):
                 rows = []
                 for text, hit0, items0 in zip(*(b.column(n + i).to_pylist() for i in range(3)), strict=True):
