@@ -32,7 +32,6 @@ from riskvq.session import ensure_checkpoint_dir
 
 WINDOW, GRAM = 50, 8
 LONGEST_RUN = 256      # windows of a super-k-mer; longer runs are cut
-LONG_WORD = 64         # bytes; longer words are packed as their digest
 HOT = 2000             # super-k-mers of a bucket that one task sorts
 WORDS_KEPT = 200_000   # words whose hashes a Python worker remembers
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -102,10 +101,8 @@ def _make_features():
 
 
 def packed(words: list[bytes]) -> bytes:
-    """Words joined by blanks; long ones as their digest."""
-    import xxhash
-
-    return b" ".join(w if len(w) <= LONG_WORD else b"\0" + xxhash.xxh3_128_hexdigest(w).encode() for w in words)
+    """Whole words joined by blanks, which no word holds."""
+    return b" ".join(words)
 
 
 def _windows(raw: bytes) -> list[bytes]:
@@ -116,6 +113,13 @@ def _windows(raw: bytes) -> list[bytes]:
     return [raw[at[i]:at[i + WINDOW] - 1] for i in range(len(at) - WINDOW)]
 
 
+def numbered_windows(raw: bytes, numbers: dict[bytes, int]) -> list[bytes]:
+    """The windows of a packed super-k-mer as word numbers of four bytes: equal where the words are, however long."""
+    words = raw.split(b" ")
+    line = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32).tobytes()
+    return [line[4 * i:4 * (i + WINDOW)] for i in range(len(words) - WINDOW + 1)]
+
+
 def _pack(hot: bool):
     """Rows (doc_id, sig, text, starts, hots) to packed super-k-mers, or to digests of the windows of hot ones."""
     def run(batches):
@@ -162,7 +166,9 @@ def _sort_buckets(batches):
         if len(same) == 1:
             first = {raw: None for raw in same}
         else:
-            entries = sorted((w, least[raw], k, i) for k, raw in enumerate(same) for i, w in enumerate(_windows(raw)))
+            numbers: dict[bytes, int] = {}
+            entries = sorted((w, least[raw], k, i) for k, raw in enumerate(same)
+                             for i, w in enumerate(numbered_windows(raw, numbers)))
             lows = [[0] * (raw.count(b" ") + 2 - WINDOW) for raw in same]
             last, low = None, 0
             for w, doc, k, i in entries:

@@ -51,6 +51,19 @@ def test_equals_brute_force(documents, odd_rows, monkeypatch, limits):
     assert by_id(P.remove_repeats(documents(rows))) == plain(rows)
 
 
+def test_words_that_look_like_digests(documents):
+    """A long word and a short one that spells its digest are different words."""
+    import xxhash
+
+    rng = random.Random(4)
+    left, right, long = prose(rng, 30), prose(rng, 30), "y" * 100
+    fake = "\0" + xxhash.xxh3_128_hexdigest(long.encode())
+    rows = [(1, f"{left} {long} {right}"), (2, f"{left} {fake} {right}"), (3, f"{left} {long} {right}"),
+            (4, " ".join(f"{c}" * 300 for c in "abcdefgh" * 20)), (5, " ".join(f"{c}" * 300 for c in "abcdefgh" * 20) + " z")]
+    assert by_id(P.remove_repeats(documents(rows))) == plain(rows)
+    assert plain(rows)[1][2] == 0
+
+
 def test_kept_text(documents):
     rng = random.Random(2)
     p = prose(rng, 60)
