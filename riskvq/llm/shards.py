@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from riskvq.llm.common import mix64
+from riskvq.llm.common import checkpointed, mix64
 
 NULL_KEY = -1
-BUCKETS = 4096  # sub-buckets of all shards, for the slots
+BUCKETS = 4096   # sub-buckets of all shards, for the slots
+CHUNK = 100_000  # equal rows that one task numbers at a time
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -41,30 +42,38 @@ def shard_of(doc_id: pd.Series, shards: int) -> pd.Series:
     return pd.Series(jump_hash(mix64(doc_id.to_numpy(np.int64).astype(np.uint64)), shards).astype(np.int32))
 
 
+def spread(rows: DataFrame, first: Column, n: Column, name: str) -> DataFrame:
+    """Each row ``n`` times, numbered from ``first``; many equal rows are dealt to many tasks, CHUNK at a time."""
+    chunks = rows.select("*", first.alias("_a"), (first + n).alias("_z")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_z") - F.col("_a") - 1) / CHUNK))).alias("_k"))
+    low = F.col("_a") + F.col("_k") * CHUNK
+    # without a key: what one row holds is spread over all tasks
+    return (chunks.select(*rows.columns, low.alias("_a"), F.least(low + CHUNK, F.col("_z")).alias("_z"))
+            .repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+            .select(*rows.columns, F.explode(F.sequence(F.col("_a"), F.col("_z") - 1)).alias(name)))
+
+
 def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot and grown_shard (with one shard more).
 
     Slots follow (sub-bucket, doc_id, checksum, size).  Each shard is cut into
     sub-buckets by a hash of all that is known of the row; counts per sub-bucket
     (at most 2 x BUCKETS rows) are summed up to offsets and joined back, so no
-    task holds a shard.  Rows equal in all of these travel as one row and a count.
+    task holds a shard.  Rows equal in all of these travel as one row and a count,
+    and are numbered in pieces by many tasks.
     """
-    @pandas_udf("int")
-    def now(x: pd.Series) -> pd.Series:
-        return shard_of(x, shards)
-
-    @pandas_udf("int")
-    def grown(x: pd.Series) -> pd.Series:
-        return shard_of(x, shards + 1)
+    @pandas_udf("shard int, grown_shard int")
+    def both(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"shard": shard_of(x, shards), "grown_shard": shard_of(x, shards + 1)})
 
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         "doc_id", (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("bigint").alias("size"),
         F.crc32(raw).cast("bigint").alias("text_crc32"))
     key = F.coalesce(F.col("doc_id"), F.lit(NULL_KEY).cast("bigint"))
-    rows = rows.select("*", now(key).alias("shard"), grown(key).alias("grown_shard"))
+    rows = rows.select("*", both(key).alias("_both")).select("doc_id", "size", "text_crc32", "_both.*")
     same = ["shard", "doc_id", "text_crc32", "size"]
-    rows = rows.groupBy(*same, "grown_shard").agg(F.count("*").alias("_n"))
+    rows = checkpointed(rows.groupBy(*same, "grown_shard").agg(F.count("*").alias("_n")))
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"),
                                              F.lit(max(1, BUCKETS // shards))).cast("int"))
     offsets = (rows.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_m"))
@@ -75,8 +84,9 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     # at most BUCKETS rows
     rows = rows.join(F.broadcast(offsets), ["shard", "_bucket"])
     first = F.col("_before") + F.col("_own")
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                       F.explode(F.sequence(first, first + F.col("_n") - 1)).alias("slot"), "grown_shard")
+    rows = rows.select("doc_id", "size", "text_crc32", "shard", "grown_shard", first.alias("_first"), "_n")
+    return spread(rows, F.col("_first"), F.col("_n"), "slot").select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:

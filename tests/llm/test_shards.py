@@ -47,6 +47,24 @@ def test_shards_and_slots(documents, odd_rows):
     assert S.assign_shards(documents([])).count() == 0
 
 
+def test_many_equal_rows_are_numbered_in_pieces(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 7)
+    rows = [(1, "same")] * 500 + [(None, None)] * 300 + [(i, f"t{i}") for i in range(2, 60)]
+    out = S.assign_shards(documents(rows)).collect()
+    assert len(out) == len(rows)
+    for shard in range(8):
+        slots = sorted(r.slot for r in out if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_a_million_equal_rows(spark):
+    docs = spark.range(1_000_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text")
+    out = S.assign_shards(docs)
+    assert out.rdd.getNumPartitions() > 1
+    r = out.selectExpr("count(*) AS n", "count(DISTINCT slot) AS d", "min(slot) AS a", "max(slot) AS z").collect()[0]
+    assert (r.n, r.d, r.a, r.z) == (1_000_000, 1_000_000, 0, 999_999)
+
+
 def test_written_shards(spark, documents, tmp_path):
     rows = [(i, f"t{i}") for i in range(200)] + [(None, None)]
     S.write_shards(documents(rows), str(tmp_path / "out"), 4)
