@@ -134,9 +134,13 @@ def sample_of_labels(labels: DataFrame, value: str, k: int, held: int, bound: in
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, y, text) of the sampled ids, repartitioned for the fit; the sample is bounded by its caller."""
-    return (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-            .repartition(16, F.xxhash64("doc_id", "text")))
+    """(doc_id, y, text) of the sampled ids, one text each, repartitioned for the fit; the sample is bounded by its caller.
+
+    Of several texts of one id the one of the smallest hash counts, so the bound holds for rows too.
+    """
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "y", "t.text").repartition(16, F.xxhash64("doc_id", "text"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -7,8 +7,8 @@ of its longest entry, unless the word and a neighbour form an exception phrase;
 the sum is normalised by the number of words and turned into a probability.
 
 Weights, exceptions and the last step are fitted on a bounded sample of
-labelled rows (``bound`` of ``fit_toxicity``); the sample, candidate entries and
-lexicon have bounds of their own and do not grow with the corpus.
+labelled rows (``bound`` of ``fit_toxicity``); lexicon and phrases hold what
+those rows show and have no bound of their own.
 
 Cases: NULL, empty and wordless texts score as a text without matches; without
 usable labels every score is 0.
@@ -17,27 +17,29 @@ usable labels every score is 0.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import arrow_rows, ddl, fold, labelled_texts, map_texts, sample_of_labels
+from riskvq.llm.common import arrow_rows, checkpointed, ddl, fold, labelled_texts, map_texts, sample_of_labels
 
 FOLDS, HELD = 4, 2
 SAMPLE = 16_000       # labelled rows of a fit, about
-LEXICON = 4_000       # entries
 PREFIX = range(3, 11)  # lengths of word beginnings that may be entries
 MIN_TOXIC, MIN_WEIGHT = 3, 1.0
 SURE = 1.64            # a weight is its log odds less so many standard errors
 ASIDE = 3              # one in so many sampled rows fits the last step, the others the lexicon
 THRESHOLD = 0.3
 
-# Letters of other scripts that look like a Latin letter, and digits and signs written for letters.
-LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
-              "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "ԁ": "d", "ɡ": "g", "ӏ": "l", "α": "a", "ο": "o",
-              "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
+# Letters of other scripts (Cyrillic, Greek, Armenian, Cherokee, Lisu, phonetic and small capitals) that
+# look like a Latin letter, by that letter; and digits and signs written for letters.
+LOOKALIKES = {"a": "аαɑᴀꓮᎪ", "b": "вβʙᏴꓐ", "c": "сϲᴄⅽᏟꓚ", "d": "ԁᴅꓓᎠժ", "e": "еεёєᴇᎬꓰҽ", "f": "ϝꜰꓝƒ", "g": "ɡɢԍꓖᏀց", "h": "нһʜᎻꓧհ",
+              "i": "іιїɩıᎥɪꙇ", "j": "јϳᴊᎫꓙյ", "k": "кκᴋᏦꓗ", "l": "ӏʟᏞꓡⅼ", "m": "мᴍᎷꓟϻ", "n": "ոպηɴꓠп", "o": "оοσօᴏꓳ",
+              "p": "рρᴘᏢꓑ", "q": "ԛզɋ", "r": "гʀᏒꓣᴦ", "s": "ѕꜱꓢᏚʂ", "t": "тτᴛᎢꓔ", "u": "υսᴜꓴʋ", "v": "νѵᴠᏙꓦ", "w": "ԝωᴡᎳꓪѡ",
+              "x": "хχꓫⅹ", "y": "уγүʏᎩꓬ", "z": "ᴢᏃꓜʐ"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
 
@@ -45,13 +47,18 @@ def folding() -> dict[int, str]:
     """Code point to folded character; ASCII that is no letter becomes a blank."""
     table = {c: chr(c).lower() if chr(c).isalpha() else " " for c in range(128)}
     table |= {ord(a): b for a, b in DIGITS.items()}
-    for a, b in LOOKALIKES.items():
-        table[ord(a)] = table[ord(a.upper())] = b
-    for i in range(26):
-        table[0xFF21 + i] = table[0xFF41 + i] = chr(97 + i)
-    for i in range(10):
-        table[0xFF10 + i] = table[48 + i]
-    return table | {c: chr(c).lower() for c in range(0xC0, 0x17F) if len(chr(c).lower()) == 1}
+    # letters in another dress (bold, circled, full-width, raised ...): those that decompose to one ASCII letter or digit
+    for first, last in ((0xAA, 0xBA), (0x2070, 0x24FF), (0x3250, 0x33FF), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0x1F100, 0x1F1FF)):
+        for c in range(first, last + 1):
+            plain = unicodedata.normalize("NFKD", chr(c)).strip("()")
+            if len(plain) == 1 and plain.isascii() and plain.isalnum():
+                table[c] = table[ord(plain)]
+    for latin, others in LOOKALIKES.items():
+        for c in others:
+            for form in (c, c.upper(), c.lower()):
+                if len(form) == 1 and not form.isascii():
+                    table[ord(form)] = latin
+    return {c: chr(c).lower() for c in range(0xC0, 0x17F) if len(chr(c).lower()) == 1} | table
 
 
 _FOLD = folding()
@@ -91,9 +98,15 @@ class Matcher:
         """The word at a match with the word before it, and with the word after it."""
         end = plain.find(" ", start + 1)
         word = plain[start + 1:end]
-        before = plain[:start].rsplit(None, 1)[-1:] if start < 64 else plain[start - 64:start].split()[-1:]
-        after = plain[end:end + 64].split()[:1]
-        return f"{''.join(before)} {word}", f"{word} {''.join(after)}"
+        stop = start
+        while stop > 0 and plain[stop - 1] == " ":
+            stop -= 1
+        before = plain[plain.rfind(" ", 0, stop) + 1:stop] if stop else ""
+        begin = end
+        while begin < len(plain) and plain[begin] == " ":
+            begin += 1
+        after = plain[begin:plain.find(" ", begin)] if begin < len(plain) else ""
+        return f"{before} {word}", f"{word} {after}"
 
     def measures(self, text: str) -> tuple[float, float, float]:
         """Sum of the weights, the sum per word, and the largest weight."""
@@ -130,16 +143,14 @@ def weight(t: int, c: int, toxic: int, clean: int) -> float:
 def lexicon_of(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Weights by entry; an entry that says no more than a shorter beginning of it is left out."""
     weights = {e: weight(t, c, toxic, clean) for e, t, c in counts}
-    seen = {e: t for e, t, _ in counts}
-    kept = {}
+    kept: dict[str, float] = {}
     for e in sorted(weights, key=lambda e: (len(e), e)):
         if weights[e] < MIN_WEIGHT:
             continue
         shorter = next((e[:n] for n in range(len(e) - 1, 3, -1) if e[:n] in kept), None)
         if shorter is None or weights[e] > weights[shorter] + 0.5:
             kept[e] = weights[e]
-    best = sorted(kept, key=lambda e: (-kept[e] * seen[e], e))[:LEXICON]
-    return {e: kept[e] for e in best}
+    return kept
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
@@ -159,13 +170,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dic
             yield arrow_rows([keys, [n[1], *(tox[k] for k in keys[1:])], [n[0], *(clean[k] for k in keys[1:])]],
                              [("e", "string"), ("t", "bigint"), ("c", "bigint")])
 
-    counts = (rows.where(~F.col("aside")).select("y", "text").mapInArrow(count, "e string, t bigint, c bigint")
-              .groupBy("e").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    odds = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5))
-    top = counts.where((F.col("e") == "") | (F.col("t") >= MIN_TOXIC)).orderBy(
-        F.when(F.col("e") == "", 0).otherwise(1), (odds * F.col("t")).desc(), "e").limit(20 * LEXICON).collect()
-    toxic, clean = next(((r.t, r.c) for r in top if r.e == ""), (0, 0))
-    lexicon = lexicon_of([(r.e, r.t, r.c) for r in top if r.e], toxic, clean)
+    counts = checkpointed(rows.where(~F.col("aside")).select("y", "text").mapInArrow(count, "e string, t bigint, c bigint")
+                          .groupBy("e").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    toxic, clean = next(((r.t, r.c) for r in counts.where("e = ''").collect()), (0, 0))
+    # only entries that may weigh enough come to the driver; lexicon_of weighs them again
+    weighty = (F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+               - SURE * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
+    top = counts.where((F.col("e") != "") & (F.col("t") >= MIN_TOXIC) & (weighty >= MIN_WEIGHT - 1e-6)).collect()
+    lexicon = lexicon_of([(r.e, r.t, r.c) for r in top], toxic, clean)
 
     def phrases(batches):
         m, seen = Matcher(lexicon, frozenset()), Counter()
@@ -181,7 +193,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dic
     # phrases that at least three clean and no toxic rows of the sample use, aside rows included
     exceptions = frozenset(r.p for r in rows.select("y", "text").mapInArrow(phrases, "p string, t bigint, c bigint")
                            .groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-                           .where("t = 0 and c >= 3").orderBy(F.desc("c"), "p").limit(LEXICON).collect())
+                           .where("t = 0 and c >= 3").collect())
     model = {"lexicon": lexicon, "exceptions": exceptions, "w": None}
 
     def measure(batches):
@@ -204,7 +216,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dic
 
 def score_toxicity(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Carried columns, score and predicted."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries and phrases
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # what the bounded sample holds
 
     def make():
         m, w = Matcher(sent.value["lexicon"], sent.value["exceptions"]), sent.value["w"]

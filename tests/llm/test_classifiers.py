@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from conftest_llm import prose
 
 from riskvq.llm import common, language, quality, toxicity
@@ -84,6 +85,59 @@ def test_sample_is_bounded_and_keyed(spark):
     assert 150 < len(one) < 330 and one == draw(many.repartition(7)) and all(crc(i, 5) for i in one)
 
 
+def test_rows_of_a_fit_are_bounded_too(spark, documents):
+    """A labelled id of many rows gives the fit one text."""
+    rows = [(i, f"text {i} {k}") for i in range(4) for k in range(300)] + [(9, None), (9, "t"), (10, None)]
+    sample = spark.createDataFrame([(i, i % 2) for i in (0, 1, 2, 3, 9, 10)], "doc_id bigint, y int")
+    got = [tuple(r) for r in common.labelled_texts(documents(rows), sample).collect()]
+    assert sorted(r[0] for r in got) == [0, 1, 2, 3, 9, 10] and all(y == i % 2 for i, y, _ in got)
+    again = [tuple(r) for r in common.labelled_texts(documents(rows[::-1]).repartition(5), sample).collect()]
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+
+
+def plain_toxicity(model, text):
+    """The score by searching every word's beginnings, without an automaton."""
+    words = toxicity.folded(text or "").split()
+    weights = []
+    for i, w in enumerate(words):
+        entries = [e for e in (f" {w} ", *(f" {w[:n]}" for n in toxicity.PREFIX if n <= len(w))) if e in model["lexicon"]]
+        before, after = words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""
+        if entries and not model["exceptions"] & {f"{before} {w}", f"{w} {after}"}:
+            weights.append(model["lexicon"][max(entries, key=len)])
+    total = sum(weights)
+    x = np.array([np.log1p(total), np.log1p(100 * total / max(1, len(words))), max(weights, default=0.0) / 4, 1.0])
+    return 1 / (1 + np.exp(-x @ model["w"]))
+
+
+def test_toxicity_equals_the_plain_version(spark, documents, odd_rows):
+    rows, marks = corpus()
+    rng = random.Random(5)
+    rows += [(2000 + i, f"{'q' * 200} GRUMBLOR {'r' * 300}   {prose(rng, 4)} zarnikblo") for i in range(12)]
+    marks += [(2000 + i, 1, 0, 0.0) for i in range(12)]
+    docs = documents(rows + [(i + 5000 if i else None, t) for i, t in odd_rows])
+    model = toxicity.fit_toxicity(docs, labels(spark, marks))
+    assert any(len(p) > 200 for p in model["exceptions"])  # long neighbours are whole
+    for r in toxicity.score_toxicity(docs, model, ("doc_id", "text")).collect():
+        assert abs(r.score - plain_toxicity(model, r.text)) < 1e-6
+
+
+def test_quality_equals_the_plain_version(spark, documents, odd_rows):
+    rows, marks = corpus(160)
+    docs = documents(rows + [(i + 5000 if i else None, t) for i, t in odd_rows])
+    model = quality.fit_quality(docs, labels(spark, marks))
+    buckets = quality.Buckets()
+    for r in quality.score_quality(docs, model, ("doc_id", "text")).collect():
+        x = quality.pooled(quality.tokens_of(r.text or "", buckets), model["vectors"])[None, :].astype(float)
+        assert abs(r.score - quality.probability(model["network"], x)[0]) < 1e-6
+
+
+def test_folding_covers_other_scripts():
+    table = {"ѕυскеr": "sucker", "𝐛𝖆𝒅": "bad", "Ⓑⓐⓓ": "bad", "ᴍᴏʀᴏɴ": "moron", "ＢＡＤ": "bad", "ʙᎪᎠ": "bad", "mօrօո": "moron", "ВАԀ": "bad",
+             "é": "é", "ñandú": "ñandú", "größe": "größe"}
+    for odd, plain in table.items():
+        assert toxicity.folded(odd) == f" {plain} "
+
+
 LETTERS = {"aa": "bcdaei", "bb": "mnoxyz", "cc": "ßüörst"}
 
 
@@ -108,6 +162,33 @@ def test_language(documents, odd_rows):
     assert {r.lang_pred for r in language.identify_language(documents([(i, t, None) for i, t in odd_rows])).collect()} == {"und"}
 
 
+def test_letters_are_those_of_unicode(documents):
+    rows = [(i, sentences(random.Random(i), lang, 30), lang) for i, lang in enumerate(list(LETTERS) * 8)]
+    odd = ["½ ²", "Ⅷ ①", "١٢٣", "_ __", "😀", "ªa", "中", "ǅ"]
+    out = {r.doc_id: r for r in language.identify_language(documents(rows + [(900 + i, t) for i, t in enumerate(odd)])).collect()}
+    assert all((out[900 + i].lang_pred, out[900 + i].score) == ("und", 0.0) for i in range(5))
+    assert all(out[900 + i].lang_pred != "und" for i in range(5, 8))
+
+
+def test_every_language_is_learned_block_by_block(documents, monkeypatch):
+    """More languages than a task holds: the same answers, none left out."""
+    alphabet = "abcdefghijklmnopqrstuvwxyzßüöäéèçñ"
+    rng = random.Random(3)
+    rows, own = [], {}
+    for k in range(17):
+        own[f"l{k:02d}"] = "".join(rng.sample(alphabet, 5))
+        for j in range(6):
+            rows.append((k * 10 + j, " ".join("".join(rng.choice(own[f"l{k:02d}"]) for _ in range(6)) for _ in range(40)), f"l{k:02d}"))
+    rows += [(500, None, None), (501, "12", "l00")]
+    docs = documents(rows)
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in language.identify_language(docs).collect()}
+    assert {v[0] for v in whole.values()} == {*own, "und"}
+    monkeypatch.setattr(language, "LANGUAGES", 4)
+    parts = {r.doc_id: (r.lang_pred, r.score) for r in language.identify_language(docs).collect()}
+    assert parts.keys() == whole.keys()
+    assert all(parts[i][0] == whole[i][0] and abs(parts[i][1] - whole[i][1]) < 1e-9 for i in whole)
+
+
 def test_gram_vectors_do_not_depend_on_the_cache(monkeypatch):
     texts = [sentences(random.Random(i), "aa", 50) for i in range(8)]
     whole = [language.Profiler().profile(t) for t in texts]
