@@ -98,6 +98,13 @@ def main() -> None:
         drain(assign_nearest(li, state["cb"], method=method))
         paths[f"nearest_lineitem_{method}"] = round(time.time() - t, 3)
 
+    # A codebook of 10,000 codes, with the metric tree and measuring every code (not in the total).
+    large = Codebook.from_df(S.init_codebook_per_class(li, {0: 3000, 1: 4000, 2: 3000}, C.SEED))
+    for method in ("tree", "arrow"):
+        t = time.time()
+        drain(assign_nearest(li, large, method=method))
+        paths[f"nearest_lineitem_10000_codes_{method}"] = round(time.time() - t, 3)
+
     m = re.search(r"sf([0-9.]+)", sf_dir)
     # Headline: the configuration of the one recorded reference run (2 features,
     # 10 codes, SOM 1 epoch, BVQ 1 bag of 10), end to end on all of ``events``.

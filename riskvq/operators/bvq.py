@@ -93,10 +93,13 @@ def _with_vectors(df: DataFrame, cb: Codebook) -> DataFrame:
             .join(cbw, F.col("code_j") == cbw.code_id).withColumnRenamed("w", "w_j").drop("code_id"))
 
 
-def bvq_candidates(df: DataFrame, codebook, features: str = "features", method: str = "auto") -> DataFrame:
+def bvq_candidates(df: DataFrame, codebook, features: str = "features", method: str = "auto",
+                   keep: list[str] | None = None) -> DataFrame:
     """Rows whose two nearest codes carry different labels, with
     ``n = |w_i - w_j|`` and the distance from the bisector ``gap``.
 
+    ``keep`` names the columns of ``df`` to return (default all).
+
     The two nearest codes come from the map-only nearest-code operator, whose
     Arrow form also returns ``n`` of the chosen pair; it is an optimizer barrier,
     so the label filter is not pushed into a generated distance expression.
@@ -104,12 +107,14 @@ def bvq_candidates(df: DataFrame, codebook, features: str = "features", method:
     cb = as_codebook(codebook)
     differ = F.col("label_j").isNotNull() & (F.col("label_i") != F.col("label_j"))
     if method in ARROW_METHODS:
-        nrm = _arrow_nearest(df, cb, 2, False, features, with_pair_norm=True, method=method).where(differ)
+        nrm = _arrow_nearest(df, cb, 2, False, features, with_pair_norm=True, keep=keep, method=method).where(differ)
     else:
         joined = _with_vectors(two_nearest(df, cb, method=method, features=features).where(differ), cb)
         dw = joined.withColumn("_dw", F.zip_with("w_i", "w_j", lambda a, b: a - b))
         nrm = dw.withColumn("n", F.sqrt(_fold_sum(F.zip_with("_dw", "_dw", lambda a, b: a * b)))).drop(
             "_dw", "w_i", "w_j")
+        if keep is not None:
+            nrm = nrm.drop(*[c for c in df.columns if c not in keep])
     return nrm.withColumn("gap", (F.col("d2_j") - F.col("d2_i")) / (F.lit(2.0) * F.col("n")))
 
 
@@ -120,11 +125,12 @@ def _half_width(delta: float | None, window_half_width: float | None) -> float |
 
 
 def bvq_window(df: DataFrame, codebook, delta: float | None = 0.2, window_half_width: float | None = None,
-               features: str = "features", method: str = "auto") -> DataFrame:
+               features: str = "features", method: str = "auto", keep: list[str] | None = None) -> DataFrame:
     """Rows whose two nearest codes disagree on the class and which lie
-    inside the window around their bisector (M4)."""
+    inside the window around their bisector (M4); only the columns of ``keep``
+    (default all) come back from the kernel."""
     hw = _half_width(delta, window_half_width)
-    c = bvq_candidates(df, codebook, features, method)
+    c = bvq_candidates(df, codebook, features, method, keep)
     cond = F.col("n") > 0
     if hw is not None:
         cond = cond & (F.col("gap") <= F.lit(hw))
@@ -362,8 +368,13 @@ def _trained_in_one_task(bags: DataFrame, cb: Codebook, kernel) -> list[tuple[in
     rows = bags.coalesce(1).sortWithinPartitions("bag", "pos").select("bag", "features", "label")
     place = {int(c): i for i, c in enumerate(cb.code_id)}
     found: dict[int, np.ndarray] = {}
-    for r in rows.mapInArrow(kernel, CHAIN_SCHEMA).collect():  # the codes of the bags asked for
-        found.setdefault(r["bag"], np.empty_like(cb.w))[place[r["code_id"]]] = r["w"]
+    # the codes of the bags asked for, as Arrow arrays
+    for batch in rows.mapInArrow(kernel, CHAIN_SCHEMA).toArrow().to_batches():
+        numbers, ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        w = batch.column(2).flatten().to_numpy().reshape(len(ids), -1)
+        for bag in np.unique(numbers).tolist():
+            at = np.flatnonzero(numbers == bag)
+            found.setdefault(bag, np.empty_like(cb.w))[[place[ids[i]] for i in at]] = w[at]
     return [(bag, cb.with_weights(w)) for bag, w in sorted(found.items())]
 
 

@@ -129,18 +129,6 @@ def merged(partials: DataFrame) -> DataFrame:
             .unionByName(cells.select("key", F.lit(None).cast("long").alias("n"), "place", "d", "v")))
 
 
-def collected(partials: DataFrame, dims: int) -> dict[int, tuple[int, np.ndarray]]:
-    """Count and exactly rounded sums by key, on the driver; the caller bounds the number of keys."""
-    counts: dict[int, int] = {}
-    cells: dict[tuple[int, int], dict[int, int]] = {}
-    for r in merged(partials).toLocalIterator():
-        if r["place"] is None:
-            counts[r["key"]] = r["n"]
-        else:
-            cells.setdefault((r["key"], r["d"]), {})[r["place"]] = r["v"]
-    return {key: (n, np.array([rounded(cells.get((key, d), {})) for d in range(dims)])) for key, n in counts.items()}
-
-
 def _by_key(dims: int):
     """Rows (key, vector) to SLICES; rows without a whole finite vector count but add nothing."""
     def run(batches):
@@ -198,6 +186,23 @@ def _finish(dims: int, mean: bool):
     return run
 
 
+def totals(partials: DataFrame, dims: int, mean: bool = False) -> DataFrame:
+    """``(key, n, sums)`` of all tasks' slices, each sum rounded once."""
+    # at most dims x places cells a key
+    grouped = merged(partials).groupBy("key").agg(
+        F.sum("n").alias("n"), F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "place", "v"))).alias("cells"))
+    return grouped.mapInArrow(_finish(dims, mean), "key long, n long, sums array<double>")
+
+
+def collected(partials: DataFrame, dims: int) -> dict[int, tuple[int, np.ndarray]]:
+    """Count and sums by key, on the driver as Arrow arrays; the caller bounds the number of keys."""
+    out = {}
+    for batch in totals(partials, dims).toArrow().to_batches():
+        for i, (key, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            out[key] = n, batch.column(2)[i].values.to_numpy()
+    return out
+
+
 def exact_vec_sum(df: DataFrame, key_col: str, features: str = "features", dims: int = 1, mean: bool = False) -> DataFrame:
     """Element-wise sum (or mean) by a whole-number key: ``(key, n, sums)``, the same bytes for any partitioning.
 
@@ -206,8 +211,4 @@ def exact_vec_sum(df: DataFrame, key_col: str, features: str = "features", dims:
     up first, so a hot key sends a few rows a task; keys may be many.
     """
     rows = df.select(F.col(key_col).cast("long").alias("key"), F.col(features).cast("array<double>").alias("x"))
-    both = merged(rows.mapInArrow(_by_key(dims), SLICES))
-    # at most dims x places cells a key
-    grouped = both.groupBy("key").agg(
-        F.sum("n").alias("n"), F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "place", "v"))).alias("cells"))
-    return grouped.mapInArrow(_finish(dims, mean), "key long, n long, sums array<double>")
+    return totals(rows.mapInArrow(_by_key(dims), SLICES), dims, mean)

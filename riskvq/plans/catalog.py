@@ -334,7 +334,7 @@ def q_som_train_2(spark, sf):
 
 
 def q_bvq_window(spark, sf):
-    win = bvq_window(emb_train(spark, sf), init_cb(spark, sf), DELTA)
+    win = bvq_window(emb_train(spark, sf), init_cb(spark, sf), DELTA, keep=["id", "label"])
     return win.select("id", "label", "code_i", "code_j", r("gap").alias("gap"))
 
 

@@ -99,6 +99,15 @@ def test_large_bags_are_distributed_steps(emb, cb, monkeypatch):
         B.bvq_train(emb, cb, 1, 0.2, use_bags=False, order="online")
 
 
+def test_window_returns_the_columns_asked_for(emb, cb):
+    whole = B.bvq_window(emb, cb, None)
+    some = B.bvq_window(emb, cb, None, keep=["id"])
+    assert some.columns == ["id", *whole.columns[3:]]
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*some.columns).collect()))
+    unrolled = B.bvq_window(emb, cb, None, keep=["id"], method="expr")
+    assert unrolled.columns[0] == "id" and "features" not in unrolled.columns and unrolled.count() == some.count()
+
+
 class Lost(Exception):
     pass
 
