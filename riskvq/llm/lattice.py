@@ -4,8 +4,9 @@ Equal vectors of a label form one class.  Each of TABLES random projections maps
 a unit vector to eight dimensions and decodes it to the nearest E8 lattice point;
 the label and that point name its cell, and the PROBES lattice neighbours whose
 cells are nearest are probed too.  Classes that meet in a cell, one of them at
-home there, are compared by cosine in double precision, large cells block
-against block.  A pair that meets in several cells is counted in the first one
+home there, are compared, large cells block against block: first by SIGNS signs
+of random projections, which travel as a few bytes; then those with a partner
+that may be near by cosine in double precision.  A pair that meets in several cells is counted in the first one
 only, which both vectors' cells tell without a shuffle of pairs.
 
 Cases: vectors that are NULL, empty, zero or hold NULL or non-finite components,
@@ -27,6 +28,8 @@ from riskvq.llm.graph import components, local_roots, runs
 COSINE = 0.93
 TABLES, PROBES, SCALE = 5, 8, 0.75  # a pair of cosine 0.93 is missed with a chance of about 0.0003
 BLOCK = 1024
+# Signs of random projections, and the most that differ at COSINE: five standard deviations above the mean of 30.6.
+SIGNS, MOST_DIFFERENT = 256, 57
 
 
 def minimal_vectors() -> np.ndarray:
@@ -63,6 +66,12 @@ def projection(table: int, width: int) -> np.ndarray:
     return np.random.default_rng([913, table, width]).normal(0, SCALE, (width, 8))
 
 
+def signs(units: np.ndarray) -> np.ndarray:
+    """SIGNS signs of random projections of unit vectors, as bits."""
+    width = units.shape[1]
+    return np.packbits(units @ np.random.default_rng([914, width]).normal(size=(width, SIGNS)) > 0, axis=1)
+
+
 def cells(units: np.ndarray, labels: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """Keys (rows, tables, 1 + probes): the home cell first, then the probed neighbours."""
     n, width = units.shape
@@ -119,8 +128,9 @@ def _hash_vectors(batches):
         for at in by_width.values():
             u = unit(np.array([vectors[i] for i in at], float))
             c = cells(u, np.array([labels[i] for i in at]))
-            yield arrow_rows([[ids[i] for i in at], [r.tobytes() for r in u], [r.tobytes() for r in c]],
-                             [("id", "bigint"), ("u", "binary"), ("cells", "binary")])
+            yield arrow_rows([[ids[i] for i in at], [r.tobytes() for r in u], [r.tobytes() for r in c],
+                              [r.tobytes() for r in signs(u)]],
+                             [("id", "bigint"), ("u", "binary"), ("cells", "binary"), ("signs", "binary")])
 
 
 def _cell_rows(batches):
@@ -134,6 +144,31 @@ def _cell_rows(batches):
             yield arrow_rows([c.ravel(), ids, home.ravel()], [("cell", "bigint"), ("id", "bigint"), ("home", "boolean")])
 
 
+def _meeting(block, home, x, y) -> np.ndarray:
+    """Which pairs of a cell are compared: one of them is at home there, and of two blocks one is in each."""
+    pairs = np.triu(home[:, None] | home[None, :], 1)
+    if x != y:
+        pairs &= block[:, None] != block[None, :]
+    return pairs
+
+
+def _may_link(batches):
+    """Rows (cell, x, y, block, id, home, signs) sorted by the first three: those with a partner that may be near."""
+    fields = [("cell", "bigint"), ("x", "int"), ("y", "int"), ("block", "int"), ("id", "bigint"), ("home", "boolean")]
+    for (cell, x, y), (block, ids, home, raw) in runs(batches, 3):
+        if len(ids) < 2:
+            continue
+        block, ids, home = (np.array(c) for c in (block, ids, home))
+        bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32)
+        ones = bits.sum(axis=1)
+        different = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+        near = _meeting(block, home, x, y) & (different <= MOST_DIFFERENT)
+        used = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
+        if len(used):
+            yield arrow_rows([[cell] * len(used), [x] * len(used), [y] * len(used), block[used].tolist(), ids[used].tolist(),
+                              home[used].tolist()], fields)
+
+
 def _compare(batches):
     """Rows (cell, x, y, block, id, home, m, u, cells) sorted by the first three to (id, links, root)."""
     fields = [("id", "bigint"), ("links", "bigint"), ("root", "bigint")]
@@ -143,9 +178,7 @@ def _compare(batches):
         order = np.argsort(ids, kind="stable")
         ids, m, block, home = (np.array(c)[order] for c in (ids, m, block, home))
         vectors = np.stack([np.frombuffer(u[i], np.float64) for i in order])
-        linked = np.triu(vectors @ vectors.T >= COSINE, 1) & (home[:, None] | home[None, :])
-        if x != y:
-            linked &= block[:, None] != block[None, :]
+        linked = (vectors @ vectors.T >= COSINE) & _meeting(block, home, x, y)
         i, j = np.nonzero(linked)
         if not len(i):
             continue
@@ -173,7 +206,7 @@ def link_embeddings(vectors: DataFrame) -> DataFrame:
     classes = (rows.where("_usable").groupBy("label", "v")
                .agg(F.min(F.col("vec_id").cast("bigint")).alias("id"), F.count("*").alias("m")))
     hashed = checkpointed(classes.join(
-        classes.select("id", "label", "v").mapInArrow(_hash_vectors, "id bigint, u binary, cells binary"), "id"))
+        classes.select("id", "label", "v").mapInArrow(_hash_vectors, "id bigint, u binary, cells binary, signs binary"), "id"))
     at = hashed.select("id", "cells").mapInArrow(_cell_rows, "cell bigint, id bigint, home boolean")
     sizes = (at.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any"))
              .where("n > 1 and any").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("b")))
@@ -182,10 +215,14 @@ def link_embeddings(vectors: DataFrame) -> DataFrame:
               .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
               .select("cell", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "id",
                       "home"))
+    key = ["cell", "x", "y"]
+    placed = (placed.join(hashed.select("id", "signs"), "id").select(*key, "block", "id", "home", "signs")
+              .repartition(*key).sortWithinPartitions(*key)
+              .mapInArrow(_may_link, "cell bigint, x int, y int, block int, id bigint, home boolean"))
     compared = checkpointed(
         placed.join(hashed.select("id", "m", "u", "cells"), "id")
         .select("cell", "x", "y", "block", "id", "home", "m", "u", "cells")
-        .repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+        .repartition(*key).sortWithinPartitions(*key)
         .mapInArrow(_compare, "id bigint, links bigint, root bigint"))
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
