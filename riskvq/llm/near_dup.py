@@ -10,7 +10,10 @@ again, and what keeps most of its parent, or is still together after DEPTH
 levels, is taken as a candidate group.  With TREES independent trees a link of similarity 0.85 is missed with a
 chance under 0.01 even if it never leaves large nodes (0.15 ** TREES if its
 first node is small).  Candidate groups (joined over all trees) are then compared
-on full sets until every link is found or lies inside a component.
+on full sets until every link is found or lies inside a component.  Members of a
+large group that stay outside its main component are first parted by their
+rarest shingles, of which linked sets share one, so a group of texts that follow
+one template and never link is not compared all with all.
 
 Cases: documents without words, or without text, have an empty set, are linked
 with nothing and kept; with fewer than five words the whole sequence is the
@@ -29,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import annotated, arrow_rows, checkpointed, map_texts, mix64, settled
+from riskvq.llm.common import annotated, arrow_rows, checkpointed, ddl, map_texts, mix64, settled
 from riskvq.llm.graph import components, local_roots, runs
 from riskvq.session import ensure_checkpoint_dir
 
@@ -256,6 +259,69 @@ def _as_sets(batches, hashes):
         yield key, (side, ids, [np.frombuffer(r, np.uint64) for r in raw])
 
 
+def _prefixes(batches):
+    """Rows (grp, x, y, side, id, text, sig) sorted by the first three to (bucket, id, outside): the rarest shingles.
+
+    ``side`` adds 1 for a pivot of another block, 2 for one of this block and 4
+    for members outside the main component.  Shingles are ordered by the number
+    of the group's pivots that have them, then by hash: one order for the whole
+    group.  Sets of similarity PERCENT share at least PERCENT of either set, so
+    the first of their common shingles is among the 100 - PERCENT percent (and
+    one) that come first in each.
+    """
+    import pyarrow as pa
+
+    out, size = [], 0
+    for (grp, *_), (side, ids, sets) in _as_sets(batches, WordHashes()):
+        side = np.array(side)
+        among = [sets[i] for i in np.flatnonzero(side & 3)]
+        common, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *among]), return_counts=True)
+        salt = mix64(np.array([grp], np.int64).view(np.uint64))
+        for i in np.flatnonzero(side & 1 == 0):
+            s = sets[i]
+            at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
+            seen = np.where(common[at] == s, count[at], 0) if len(common) else np.zeros(len(s), np.int64)
+            first = np.argsort(seen, kind="stable")[:len(s) + 1 - -(-PERCENT * len(s) // 100)]
+            out.append((mix64(s[first] ^ salt).view(np.int64), np.full(len(first), ids[i]),
+                        np.full(len(first), bool(side[i] & 4))))
+            size += len(first)
+            if size >= 100_000:
+                yield arrow_rows([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], PREFIX)
+                out, size = [], 0
+    if out:
+        yield arrow_rows([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], PREFIX)
+
+
+PREFIX = [("bucket", "bigint"), ("id", "bigint"), ("outside", "boolean")]
+
+
+def parted(held: DataFrame, rest: DataFrame, wide: DataFrame) -> DataFrame:
+    """(id, grp): members of the groups ``wide`` that may link with one of ``rest``, in smaller groups.
+
+    Members that share one of their rarest shingles stay together, if one of
+    them is in ``rest``; no link between a member of ``rest`` and another is lost.
+    """
+    rows = (held.join(wide.select("grp"), "grp").join(rest.select("grp", "id", F.lit(4).alias("out")), ["grp", "id"], "left")
+            .withColumns({"out": F.coalesce("out", F.lit(0)), "pivot": _is_pivot()}))
+    own = rows.withColumns({"x": F.col("block"), "y": F.col("block"), "side": F.col("out") + F.when(F.col("pivot"), 2).otherwise(0)})
+    guests = (rows.where("pivot").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+              .where(F.col("x") != F.col("block")).withColumns({"y": F.col("x"), "side": F.lit(1)}))
+    prefixes = checkpointed(_dealt(own.unionByName(guests)).mapInArrow(_prefixes, ddl(PREFIX)))
+    shared = settled(prefixes.groupBy("bucket").agg(F.count("*").alias("k"), F.min("id").alias("least"),
+                                                    F.max("outside").alias("outside")).where("k > 1 AND outside"))
+    return components(prefixes.join(shared.select("bucket", "least"), "bucket")
+                      .select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "grp")
+
+
+def _is_pivot():
+    return F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.col("m")) < PIVOTS
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return (rows.select("grp", "x", "y", "side", "id", "text", "sig").repartition("grp", "x", "y")
+            .sortWithinPartitions("grp", "x", "y", "id"))
+
+
 def _blocks(rows: str, shingles: str):
     return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
@@ -277,7 +343,8 @@ def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
     about PIVOTS members of the group, which usually joins nearly all of it.
     Only what is then outside the group's largest component still needs
     comparing with the others, block against block; two members of one
-    component are not compared again.
+    component are not compared again.  Where that is more than a block, the
+    group is first parted by rarest shingles (``parted``).
     """
     folder = f"{ensure_checkpoint_dir(docs.sparkSession)}/near-dup-{uuid.uuid4().hex}"
     # aggregates that are joined back are kept apart, so that Spark can split the joins at a large group
@@ -293,11 +360,10 @@ def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
     held = docs.sparkSession.read.parquet(f"{folder}/texts")
 
     def compared(rows: DataFrame, across: bool) -> DataFrame:
-        return (rows.select("grp", "x", "y", "side", "id", "text", "sig").repartition("grp", "x", "y")
-                .sortWithinPartitions("grp", "x", "y", "id").mapInArrow(_verify(across), "a bigint, b bigint"))
+        return _dealt(rows).mapInArrow(_verify(across), "a bigint, b bigint")
 
     own = held.withColumns({"x": F.col("block"), "y": F.col("block"), "side": F.lit(0)})
-    pivots = (held.where((F.col("b") > 1) & (F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.col("m")) < PIVOTS))
+    pivots = (held.where((F.col("b") > 1) & _is_pivot())
               .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
               .where(F.col("x") != F.col("block")).withColumns({"y": F.col("x"), "side": F.lit(0)}))
     edges = settled(compared(own.unionByName(pivots), False))
@@ -311,15 +377,32 @@ def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
                         .groupBy("grp").agg(F.max(F.struct("k", "c")).alias("top")).select("grp", "top.c"))
     rest = settled(at.join(main.withColumnRenamed("c", "main"), "grp").where(F.col("c") != F.col("main"))
                         .select("grp", "id", "n"))
-    counts = settled(rest.groupBy("grp").agg(F.count("*").alias("m2"), F.sum("n").alias("s2"))
-                          .select("grp", _blocks("m2", "s2").alias("b2")))
-    every = (held.join(counts, "grp").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)))
-             .withColumns({"y": F.col("block"), "side": F.lit(0)}))
-    outside = (held.join(rest.select("grp", "id"), ["grp", "id"]).join(counts, "grp")
-               .withColumns({"x": F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("b2")).cast("int"), "side": F.lit(1)})
-               .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("b") - 1))))
-    columns = ["grp", "x", "y", "side", "id", "text", "sig"]
-    return edges.unionByName(compared(every.select(*columns).unionByName(outside.select(*columns)), True))
+
+    def crossed(held: DataFrame, rest: DataFrame, counts: DataFrame) -> DataFrame:
+        every = (held.join(counts, "grp").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)))
+                 .withColumns({"y": F.col("block"), "side": F.lit(0)}))
+        outside = (held.join(rest.select("grp", "id"), ["grp", "id"]).join(counts, "grp")
+                   .withColumns({"x": F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("b2")).cast("int"), "side": F.lit(1)})
+                   .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("b") - 1))))
+        columns = ["grp", "x", "y", "side", "id", "text", "sig"]
+        return compared(every.select(*columns).unionByName(outside.select(*columns)), True)
+
+    def blocks_of(rest: DataFrame) -> DataFrame:
+        return settled(rest.groupBy("grp").agg(F.count("*").alias("m2"), F.sum("n").alias("s2"))
+                       .select("grp", _blocks("m2", "s2").alias("b2")))
+
+    counts = blocks_of(rest)
+    edges = edges.unionByName(crossed(held, rest, counts.where("b2 = 1")))
+    wide = counts.where("b2 > 1")
+    if not wide.limit(1).count():
+        return edges
+    groups = settled(parted(held, rest, wide))
+    rest = settled(rest.join(wide.select("grp"), "grp").drop("grp").join(groups, "id"))
+    sizes = settled(held.select("id", "n").distinct().join(groups, "id").groupBy("grp")
+                    .agg(F.count("*").alias("m"), F.sum("n").alias("s")).select("grp", _blocks("m", "s").alias("b")))
+    held = (held.drop("grp", "b", "m", "block").join(groups, "id").join(sizes, "grp")
+            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("b")).cast("int")))
+    return edges.unionByName(crossed(held, rest, blocks_of(rest)))
 
 
 def _placed(docs: DataFrame) -> DataFrame:

@@ -74,6 +74,45 @@ def test_one_large_group(documents):
     assert sum(r.kept for r in out) == 1 and {r.component_id for r in out} == {0}
 
 
+def template(n, own=14, links=()):
+    """Texts that share 80 words and have ``own`` of their own; text i also comes with one word more, for i in links."""
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(words + [f"y{i}_{j}" for j in range(own)])) for i in range(n)]
+    return rows + [(n + i, rows[i][1] + " z") for i in links]
+
+
+def test_texts_of_one_template_are_parted(documents, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 32)
+    compared = []
+    plain_blocks = N._dealt
+
+    def dealt(rows):
+        compared.append(rows.groupBy("grp", "x", "y").count().selectExpr("coalesce(sum(count * count), 0)").first()[0])
+        return plain_blocks(rows)
+
+    monkeypatch.setattr(N, "_dealt", dealt)
+    rows = template(600, links=(3, 250, 599))
+    sets = word_sets(rows[:2])
+    assert 0.6 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+    assert by_id(N.near_duplicates(documents(rows))) == plain(rows)
+    # blocks with their pivots, nothing for rests of one block, prefixes, and what they leave
+    assert len(compared) == 4 and compared[1] == 0 and sum(compared) < 600 * 200 and compared[3] < 100
+
+
+def test_prefixes_part_no_link(documents, monkeypatch):
+    """Some links in a template of few words, where rare shingles are shared by many."""
+    for k, v in {"BLOCK_ROWS": 8, "NODE": 4, "PIVOTS": 4}.items():
+        monkeypatch.setattr(N, k, v)
+    rng = random.Random(9)
+    rows = []
+    for i in range(160):
+        words = [f"w{j}" for j in range(70)]
+        for _ in range(rng.choice((1, 2, 4, 6))):
+            words[rng.randrange(70)] = f"x{rng.randrange(6)}"
+        rows.append((i, " ".join(words)))
+    assert by_id(N.near_duplicates(documents(rows))) == plain(rows)
+
+
 def test_kept_documents(documents, odd_rows):
     rows = [*odd_rows, (4, "another text of the same id")]
     docs = documents(rows)
