@@ -170,7 +170,7 @@ EDGE = [("a", "bigint"), ("b", "bigint")]
 def candidate_edges(reps: DataFrame) -> DataFrame:
     """Edges that join every candidate group of (id, sketch) rows."""
     rows = reps.mapInArrow(_first_branch, "node bigint, id bigint").withColumn("above", F.lit(None).cast("bigint"))
-    found = []
+    found, n_reps = [], reps.count()
     for level in range(1, DEPTH + 1):
         # kept apart from the rows' own aggregate, so that Spark can split the join at a large node
         sizes = settled(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"))
@@ -182,8 +182,12 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
         whole = F.lit(level == DEPTH) | F.coalesce(F.col("n") >= DENSE * F.col("above"), F.lit(False))
         found.append(rows.where((F.col("n") > NODE) & whole).select(F.col("id").alias("a"), F.col("least").alias("b")))
         large = rows.where((F.col("n") > NODE) & ~whole)
-        if not large.limit(1).count():
+        ids = settled(large.select("id").distinct())
+        n_ids = ids.count()
+        if not n_ids:
             break
+        if 2 * n_ids <= n_reps:  # from here on only these classes branch: the other sketches stay where they are
+            reps, n_reps = settled(reps.join(ids, "id", "left_semi")), n_ids
         rows = (large.select("node", "id", "n").join(reps, "id").select("node", "id", "n", "sketch")
                 .mapInArrow(_next_branch, "node bigint, id bigint, above bigint"))
     out = found[0]
@@ -368,7 +372,8 @@ def verified_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
               .where(F.col("x") != F.col("block")).withColumns({"y": F.col("x"), "side": F.lit(0)}))
     edges = settled(compared(own.unionByName(pivots), False))
 
-    large = held.where("b > 1").select("grp", "id", "n", "b").distinct()
+    held = held.where("b > 1")  # the groups compared whole are done: none of their texts is dealt out again
+    large = held.select("grp", "id", "n", "b").distinct()
     if not large.limit(1).count():
         return edges
     at = large.join(components(edges), "id", "left").select(

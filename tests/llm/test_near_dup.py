@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -211,3 +212,33 @@ def test_chance_to_miss_a_link():
             nodes = [np.uint64(x) for x in both]
         missed += not nodes
     assert missed / trials < 0.01 and math.isfinite(missed)
+
+
+def test_deeper_levels_and_later_rounds_move_large_groups_only(documents, monkeypatch):
+    """Sketches of classes outside large nodes, and texts of groups compared whole, are not dealt out again."""
+    monkeypatch.setattr(N, "NODE", 4)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(N, "PIVOTS", 1)
+    sketches, dealt, settled, deal = [], [], N.settled, N._dealt
+
+    def settle(df):
+        out = settled(df)
+        if out.columns == ["id", "sketch"]:
+            sketches.append(out.count())
+        return out
+
+    def dealing(rows):
+        dealt.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return deal(rows)
+
+    monkeypatch.setattr(N, "settled", settle)
+    monkeypatch.setattr(N, "_dealt", dealing)
+    rng = random.Random(8)
+    rows = template(24) + [(i, prose(rng, 40)) for i in range(100, 160)]
+    rows += [(i + 100, t + " end") for i, t in rows if i >= 100]
+    assert by_id(N.near_duplicates(documents(rows))) == plain(rows)
+    assert sketches and max(sketches) <= len(rows) // 2
+    assert len(dealt) > 1
+    for plan in dealt[1:]:
+        texts = [line for line in plan.splitlines() if "Relation [" in line]
+        assert texts and len(re.findall(r"Filter .*\(b#\d+ > 1\)", plan)) >= len(texts)
