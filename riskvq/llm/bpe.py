@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from riskvq.llm.common import map_texts, per_process, sha_hex
 
-CACHE_ENTRIES = 300_000  # pre-tokens of a generation kept per Python worker
+CACHE_ENTRIES = 150_000  # pre-tokens of a generation kept per Python worker
 NONE = 1 << 40         # the rank of a pair that is no token
 CACHE_LENGTH = 64        # longer pre-tokens are merged anew
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import sys
 import types
@@ -20,7 +21,7 @@ ARROW = {
     "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
     "array<string>": pa.list_(pa.string()),
 }
-ROWS_AT_ONCE = 1000  # texts held as Python strings at a time
+ROWS_AT_ONCE = 250  # texts held as Python strings at a time
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -37,12 +38,24 @@ def fold(col: Column, k: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(k))
 
 
+def _held() -> dict:
+    return sys.modules.setdefault("_riskvq_llm_cache", types.ModuleType("_riskvq_llm_cache")).__dict__.setdefault("held", {})
+
+
 def per_process(key: str, version, build: Callable):
-    """One cached object per key in a Python worker; a new version replaces the old one."""
-    store = sys.modules.setdefault("_riskvq_llm_cache", types.ModuleType("_riskvq_llm_cache")).__dict__
-    if store.get(key, (None,))[0] != version:
-        store[key] = (version, build())
-    return store[key][1]
+    """An object that a Python worker keeps between tasks; one of another key or version replaces it."""
+    held = _held()
+    if held.get("of") != (key, version):
+        forget()
+        held["what"] = build()
+        held["of"] = (key, version)
+    return held["what"]
+
+
+def forget() -> None:
+    """Drop what another operator left in this Python worker: workers serve one operator after the other."""
+    _held().clear()
+    gc.collect()
 
 
 def arrow_rows(columns: list, fields: list[tuple[str, str]]) -> pa.RecordBatch:
@@ -80,6 +93,7 @@ def map_texts(df: DataFrame, make: Callable, fields: list[tuple[str, str]],
             rows = [of_text(t or "") for t in b.column(at).to_pylist()]
             yield arrow_rows([b.column(i) for i in range(len(kept))] + [list(c) for c in zip(*rows, strict=True)],
                              kept + fields)
+        pa.default_memory_pool().release_unused()  # the worker stays, with what its pool still holds
 
     more = [] if text in carry else [F.col(text).alias("_text")]
     return df.select(*carry, *more).mapInArrow(run, ddl(kept + fields))

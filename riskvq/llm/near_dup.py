@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import annotated, arrow_rows, checkpointed, ddl, map_texts, mix64, settled
+from riskvq.llm.common import annotated, arrow_rows, checkpointed, ddl, forget, map_texts, mix64, settled
 from riskvq.llm.graph import components, local_roots, runs
 from riskvq.session import ensure_checkpoint_dir
 
@@ -89,6 +89,7 @@ def sketch(values: np.ndarray) -> np.ndarray:
 def _make_features():
     import xxhash
 
+    forget()
     hashes = WordHashes()
 
     def of_text(text):

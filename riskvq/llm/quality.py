@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskvq.llm.common import arrow_rows, ddl, fold, labelled_texts, map_texts, mix64, sample_of_labels
+from riskvq.llm.common import arrow_rows, ddl, fold, forget, labelled_texts, map_texts, mix64, sample_of_labels
 
 FOLDS, HELD = 5, 0
 SAMPLE = 12_000  # labelled rows of a fit, about
@@ -149,6 +149,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict
     rows = labelled_texts(docs, sample_of_labels(labels, "quality", FOLDS, HELD, bound, "quality"))
 
     def gather(batches):
+        forget()
         index, into, buckets = index_vectors(), np.zeros((BUCKETS, DIMS), np.int32), Buckets()
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -201,6 +202,7 @@ def score_quality(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_i
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIMS numbers and the small network
 
     def make():
+        forget()
         buckets, vectors, net = Buckets(), sent.value["vectors"], sent.value["network"]
 
         def of_text(text):

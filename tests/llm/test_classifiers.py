@@ -195,3 +195,22 @@ def test_gram_vectors_do_not_depend_on_the_cache(monkeypatch):
     monkeypatch.setattr(language, "GRAMS_KEPT", 20)
     small = language.Profiler()
     assert all((small.profile(t) == w).all() for t, w in zip(texts, whole, strict=True))
+
+
+def test_workers_hold_the_objects_of_one_operator():
+    """What one operator keeps in a Python worker is gone as soon as another one works there."""
+    from riskvq.llm import common, near_dup
+
+    built = []
+
+    def held(key):
+        return common.per_process(key, 1, lambda: built.append(key) or key)
+
+    assert [held("codec"), held("codec")] == ["codec"] * 2 and built == ["codec"]
+    held("automaton")
+    held("codec")
+    assert built == ["codec", "automaton", "codec"]
+    near_dup._make_features()
+    held("codec")
+    assert built[3:] == ["codec"]
+    common.forget()
